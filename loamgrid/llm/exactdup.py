@@ -68,7 +68,7 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", fan_in: int = 8, l
 
 def keep_one(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The rows of ``docs`` whose document stays; of repeated rows with one id, one."""
-    kept = exact_duplicates(docs, keep).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = exact_duplicates(docs, keep).filter("kept").select(F.col("doc_id").alias("_id")).distinct().hint("merge")
     # `<=>` so that rows without an id stay.
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 

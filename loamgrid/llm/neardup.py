@@ -10,7 +10,9 @@ its points can still lower a register.
 * Equal sets form one class first (one representative goes on), whatever their number.
 * Classes that share a band of registers are candidates. Every class is first compared with the
   smallest id of its band bucket; what is thereby connected is one component. After that only pairs
-  of *different* components of a bucket are compared, so a bucket of many copies costs its size.
+  of *different* components of a bucket are compared, and of these only those that share one of
+  their rarest shingles (an exact prefix bound), so neither many copies nor many documents around
+  one common passage cost a square.
 * A candidate's similarity is estimated from the three counts of larger, smaller and equal
   registers by maximum likelihood; unlikely pairs go. The rest are confirmed on the full sets.
 
@@ -150,7 +152,8 @@ def _likely(p: SketchParams):
                 part = batch.slice(i, 2048)
                 ku, kv = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, p.m) for c in ("su", "sv"))
                 nu, nv = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("nu", "nv"))
-                keep.append(estimate_jaccard(ku, kv, nu, nv, p) >= p.threshold / 100 - p.slack)
+                banded = (ku == kv)[:, : p.rows * p.bands].reshape(-1, p.bands, p.rows).all(2).any(1)
+                keep.append(banded & (estimate_jaccard(ku, kv, nu, nv, p) >= p.threshold / 100 - p.slack))
             if batch.num_rows:
                 yield batch.select(["u", "v"]).filter(pa.array(np.concatenate(keep)))
 
@@ -166,6 +169,16 @@ def _sets(width: int):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 512):
+            part = batch.slice(i, 512)
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("shingles")]
+            size = [len(x) for x in sets]
+            cols = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), size) for c in ("id", "component")]
+            yield pa.record_batch([*map(pa.array, cols), pa.array(np.repeat(size, size)), tokens.signed(np.concatenate(sets))], names=["id", "component", "n", "shingle"])
+
+
 def _confirm(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,23 +212,14 @@ def near_duplicates(docs: DataFrame, params: SketchParams = SketchParams(), id_c
     members = s.keep(bands.join(hubs, "bucket"), "members")
     s.drop(bands)
 
-    source_sets = source.withColumnRenamed("doc_id", "id")
-    first = _verified(s, members.filter("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct(), reps, source_sets, p)
+    wanted = members.select("id").distinct().hint("merge")  # whatever its size, so that plans stay alike
+    texts = source.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    sets = s.keep(texts.mapInArrow(_sets(p.width), "id long, shingles binary"), "sets", codec="none")
+
+    first = _verified(s, members.filter("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct(), reps, sets, p)
     label = connected_components(first, s)
     placed = members.join(label.withColumnRenamed("vertex", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    hub_of = label.select(F.col("vertex").alias("hub"), F.col("component").alias("hub_component"))
-    placed = s.keep(placed.join(hub_of, "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub")), "placed")
-
-    # What the hub did not connect meets the rest of its bucket.
-    off = placed.filter("component <> hub_component").select("bucket", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    rest = (
-        placed.join(off, "bucket")
-        .filter((F.col("component") != F.col("cx")) & (F.col("id") != F.col("hub")))
-        .filter((F.least("n", "nx") * 100 >= F.greatest("n", "nx") * p.threshold))
-        .select(F.least("id", "x").alias("u"), F.greatest("id", "x").alias("v"))
-        .distinct()
-    )
-    second = _verified(s, rest, reps, source_sets, p)
+    second = _verified(s, _across(s, placed, sets, p), reps, sets, p)
     label = connected_components(first.unionByName(second), s)
 
     out = (
@@ -228,19 +232,49 @@ def near_duplicates(docs: DataFrame, params: SketchParams = SketchParams(), id_c
     return s.finish(out)
 
 
-def _verified(s: Scratch, pairs: DataFrame, reps: DataFrame, source: DataFrame, p: SketchParams) -> DataFrame:
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    """Keys whose rows belong to two components or more, with one of these."""
+    return rows.groupBy(key).agg(F.min("component").alias("main"), F.max("component").alias("top")).filter("main <> top").select(key, "main")
+
+
+def _across(s: Scratch, placed: DataFrame, sets: DataFrame, p: SketchParams) -> DataFrame:
+    """Pairs of different components that can still be linked, of the buckets with several.
+
+    A bucket may hold many documents that share a passage and no more; all its pairs would be a
+    square. Two sets that reach the threshold share one of the (1 - t) n + 1 first elements of each
+    in any fixed order. Rarest first, what many share comes last, and such pairs never meet. The
+    register band is asked for again when the pair is estimated.
+    """
+    pool = placed.join(_mixed(placed, "bucket").select("bucket"), "bucket").select("id", "component").distinct()
+    rows = s.keep(sets.join(pool, "id").select("id", "component", "shingles").mapInArrow(_shingles, "id long, component long, n long, shingle long"), "shingles")
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    ranked = rows.join(shared, "shingle").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("e"))
+    # Elements that nobody shares come first and are left out of the list.
+    alone = F.col("n") - F.size("e")
+    room = F.floor(F.col("n") * (100 - p.threshold) / 100) + 1 - alone
+    lead = ranked.filter(room > 0).select("id", "component", "n", F.size("e").alias("m"), F.posexplode(F.slice("e", F.lit(1), room.cast("int"))).alias("at", "e"))
+    lead = lead.select("id", "component", "n", (F.col("m") - F.col("at")).alias("m"), F.col("e.shingle").alias("shingle"))
+    lead = s.keep(lead, "lead")
+    s.drop(rows)
+    mixed = s.keep(lead.join(_mixed(lead, "shingle"), "shingle"), "mixed")
+    off = mixed.filter("component <> main").select("shingle", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("m").alias("mx"), F.col("component").alias("cx"))
+    both = F.least("m", "mx")  # at their first common element: no more than what is left of either
+    return (
+        mixed.join(off, "shingle")
+        .filter((F.col("component") != F.col("cx")) & (both * 100 >= (F.col("n") + F.col("nx") - both) * p.threshold))
+        .select(F.least("id", "x").alias("u"), F.greatest("id", "x").alias("v"))
+        .distinct()
+    )
+
+
+def _verified(s: Scratch, pairs: DataFrame, reps: DataFrame, sets: DataFrame, p: SketchParams) -> DataFrame:
     """The pairs that reach the threshold on their full sets."""
     u = reps.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
     v = reps.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
     sized = pairs.join(u, "u").join(v, "v").filter(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * p.threshold)
     likely = s.keep(sized.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_likely(p), "u long, v long"), "likely")
-    wanted = likely.select(F.col("u").alias("id")).union(likely.select("v")).distinct()
-    sets = source.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(p.width), "id long, shingles binary")
-    sets = s.keep(sets, "sets", codec="none")
     full = likely.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("xu")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("xv")), "v")
-    out = s.keep(full.mapInArrow(_confirm(p.threshold), "u long, v long"), "links")
-    s.drop(sets)
-    return out
+    return s.keep(full.mapInArrow(_confirm(p.threshold), "u long, v long"), "links")
 
 
 def op3_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

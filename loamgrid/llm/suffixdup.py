@@ -166,7 +166,7 @@ def repeated_spans(docs: DataFrame, params: SuffixParams = SuffixParams(), id_co
     s.drop(suffixes)
     across = near.filter("edge").groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core")
     equal = near.filter("hit").select("doc_id", "place").union(near.filter("edge and not hit").join(across, "core").select("doc_id", "place"))
-    places = equal.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    places = equal.groupBy("doc_id").agg(F.collect_set("place").alias("places")).hint("merge")
     held = s.keep(source.join(places, "doc_id").dropDuplicates(["doc_id"]), "texts")
     grams = s.keep(held.select("doc_id", "text", "places").mapInArrow(_windows(p), "gram long, doc_id long, place int"), "windows")
     first = (
@@ -184,7 +184,7 @@ def repeated_spans(docs: DataFrame, params: SuffixParams = SuffixParams(), id_co
 def without_repeats(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataFrame:
     """The documents with every repeat cut out of their text; all rows and columns stay."""
     spans = repeated_spans(docs, params).filter("is_repeat")
-    cuts = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("_cuts"))
+    cuts = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("_cuts")).hint("merge")
     out = docs.join(cuts, docs["doc_id"].cast("long") == cuts["_id"], "left")
     # The pieces between cuts: from each end to the next start.
     ends = F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda c: c["end_char"]))
