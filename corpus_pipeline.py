@@ -29,7 +29,7 @@ NEAR = neardup.SketchParams(width=5, threshold=80)
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document with the smallest id stays."""
-    gone = neardup.near_duplicates(docs, NEAR).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    gone = neardup.near_duplicates(docs, NEAR).filter("not kept").select(F.col("doc_id").alias("_id")).distinct().hint("merge")
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")
 
 
