@@ -51,25 +51,40 @@ class PackParams:
 class WordEncoder:
     """Token ids of whole texts, each distinct word encoded once.
 
-    Right for tokenizers whose pre-tokeniser never joins across ASCII white space and drops it.
+    Right for tokenizers that drop white space, never join across it, lower-case, and never join a
+    letter with following punctuation. Words that may hold a special token are left as they are.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok, self.room = Tokenizer.from_file(path), room
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.known) + 2 * len(words) > self.room:
+            self.known.clear()
+        parts = {}
+        for w in words:
+            core = w.rstrip(b".,!?;:")
+            plain = len(core) < len(w) and core[-1:].isalpha() and b"<|" not in w
+            parts[w] = (core, w[len(core) :]) if plain else (w,)
+        new = list({x for p in parts.values() for x in p if x not in self.known})
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            for w, e in zip(some, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, np.uint32).tobytes()
+        for w, p in parts.items():
+            if len(p) == 2:
+                self.known[w] = self.known[p[0]] + self.known[p[1]]
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        words = [t.split() if t else [] for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        if len(self.known) + len(new) > self.room:
-            self.known = {}
-            new = list({w for ws in words for w in ws})
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            for w, e in zip(part, self.tok.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
+        words = [(t.split() if b"<|" in t else t.lower().split()) if t else [] for t in texts]
+        every = {w for ws in words for w in ws}
+        new = {w for w in every if w not in self.known}
+        if new:
+            full = len(self.known) + 2 * len(new) > self.room
+            self._learn(every if full else new)
         known = self.known
         return [np.frombuffer(b"".join([known[w] for w in ws]), np.uint32) for ws in words]
 
