@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from loamgrid.llm import exactdup, neardup, packing, quality, suffixdup
+from loamgrid.llm import exactdup, langid, lmscore, neardup, packing, pieces, quality, sharding, suffixdup, warc
 
 QUERIES = {
+    "op1_tiered_shards": sharding.op1_tiered_shards,
+    "op2_indexed_warc": warc.op2_indexed_warc,
     "op3_setsketch_neardup": neardup.op3_setsketch_neardup,
+    "op4_recurrent_lm_score": lmscore.op4_recurrent_lm_score,
     "op5_pattern_packing": packing.op5_pattern_packing,
     "op6_line_frequency_quality": quality.op6_line_frequency_quality,
     "op7_tree_merge_dedup": exactdup.op7_tree_merge_dedup,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
+    "op9_output_codes_langid": langid.op9_output_codes_langid,
     "op10_sparse_suffix_dedup": suffixdup.op10_sparse_suffix_dedup,
 }
 
-ORACLES = {**exactdup.ORACLE}
+ORACLES = {**sharding.ORACLE, **warc.ORACLE, **exactdup.ORACLE}
