@@ -64,9 +64,8 @@ def guest_import(ledger: DataFrame) -> DataFrame:
 
 def settlement(events: DataFrame) -> DataFrame:
     """The first actual amount of a reservation counts; conflicts and overruns are flagged."""
-    return events.groupBy("reservation_id").agg(
-        F.min_by("actual", "ts").alias("settled"), (F.count_distinct("actual") > 1).alias("conflict"), F.coalesce(F.min_by("actual", "ts") > F.max("amount"), F.lit(False)).alias("overrun")
-    )
+    first = F.min_by("actual", F.when(F.col("actual").isNotNull(), F.col("ts")))
+    return events.groupBy("reservation_id").agg(first.alias("settled"), (F.count_distinct("actual") > 1).alias("conflict"), F.coalesce(first > F.max("amount"), F.lit(False)).alias("overrun"))
 
 
 def admission_replay(ledger: DataFrame, limit: float) -> DataFrame:
