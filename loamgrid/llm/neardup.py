@@ -9,7 +9,7 @@ its points can still lower a register.
 
 * Equal sets form one class first (one representative goes on), whatever their number.
 * Classes that share a band of registers are candidates. Every class is first compared with the
-  smallest id of its band bucket; what is thereby connected is one component. After that only pairs
+  smallest ids of its band buckets; what is thereby connected is one component. After that only pairs
   of *different* components of a bucket are compared, and of these only those that share one of
   their rarest shingles (an exact prefix bound), so neither many copies nor many documents around
   one common passage cost a square.
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, params: SketchParams = SketchParams(), id_c
 
     # Buckets that hold two classes or more.
     bands = s.keep(reps.mapInArrow(_bands(p), "bucket long, id long, n long"), "bands")
-    hubs = bands.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket", "hub")
+    hubs = bands.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
     members = s.keep(bands.join(hubs, "bucket"), "members")
     s.drop(bands)
 
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, params: SketchParams = SketchParams(), id_c
     texts = source.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").dropDuplicates(["id"])
     sets = s.keep(texts.mapInArrow(_sets(p.width), "id long, shingles binary"), "sets", codec="none")
 
-    first = _verified(s, members.filter("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct(), reps, sets, p)
+    first = _verified(s, _stars(members, p), reps, sets, p)
     label = connected_components(first, s)
     placed = members.join(label.withColumnRenamed("vertex", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     second = _verified(s, _across(s, placed, sets, p), reps, sets, p)
@@ -232,6 +232,17 @@ def near_duplicates(docs: DataFrame, params: SketchParams = SketchParams(), id_c
     return s.finish(out)
 
 
+def _stars(members: DataFrame, p: SketchParams) -> DataFrame:
+    """Each class with the three hubs it shares most buckets with.
+
+    These only connect what is easy to connect; what they leave apart is compared by ``_across``.
+    """
+    near = members.filter((F.col("id") != F.col("hub")) & (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * p.threshold))
+    shared = near.groupBy("id", "hub").agg((-F.count(F.lit(1))).alias("c"))
+    best = shared.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "hub"))), 1, 3).alias("b"))  # a list of `bands` at most
+    return best.select(F.explode("b.hub").alias("u"), F.col("id").alias("v"))
+
+
 def _mixed(rows: DataFrame, key: str) -> DataFrame:
     """Keys whose rows belong to two components or more, with one of these."""
     return rows.groupBy(key).agg(F.min("component").alias("main"), F.max("component").alias("top")).filter("main <> top").select(key, "main")
