@@ -7,7 +7,8 @@ piece lengths (at most ``size`` numbers, whatever the corpus) reaches the driver
    sequence are enumerated;
 2. repeat counts for the patterns are fitted to the histogram by non-negative least squares
    (active set), then rounded down to what the histogram holds;
-3. the patterns are given real lengths, the longest of a class first, and the residual lengths go,
+3. the patterns are given real lengths, the longest of a class first and, last, the longest that
+   fits what they leave; the residual lengths go,
    longest first, into the fullest sequence that has room, counts of equal sequences at a time.
 
 The plan is a table of ranges: of the pieces of one length, ranks r1 to r2 go to sequences q, q + 1,
@@ -45,7 +46,7 @@ class PackParams:
     end_id: int = 1
     grid: int = 64
     depth: int = 3
-    filler: int = 512  # shorter pieces are left to fill the room that patterns leave
+    filler: int = 256  # shorter pieces are left to fill the room that patterns leave
 
 
 class WordEncoder:
@@ -220,10 +221,10 @@ def plan_sequences(histogram: np.ndarray, p: PackParams) -> list[tuple[int, tupl
         x = nnls(patterns.T, hist)
         queue = {c: [n for n in range(min(c * step, p.size), (c - 1) * step, -1) if large[n] and left[n]] for c in range(1, p.grid + 1)}
         for row, times in sorted(zip(patterns, np.floor(x + 1e-9).astype(int)), key=lambda t: -t[1]):
-            classes = [c + 1 for c in np.flatnonzero(row) for _ in range(int(row[c]))]
+            classes = [c + 1 for c in np.flatnonzero(row)[::-1] for _ in range(int(row[c]))]
             while times > 0:
                 used, lengths = defaultdict(int), []
-                for c in classes:  # the longest length of the class that is left
+                for c in classes[:-1]:  # the longest length of the class that is left
                     while queue[c] and not left[queue[c][0]]:
                         queue[c].pop(0)
                     n = next((n for n in queue[c] if left[n] > used.get(n, 0)), None)
@@ -231,8 +232,13 @@ def plan_sequences(histogram: np.ndarray, p: PackParams) -> list[tuple[int, tupl
                         break
                     used[n] += 1
                     lengths.append(n)
-                if len(lengths) < len(classes):
+                # The last one fills what the others leave: the longest length that fits.
+                room = p.size - sum(lengths)
+                n = next((n for n in range(room, (classes[-1] - 1) * step, -1) if left[n] > used.get(n, 0)), None)
+                if len(lengths) + 1 < len(classes) or n is None:
                     break
+                used[n] += 1
+                lengths.append(n)
                 k = int(min(times, min(left[n] // u for n, u in used.items())))
                 at = np.cumsum([0, *lengths[:-1]])
                 plan.add(k, tuple(zip(lengths, at.tolist())))
