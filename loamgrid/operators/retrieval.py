@@ -61,7 +61,7 @@ def native_top_k(questions: DataFrame, chunks: DataFrame, role_labels: DataFrame
     return ranked(s.select("query_id", "chunk_id", score.alias("score"), "access_label"), k)
 
 
-def lsh_top_k(questions: DataFrame, chunks: DataFrame, role_labels: DataFrame, k: int = 10, tables: int = 24, bits: int = 5, dim: int = 64, seed: int = 3) -> DataFrame:
+def lsh_top_k(questions: DataFrame, chunks: DataFrame, role_labels: DataFrame, k: int = 10, tables: int = 48, bits: int = 5, dim: int = 64, seed: int = 3) -> DataFrame:
     """R2: candidates that share a random-hyperplane bucket, scored exactly; labels are filtered first."""
     planes = np.random.default_rng(seed).normal(size=(dim, tables * bits))
 
