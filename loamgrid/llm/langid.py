@@ -32,7 +32,7 @@ class LangParams:
     features: int = 4096
     orders: int = 4
     sample: int = 3000  # texts for fitting, all languages together
-    steps: int = 300
+    steps: int = 150
     rate: float = 0.05
     decay: float = 1e-4
     margin: float = 0.2  # of score between the two best: less is ambiguous
@@ -82,10 +82,11 @@ class LangModel:
 def fit(x: np.ndarray, langs: list[str], p: LangParams) -> LangModel:
     names = sorted(set(langs))
     code = codewords(len(names), p)
-    y = code[[names.index(z) for z in langs]]
+    y = code[[names.index(z) for z in langs]].astype(np.float32)
     share = np.array([1 / langs.count(z) for z in langs])
-    share = (share / share.sum())[:, None]
-    w, b = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
+    share = (share / share.sum())[:, None].astype(np.float32)
+    # One precision throughout, so that no step copies the features.
+    w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, p.steps + 1):  # logistic loss, Adam
         g = -y * share / (1 + np.exp(np.clip(y * (x @ w * 4 + b), -30, 30)))
