@@ -175,6 +175,8 @@ def repeated_spans(docs: DataFrame, params: SuffixParams = SuffixParams(), id_co
         .filter(F.col("first.doc_id") < F.col("last"))
         .select("gram", "first")
     )
+    # Written first: both sides of the join are then plain shuffles, and Spark splits the task of a very common window.
+    first = s.keep(first, "first").hint("merge")
     hits = grams.join(first, "gram").select("doc_id", F.struct("place", (F.struct("doc_id", "place") != F.col("first")).alias("repeat")).alias("hit"))
     hits = s.keep(hits.groupBy("doc_id").agg(F.collect_list("hit").alias("hits")), "hits")
     spans = held.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_spans(p), "doc_id long, start_word int, end_word int, start_char int, end_char int, is_repeat boolean")
