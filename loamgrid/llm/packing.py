@@ -54,23 +54,46 @@ class WordEncoder:
 
     Right for tokenizers that drop white space, never join across it, lower-case, and never join a
     letter with following punctuation. Words that may hold a special token are left as they are.
+    Where the model marks the last token of a word, words of letters are encoded many at a time.
     """
 
-    def __init__(self, path: str, room: int = 1_000_000):
+    def __init__(self, path: str, room: int = 1_000_000, group: int = 256):
         from tokenizers import Tokenizer
 
-        self.tok, self.room = Tokenizer.from_file(path), room
+        self.tok, self.room, self.group = Tokenizer.from_file(path), room, group
         self.known: dict[bytes, bytes] = {}
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+
+    def _learn_letters(self, words: list[bytes]) -> list[bytes]:
+        """Encodes words of letters in groups; returns those of groups that do not have one last token a word."""
+        odd = []
+        for i in range(0, len(words), self.group):
+            some = words[i : i + self.group]
+            ids = np.array(self.tok.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.uint32)
+            cut = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            if len(cut) != len(some):
+                odd += some
+                continue
+            flat, start = ids.tobytes(), 0
+            for w, end in zip(some, cut.tolist()):
+                self.known[w] = flat[start:end]
+                start = end
+        return odd
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + 2 * len(words) > self.room:
-            self.known.clear()
         parts = {}
         for w in words:
             core = w.rstrip(b".,!?;:")
             plain = len(core) < len(w) and core[-1:].isalpha() and b"<|" not in w
             parts[w] = (core, w[len(core) :]) if plain else (w,)
-        new = list({x for p in parts.values() for x in p if x not in self.known})
+        new = {x for p in parts.values() for x in p if x not in self.known}
+        if self.last.any():
+            letters = [w for w in new if w.decode("utf-8", "replace").isalpha()]
+            new = [*new.difference(letters), *self._learn_letters(letters)]
+        new = list(new)
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             for w, e in zip(some, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
@@ -81,13 +104,16 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         words = [(t.split() if b"<|" in t else t.lower().split()) if t else [] for t in texts]
-        every = {w for ws in words for w in ws}
-        new = {w for w in every if w not in self.known}
+        found = [list(map(self.known.get, ws)) for ws in words]
+        new = {w for ws, ids in zip(words, found) if None in ids for w, x in zip(ws, ids) if x is None}
         if new:
-            full = len(self.known) + 2 * len(new) > self.room
-            self._learn(every if full else new)
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in ws]), np.uint32) for ws in words]
+            if len(self.known) + 2 * len(new) > self.room:
+                self.known.clear()
+            self._learn(new)
+            for ws, ids in zip(words, found):
+                if None in ids:
+                    ids[:] = [self.known[w] if x is None else x for w, x in zip(ws, ids)]
+        return [np.frombuffer(b"".join(ids), np.uint32) for ids in found]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
