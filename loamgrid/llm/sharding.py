@@ -83,10 +83,12 @@ class ShardStore:
         by = Window.partitionBy("tier").orderBy("low", "path")
         # A run ends at the target size; a tier holds as many shards as its sizes allow, and one row each.
         run = small.withColumn("run", F.floor((F.sum("bytes").over(by) - F.col("bytes") / 2) / self.target))
-        sized = run.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tier", "run")))
+        # Very small shards: a run is also cut at MAX_RUN shards, so that a round's plan is bounded and always taken whole.
+        part = F.floor((F.row_number().over(Window.partitionBy("tier", "run").orderBy("low", "path")) - 1) / MAX_RUN)
+        sized = run.withColumn("part", part).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tier", "run", "part")))
         # Runs with as many shards as the fan-in are merged; the last, smaller one of a tier waits for more.
         ready = sized.filter(F.col("n") >= self.fan_in)
-        merge = ready.withColumn("merge", F.dense_rank().over(Window.orderBy("tier", "run")) - 1)
+        merge = ready.withColumn("merge", F.dense_rank().over(Window.orderBy("tier", "run", "part")) - 1)
         return merge.filter(F.col("merge") < MAX_MERGES).select("path", F.col("merge").cast("int").alias("merge"), "generation")
 
     def compact(self) -> int:
@@ -99,7 +101,7 @@ class ShardStore:
             plan.unpersist()
             return v
         at = f"{self.root}/data/{uuid.uuid4().hex}"
-        taken = [r["path"] for r in plan.select("path").limit(MAX_MERGES * MAX_RUN).collect()]  # file names of one bounded round
+        taken = [r["path"] for r in plan.select("path").collect()]  # file names of one bounded round
         rows = self.spark.read.parquet(*taken)
         columns = rows.columns
         placed = rows.withColumn("_path", F.col("_metadata.file_path")).join(F.broadcast(plan.select(F.col("path").alias("_path"), "merge")), "_path")

@@ -285,6 +285,18 @@ def test_shards(spark, docs):
     assert store.vacuum() > 0 and store.read().count() == 3 * docs.count()
 
 
+def test_many_tiny_shards_lose_no_row(spark, docs, monkeypatch):
+    monkeypatch.setattr(sharding, "MAX_RUN", 4)
+    monkeypatch.setattr(sharding, "MAX_MERGES", 1)
+    store = sharding.ShardStore(spark, "file://" + tempfile.mkdtemp(prefix="spark-"), fan_in=3)
+    store.append(docs.repartition(9))
+    rows, shards = docs.count(), store.manifest().count()
+    store.compact()
+    assert store.manifest().count() == shards - 3 and store.read().count() == rows
+    store.compact_all()
+    assert store.read().exceptAll(docs).count() == 0 and store.read().count() == rows
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
