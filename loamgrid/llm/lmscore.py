@@ -1,13 +1,18 @@
 """Log-likelihood of whole documents under a gated recurrent language model, in numpy.
 
-Output is factored: P(word | past) = P(class | state) * P(word | class). Classes of the most frequent
-words are found by k-means on their neighbours; every other word, seen or not, belongs to a class
-by its form, so the classes cover all words and the model is a full distribution. Words of a class
-are weighted by counts over *all* training documents, and a form class keeps one share for words it
-has not seen. A gated recurrent unit gives the class probabilities; it is trained by truncated
-backpropagation on about ``sample`` training documents (a bound on what the driver holds; counts,
-totals and the score cover everything). While scoring, many documents run side by side and the state
-of each is carried from window to window to its end, so its whole length counts.
+Output is factored: P(word | past) = P(class | state) * P(word | class, state). Classes of the most
+frequent words are found by k-means on their neighbours in all training documents; every other word,
+seen or not, belongs to a class by its form, so the classes cover all words and the model is a full
+distribution. The ``classed`` most frequent words have a softmax on the state within their class. In a
+form class the words, which no table of fixed size could hold, are weighted by their counts over all
+training documents whatever the state, with one share kept for words it has not seen.
+
+A gated recurrent unit gives the state. All training documents are dealt to ``rounds``; in each, every
+task runs truncated backpropagation over its documents of that round from the same weights, and the
+weights come together as an average by tokens, added up by Spark in blocks. So each training token is
+learned from once at every corpus size, and the driver holds tables of fixed size. While scoring, many
+documents run side by side and the state of each is carried from window to window to its end, so its
+whole length counts.
 
 Counts of the ``head`` most frequent words travel to the tasks (a table of fixed size); all other
 words of a document meet their counts in a join.
@@ -42,13 +47,13 @@ END = np.uint64(0xE0D0_0000_0000_0001)
 @dataclass(frozen=True)
 class LmParams:
     head: int = 131_072  # words whose counts travel to the tasks
-    classed: int = 4096  # words with a class of their own kind
+    classed: int = 4096  # words with a class of their own kind, 65,000 at most
     clusters: int = 48
     hidden: int = 32
-    sample: int = 1500  # training documents for the recurrent weights
-    lanes: int = 64
+    rounds: int = 4  # averages of the weights; each takes its share of the training documents
+    lanes: int = 128
     window: int = 32  # steps of truncated backpropagation
-    epochs: int = 2
+    chunk: int = 1_000_000  # tokens a task holds while it learns
     rate: float = 0.004
     seed: int = 5
 
@@ -124,31 +129,83 @@ def _indexed(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.nda
     return list(known), np.array(seq, np.int64), np.array(lens, np.int64)
 
 
-def _samples(head: Head, classed: int):
-    """Training texts as indices: own ones first, then forms, then the end."""
+SEQ = np.dtype("<u2")
+
+
+def _sequences(head: Head, p: LmParams):
+    """Training texts as indices: own ones first, then forms, then the end; dealt to the rounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
         for part, texts in tokens.chunks(batches):
             words, seq, lens = _indexed(texts)
             _, own = head.look(_hash(words))
-            index = np.where(own >= 0, own, classed + np.array([form_of(w) for w in words], np.int32)).astype(np.int32) if words else np.zeros(0, np.int32)
-            parts = [np.append(x, classed + FORMS).astype("<i4").tobytes() for x in np.split(index[seq], np.cumsum(lens)[:-1])]
-            yield pa.record_batch([pa.array(parts, pa.binary())], names=["seq"])
+            index = np.where(own >= 0, own, p.classed + np.array([form_of(w) for w in words], np.int32)).astype(SEQ) if words else np.zeros(0, SEQ)
+            parts = [np.append(x, p.classed + FORMS).astype(SEQ).tobytes() for x in np.split(index[seq], np.cumsum(lens)[:-1])]
+            turn = (at + np.arange(len(parts))) % p.rounds
+            at += len(parts)
+            yield pa.record_batch([pa.array(turn.astype(np.int32)), pa.array(parts, pa.binary())], names=["turn", "seq"])
 
     return run
 
 
-def cluster_words(seqs: list[np.ndarray], p: LmParams, present: int) -> np.ndarray:
-    """Class of each index: k-means of the frequent words on their left and right neighbours."""
-    size, top = p.classed + FORMS + 1, 128
-    context = np.minimum(np.arange(size), top)
+BLOCK = 32_768
+_PARTS = "block int, part int, n long, cells binary"
+
+
+def _blocks(cells: np.ndarray, n: int) -> pa.RecordBatch:
+    """One task's table in blocks, to be added up with weight ``n``."""
+    cut = [cells[i : i + BLOCK].astype("<f4").tobytes() for i in range(0, len(cells), BLOCK)]
+    part = TaskContext.get().partitionId()
+    cols = [pa.array(range(len(cut)), pa.int32()), pa.array([part] * len(cut), pa.int32()), pa.array([n] * len(cut), pa.int64()), pa.array(cut, pa.binary())]
+    return pa.record_batch(cols, names=["block", "part", "n", "cells"])
+
+
+def _added(parts: DataFrame) -> tuple[np.ndarray | None, int]:
+    """Sum of ``n`` times the cells over all tasks, and of ``n``; each block is added up in one task."""
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(k).to_pylist() for k in ("part", "n", "cells"))))
+        total = np.zeros(len(rows[0][2]) // 4)
+        for _, n, cells in rows:
+            total += n * np.frombuffer(cells, "<f4").astype(np.float64)
+        return pa.table({"block": table.column("block")[:1].cast(pa.int32()), "n": pa.array([sum(r[1] for r in rows)], pa.int64()), "cells": pa.array([total.tobytes()], pa.binary())})
+
+    got = sorted(parts.groupBy("block").applyInArrow(add, "block int, n long, cells binary").collect(), key=lambda r: r["block"])
+    return (np.concatenate([np.frombuffer(r["cells"]) for r in got]), got[0]["n"]) if got else (None, 0)
+
+
+def _contexts(p: LmParams) -> tuple[np.ndarray, int]:
+    """Kind of each index as a neighbour, and how many kinds there are."""
+    top = 128
+    context = np.minimum(np.arange(p.classed + FORMS + 1), top)
     context[p.classed :] = top + 1 + np.arange(FORMS + 1)
-    width = top + FORMS + 2
-    table = np.zeros((size, 2 * width), np.float32)
-    for s in seqs:
-        np.add.at(table, (s[1:], context[s[:-1]]), 1)
-        np.add.at(table, (s[:-1], width + context[s[1:]]), 1)
-    x = np.sqrt(table[:present])
+    return context, top + FORMS + 2
+
+
+def _neighbours(p: LmParams):
+    """How often each index has each kind of left and of right neighbour."""
+    context, width = _contexts(p)
+    size = len(context)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, some = np.zeros(size * 2 * width, np.int64), False
+        for batch in batches:
+            some = True
+            for s in (np.frombuffer(x, SEQ).astype(np.int64) for x in batch.column(0).to_pylist()):
+                left, right = s[1:] * (2 * width) + context[s[:-1]], s[:-1] * (2 * width) + width + context[s[1:]]
+                np.add.at(table, np.concatenate([left, right]), 1)
+        if some:
+            yield _blocks(table, 1)
+
+    return run
+
+
+def cluster_words(table: np.ndarray | None, p: LmParams, present: int) -> np.ndarray:
+    """Class of each index: k-means of the frequent words on their left and right neighbours."""
+    size, width = p.classed + FORMS + 1, _contexts(p)[1]
+    table = np.zeros((size, 2 * width)) if table is None else table.reshape(size, 2 * width)
+    x = np.sqrt(table[:present]).astype(np.float32)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     out = np.zeros(size, np.int64)
     k = min(p.clusters, present)
@@ -170,15 +227,59 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Gru:
-    """A gated recurrent unit over classes: input tables, recurrent weights, softmax over classes."""
+    """A gated recurrent unit over classes: input tables, recurrent weights, softmax over classes and within them."""
 
     def __init__(self, p: LmParams):
         rng, h, c = np.random.default_rng(p.seed), p.hidden, p.classes
         r = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
         # Index `c` of the input table begins a document.
-        self.w = {"x": r(c + 1, 3 * h), "u": r(h, 3 * h), "o": r(h, c), "b": np.zeros(c, np.float32)}
+        self.w = {"x": r(c + 1, 3 * h), "u": r(h, 3 * h), "o": r(h, c), "b": np.zeros(c, np.float32), "v": np.zeros((p.classed, h), np.float32), "c": np.zeros(p.classed, np.float32)}
         self.h = h
 
+    def set_words(self, class_of: np.ndarray, n: np.ndarray, p: LmParams) -> None:
+        """The own words of each class; within it they begin at their counts ``n``."""
+        self.class_of, present = class_of, len(n)
+        self.group = np.full(len(class_of), -1, np.int16)
+        self.group[:present] = class_of[:present]
+        self.members = [np.flatnonzero(self.group == c) for c in range(p.clusters)]
+        self.place = np.zeros(len(class_of), np.int64)
+        for m in self.members:
+            self.place[m] = np.arange(len(m))
+        self.w["c"][:present] = np.log(np.maximum(n, 1))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.w.values()])
+
+    def load(self, cells: np.ndarray) -> None:
+        cut = np.split(cells, np.cumsum([v.size for v in self.w.values()])[:-1])
+        self.w = {k: q.reshape(v.shape).astype(np.float32) for (k, v), q in zip(self.w.items(), cut)}
+
+    def inside(self, hs: np.ndarray, index: np.ndarray, grad: dict | None = None, dhs: np.ndarray | None = None) -> np.ndarray:
+        """Log probability of each own word within its class, 0 for others; adds gradients of the mean loss."""
+        group, w = self.group[index], self.w
+        order = np.argsort(group, kind="stable")
+        cut = np.searchsorted(group[order], np.arange(len(self.members) + 1))
+        out = np.zeros(len(index), np.float32)
+        for c, m in enumerate(self.members):
+            v, b = w["v"][m], w["c"][m]
+            for i in range(cut[c], cut[c + 1], 4096):
+                at = order[i : min(i + 4096, cut[c + 1])]
+                h, k, rows = hs[at], self.place[index[at]], np.arange(len(at))
+                s = h @ v.T + b
+                s -= s.max(1, keepdims=True)
+                said = s[rows, k]
+                np.exp(s, out=s)
+                z = s.sum(1)
+                out[at] = said - np.log(z)
+                if grad is not None:
+                    s /= z[:, None]
+                    s[rows, k] -= 1
+                    s /= len(index)
+                    grad["v"][m] += s.T @ h
+                    grad["c"][m] += s.sum(0)
+                    dhs[at] += s @ v
+        return out
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
         n, w = self.h, self.w
         a, g = w["x"][x], h @ w["u"]
@@ -192,55 +293,59 @@ class Gru:
         s -= s.max(1, keepdims=True)
         return s[np.arange(len(y)), y] - np.log(np.exp(s).sum(1))
 
-    def learn(self, streams: np.ndarray, starts: np.ndarray, p: LmParams) -> None:
-        """Truncated backpropagation along ``streams`` (time by lane); ``starts`` marks new documents."""
+    def learn(self, streams: np.ndarray, starts: np.ndarray, p: LmParams, rate: float) -> None:
+        """Truncated backpropagation along ``streams`` (time by lane) of indices; ``starts`` marks new documents."""
         w, n = self.w, self.h
-        m = {k: np.zeros_like(v) for k, v in w.items()}
-        v2 = {k: np.zeros_like(v) for k, v in w.items()}
-        turn = 0
-        for _ in range(p.epochs):
-            h = np.zeros((streams.shape[1], n), np.float32)
-            for t0 in range(0, len(streams), p.window):
-                y, new = streams[t0 : t0 + p.window], starts[t0 : t0 + p.window]
-                last = streams[t0 - 1] if t0 else np.full(streams.shape[1], p.classes)
-                x = np.where(new, p.classes, np.vstack([last[None], y[:-1]]))
-                trace, hs = [], []
-                for t in range(len(y)):
-                    h = np.where(new[t][:, None], 0, h).astype(np.float32)
-                    out, *rest = self.step(x[t], h)
-                    trace.append((h, *rest))
-                    h = out
-                    hs.append(h)
-                flat = np.concatenate(hs)
-                s = flat @ w["o"] + w["b"]
-                s = np.exp(s - s.max(1, keepdims=True))
-                s /= s.sum(1, keepdims=True)
-                s[np.arange(len(s)), y.ravel()] -= 1
-                s /= len(s)
-                g = {"o": flat.T @ s, "b": s.sum(0), "x": np.zeros_like(w["x"]), "u": np.zeros_like(w["u"])}
-                dhs = (s @ w["o"].T).reshape(len(y), -1, n)
-                dh = np.zeros_like(h)
-                for t in range(len(y) - 1, -1, -1):
-                    prev, z, r, c, gn = trace[t]
-                    dh = dh + dhs[t]
-                    dc = dh * (1 - z) * (1 - c * c)
-                    dz = dh * (prev - c) * z * (1 - z)
-                    dr = dc * gn * r * (1 - r)
-                    da = np.concatenate([dz, dr, dc], 1)
-                    dg = np.concatenate([dz, dr, dc * r], 1)
-                    np.add.at(g["x"], x[t], da)
-                    g["u"] += prev.T @ dg
-                    dh = np.where(new[t][:, None], 0, dh * z + dg @ w["u"].T).astype(np.float32)
-                turn += 1
-                size = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
-                for k in w:
-                    q = g[k] * min(1.0, 1.0 / max(size, 1e-9))
-                    m[k] = 0.9 * m[k] + 0.1 * q
-                    v2[k] = 0.999 * v2[k] + 0.001 * q * q
-                    w[k] -= p.rate * (m[k] / (1 - 0.9**turn)) / (np.sqrt(v2[k] / (1 - 0.999**turn)) + 1e-8)
-
-    def score(self, seqs: list[np.ndarray], window: int = 64) -> np.ndarray:
-        """Natural log probability of each whole class sequence; many run side by side."""
+        if not hasattr(self, "moments"):
+            self.moments, self.turn = [{k: np.zeros_like(v) for k, v in w.items()} for _ in range(2)], 0
+        m, v2 = self.moments
+        classes = self.class_of[streams]
+        h = np.zeros((streams.shape[1], n), np.float32)
+        for t0 in range(0, len(streams), p.window):
+            y, new = classes[t0 : t0 + p.window], starts[t0 : t0 + p.window]
+            last = classes[t0 - 1] if t0 else np.full(streams.shape[1], p.classes)
+            x = np.where(new, p.classes, np.vstack([last[None], y[:-1]]))
+            trace, hs = [], []
+            for t in range(len(y)):
+                h = np.where(new[t][:, None], 0, h).astype(np.float32)
+                out, *rest = self.step(x[t], h)
+                trace.append((h, *rest))
+                h = out
+                hs.append(h)
+            flat = np.concatenate(hs)
+            s = flat @ w["o"] + w["b"]
+            s = np.exp(s - s.max(1, keepdims=True))
+            s /= s.sum(1, keepdims=True)
+            s[np.arange(len(s)), y.ravel()] -= 1
+            s /= len(s)
+            g = {"x": np.zeros_like(w["x"]), "u": np.zeros_like(w["u"]), "o": flat.T @ s, "b": s.sum(0), "v": np.zeros_like(w["v"]), "c": np.zeros_like(w["c"])}
+            dhs = s @ w["o"].T
+            self.inside(flat, streams[t0 : t0 + p.window].ravel(), g, dhs)
+            dhs = dhs.reshape(len(y), -1, n)
+            dh, das = np.zeros_like(h), []
+            for t in range(len(y) - 1, -1, -1):
+                prev, z, r, c, gn = trace[t]
+                dh = dh + dhs[t]
+                dc = dh * (1 - z) * (1 - c * c)
+                dz = dh * (prev - c) * z * (1 - z)
+                dr = dc * gn * r * (1 - r)
+                das.append(np.concatenate([dz, dr, dc], 1))
+                dg = np.concatenate([dz, dr, dc * r], 1)
+                g["u"] += prev.T @ dg
+                dh = np.where(new[t][:, None], 0, dh * z + dg @ w["u"].T).astype(np.float32)
+            hot = np.zeros((x.size, len(w["x"])), np.float32)
+            hot[np.arange(x.size), x.ravel()] = 1
+            g["x"] = hot.T @ np.concatenate(das[::-1])
+            self.turn += 1
+            size = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
+            for k in w:
+                q = g[k] * np.float32(min(1.0, 1.0 / max(size, 1e-9)))
+                m[k] = 0.9 * m[k] + 0.1 * q
+                v2[k] = 0.999 * v2[k] + 0.001 * q * q
+                w[k] -= rate * (m[k] / (1 - 0.9**self.turn)) / (np.sqrt(v2[k] / (1 - 0.999**self.turn)) + 1e-8)
+
+    def score(self, seqs: list[np.ndarray], window: int = 64, index: list[np.ndarray] | None = None) -> np.ndarray:
+        """Natural log probability of each whole class sequence, and of the own words of ``index`` in it; many run side by side."""
         lens = np.array([len(s) for s in seqs])
         out = np.zeros(len(seqs))
         if not len(seqs):
@@ -253,13 +358,15 @@ class Gru:
             line[k].append(i)
             load[k] += lens[i]
         total, start = int(load.max()), len(self.w["x"]) - 1
-        y = np.zeros((total, lanes), np.uint8)
+        y, word = np.zeros((total, lanes), np.uint8), np.zeros((total, lanes) if index else (0, 0), SEQ)
         owner = np.full((total, lanes), -1, np.int32)
         new = np.zeros((total, lanes), bool)
         for k, own in enumerate(line):
             at = 0
             for i in own:
                 y[at : at + lens[i], k], owner[at : at + lens[i], k], new[at, k] = seqs[i], i, True
+                if index:
+                    word[at : at + lens[i], k] = index[i]
                 at += lens[i]
         h, last = np.zeros((lanes, self.h), np.float32), np.full(lanes, start)
         for t0 in range(0, total, window):
@@ -273,6 +380,8 @@ class Gru:
             who = owner[t0 : t0 + len(hs)].ravel()
             lp = self.log_probs(hs.reshape(-1, self.h), y[t0 : t0 + len(hs)].ravel())
             real = who >= 0
+            if index:
+                lp[real] += self.inside(hs.reshape(-1, self.h)[real], word[t0 : t0 + len(hs)].ravel()[real])
             out += np.bincount(who[real], weights=lp[real], minlength=len(seqs))
         return out
 
@@ -283,8 +392,30 @@ def _streams(seqs: list[np.ndarray], lanes: int, rng: np.random.Generator) -> tu
     new = np.zeros(len(flat), bool)
     new[np.cumsum([0, *[len(seqs[i]) for i in order[:-1]]])] = True
     lanes = max(1, min(lanes, len(flat) // 8))
-    n = len(flat) // lanes
-    return flat[: n * lanes].reshape(lanes, n).T.copy(), new[: n * lanes].reshape(lanes, n).T.copy()
+    n = -(-len(flat) // lanes)
+    # The last lane is filled up from the beginning, so that no token is left out.
+    return np.resize(flat, (lanes, n)).T.copy(), np.resize(new, (lanes, n)).T.copy()
+
+
+def _learned(gru: Gru, p: LmParams, rate: float):
+    """A task's weights after its documents, and how many tokens these have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng([p.seed, TaskContext.get().partitionId()])
+        held, size, total = [], 0, 0
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                held.append(np.frombuffer(x, SEQ))
+                size += len(held[-1])
+                if size > p.chunk:
+                    gru.learn(*_streams(held, p.lanes, rng), p, rate)
+                    held, size, total = [], 0, total + size
+        if held:
+            gru.learn(*_streams(held, p.lanes, rng), p, rate)
+        if total + size:
+            yield _blocks(gru.flat(), total + size)
+
+    return run
 
 
 @dataclass
@@ -292,7 +423,8 @@ class LanguageModel:
     gru: Gru
     head: Head
     class_of: np.ndarray  # of own indices, forms and the end
-    log_z: np.ndarray  # log10 of each class's weight
+    log_z: np.ndarray  # log10 of each form class's weight
+    learned_tokens: int  # that the recurrent weights were fitted on
     train_tokens: int
     vocabulary: int
     params: LmParams
@@ -301,7 +433,7 @@ class LanguageModel:
 def _scored(model: LanguageModel):
     p, head = model.params, model.head
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logc", pa.float64()), ("part", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
-    end_hash, end = np.array([END]), p.clusters + FORMS
+    end_hash = np.array([END])
     end_count = max(0, int(head.look(end_hash)[0][0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +441,7 @@ def _scored(model: LanguageModel):
         held, seqs, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            lp = model.gru.score(seqs) / np.log(10)
+            lp = model.gru.score([model.class_of[x].astype(np.uint8) for x in seqs], index=seqs) / np.log(10)
             cols = list(zip(*held))
             cols[6] = tuple(np.array(cols[6]) + lp)
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -323,15 +455,15 @@ def _scored(model: LanguageModel):
             cls = model.class_of[index]
             known = n >= 0
             logc = np.where(known, np.log10(np.where(known, n, 0) + (1.0)), 0.0)
-            # Own words weigh their count, words of a form class their count plus one.
-            inner = np.where(own >= 0, np.log10(np.maximum(n, 1)), logc) - model.log_z[cls]
+            # Own words have their softmax; words of a form class weigh their count plus one.
+            inner = np.where(own >= 0, 0.0, logc - model.log_z[cls])
             at = np.concatenate([[0], np.cumsum(lens)])
             for i, (doc_id, out) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
                 s = seq[at[i] : at[i + 1]]
                 far = s[~known[s]]
                 rare, times = np.unique(h[far], return_counts=True)
                 held.append((row, doc_id, out, len(s) + 1, int(known[s].sum()) + (end_count > 0), float(logc[s].sum() + np.log10(end_count + 1)), float(inner[s].sum()), rare.view(np.int64), times.astype(np.int32)))
-                seqs.append(np.append(cls[s], end).astype(np.uint8))
+                seqs.append(np.append(index[s], p.classed + FORMS).astype(SEQ))
                 row += 1
             size += len(seq)
             if size > 6_000_000:
@@ -360,18 +492,23 @@ def train(docs: DataFrame, s: Scratch, p: LmParams) -> tuple[LanguageModel, Data
     sums = {r["form"]: r for r in counts.groupBy("form").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     total, vocabulary = (sum(r[k] for r in sums.values()) for k in ("n", "v"))
     n_docs = sums[-1]["n"] if -1 in sums else 0
-    u = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 24)) / float(1 << 24)
-    part = docs.filter(u < min(1.0, p.sample / max(1, n_docs))).select("text")
-    seqs = [np.frombuffer(r["seq"], "<i4") for r in part.mapInArrow(_samples(head, p.classed), "seq binary").limit(4 * p.sample).collect()]
+    seqs = s.keep(docs.select("text").mapInArrow(_sequences(head, p), "turn int, seq binary"), "sequences")
     present = min(p.classed, len(head.word))
-    class_of = cluster_words(seqs, p, present)
-    gru = Gru(p)
-    if seqs:
-        gru.learn(*_streams([class_of[x] for x in seqs], p.lanes, np.random.default_rng(p.seed)), p)
-    # Weight of each class: counts of its own words; of a form class counts plus one each, one more for the unseen.
+    class_of = cluster_words(_added(seqs.select("seq").mapInArrow(_neighbours(p), _PARTS))[0], p, present)
+    gru, learned = Gru(p), 0
+    own_n = np.zeros(present, np.int64)
+    own_n[head.own[head.own >= 0]] = head.n[head.own >= 0]
+    gru.set_words(class_of, own_n, p)
+    for k in range(p.rounds):
+        parts = seqs.filter(F.col("turn") == k).select("seq").mapInArrow(_learned(gru, p, p.rate * 0.7**k), _PARTS)
+        cells, n_tokens = _added(parts)
+        if n_tokens:
+            gru.load(cells / n_tokens)
+            learned += n_tokens
+    s.drop(seqs)
+    # Weight of each form class: counts plus one each, one more for the unseen.
     z = np.zeros(p.classes)
     own = head.own >= 0
-    np.add.at(z, class_of[head.own[own]], head.n[own])
     own_words = s.spark.createDataFrame([(int(x),) for x in head.word[own].view(np.int64)], "word long")  # `classed` rows at most
     rest = counts.join(F.broadcast(own_words), "word", "left_anti").filter("form >= 0").groupBy("form").agg((F.sum("n") + F.count(F.lit(1))).alias("z"))
     z[p.clusters : p.clusters + FORMS] = 1
@@ -380,7 +517,7 @@ def train(docs: DataFrame, s: Scratch, p: LmParams) -> tuple[LanguageModel, Data
     z[-1] = 1
     head_all = Head(word, n, 0)
     head_all.own[np.searchsorted(head_all.word, head.word)] = head.own
-    model = LanguageModel(gru, head_all, class_of, np.log10(np.maximum(z, 1)), int(total or 0), int(vocabulary or 0), p)
+    model = LanguageModel(gru, head_all, class_of, np.log10(np.maximum(z, 1)), learned, int(total or 0), int(vocabulary or 0), p)
     return model, counts.select("word", "n")
 
 

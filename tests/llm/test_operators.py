@@ -254,6 +254,32 @@ def test_lm_state_is_carried():
         assert abs(total - x) < 1e-3
 
 
+def test_lm_learns_from_all_rows(spark, docs, empty):
+    s, p = Scratch(spark, "t"), lmscore.LmParams(head=200, classed=100, clusters=8, chunk=3000)
+    one = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    # More rows than any sample of documents held.
+    model, _ = lmscore.train(one.union(spark.range(9000).selectExpr("id", "cast('many small rows' as binary)")), s, p)
+    assert model.learned_tokens == model.train_tokens > 36_000
+    assert lmscore.train(one.limit(0), s, p)[0].learned_tokens == 0
+
+
+def test_lm_words_of_a_class_follow_the_state():
+    p = lmscore.LmParams(classed=6, clusters=2, hidden=4, lanes=4, window=8)
+    g, r = lmscore.Gru(p), np.random.default_rng(0)
+    g.set_words(np.array([0, 0, 0, 0, 1, 1, *(2 + np.arange(lmscore.FORMS + 1))]), np.array([5, 4, 3, 2, 2, 1]), p)
+    # 4 calls for 0 and 6, a form, for 1; both answers are of class 0.
+    seq = np.concatenate([[4, 0] if r.random() < 0.5 else [6, 1] for _ in range(3000)]).astype(lmscore.SEQ)
+    static = g.score([g.class_of[seq].astype(np.uint8)], index=[seq])[0]
+    for _ in range(4):
+        g.learn(*lmscore._streams([seq], p.lanes, r), p, 0.02)
+    hs = r.normal(0, 1, (3, 4)).astype(np.float32)
+    total = sum(np.exp(g.inside(hs, np.full(3, w))) for w in range(4))
+    assert np.allclose(total, 1, atol=1e-5) and (g.inside(hs, np.full(3, 9)) == 0).all()
+    plain = g.score([g.class_of[seq].astype(np.uint8)])[0]
+    both = g.score([g.class_of[seq].astype(np.uint8)], index=[seq])[0]
+    assert both > static and (plain - both) / 3000 < 0.2  # counts alone: 0.69 and more a word of class 0
+
+
 def test_warc(spark):
     big = "<p>" + "x" * 1500
     rows = [(1, "http://a/ b\r\nX: y", big, 1), (2, None, big, 1), (9, "http://c", big, 1), (3, "u", "ü" * 10, 1), (4, "u", "ü" * 10, 1), (5, "u", None, 1), (None, "n", big, 1)]
