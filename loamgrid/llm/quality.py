@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency, with DataFrame operations only.
 
 Rules on one document (counts over its whole text) come first. Then every line of a document is
-normalised and hashed, and per host the distinct documents that hold it are counted; documents with
-one and the same text count once, since copies are not boilerplate. A line above both limits (an
+normalised and hashed, and per host the distinct documents that hold it are counted, those that fail
+the rules included; documents with one and the same text count once, since copies are not boilerplate. A line above both limits (an
 absolute number and a share of the host's documents) is removed wherever the host has it, and a
 document that keeps too small a share of its words is rejected.
 
@@ -100,7 +100,7 @@ def judge(docs: DataFrame, s: Scratch, host: str = "source") -> DataFrame:
     line = lambda x: F.struct(_line_key(x).alias("line"), F.regexp_count(x, F.lit(_WORD)).alias("w"))
     facts = measures(row).withColumn("content", content).withColumn("lines", F.transform(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(_WORD)), line)).drop("text")
     facts = s.keep(facts, "facts")
-    flat = facts.filter("not base_failed").select("host", "content", F.explode("lines").alias("x")).select("host", "content", "x.line", "x.w")
+    flat = facts.select("host", "content", F.explode("lines").alias("x")).select("host", "content", "x.line", "x.w")
     per_text = flat.groupBy("host", "content", "line").agg(F.sum("w").alias("w"))
     per_text = s.keep(per_text, "lines")
     bad = s.keep(frequent_lines(per_text), "frequent")

@@ -132,6 +132,17 @@ def test_frequent_lines_go(spark):
     assert quality.clean_documents(copies).count() == 50
 
 
+def test_lines_of_rejected_documents_count(spark):
+    r = random.Random(5)
+    line = "all rights reserved"
+    rows = [(i, f"{word(r)} {i}x\n{line}", "h") for i in range(30)] + [(30 + i, " ".join(word(r) for _ in range(40)) + "\n" + line, "h") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x.doc_id: x for x in quality.quality_rules(docs).collect()}
+    assert all(got[i].base_failed and not got[i].kept for i in range(30))
+    assert all(got[i].kept and got[i].words_lost == 3 for i in range(30, 35))  # the line is in 35 documents, in 5 that pass
+    assert not any(line in x.text for x in quality.clean_documents(docs).collect())
+
+
 def test_repeated_spans(docs, rows, empty, spark):
     got = suffixdup.repeated_spans(docs).collect()
     text = {r[0]: r[1] for r in rows if r[0] is not None}
