@@ -15,7 +15,7 @@ of its ids are null; an empty table gives an empty result; extra columns are ign
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamgrid.plans.session import Scratch
@@ -67,10 +67,23 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", fan_in: int = 8, l
 
 
 def keep_one(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """The rows of ``docs`` whose document stays; of repeated rows with one id, one."""
-    kept = exact_duplicates(docs, keep).filter("kept").select(F.col("doc_id").alias("_id")).distinct().hint("merge")
-    # `<=>` so that rows without an id stay.
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """One row of each text: of the winning id, and of its repeated rows the one with the smallest hash of the row.
+
+    A row without an id stays only where no row of its text has one.
+    """
+    s = Scratch(docs.sparkSession, "exactdup")
+    groups = s.finish(merge_runs(s.keep(digest_rows(docs), "digests"), s, keep=keep), "groups")
+    groups = groups.select(F.col("keep_id").alias("_id"), *[F.col(k).alias(f"_{k}") for k in _KEY]).hint("merge")
+    t, own = F.col("_t"), [f"_own_{k}" for k in ("id", *_KEY)]
+    rows = docs.withColumn("_t", normalised(F.col("text"))).withColumns(
+        dict(zip(own, (F.col("doc_id").cast("long"), F.unhex(F.sha2(t, 256)), F.octet_length(t), F.xxhash64(t))))
+    ).drop("_t")
+    same = rows[own[0]].eqNullSafe(groups["_id"])
+    for k in _KEY:
+        same = same & (rows[f"_own_{k}"] == groups[f"_{k}"])
+    # Only rows with one id and one text are left to choose from; Spark ranks them in each task before the shuffle.
+    first = Window.partitionBy(*own).orderBy(F.xxhash64(*docs.columns))
+    return rows.join(groups, same, "left_semi").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(docs.columns)
 
 
 def op7_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

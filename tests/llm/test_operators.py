@@ -68,6 +68,14 @@ def test_exact_duplicates(docs, rows, empty):
     assert kept.select("doc_id").distinct().count() == len({v for v in best.values() if v is not None}) and kept.columns == docs.columns
 
 
+def test_keep_one_keeps_one_row(spark, docs, rows):
+    lower = lambda t: (t or "").translate(str.maketrans(exactdup._UPPER, exactdup._LOWER))
+    assert exactdup.keep_one(docs).count() == len({lower(r[1]) for r in rows})
+    few = [(1, "a"), (1, "a"), (1, "A"), (None, "a"), (None, "b"), (None, "b"), (7, "c"), (7, "d"), (8, "d")]
+    got = exactdup.keep_one(spark.createDataFrame(few, "doc_id long, text string")).collect()
+    assert Counter((g.doc_id, g.text.lower()) for g in got) == Counter([(1, "a"), (None, "b"), (7, "c"), (8, "d")])
+
+
 def test_near_duplicates(docs, rows, empty):
     for width in (4, 5):
         got = {g.doc_id: g for g in neardup.near_duplicates(docs, neardup.SketchParams(width=width)).collect() if g.doc_id is not None}
