@@ -108,3 +108,24 @@ def test_deltas_hold_back_the_sentinel():
 def test_token_bucket_stream_equals_batch(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id as key", "event_id as id", "cast(unix_micros(cast(ts as timestamp)) / 1000000 as double) as at")
     assert cells(queries_documents.Q["t3_token_bucket"](spark, SF).toPandas()) == cells(ops.token_bucket_batch(events, 0.02).toPandas())
+
+
+def test_fuzzy_quotes_reach_the_end():
+    import random
+    from difflib import SequenceMatcher
+
+    from loamgrid.operators.answers import find_span
+
+    r = random.Random(1)
+    text = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for off in range(40, 60):
+        content = text(off + 40)
+        quote = content[off : off + 10] + "0" + content[off + 11 : off + 28] + "1" + content[off + 29 :]  # two edits
+        starts = range(0, max(1, len(content) - 20), 10)
+        best = max(starts, key=lambda s: SequenceMatcher(None, content[s : s + 50], quote, autojunk=False).ratio())
+        assert SequenceMatcher(None, content[best : best + 50], quote, autojunk=False).ratio() >= 0.75
+        start, end, method = find_span(quote, content)
+        assert method == "fuzzy" and best <= start <= off + 10 and end == len(content)
+    # The edited first and last characters belong to the span.
+    content = text(30) + "27 days are left of the notice period X9" + text(30)
+    assert find_span("34 days are left of the notice period 55", content) == (30, 70, "fuzzy")
