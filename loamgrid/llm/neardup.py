@@ -7,28 +7,33 @@ of a union is the larger register at each place. The exponential values of one s
 Poisson process whose points fall on registers at random, so that a shingle is followed only while
 its points can still lower a register.
 
-* Equal sets form one class first (one representative goes on), whatever their number.
+* Equal sets form one class first (one representative goes on), whatever their number. Sets are
+  equal if the SHA-256 values of all their sorted shingles are.
 * Classes that share a band of registers are candidates. Every class is first compared with the
-  smallest ids of its band buckets; what is thereby connected is one component. After that only pairs
-  of *different* components of a bucket are compared, and of these only those that share one of
-  their rarest shingles (an exact prefix bound), so neither many copies nor many documents around
-  one common passage cost a square.
+  most central members of its band buckets, those whose buckets are largest together: of many
+  edited copies of one text these are the copies with the fewest edits, so they reach what can be
+  reached at all. What is thereby connected is one component. After that only pairs of *different*
+  components are compared, and of these only those that share one of their rarest shingles and can
+  still reach the threshold with what follows it (exact prefix and position bounds), so neither many
+  copies nor many documents around one common passage cost a square.
 * A candidate's similarity is estimated from the three counts of larger, smaller and equal
   registers by maximum likelihood; unlikely pairs go. The rest are confirmed on the full sets.
 
-Defined results: null or blank text has the empty set and no links; repeated rows and equal ids are
-returned as often as they occur; a null id is its own, unlinked, kept row; an empty table gives an
+Defined results: null or blank text has the empty set and no links; every row is a document of its
+own, also where an id repeats (with the same text or another), and the smallest id reachable from
+any of its rows is the component; a null id is its own, unlinked, kept row; an empty table gives an
 empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamgrid.llm import tokens
@@ -120,13 +125,9 @@ def _sketches(p: SketchParams):
         for part, texts in tokens.chunks(batches):
             sets = tokens.shingle_sets(texts, p.width)
             k = registers(sets, p)
-            with np.errstate(over="ignore"):
-                a = np.array([np.sum(s, dtype=np.uint64) for s in sets], dtype=np.uint64)
-                b = np.array([np.sum(tokens.mix(s + _U(1)), dtype=np.uint64) for s in sets], dtype=np.uint64)
-            yield pa.record_batch(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), tokens.signed(a), tokens.signed(b), pa.array([r.tobytes() for r in k], pa.binary())],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
-            )
+            size, digest = [len(x) for x in sets], [hashlib.sha256(x.tobytes()).digest() for x in sets]
+            cols = [pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in k], pa.binary())]
+            yield pa.record_batch([part.column(0), part.column(1), *cols], names=["doc_id", "text_key", "n_shingles", "digest", "sketch"])
 
     return run
 
@@ -196,37 +197,45 @@ def near_duplicates(docs: DataFrame, params: SketchParams = SketchParams(), id_c
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     p, spark = params, docs.sparkSession
     s = Scratch(spark, "neardup")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    base = s.keep(source.mapInArrow(_sketches(p), "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"), "sketches")
+    text = F.col(text_col).cast("binary")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    base = s.keep(source.mapInArrow(_sketches(p), "doc_id long, text_key long, n_shingles long, digest binary, sketch binary"), "sketches")
 
-    # One class for each distinct set.
+    # One class for each distinct set. Its vertex is its smallest id; where that id repeats with other sets, a hash.
     filled = base.filter("n_shingles > 0 and doc_id is not null")
-    classes = s.keep(filled.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id")), "classes")
-    reps = s.keep(
-        filled.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "representatives"
-    )
-
-    # Buckets that hold two classes or more.
-    bands = s.keep(reps.mapInArrow(_bands(p), "bucket long, id long, n long"), "bands")
-    hubs = bands.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
-    members = s.keep(bands.join(hubs, "bucket"), "members")
+    classes = filled.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("class_id"))
+    nth = F.row_number().over(Window.partitionBy("class_id").orderBy("digest"))
+    vertex = F.when(nth == 1, F.col("class_id")).otherwise(F.xxhash64("digest"))
+    classes = s.keep(classes.withColumn("vertex", vertex), "classes")
+    rows = filled.join(classes.drop("n_shingles"), "digest").filter("doc_id = class_id").dropDuplicates(["vertex"])
+    reps = s.keep(rows.select(F.col("vertex").alias("id"), "doc_id", "text_key", F.col("n_shingles").alias("n"), "sketch"), "representatives")
+
+    # Buckets that hold two classes or more, and the most central member of each.
+    bands = s.keep(reps.select("id", "n", "sketch").mapInArrow(_bands(p), "bucket long, id long, n long"), "bands")
+    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    members = s.keep(bands.join(sizes, "bucket"), "members")
     s.drop(bands)
+    central = members.groupBy("id").agg(F.sum("c").alias("degree"))
+    hubs = members.join(central, "id").groupBy("bucket").agg(F.max(F.struct("degree", "id", "n")).alias("h")).select("bucket", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
 
-    wanted = members.select("id").distinct().hint("merge")  # whatever its size, so that plans stay alike
-    texts = source.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    sets = s.keep(texts.mapInArrow(_sets(p.width), "id long, shingles binary"), "sets", codec="none")
+    wanted = reps.join(members.select("id").distinct(), "id").select("id", "doc_id", "text_key").hint("merge")  # whatever its size, so that plans stay alike
+    texts = source.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["id"])
+    sets = s.keep(texts.select("id", "text").mapInArrow(_sets(p.width), "id long, shingles binary"), "sets", codec="none")
 
-    first = _verified(s, _stars(members, p), reps, sets, p)
+    first = _verified(s, _stars(members.join(hubs, "bucket"), p), reps, sets, p)
     label = connected_components(first, s)
     placed = members.join(label.withColumnRenamed("vertex", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     second = _verified(s, _across(s, placed, sets, p), reps, sets, p)
     label = connected_components(first.unionByName(second), s)
 
+    ids = classes.join(label, "vertex").select("vertex", "component", "class_id")
+    smallest = ids.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    linked = s.keep(ids.join(smallest, "component").select("vertex", "component_id"), "components")
+    named = classes.join(linked, "vertex", "left").select("digest", F.coalesce("component_id", "class_id").alias("component_id"))
     out = (
-        base.select("doc_id", "n_shingles", "set_a", "set_b")
-        .join(classes, ["n_shingles", "set_a", "set_b"], "left")
-        .join(label.withColumnRenamed("vertex", "class_id"), "class_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+        base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+        .join(named, "digest", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
     return s.finish(out)
@@ -244,8 +253,9 @@ def _stars(members: DataFrame, p: SketchParams) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, key: str) -> DataFrame:
-    """Keys whose rows belong to two components or more, with one of these."""
-    return rows.groupBy(key).agg(F.min("component").alias("main"), F.max("component").alias("top")).filter("main <> top").select(key, "main")
+    """Keys whose rows belong to two components or more, with the one that has most of them."""
+    each = rows.groupBy(key, "component").agg(F.count(F.lit(1)).alias("c"))
+    return each.groupBy(key).agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1").select(key, F.col("top.component").alias("main"))
 
 
 def _across(s: Scratch, placed: DataFrame, sets: DataFrame, p: SketchParams) -> DataFrame:
@@ -253,14 +263,16 @@ def _across(s: Scratch, placed: DataFrame, sets: DataFrame, p: SketchParams) ->
 
     A bucket may hold many documents that share a passage and no more; all its pairs would be a
     square. Two sets that reach the threshold share one of the (1 - t) n + 1 first elements of each
-    in any fixed order. Rarest first, what many share comes last, and such pairs never meet. The
-    register band is asked for again when the pair is estimated.
+    in any fixed order. Rarest first, what many share comes last, and such pairs never meet; and at
+    the first element they share, what is left of both bounds their intersection. Rows of the
+    component that has most of an element are met by the others only, not by each other. The register
+    band is asked for again when the pair is estimated.
     """
     pool = placed.join(_mixed(placed, "bucket").select("bucket"), "bucket").select("id", "component").distinct()
     rows = s.keep(sets.join(pool, "id").select("id", "component", "shingles").mapInArrow(_shingles, "id long, component long, n long, shingle long"), "shingles")
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     ranked = rows.join(shared, "shingle").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("e"))
-    # Elements that nobody shares come first and are left out of the list.
+    # Elements that nobody shares come first and are left out of the list. Below this size no partner reaches the threshold.
     alone = F.col("n") - F.size("e")
     room = F.floor(F.col("n") * (100 - p.threshold) / 100) + 1 - alone
     lead = ranked.filter(room > 0).select("id", "component", "n", F.size("e").alias("m"), F.posexplode(F.slice("e", F.lit(1), room.cast("int"))).alias("at", "e"))
