@@ -25,12 +25,14 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,12 +49,13 @@ END = np.uint64(0xE0D0_0000_0000_0001)
 @dataclass(frozen=True)
 class LmParams:
     head: int = 131_072  # words whose counts travel to the tasks
-    classed: int = 4096  # words with a class of their own kind, 65,000 at most
-    clusters: int = 48
-    hidden: int = 32
+    classed: int = 1024  # words with a class of their own kind, 65,000 at most
+    clusters: int = 32
+    fill: float = 1.5  # most words of a class, as a multiple of the mean
+    hidden: int = 24
     rounds: int = 4  # averages of the weights; each takes its share of the training documents
-    lanes: int = 128
-    window: int = 32  # steps of truncated backpropagation
+    lanes: int = 512
+    window: int = 16  # steps of truncated backpropagation
     chunk: int = 1_000_000  # tokens a task holds while it learns
     rate: float = 0.004
     seed: int = 5
@@ -62,10 +65,12 @@ class LmParams:
         return self.clusters + FORMS + 1  # the end is the last
 
 
-def form_of(word: bytes) -> int:
-    """What a word looks like, from 0 to 7: final punctuation, other alphabets, digits or signs."""
-    core = word.rstrip(b".,!?;:")
-    return (len(core) < len(word)) + 2 * (not word.isascii()) + 4 * (not core.decode("utf-8", "replace").isalpha())
+def forms_of(words: list[bytes]) -> np.ndarray:
+    """What each word looks like, from 0 to 7: final punctuation, other alphabets, digits or signs."""
+    w = pa.array(words, pa.binary()).cast(pa.string())
+    core = pc.utf8_rtrim(w, ".,!?;:")
+    marks = [pc.less(pc.binary_length(core), pc.binary_length(w)), pc.invert(pc.string_is_ascii(w)), pc.invert(pc.utf8_is_alpha(core))]
+    return sum(m.to_numpy(zero_copy_only=False).astype(np.int64) << i for i, m in enumerate(marks))
 
 
 def _hash(words: list[bytes]) -> np.ndarray:
@@ -88,7 +93,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c.update(tokens.words_of(t))
         docs += len(texts)
         words = list(c)
-        held.append((_hash(words), np.array([form_of(w) for w in words], np.int32), np.array(list(c.values()), np.int64)))
+        held.append((_hash(words), forms_of(words).astype(np.int32), np.array(list(c.values()), np.int64)))
         size += len(words)
         if size > 1_000_000:
             yield flush()
@@ -120,13 +125,13 @@ class Head:
 
 def _indexed(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words, each token's place among them, and how many tokens each text has."""
-    known: dict[bytes, int] = {}
+    known: defaultdict[bytes, int] = defaultdict(count().__next__)
     seq, lens = [], []
     for t in texts:
         ws = tokens.words_of(t)
         lens.append(len(ws))
-        seq += [known.setdefault(w, len(known)) for w in ws]
-    return list(known), np.array(seq, np.int64), np.array(lens, np.int64)
+        seq.append(np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)))
+    return list(known), np.concatenate(seq), np.array(lens, np.int64)
 
 
 SEQ = np.dtype("<u2")
@@ -140,7 +145,7 @@ def _sequences(head: Head, p: LmParams):
         for part, texts in tokens.chunks(batches):
             words, seq, lens = _indexed(texts)
             _, own = head.look(_hash(words))
-            index = np.where(own >= 0, own, p.classed + np.array([form_of(w) for w in words], np.int32)).astype(SEQ) if words else np.zeros(0, SEQ)
+            index = np.where(own >= 0, own, p.classed + forms_of(words)).astype(SEQ)
             parts = [np.append(x, p.classed + FORMS).astype(SEQ).tobytes() for x in np.split(index[seq], np.cumsum(lens)[:-1])]
             turn = (at + np.arange(len(parts))) % p.rounds
             at += len(parts)
@@ -189,22 +194,45 @@ def _neighbours(p: LmParams):
     size = len(context)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, some = np.zeros(size * 2 * width, np.int64), False
+        table = np.zeros(size * 2 * width, np.int64)
         for batch in batches:
-            some = True
             for s in (np.frombuffer(x, SEQ).astype(np.int64) for x in batch.column(0).to_pylist()):
                 left, right = s[1:] * (2 * width) + context[s[:-1]], s[:-1] * (2 * width) + width + context[s[1:]]
                 np.add.at(table, np.concatenate([left, right]), 1)
-        if some:
-            yield _blocks(table, 1)
+        cell = np.flatnonzero(table)
+        yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(table[cell])], names=["cell", "n"])
 
     return run
 
 
-def cluster_words(table: np.ndarray | None, p: LmParams, present: int) -> np.ndarray:
+def _neighbour_table(seqs: DataFrame, p: LmParams) -> np.ndarray:
+    """The table of all tasks: Spark adds up the cells that occur, which are of a fixed number at most."""
+    cells = seqs.select("seq").mapInArrow(_neighbours(p), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros((p.classed + FORMS + 1) * 2 * _contexts(p)[1])
+    table[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.float64)
+    return table
+
+
+def _dealt(near: np.ndarray, room: float) -> np.ndarray:
+    """Class of each word: the nearest one that has room, the surest words first; so no softmax within a class is long."""
+    room = int(np.ceil(room))
+    out = np.full(len(near), -1, np.int64)
+    full = np.zeros(near.shape[1], bool)
+    while (left := np.flatnonzero(out < 0)).size:
+        some = np.where(full, -np.inf, near[left])
+        want, sure = some.argmax(1), some.max(1)
+        for c in np.unique(want):
+            mine = left[want == c][np.argsort(-sure[want == c], kind="stable")]
+            mine = mine[: room - int((out == c).sum())]
+            out[mine] = c
+            full[c] = (out == c).sum() >= room
+    return out
+
+
+def cluster_words(table: np.ndarray, p: LmParams, present: int) -> np.ndarray:
     """Class of each index: k-means of the frequent words on their left and right neighbours."""
     size, width = p.classed + FORMS + 1, _contexts(p)[1]
-    table = np.zeros((size, 2 * width)) if table is None else table.reshape(size, 2 * width)
+    table = table.reshape(size, 2 * width)
     x = np.sqrt(table[:present]).astype(np.float32)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     out = np.zeros(size, np.int64)
@@ -217,15 +245,11 @@ def cluster_words(table: np.ndarray | None, p: LmParams, present: int) -> np.nda
                 if (near == c).any():
                     mid[c] = x[near == c].mean(0)
             mid /= np.maximum(np.linalg.norm(mid, axis=1, keepdims=True), 1e-9)
-        out[:present] = near
+        out[:present] = _dealt(x @ mid.T, -(-p.fill * present // k))
     out[p.classed :] = p.clusters + np.arange(FORMS + 1)
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class Gru:
     """A gated recurrent unit over classes: input tables, recurrent weights, softmax over classes and within them."""
 
@@ -281,17 +305,27 @@ class Gru:
         return out
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
-        n, w = self.h, self.w
-        a, g = w["x"][x], h @ w["u"]
-        zr = _sigmoid(a[:, : 2 * n] + g[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
-        return c + z * (h - c), z, r, c, g[:, 2 * n :]
+        """For inputs ``x`` after states ``h``: new states, gates z and r side by side, candidates and their recurrent part."""
+        n, a, g = self.h, self.w["x"][x], h @ self.w["u"]
+        zr = a[:, : 2 * n]
+        zr += g[:, : 2 * n]
+        np.exp(np.negative(zr, out=zr), out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        c = a[:, 2 * n :]
+        c += zr[:, n:] * g[:, 2 * n :]
+        np.tanh(c, out=c)
+        return c + zr[:, :n] * (h - c), zr, c, g[:, 2 * n :]
 
     def log_probs(self, hs: np.ndarray, y: np.ndarray) -> np.ndarray:
-        s = hs @ self.w["o"] + self.w["b"]
-        s -= s.max(1, keepdims=True)
-        return s[np.arange(len(y)), y] - np.log(np.exp(s).sum(1))
+        out = np.empty(len(y), np.float32)
+        for i in range(0, len(y), 4096):  # as much as stays in the processor's cache
+            s = hs[i : i + 4096] @ self.w["o"]
+            s += self.w["b"]
+            s -= s.max(1, keepdims=True)
+            said = s[np.arange(len(s)), y[i : i + 4096]]
+            out[i : i + 4096] = said - np.log(np.exp(s, out=s).sum(1))
+        return out
 
     def learn(self, streams: np.ndarray, starts: np.ndarray, p: LmParams, rate: float) -> None:
         """Truncated backpropagation along ``streams`` (time by lane) of indices; ``starts`` marks new documents."""
@@ -300,42 +334,52 @@ class Gru:
             self.moments, self.turn = [{k: np.zeros_like(v) for k, v in w.items()} for _ in range(2)], 0
         m, v2 = self.moments
         classes = self.class_of[streams]
-        h = np.zeros((streams.shape[1], n), np.float32)
+        width = streams.shape[1]
+        h = np.zeros((width, n), np.float32)
         for t0 in range(0, len(streams), p.window):
             y, new = classes[t0 : t0 + p.window], starts[t0 : t0 + p.window]
-            last = classes[t0 - 1] if t0 else np.full(streams.shape[1], p.classes)
+            last = classes[t0 - 1] if t0 else np.full(width, p.classes)
             x = np.where(new, p.classes, np.vstack([last[None], y[:-1]]))
-            trace, hs = [], []
-            for t in range(len(y)):
-                h = np.where(new[t][:, None], 0, h).astype(np.float32)
-                out, *rest = self.step(x[t], h)
-                trace.append((h, *rest))
-                h = out
-                hs.append(h)
-            flat = np.concatenate(hs)
-            s = flat @ w["o"] + w["b"]
-            s = np.exp(s - s.max(1, keepdims=True))
-            s /= s.sum(1, keepdims=True)
-            s[np.arange(len(s)), y.ravel()] -= 1
-            s /= len(s)
-            g = {"x": np.zeros_like(w["x"]), "u": np.zeros_like(w["u"]), "o": flat.T @ s, "b": s.sum(0), "v": np.zeros_like(w["v"]), "c": np.zeros_like(w["c"])}
+            steps = len(y)
+            prev, hs, c, gn = (np.empty((steps, width, n), np.float32) for _ in range(4))
+            zr = np.empty((steps, width, 2 * n), np.float32)
+            for t in range(steps):
+                prev[t] = h
+                prev[t][new[t]] = 0
+                hs[t], zr[t], c[t], gn[t] = self.step(x[t], prev[t])
+                h = hs[t]
+            flat = hs.reshape(-1, n)
+            s = flat @ w["o"]
+            s += w["b"]
+            s -= s.max(1, keepdims=True)
+            np.exp(s, out=s)
+            s /= s.sum(1, keepdims=True) * np.float32(len(s))
+            s[np.arange(len(s)), y.ravel()] -= np.float32(1 / len(s))
+            g = {"o": flat.T @ s, "b": s.sum(0), "v": np.zeros_like(w["v"]), "c": np.zeros_like(w["c"])}
             dhs = s @ w["o"].T
             self.inside(flat, streams[t0 : t0 + p.window].ravel(), g, dhs)
-            dhs = dhs.reshape(len(y), -1, n)
-            dh, das = np.zeros_like(h), []
-            for t in range(len(y) - 1, -1, -1):
-                prev, z, r, c, gn = trace[t]
-                dh = dh + dhs[t]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (prev - c) * z * (1 - z)
-                dr = dc * gn * r * (1 - r)
-                das.append(np.concatenate([dz, dr, dc], 1))
-                dg = np.concatenate([dz, dr, dc * r], 1)
-                g["u"] += prev.T @ dg
-                dh = np.where(new[t][:, None], 0, dh * z + dg @ w["u"].T).astype(np.float32)
+            dhs = dhs.reshape(steps, width, n)
+            # Derivatives of the state by what goes into each gate, for all steps; then backwards in time.
+            z, r = zr[:, :, :n], zr[:, :, n:]
+            to_c = (1 - z) * (1 - c * c)
+            to_z = (prev - c) * z * (1 - z)
+            to_r = gn * r * (1 - r)
+            dg, dc = np.empty((steps, width, 3 * n), np.float32), np.empty((steps, width, n), np.float32)
+            dh, back = np.zeros((width, n), np.float32), np.ascontiguousarray(w["u"].T)
+            for t in range(steps - 1, -1, -1):
+                dh += dhs[t]
+                np.multiply(dh, to_c[t], out=dc[t])
+                np.multiply(dh, to_z[t], out=dg[t][:, :n])
+                np.multiply(dc[t], to_r[t], out=dg[t][:, n : 2 * n])
+                np.multiply(dc[t], r[t], out=dg[t][:, 2 * n :])
+                dh = dh * z[t] + dg[t] @ back
+                dh[new[t]] = 0
+            g["u"] = prev.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
+            dg[:, :, 2 * n :] = dc
             hot = np.zeros((x.size, len(w["x"])), np.float32)
             hot[np.arange(x.size), x.ravel()] = 1
-            g["x"] = hot.T @ np.concatenate(das[::-1])
+            g["x"] = hot.T @ dg.reshape(-1, 3 * n)
+            h = h.copy()
             self.turn += 1
             size = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
             for k in w:
@@ -450,8 +494,7 @@ def _scored(model: LanguageModel):
             words, seq, lens = _indexed(texts)
             h = _hash(words)
             n, own = head.look(h)
-            form = np.array([form_of(w) for w in words], np.int64) if words else np.zeros(0, np.int64)
-            index = np.where(own >= 0, own, p.classed + form)
+            index = np.where(own >= 0, own, p.classed + forms_of(words))
             cls = model.class_of[index]
             known = n >= 0
             logc = np.where(known, np.log10(np.where(known, n, 0) + (1.0)), 0.0)
@@ -494,13 +537,15 @@ def train(docs: DataFrame, s: Scratch, p: LmParams) -> tuple[LanguageModel, Data
     n_docs = sums[-1]["n"] if -1 in sums else 0
     seqs = s.keep(docs.select("text").mapInArrow(_sequences(head, p), "turn int, seq binary"), "sequences")
     present = min(p.classed, len(head.word))
-    class_of = cluster_words(_added(seqs.select("seq").mapInArrow(_neighbours(p), _PARTS))[0], p, present)
+    class_of = cluster_words(_neighbour_table(seqs, p), p, present)
     gru, learned = Gru(p), 0
     own_n = np.zeros(present, np.int64)
     own_n[head.own[head.own >= 0]] = head.n[head.own >= 0]
     gru.set_words(class_of, own_n, p)
+    # Each task sends its weights once: no more tasks than the tokens of a round fill.
+    tasks = max(1, int(total or 0) // (p.rounds * p.chunk // 2))
     for k in range(p.rounds):
-        parts = seqs.filter(F.col("turn") == k).select("seq").mapInArrow(_learned(gru, p, p.rate * 0.7**k), _PARTS)
+        parts = seqs.filter(F.col("turn") == k).select("seq").coalesce(tasks).mapInArrow(_learned(gru, p, p.rate * 0.7**k), _PARTS)
         cells, n_tokens = _added(parts)
         if n_tokens:
             gru.load(cells / n_tokens)
