@@ -1,16 +1,19 @@
 """Exact duplicates by a tree of merged digest runs, with DataFrame operations only.
 
 Each document becomes a digest row (SHA-256 of the normalised text, with its byte length and an
-independent 64-bit hash as verification). Rows are dealt to ``fan_in ** levels`` leaf runs. At each
-level ``fan_in`` neighbouring runs are merged: a run is sorted by digest, equal verified digests
-become one row, and that row keeps the winning identifier and the count. Runs of one level are
-spread over all tasks by (run, digest), so the last level is a set of digest ranges and never one
-task; a text that a third of all rows share shrinks to one row per run at the leaves, before any
-shuffle of its rows.
+independent 64-bit hash as verification). Rows are dealt to ``fan_in ** levels`` leaf runs, and equal
+digests of one run become one row before any shuffle of rows, so a text that a third of all rows
+share shrinks to one row a run. Then ``levels`` rounds follow. In each, ``fan_in`` neighbouring runs
+exchange their rows by digest range, every range is sorted by digest, neighbours are compared (digest,
+length and second hash), and of equal ones the first stays with the winning identifier and the sum
+of the counts. A run holds a digest once, so equal neighbours are ``fan_in`` at most and each round
+is one sorted pass that looks ``fan_in - 1`` rows ahead. Ranges are those of the first two bytes of
+the digest: no task holds a whole run, and the last round is spread as the first.
 
 Defined results: null text counts as empty; repeated rows count as often as they occur; among rows
 with one id the digest decides; null ids are kept rows that no group counts as its winner unless all
-of its ids are null; an empty table gives an empty result; extra columns are ignored.
+of its ids are null; an empty table gives an empty result; extra columns are ignored, and passed
+through by ``keep_one`` whatever their names.
 """
 
 from __future__ import annotations
@@ -36,22 +39,39 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def merge_runs(rows: DataFrame, s: Scratch, fan_in: int = 8, levels: int = 2, keep: str = "smallest") -> DataFrame:
-    """(digest, n_bytes, check, keep_id, group_size) by ``levels`` rounds of ``fan_in``-way merging."""
+def merge_runs(rows: DataFrame, s: Scratch, fan_in: int = 4, levels: int = 3, keep: str = "smallest") -> DataFrame:
+    """(digest, n_bytes, check, keep_id, group_size) by ``levels`` rounds of ``fan_in``-way merging of sorted runs."""
     best = F.min if keep == "smallest" else F.max
     run = F.pmod(F.xxhash64("doc_id"), F.lit(fan_in**levels)).cast("int")
     runs = rows.groupBy(run.alias("run"), *_KEY).agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     for level in range(levels):
-        merged = F.floor(F.col("run") / fan_in).cast("int")
-        runs = (
-            runs.withColumn("run", merged).groupBy("run", *_KEY).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
+        runs = _merged(runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")), fan_in, keep)
         if level + 1 < levels:
-            runs = s.keep(runs.sortWithinPartitions("run", "digest"), f"runs-{level}")
+            runs = s.keep(runs, f"runs-{level}")
     return runs.drop("run")
 
 
-def exact_duplicates(docs: DataFrame, keep: str = "smallest", fan_in: int = 8, levels: int = 2) -> DataFrame:
+def _merged(runs: DataFrame, fan_in: int, keep: str) -> DataFrame:
+    """One row of each digest and run, of ``fan_in`` rows at most that have both."""
+    first = F.col("keep_id").asc_nulls_last() if keep == "smallest" else F.col("keep_id").desc_nulls_last()
+    by = Window.partitionBy("run", F.substring("digest", 1, 2)).orderBy(*_KEY, first)
+
+    def same(shift) -> Column:
+        out = shift("digest") == F.col("digest")
+        for k in _KEY[1:]:
+            out = out & (shift(k) == F.col(k))
+        return F.coalesce(out, F.lit(False))
+
+    size = F.col("group_size")
+    for i in range(1, fan_in):
+        ahead = lambda c, i=i: F.lead(c, i).over(by)
+        size = size + F.when(same(ahead), ahead("group_size")).otherwise(F.lit(0))
+    follows = same(lambda c: F.lag(c, 1).over(by))
+    out = runs.select("run", *_KEY, "keep_id", size.alias("group_size"), follows.alias("follows"))
+    return out.filter("not follows").drop("follows")
+
+
+def exact_duplicates(docs: DataFrame, keep: str = "smallest", fan_in: int = 4, levels: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     s = Scratch(docs.sparkSession, "exactdup")
     rows = s.keep(digest_rows(docs), "digests")
@@ -73,17 +93,17 @@ def keep_one(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """
     s = Scratch(docs.sparkSession, "exactdup")
     groups = s.finish(merge_runs(s.keep(digest_rows(docs), "digests"), s, keep=keep), "groups")
-    groups = groups.select(F.col("keep_id").alias("_id"), *[F.col(k).alias(f"_{k}") for k in _KEY]).hint("merge")
-    t, own = F.col("_t"), [f"_own_{k}" for k in ("id", *_KEY)]
-    rows = docs.withColumn("_t", normalised(F.col("text"))).withColumns(
-        dict(zip(own, (F.col("doc_id").cast("long"), F.unhex(F.sha2(t, 256)), F.octet_length(t), F.xxhash64(t))))
-    ).drop("_t")
-    same = rows[own[0]].eqNullSafe(groups["_id"])
+    groups = groups.select(F.col("keep_id").alias("won"), *[F.col(k).alias(f"won_{k}") for k in _KEY]).hint("merge")
+    # The whole row travels as one column, so no name of the caller's can clash.
+    rows = docs.select(F.struct("*").alias("row"))
+    t = normalised(F.col("row")["text"])
+    rows = rows.select("row", F.col("row")["doc_id"].cast("long").alias("doc_id"), F.unhex(F.sha2(t, 256)).alias("digest"), F.octet_length(t).alias("n_bytes"), F.xxhash64(t).alias("check"))
+    same = F.col("doc_id").eqNullSafe(F.col("won"))
     for k in _KEY:
-        same = same & (rows[f"_own_{k}"] == groups[f"_{k}"])
+        same = same & (F.col(k) == F.col(f"won_{k}"))
     # Only rows with one id and one text are left to choose from; Spark ranks them in each task before the shuffle.
-    first = Window.partitionBy(*own).orderBy(F.xxhash64(*docs.columns))
-    return rows.join(groups, same, "left_semi").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(docs.columns)
+    first = Window.partitionBy("doc_id", *_KEY).orderBy(F.xxhash64("row"))
+    return rows.join(groups, same, "left_semi").withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row.*")
 
 
 def op7_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
