@@ -2,14 +2,20 @@
 
 Rules on one document (counts over its whole text) come first. Then every line of a document is
 normalised and hashed, and per host the distinct documents that hold it are counted, those that fail
-the rules included; documents with one and the same text count once, since copies are not boilerplate. A line above both limits (an
-absolute number and a share of the host's documents) is removed wherever the host has it, and a
+the rules included. A line is removed wherever the host has it if its documents are above both limits
+(an absolute number and a share of the host's documents) and have ``MIN_TEXTS`` different texts or
+more: what stands in copies of a few texts only is no boilerplate but a matter of deduplication. A
 document that keeps too small a share of its words is rejected.
 
+Lines are compared without case, without space at their ends, with other space as one blank and with
+every run of digits as one 0; so lines that differ only in numbers are one line. A document loses 20
+times the mean number of lines of its host's documents at most, since each is in a twentieth of them.
+
 Words are runs of characters other than 0x20 and 0x09-0x0D. Defined results: null text has no words
-and fails; a null host is a host of its own; repeated rows are judged alike; an empty table gives an
-empty result; extra columns pass through ``clean_documents`` and are ignored otherwise. Row identity
-is (doc_id, text): rows that share both share one verdict.
+and fails; a null host is a host of its own; repeated rows are judged alike and count once; an empty
+table gives an empty result; extra columns pass through ``clean_documents`` whatever their names and
+are ignored otherwise. Row identity is (doc_id, text): rows that share both share one verdict, and
+rows that share an id only are two documents.
 """
 
 from __future__ import annotations
@@ -25,11 +31,13 @@ _SYMBOL = r"[#*$%&|<>]"
 MIN_WORDS, WINDOW, MAX_REPEAT = 10, 5, 20
 #: A line is boilerplate in more documents of a host than both; a document with fewer of its words left is depleted.
 MIN_DOCS, MIN_SHARE, MIN_LEFT = 20, 0.05, 0.3
+#: Different texts among these documents.
+MIN_TEXTS = 5
 
 
 def _line_key(line: Column) -> Column:
     """Hash of a line without case, digits and surrounding or repeated space."""
-    return F.xxhash64(F.regexp_replace(F.regexp_replace(F.trim(F.lower(line)), r"[0-9]+", "0"), _SPACE, " "))
+    return F.xxhash64(F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+", "0"), _SPACE, " ")))
 
 
 def _repeat_words(words: Column, n: Column) -> Column:
@@ -85,27 +93,29 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, line) above the limits, of rows (host, line, content); each content counts once a line."""
-    seen = lines.select("host", "line", "content").distinct()
-    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs)
-    hosts = lines.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    return counts.join(hosts, counts["host"].eqNullSafe(hosts["host"])).filter(F.col("n") > F.col("docs") * min_share).select(counts["host"], "line")
+def frequent_lines(lines: DataFrame, facts: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """(host, line) above the limits, of distinct rows (host, line, doc_id, content)."""
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("content").alias("texts")).filter((F.col("n") > min_docs) & (F.col("texts") >= min_texts))
+    hosts = facts.select("host", "doc_id", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    return counts.join(hosts, "host").filter(F.col("n") > F.col("docs") * min_share).select("host", "line")
+
+
+def _content(text: Column) -> Column:
+    t = F.coalesce(text, F.lit(""))
+    return F.xxhash64(t, F.octet_length(t))
 
 
 def judge(docs: DataFrame, s: Scratch, host: str = "source") -> DataFrame:
     """One row per row of ``docs`` with its measures and verdict, and the hashes of the lines it loses."""
-    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("host"))
-    content = F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length(F.coalesce("text", F.lit(""))))
+    name = F.col(host).cast("string")
+    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(name.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), name)).alias("host"))
     line = lambda x: F.struct(_line_key(x).alias("line"), F.regexp_count(x, F.lit(_WORD)).alias("w"))
-    facts = measures(row).withColumn("content", content).withColumn("lines", F.transform(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(_WORD)), line)).drop("text")
+    facts = measures(row).withColumn("content", _content(F.col("text"))).withColumn("lines", F.transform(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(_WORD)), line)).drop("text")
     facts = s.keep(facts, "facts")
-    flat = facts.select("host", "content", F.explode("lines").alias("x")).select("host", "content", "x.line", "x.w")
-    per_text = flat.groupBy("host", "content", "line").agg(F.sum("w").alias("w"))
-    per_text = s.keep(per_text, "lines")
-    bad = s.keep(frequent_lines(per_text), "frequent")
-    lost = per_text.join(bad, ["host", "line"]).groupBy("host", "content").agg(F.collect_list("line").alias("lost_lines"), F.countDistinct("line").alias("n_lost"))
-    # A text may occur often; its words are those of one occurrence.
+    flat = facts.select("host", "doc_id", "content", F.explode(F.array_distinct("lines.line")).alias("line"))
+    lines = s.keep(flat.distinct(), "lines")
+    bad = s.keep(frequent_lines(lines, facts), "frequent")
+    lost = lines.join(bad, ["host", "line"]).groupBy("host", "content").agg(F.collect_set("line").alias("lost_lines"))
     per_row = F.aggregate(F.filter("lines", lambda x: F.array_contains("lost_lines", x["line"])), F.lit(0).cast("long"), lambda a, x: a + x["w"])
     return (
         facts.join(lost, ["host", "content"], "left")
@@ -124,13 +134,16 @@ def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
 def clean_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents that stay, with their columns, without the lines above the limits."""
     s = Scratch(docs.sparkSession, "quality")
-    verdict = judge(docs, s, host).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "kept", F.coalesce("lost_lines", F.array().cast("array<bigint>")).alias("_lost"))
-    verdict = s.finish(verdict.filter("kept").drop("kept").dropDuplicates(["_id", "_content"]), "kept")
-    content = F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length(F.coalesce("text", F.lit(""))))
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_lost", _line_key(x))), "\n")
-    out = docs.withColumn("_c", content)
-    out = out.join(verdict, out["doc_id"].cast("long").eqNullSafe(verdict["_id"]) & (out["_c"] == verdict["_content"]))
-    return out.withColumn("text", F.when(F.size("_lost") > 0, left).otherwise(F.col("text"))).select(docs.columns)
+    verdict = judge(docs, s, host).filter("kept").select(F.col("doc_id").alias("id"), F.col("host").alias("of"), F.col("content").alias("judged"), F.coalesce("lost_lines", F.array().cast("array<bigint>")).alias("lost"))
+    verdict = s.finish(verdict.dropDuplicates(["id", "of", "judged"]), "kept")
+    # The whole row travels as one column, so no name of the caller's can clash.
+    rows = docs.select(F.struct("*").alias("row"))
+    text, name = F.col("row")["text"], F.col("row")[host].cast("string")
+    of = F.when(name.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), name))
+    same = F.col("row")["doc_id"].cast("long").eqNullSafe(F.col("id")) & (of == F.col("of")) & (_content(text) == F.col("judged"))
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("lost", _line_key(x))), "\n")
+    out = rows.join(verdict, same).withColumn("row", F.col("row").withField("text", F.when(F.size("lost") > 0, left).otherwise(text)))
+    return out.select("row.*")
 
 
 def op6_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

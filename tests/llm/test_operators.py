@@ -355,3 +355,61 @@ def test_pipeline(spark):
         d = out
     packed = cp.run(spark, sf).toPandas()
     assert set(packed["doc_id"]) == {r.doc_id for r in d.select("doc_id").collect()}
+
+
+def test_line_keys_and_hosts(spark):
+    """Space at the ends of a line does not tell lines apart; a null host is none of the named ones."""
+    r = random.Random(8)
+    body = lambda: " ".join(word(r) for _ in range(30))
+    ends = ["", "\t", "  ", "\r", " \r"]
+    rows = [(i, f"{body()}\n{ends[i % 5]}All  rights\treserved{ends[i % 4]}", "h", "c", 1) for i in range(36)]
+    rows += [(100 + i, f"{body()}\nonly here", None, "c", 1) for i in range(15)] + [(200 + i, f"{body()}\nonly here", "\x00", "c", 1) for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _c string, `lost.line` int")
+    got = {x.doc_id: x.words_lost for x in quality.quality_rules(docs).collect()}
+    assert all(got[i] == 3 for i in range(36)) and not any(got[i] for i in got if i >= 100)
+    out = quality.clean_documents(docs)
+    assert out.columns == docs.columns and {x._c for x in out.collect()} == {"c"} and out.count() == len(rows)
+
+
+def test_quality_verdict_is_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.lit("one").alias("source"))
+    docs = docs.union(docs.filter("doc_id < 90").select(F.col("doc_id") + 10_000, F.concat("text", F.lit("\nsee  page 12 of 40")), "source"))
+    docs = docs.union(docs.filter("doc_id < 3"))
+    rows = docs.distinct().collect()
+    split = lambda t: [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+    key = lambda x: re.sub(r"[\x20\x09-\x0d]+", " ", re.sub("[0-9]+", "0", x.lower())).strip(" ")
+    held, texts = Counter(), defaultdict(set)
+    for x in rows:
+        for k in {key(y) for y in split(x.text)}:
+            held[k] += 1
+            texts[k].add(x.text)
+    bad = {k for k, n in held.items() if n > quality.MIN_DOCS and n > len(rows) * quality.MIN_SHARE and len(texts[k]) >= quality.MIN_TEXTS}
+    assert "see page 0 of 0" in bad
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0d]+", t))
+    want = {}
+    for x in rows:
+        lost = sum(count(y) for y in split(x.text) if key(y) in bad)
+        want[x.doc_id, count(x.text or "")] = (lost, count(x.text or "") - lost >= count(x.text or "") * quality.MIN_LEFT)
+    got = quality.quality_rules(docs).collect()
+    assert len(got) == docs.count()
+    assert all((g.words_lost, g.kept) == (want[g.doc_id, g.n_words][0], want[g.doc_id, g.n_words][1] and not g.base_failed) for g in got)
+
+
+def test_merged_runs_hold_a_digest_once(spark):
+    """Every round leaves sorted runs without repeats, whatever the fan-in, and the winner of each digest."""
+    r = random.Random(9)
+    rows = [(i, f"t{min(r.randrange(400), r.randrange(400))}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for fan_in, levels, keep in ((2, 5, "smallest"), (4, 3, "largest"), (7, 1, "smallest")):
+        got = exactdup.merge_runs(exactdup.digest_rows(docs), Scratch(spark, "t"), fan_in, levels, keep).collect()
+        best = min if keep == "smallest" else max
+        groups = defaultdict(list)
+        for i, t in rows:
+            groups[t].append(i)
+        assert Counter((g.keep_id, g.group_size) for g in got) == Counter((best(v), len(v)) for v in groups.values())
+
+
+def test_keep_one_passes_any_column(spark):
+    docs = spark.createDataFrame([(1, "a", 1, 2, 3), (2, "A", 1, 2, 3), (2, "b", 4, 5, 6)], "doc_id long, text string, _t int, row int, `_own.id` int")
+    out = exactdup.keep_one(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(2, "A", 1, 2, 3), (2, "b", 4, 5, 6)]
