@@ -413,3 +413,64 @@ def test_keep_one_passes_any_column(spark):
     docs = spark.createDataFrame([(1, "a", 1, 2, 3), (2, "A", 1, 2, 3), (2, "b", 4, 5, 6)], "doc_id long, text string, _t int, row int, `_own.id` int")
     out = exactdup.keep_one(docs)
     assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(2, "A", 1, 2, 3), (2, "b", 4, 5, 6)]
+
+
+def test_shards_of_odd_tables(spark, empty):
+    """Clashing names, an empty table, columns that change, and a run that two large shards fill."""
+    where = lambda: "file://" + tempfile.mkdtemp(prefix="spark-")
+    odd = spark.range(300).selectExpr("id doc_id", "'t' text", "'p' _path", "'p' path", "7 merge", "8 `row`", "9 `a.b`", "'m' _metadata", "1 generation")
+    store = sharding.ShardStore(spark, where(), fan_in=2)
+    store.append(odd.repartition(5))
+    store.compact_all()
+    assert store.manifest().count() == 1 and store.read().columns == odd.columns
+    assert store.read().exceptAll(odd).count() == 0 and store.read().count() == 300
+    with pytest.raises(ValueError):
+        store.append(odd.drop("merge"))
+    none = sharding.ShardStore(spark, where())
+    assert none.append(empty) == 1 and none.compact_all() == 1 and none.vacuum() >= 0
+    assert none.read().count() == 0 and none.read().columns == empty.columns
+    large = sharding.ShardStore(spark, where(), fan_in=9)
+    long = spark.range(40).selectExpr("id doc_id", "repeat(sha2(string(id), 512), 200) text")
+    large.append(long.repartition(2))
+    large.target = large.manifest().agg(F.sum("bytes")).first()[0] * 11 // 10
+    large.compact_all()
+    assert large.manifest().count() == 1 and large.read().count() == 40
+
+
+def test_one_of_two_writers_wins(spark):
+    root = "file://" + tempfile.mkdtemp(prefix="spark-")
+    one, two = (sharding.ShardStore(spark, root) for _ in range(2))
+    base = one.append(spark.range(5).withColumnRenamed("id", "doc_id"))
+    plan = two.manifest(base)  # read before the other writer commits
+    one.append(spark.range(5, 9).withColumnRenamed("id", "doc_id"))
+    with pytest.raises(RuntimeError):
+        two.commit(plan, base)
+    assert one.version() == base + 1 and two.read().count() == 9
+
+
+def test_warc_ranges_and_archives(spark, monkeypatch):
+    """Several archives, several ranges in one, gaps, a long payload, and links from revisits to their response."""
+    monkeypatch.setattr(warc, "RANGE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "GAP_BYTES", 500)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 60_000)
+    r = random.Random(6)
+    body = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz <>") for _ in range(n))
+    rows = [(i, f"http://h/{i}", body(r.choice([50, 2000, 4000]))) for i in range(120)] + [(500, "http://long", body(3_000_000))]
+    rows += [(600 + i, f"http://copy/{i}", rows[1][2] + "y" * 1000) for i in range(3)]
+    s = Scratch(spark, "t")
+    root = s.path("archives")
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), s, root)
+    assert index.select("file").distinct().count() > 2
+    some = index.filter("page_id % 7 = 0 or page_id >= 500")
+    ranges = warc.read_ranges(some).collect()
+    assert len(ranges) > index.select("file").distinct().count() and sum(len(x.records) for x in ranges) == some.count()
+    for x in ranges:
+        ends = [y.offset + y.length for y in x.records]
+        assert x.start == x.records[0].offset and x.stop == ends[-1]
+        assert all(b.offset - a <= 500 for a, b in zip(ends, x.records[1:]))
+    got = {x.page_id: bytes(x.payload).decode() for x in warc.read_records(some, root).collect()}
+    html = {i: h for i, _, h in rows}
+    assert set(got) == {x.page_id for x in some.collect()} and all(v == html[i] for i, v in got.items() if i not in (600, 601))
+    one, two = warc.record_bytes(602, "http://copy/2", html[602].encode(), "d", None, False), warc.record_bytes(600, "u", b"", "d", 602, True, "http://copy/2")
+    first, again = warc.parse_record(one)[0], warc.parse_record(two)[0]
+    assert again["WARC-Refers-To"] == first["WARC-Record-ID"] and again["WARC-Refers-To-Target-URI"] == first["WARC-Target-URI"]
