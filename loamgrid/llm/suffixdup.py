@@ -5,17 +5,23 @@ hashes the smallest is kept, so equal word sequences keep suffixes at equal plac
 passage of ``min_words`` words has such a suffix in its first ``window`` places, followed by at
 least ``core`` more words of the passage.
 
-1. Suffixes are keyed by their first ``core`` words and sorted; neighbours are compared, and those
-   without an equal neighbour go. The sort key ends in (doc_id, place), so the suffixes of one very
-   common passage spread over many tasks; the outermost rows of each task are compared across tasks.
-2. Each remaining suffix is extended to the left and right: every ``min_words`` window that has it
-   among its first places is matched against all others, which finds the ends of the match exactly.
-   Windows found in two documents or more are merged into spans.
-
-A span is kept where it occurs first (smallest doc_id, then place); later occurrences are repeats.
-Words are compared after lower-casing A-Z. Defined results: null and short texts have no spans; rows
-that repeat one id are one document, of which one row counts; null ids are left alone; an empty
-table gives an empty result; extra columns are ignored or passed through.
+1. Sort and compare. Suffixes are sorted by their words (codes of the first eight, then a hash of all
+   ``core`` words, then doc_id and place, so that the suffixes of one very common passage spread over
+   many tasks), and each is compared with its neighbours; the outermost rows of each task are compared
+   across tasks. Those without an equal neighbour go. The first of equal ones is their head.
+2. Extend. Every other suffix is laid beside its head, and the two texts are compared word by word to
+   the left and to the right. What comes to ``min_words`` words or more is a match.
+3. A passage may be shared by two documents and not by the head of its suffixes. Of its windows of
+   ``min_words`` words each chose a suffix in its first ``window`` places. Those that chose a repeated
+   one and are in no match with its head, and only those, are compared with each other, and equal ones are laid side by side and extended as in 2.
+
+The first occurrence (smallest doc_id, then place) is kept; later ones are repeats. So the result
+equals that of comparing all windows of ``min_words`` words with each other.
+
+Words are compared after lower-casing A-Z. Defined results: null and short texts have no spans; a
+document is a distinct pair of id and text, so rows that repeat both are one document, and rows that
+share an id only are two; a passage that one document alone repeats is left; null ids are left alone;
+an empty table gives an empty result; extra columns are ignored or passed through whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +39,9 @@ from loamgrid.llm import tokens
 from loamgrid.plans.session import Scratch
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_KEY = ["first4", "next4", "core"]
+_AT = ["doc_id", "part", "place"]
+_SUFFIX = "first4 long, next4 long, core long, doc_id long, part int, place int"
 
 
 @dataclass(frozen=True)
@@ -43,14 +52,17 @@ class SuffixParams:
 
     @property
     def core(self) -> int:
-        return self.min_words - self.window + 1
+        return self.min_words - self.window + 1  # eight or more
 
 
-def minimisers(win: tokens.Windows, p: SuffixParams) -> np.ndarray:
-    """Places whose seed hash is the smallest (leftmost of equals) of some ``window`` in one text."""
+def chosen(win: tokens.Windows, p: SuffixParams) -> tuple[np.ndarray, np.ndarray]:
+    """Places with ``window`` seeds from them on in their text, and where the smallest of these (leftmost of equals) is.
+
+    It depends on these words only, so equal passages choose equal places, whatever stands before them.
+    """
     at = win.starts(p.seed + p.window - 1)  # windows of seeds that end inside their text
     if not len(at):
-        return at
+        return at, at
     h = win.at(win.starts(p.seed), p.seed)
     full = np.full(win.n, np.iinfo(np.uint64).max, np.uint64)
     full[win.starts(p.seed)] = h
@@ -62,7 +74,12 @@ def minimisers(win: tokens.Windows, p: SuffixParams) -> np.ndarray:
         less = other < low
         low, place = np.where(less, other, low), np.where(less, where, place)
         size += step
-    return np.unique(place[at])
+    return at, place[at]
+
+
+def _columns(part: pa.RecordBatch, doc: np.ndarray) -> list[pa.Array]:
+    """doc_id and part of each row that document ``doc`` of the batch gives."""
+    return [part.column(n).take(pa.array(doc)) for n in ("doc_id", "part")]
 
 
 def _anchors(p: SuffixParams):
@@ -70,18 +87,23 @@ def _anchors(p: SuffixParams):
         for part, texts in tokens.chunks(batches):
             x, ends = tokens.word_hashes(texts)
             win = tokens.Windows(x, ends)
-            at = minimisers(win, p)
+            at = np.unique(chosen(win, p)[1])
             at = at[at + p.core <= win.stop[at]] if len(at) else at
-            doc = win.doc[at]
-            ids = part.column(0).to_numpy(zero_copy_only=False)[doc]
-            yield pa.record_batch([tokens.signed(win.at(at, p.core)), pa.array(ids, pa.int64()), pa.array((at - ends[doc]).astype(np.int32))], names=["core", "doc_id", "place"])
+            doc, code = win.doc[at], x >> np.uint64(48)
+            lead = []
+            for k in (0, 4):
+                four = np.zeros(len(at), np.uint64)
+                for i in range(k, k + 4):
+                    four = (four << np.uint64(16)) | code[at + i]
+                lead.append(tokens.signed(four))
+            yield pa.record_batch([*lead, tokens.signed(win.at(at, p.core)), *_columns(part, doc), pa.array((at - ends[doc]).astype(np.int32))], names=[*_KEY, *_AT])
 
     return run
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a task's sorted suffixes: those equal to a neighbour (``hit``), and its first and last (``edge``)."""
-    names = ["core", "doc_id", "place"]
+    names = [*_KEY, *_AT]
 
     def show(cols: list[np.ndarray], hit: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
         on = hit | edge
@@ -94,7 +116,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
         if last is not None:
             cols = [np.concatenate(x) for x in zip(last, cols)]
-        same = cols[0][1:] == cols[0][:-1]
+        same = np.logical_and.reduce([c[1:] == c[:-1] for c in cols[: len(_KEY)]])
         hit = np.concatenate([[last_hit], same]) | np.concatenate([same, [False]])
         edge = np.zeros(len(hit), bool)
         edge[0] = last_edge  # true until a second row has come
@@ -104,48 +126,147 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield show(last, np.array([last_hit]), np.array([True]))
 
 
-def _windows(p: SuffixParams):
-    """From (doc_id, text, places): the hash and start of every window that has a suffix among its first places."""
+def _run_length(same: np.ndarray) -> int:
+    """How many of the first are true."""
+    return len(same) if same.all() else int(same.argmin())
+
+
+_MATCH = "doc_id long, part int, kind int, lo int, hi int"
+FIRST, REPEAT, DECIDED = 0, 1, 2
+_HEAD = ["head_id", "head_part", "head_place"]
+
+
+def _extended(p: SuffixParams):
+    """From pairs of documents with the places at which they agree: the matches, of both sides.
+
+    Words are compared as hashes to find the ends and as bytes to confirm what lies between. Within one
+    document nothing is extended, as more of it may be in no other.
+    """
+
+    def reach(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int]:
+        """Words before and from places ``i`` and ``j`` that agree."""
+        n = min(i, j)
+        left = _run_length(x[i - n : i][::-1] == y[j - n : j][::-1])
+        n = min(len(x) - i, len(y) - j)
+        return left, _run_length(x[i : i + n] == y[j : j + n])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out_schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+        for batch in batches:
+            rows = []
+            known: dict[tuple, tuple] = {}
+            for a in range(batch.num_rows):
+                one = batch.slice(a, 1)
+                me, head = (tuple(one.column(n)[0].as_py() for n in names) for names in (("doc_id", "part"), _HEAD[:2]))
+                texts = []
+                for key, column in ((me, "text"), (head, "head_text")):
+                    if key not in known:
+                        if len(known) > 64:
+                            known.clear()
+                        words = tokens.words_of(one.column(column)[0].as_py())
+                        x = tokens.hashes(words)
+                        known[key] = (words, x, chosen(tokens.Windows(x, np.array([0, len(x)])), p)[1])
+                    texts.append(known[key])
+                (wx, x, choice), (wy, y, _) = texts
+                seeds = one.column("seeds").combine_chunks() if isinstance(one.column("seeds"), pa.ChunkedArray) else one.column("seeds")
+                place, other = (seeds.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                order, end, lines = np.lexsort((place, place - other)), -1, (place - other)
+                for n, k in enumerate(order):
+                    i, j = int(place[k]), int(other[k])
+                    if n and lines[k] != lines[order[n - 1]]:
+                        end = -1
+                    if i >= end:
+                        left, right = (0, p.min_words) if me == head else reach(x, y, i, j)
+                        if wx[i - left : i + right] != wy[j - left : j + right]:
+                            continue  # equal hashes of different words
+                        lo, hi, end = i - left, i + right, i + (right if me != head else 0)
+                        if hi - lo >= p.min_words:
+                            rows += [(*me, REPEAT, lo, hi), (*head, FIRST, lo - i + j, hi - i + j)]
+                    # The windows that chose this suffix and lie in the match.
+                    k0, k1 = max(lo, int(np.searchsorted(choice, i))), min(int(np.searchsorted(choice, i, "right")) - 1 + p.min_words, hi)
+                    if k1 - k0 >= p.min_words and me != head:
+                        rows += [(*me, DECIDED, k0, k1), (*head, DECIDED, k0 - i + j, k1 - i + j)]
+            cols = list(zip(*rows)) if rows else [()] * 5
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, out_schema)], schema=out_schema)
+
+    return run
+
+
+def _matches(seeds: DataFrame, held: DataFrame, s: Scratch, p: SuffixParams) -> DataFrame:
+    """(doc_id, part, kind, lo, hi) of ``seeds``: places of documents and the earlier places that they agree with.
+
+    ``kind`` tells first occurrences, repeats and, of both, the windows decided by the head of the suffix
+    that they chose: what holds for one holder of such a window then holds for all. Of the intervals that begin at one word the longest stays, so a document has three for each of its
+    words at most, however many others share them.
+    """
+    pairs = seeds.groupBy("doc_id", "part", *_HEAD[:2]).agg(F.collect_list(F.struct("place", "head_place")).alias("seeds"))
+    mine = held.select("doc_id", "part", "text").hint("merge")
+    heads = held.select(F.col("doc_id").alias("head_id"), F.col("part").alias("head_part"), F.col("text").alias("head_text")).hint("merge")
+    both = pairs.join(mine, ["doc_id", "part"]).join(heads, _HEAD[:2])
+    found = both.select("doc_id", "part", *_HEAD[:2], "seeds", "text", "head_text").mapInArrow(_extended(p), _MATCH)
+    return s.keep(found.groupBy("doc_id", "part", "kind", "lo").agg(F.max("hi").alias("hi")), "matches")
+
+
+def _starts(n: int, intervals: list[tuple[int, int]], width: int) -> np.ndarray:
+    """Which of ``n`` places begin a window of ``width`` words inside an interval."""
+    edge = np.zeros(n + 1, np.int64)
+    for lo, hi in intervals:
+        edge[lo] += 1
+        edge[hi - width + 1] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _rest(p: SuffixParams):
+    """From (doc_id, part, text, places, own, found): the windows that chose a repeated suffix whose head does not hold them.
+
+    Of suffixes that this document itself repeats (``own``) all windows, with a mark whether a match holds them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in tokens.chunks(batches):
             x, ends = tokens.word_hashes(texts)
             win = tokens.Windows(x, ends)
-            on = np.zeros(win.n + 1, np.int64)
-            for i, places in enumerate(part.column(2).to_pylist()):
-                at = ends[i] + np.array(places, np.int64)
-                np.add.at(on, np.maximum(at - p.window + 1, ends[i]), 1)
-                np.add.at(on, at + 1, -1)
-            starts = np.flatnonzero(np.cumsum(on[:-1]) > 0)
-            starts = starts[starts + p.min_words <= win.stop[starts]]
-            doc = win.doc[starts]
-            ids = part.column(0).to_numpy(zero_copy_only=False)[doc]
-            yield pa.record_batch([tokens.signed(win.at(starts, p.min_words)), pa.array(ids, pa.int64()), pa.array((starts - ends[doc]).astype(np.int32))], names=["gram", "doc_id", "place"])
+            mark, repeated, own, decided = (np.zeros(win.n, bool) for _ in range(4))
+            for d, (at, again, found) in enumerate(zip(*(part.column(n).to_pylist() for n in ("places", "own", "found")))):
+                a, n = ends[d], int(ends[d + 1] - ends[d])
+                within = lambda kinds: _starts(n, [(m["lo"], m["hi"]) for m in found or [] if m["kind"] in kinds], p.min_words)  # noqa: E731, B023
+                mark[a : a + n], decided[a : a + n] = within((FIRST, REPEAT)), within((DECIDED,))
+                repeated[a + np.array(at, np.int64)], own[a + np.array(again, np.int64)] = True, True
+            at, choice = chosen(win, p)
+            at = at[(repeated[choice] & ~decided[at]) | own[choice]] if len(at) else at
+            at = at[at + p.min_words <= win.stop[at]] if len(at) else at
+            doc = win.doc[at]
+            yield pa.record_batch([tokens.signed(win.at(at, p.min_words)), *_columns(part, doc), pa.array((at - ends[doc]).astype(np.int32)), pa.array(mark[at])], names=["gram", *_AT, "held"])
 
     return run
 
 
+_SPAN = "doc_id long, text_key long, start_word int, end_word int, start_char int, end_char int, is_repeat boolean"
+
+
 def _spans(p: SuffixParams):
-    """From (doc_id, text, starts, repeats): merged spans in words and in characters."""
+    """From (doc_id, text_key, text, found): merged spans in words and in characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+        schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in _SPAN.split(", "))])
         for part, texts in tokens.chunks(batches):
             rows = []
-            for doc_id, text, hits in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist()):
+            for doc_id, key, text, found in zip(*(part.column(n).to_pylist() for n in ("doc_id", "text_key")), texts, part.column("found").to_pylist()):
                 bounds = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
                 # bytes -> characters: count the bytes that begin one
                 chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-                for repeat in (False, True):
-                    at = np.array(sorted(h["place"] for h in hits if h["repeat"] == repeat), np.int64)
+                on = {r: _starts(len(bounds), [(m["lo"], m["hi"]) for m in found if m["kind"] == r], p.min_words) for r in (FIRST, REPEAT)}
+                on[FIRST] &= ~on[REPEAT]  # a first occurrence is in no earlier document
+                for repeat, starts in ((kind == REPEAT, x) for kind, x in on.items()):
+                    at = np.flatnonzero(starts)
                     if not len(at):
                         continue
                     new = np.flatnonzero(np.concatenate([[True], at[1:] > at[:-1] + p.min_words]))
                     for lo, hi in zip(at[new], at[np.append(new[1:] - 1, len(at) - 1)] + p.min_words):
-                        rows.append((doc_id, int(lo), int(hi), int(chars[bounds[lo, 0]]), int(chars[bounds[hi - 1, 1]]), repeat))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(["doc_id", "start_word", "end_word", "start_char", "end_char", "is_repeat"], r)) for r in rows],
-                schema=pa.schema([("doc_id", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("is_repeat", pa.bool_())]),
-            )
+                        rows.append((doc_id, key, int(lo), int(hi), int(chars[bounds[lo, 0]]), int(chars[bounds[hi - 1, 1]]), repeat))
+            cols = list(zip(*rows)) if rows else [()] * len(schema)
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return run
 
@@ -153,46 +274,69 @@ def _spans(p: SuffixParams):
 def repeated_spans(docs: DataFrame, params: SuffixParams = SuffixParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of ``min_words`` words or more that two documents or more hold, at each place.
 
-    doc_id, start_word, end_word, start_char, end_char, is_repeat (false at the first occurrence).
+    doc_id, text_key (which of the texts with this id), start_word, end_word, start_char, end_char,
+    is_repeat (false at the first occurrence).
     """
     p = params
     s = Scratch(docs.sparkSession, "suffixdup")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).filter("doc_id is not null")
-    suffixes = s.keep(source.mapInArrow(_anchors(p), "core long, doc_id long, place int"), "suffixes")
+    text = F.col(text_col).cast("binary")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("part"), F.xxhash64(text).alias("text_key"), text.alias("text")).filter("doc_id is not null")
+
+    # 1. Sort and compare.
+    suffixes = s.keep(source.select("doc_id", "part", "text").mapInArrow(_anchors(p), _SUFFIX), "suffixes")
     n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = ["core", "doc_id", "place"]
+    order = [*_KEY, *_AT]
     ranked = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    near = s.keep(ranked.mapInArrow(_neighbours, "core long, doc_id long, place int, hit boolean, edge boolean"), "neighbours")
+    near = s.keep(ranked.mapInArrow(_neighbours, _SUFFIX + ", hit boolean, edge boolean"), "neighbours")
     s.drop(suffixes)
-    across = near.filter("edge").groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core")
-    equal = near.filter("hit").select("doc_id", "place").union(near.filter("edge and not hit").join(across, "core").select("doc_id", "place"))
-    places = equal.groupBy("doc_id").agg(F.collect_set("place").alias("places")).hint("merge")
-    held = s.keep(source.join(places, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    grams = s.keep(held.select("doc_id", "text", "places").mapInArrow(_windows(p), "gram long, doc_id long, place int"), "windows")
-    first = (
-        grams.groupBy("gram")
-        .agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last"))
-        .filter(F.col("first.doc_id") < F.col("last"))
-        .select("gram", "first")
+    across = near.filter("edge").groupBy(*_KEY).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*_KEY)
+    equal = s.keep(near.filter("hit").select(*order).union(near.filter("edge and not hit").join(across, _KEY).select(*order)), "equal")
+    s.drop(near)
+    heads = equal.groupBy(*_KEY).agg(F.min(F.struct(*_AT)).alias("h"), F.max(F.struct(*_AT[:2])).alias("top"))
+    heads = heads.filter((F.col("h.doc_id") != F.col("top.doc_id")) | (F.col("h.part") != F.col("top.part")))
+    # Written first: both sides of the join are then plain shuffles, and Spark splits the task of a very common suffix.
+    heads = s.keep(heads.select(*_KEY, F.col("h.doc_id").alias("head_id"), F.col("h.part").alias("head_part"), F.col("h.place").alias("head_place")), "heads").hint("merge")
+    seeds = s.keep(equal.join(heads, _KEY).select(*_AT, *_HEAD), "seeds")
+    s.drop(equal)
+    alike = (F.col("doc_id") == F.col("head_id")) & (F.col("part") == F.col("head_part"))
+    again = alike & (F.col("place") != F.col("head_place"))
+    places = seeds.groupBy("doc_id", "part").agg(
+        F.collect_set("place").alias("places"), F.array_union(F.collect_set(F.when(again, F.col("place"))), F.collect_set(F.when(again, F.col("head_place")))).alias("own")
     )
-    # Written first: both sides of the join are then plain shuffles, and Spark splits the task of a very common window.
-    first = s.keep(first, "first").hint("merge")
-    hits = grams.join(first, "gram").select("doc_id", F.struct("place", (F.struct("doc_id", "place") != F.col("first")).alias("repeat")).alias("hit"))
-    hits = s.keep(hits.groupBy("doc_id").agg(F.collect_list("hit").alias("hits")), "hits")
-    spans = held.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_spans(p), "doc_id long, start_word int, end_word int, start_char int, end_char int, is_repeat boolean")
-    return s.finish(spans)
+    held = s.keep(source.join(places.hint("merge"), ["doc_id", "part"]).dropDuplicates(["doc_id", "part"]), "texts")
+
+    # 2. Extend.
+    found = _matches(seeds.filter(~alike), held, s, p)
+    s.drop(seeds)
+
+    # 3. What is around repeated suffixes and in no match.
+    grouped = lambda m, of=("kind", "lo", "hi"): m.groupBy("doc_id", "part").agg(F.collect_list(F.struct(*of)).alias("found"))
+    left = held.join(grouped(found).hint("merge"), ["doc_id", "part"], "left")
+    grams = s.keep(left.select("doc_id", "part", "text", "places", "own", "found").mapInArrow(_rest(p), "gram long, doc_id long, part int, place int, held boolean"), "windows")
+    first = grams.groupBy("gram").agg(F.min(F.struct(*_AT)).alias("h"), F.max(F.struct(*_AT[:2])).alias("top"), F.max("held").alias("held"))
+    first = first.filter(F.col("held") | (F.col("h.doc_id") != F.col("top.doc_id")) | (F.col("h.part") != F.col("top.part")))
+    first = s.keep(first.select("gram", F.col("h.doc_id").alias("head_id"), F.col("h.part").alias("head_part"), F.col("h.place").alias("head_place")), "first").hint("merge")
+    later = grams.join(first, "gram").select(*_AT, *_HEAD).filter(~alike | (F.col("place") != F.col("head_place")))
+    found = found.unionByName(_matches(later, held, s, p))
+
+    spans = held.select("doc_id", "part", "text_key", "text").join(grouped(found).hint("merge"), ["doc_id", "part"])
+    return s.finish(spans.select("doc_id", "text_key", "text", "found").mapInArrow(_spans(p), _SPAN))
 
 
 def without_repeats(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataFrame:
     """The documents with every repeat cut out of their text; all rows and columns stay."""
     spans = repeated_spans(docs, params).filter("is_repeat")
-    cuts = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("_cuts")).hint("merge")
-    out = docs.join(cuts, docs["doc_id"].cast("long") == cuts["_id"], "left")
+    cuts = spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("cuts")).hint("merge")
+    # The whole row travels as one column, so no name of the caller's can clash.
+    rows = docs.select(F.struct("*").alias("row"))
+    text = F.col("row")["text"]
+    same = (F.col("row")["doc_id"].cast("long") == F.col("doc_id")) & (F.xxhash64(text.cast("binary")) == F.col("text_key"))
+    out = rows.join(cuts, same, "left")
     # The pieces between cuts: from each end to the next start.
-    ends = F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda c: c["end_char"]))
-    starts = F.concat(F.transform("_cuts", lambda c: c["start_char"]), F.array(F.char_length("text")))
-    parts = F.zip_with(ends, starts, lambda a, b: F.col("text").substr(a + 1, F.greatest(b - a, F.lit(0))))
-    return out.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(parts, ""))).select(docs.columns)
+    ends = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["end_char"]))
+    starts = F.concat(F.transform("cuts", lambda c: c["start_char"]), F.array(F.char_length(text)))
+    parts = F.zip_with(ends, starts, lambda a, b: text.substr(a + 1, F.greatest(b - a, F.lit(0))))
+    return out.withColumn("row", F.col("row").withField("text", F.when(F.col("cuts").isNull(), text).otherwise(F.array_join(parts, "")))).select("row.*")
 
 
 def op10_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -474,3 +474,45 @@ def test_warc_ranges_and_archives(spark, monkeypatch):
     one, two = warc.record_bytes(602, "http://copy/2", html[602].encode(), "d", None, False), warc.record_bytes(600, "u", b"", "d", 602, True, "http://copy/2")
     first, again = warc.parse_record(one)[0], warc.parse_record(two)[0]
     assert again["WARC-Refers-To"] == first["WARC-Record-ID"] and again["WARC-Refers-To-Target-URI"] == first["WARC-Target-URI"]
+
+
+def test_repeats_that_no_head_holds(spark):
+    """Passages shared by pairs only, repeats within a document, and ids that repeat, against all windows."""
+    r = random.Random(12)
+    w = lambda n: [word(r) + word(r) for _ in range(n)]
+    core, ctx = w(40), [w(30) for _ in range(6)]
+    texts = []
+    for _ in range(40):  # one core in many contexts, of which two documents share some words on each side
+        a, b = r.choice(ctx), r.choice(ctx)
+        texts.append(w(25) + a[r.randrange(30) :] + core + b[: r.randrange(30)] + w(25))
+    long = w(300)
+    texts += [long[:180] + w(9) + long[100:], long[60:220] + w(40), w(30) + long[90:260] + long[90:200]]
+    own = w(70)
+    texts += [own + w(20) + own, w(5) + own + own[:60] + w(10), [*own[:55]]]
+    alone = w(60)
+    texts.append(alone + w(10) + alone)
+    rows = [(i % 44, " ".join(t), i) for i, t in enumerate(texts)] + [(3, " ".join(texts[3]), 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cuts int").repartition(4)
+    got = suffixdup.repeated_spans(docs).collect()
+    key = {x.text: (x.doc_id, x.h) for x in docs.select("text", "doc_id", F.hash(F.col("text").cast("binary")).alias("h")).collect()}
+    at = defaultdict(list)
+    for t, i in key.items():
+        v = t.split()
+        for k in range(len(v) - 49):
+            at[tuple(v[k : k + 50])].append((*i, k))
+    want = defaultdict(set)
+    for v in at.values():
+        if len({x[:2] for x in v}) > 1:
+            for x in v:
+                want[x[:2], x != min(v)].update(range(x[2], x[2] + 50))
+    name = {(x.doc_id, x.k): (x.doc_id, x.h) for x in docs.select("doc_id", F.xxhash64(F.col("text").cast("binary")).alias("k"), F.hash(F.col("text").cast("binary")).alias("h")).collect()}
+    have = defaultdict(set)
+    for g in got:
+        have[name[g.doc_id, g.text_key], g.is_repeat].update(range(g.start_word, g.end_word))
+    assert len(want) > 40 and have == want
+    out = suffixdup.without_repeats(docs).collect()
+    assert len(out) == len(rows)
+    for x in out:  # each text without exactly the words of its own repeats
+        t = texts[x.cuts]
+        gone = want[key[" ".join(t)], True]
+        assert x.text.split() == [y for k, y in enumerate(t) if k not in gone]
