@@ -41,7 +41,8 @@ from loamgrid.plans.session import Scratch
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _KEY = ["first4", "next4", "core"]
 _AT = ["doc_id", "part", "place"]
-_SUFFIX = "first4 long, next4 long, core long, doc_id long, part int, place int"
+_CHOSE = ["since", "until"]
+_SUFFIX = "first4 long, next4 long, core long, doc_id long, part int, place int, since int, until int"  # the windows from `since` on before `until` chose it
 
 
 @dataclass(frozen=True)
@@ -87,8 +88,10 @@ def _anchors(p: SuffixParams):
         for part, texts in tokens.chunks(batches):
             x, ends = tokens.word_hashes(texts)
             win = tokens.Windows(x, ends)
-            at = np.unique(chosen(win, p)[1])
-            at = at[at + p.core <= win.stop[at]] if len(at) else at
+            starts, choice = chosen(win, p)
+            at, first, n = np.unique(choice, return_index=True, return_counts=True)
+            whole = at + p.core <= win.stop[at] if len(at) else np.zeros(0, bool)
+            at, since, n = at[whole], starts[first[whole]], n[whole]
             doc, code = win.doc[at], x >> np.uint64(48)
             lead = []
             for k in (0, 4):
@@ -96,14 +99,14 @@ def _anchors(p: SuffixParams):
                 for i in range(k, k + 4):
                     four = (four << np.uint64(16)) | code[at + i]
                 lead.append(tokens.signed(four))
-            yield pa.record_batch([*lead, tokens.signed(win.at(at, p.core)), *_columns(part, doc), pa.array((at - ends[doc]).astype(np.int32))], names=[*_KEY, *_AT])
+            yield pa.record_batch([*lead, tokens.signed(win.at(at, p.core)), *_columns(part, doc), *(pa.array((v - ends[doc]).astype(np.int32)) for v in (at, since, since + n))], names=[*_KEY, *_AT, *_CHOSE])
 
     return run
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a task's sorted suffixes: those equal to a neighbour (``hit``), and its first and last (``edge``)."""
-    names = [*_KEY, *_AT]
+    names = [*_KEY, *_AT, *_CHOSE]
 
     def show(cols: list[np.ndarray], hit: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
         on = hit | edge
@@ -155,35 +158,33 @@ def _extended(p: SuffixParams):
         for batch in batches:
             rows = []
             known: dict[tuple, tuple] = {}
-            for a in range(batch.num_rows):
-                one = batch.slice(a, 1)
-                me, head = (tuple(one.column(n)[0].as_py() for n in names) for names in (("doc_id", "part"), _HEAD[:2]))
-                texts = []
-                for key, column in ((me, "text"), (head, "head_text")):
-                    if key not in known:
-                        if len(known) > 64:
-                            known.clear()
-                        words = tokens.words_of(one.column(column)[0].as_py())
-                        x = tokens.hashes(words)
-                        known[key] = (words, x, chosen(tokens.Windows(x, np.array([0, len(x)])), p)[1])
-                    texts.append(known[key])
-                (wx, x, choice), (wy, y, _) = texts
-                seeds = one.column("seeds").combine_chunks() if isinstance(one.column("seeds"), pa.ChunkedArray) else one.column("seeds")
-                place, other = (seeds.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                order, end, lines = np.lexsort((place, place - other)), -1, (place - other)
-                for n, k in enumerate(order):
-                    i, j = int(place[k]), int(other[k])
-                    if n and lines[k] != lines[order[n - 1]]:
-                        end = -1
-                    if i >= end:
+
+            def words(key: tuple, column: str, at: int) -> tuple[list[bytes], np.ndarray]:
+                if key not in known:
+                    if len(known) > 64:
+                        known.clear()
+                    w = tokens.words_of(batch.column(column)[at].as_py())  # noqa: B023
+                    known[key] = (w, tokens.hashes(w))  # noqa: B023
+                return known[key]  # noqa: B023
+
+            ids = [tuple(zip(*(batch.column(n).to_pylist() for n in names))) for names in (("doc_id", "part"), _HEAD[:2])]
+            seeds = batch.column("seeds")
+            cut, flat = seeds.offsets.to_numpy(), seeds.values
+            fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            for a, (me, head) in enumerate(zip(*ids)):
+                (wx, x), (wy, y) = words(me, "text", a), words(head, "head_text", a)
+                place, other, since, until = (f[cut[a] : cut[a + 1]] for f in fields)
+                order, end, last = np.lexsort((place, place - other)), -1, None
+                for i, j, k0, k1 in zip(*(f[order].tolist() for f in (place, other, since, until))):
+                    if i >= end or i - j != last:
                         left, right = (0, p.min_words) if me == head else reach(x, y, i, j)
                         if wx[i - left : i + right] != wy[j - left : j + right]:
                             continue  # equal hashes of different words
-                        lo, hi, end = i - left, i + right, i + (right if me != head else 0)
+                        lo, hi, last, end = i - left, i + right, i - j, i + (right if me != head else 0)
                         if hi - lo >= p.min_words:
                             rows += [(*me, REPEAT, lo, hi), (*head, FIRST, lo - i + j, hi - i + j)]
                     # The windows that chose this suffix and lie in the match.
-                    k0, k1 = max(lo, int(np.searchsorted(choice, i))), min(int(np.searchsorted(choice, i, "right")) - 1 + p.min_words, hi)
+                    k0, k1 = max(lo, k0), min(k1 - 1 + p.min_words, hi)
                     if k1 - k0 >= p.min_words and me != head:
                         rows += [(*me, DECIDED, k0, k1), (*head, DECIDED, k0 - i + j, k1 - i + j)]
             cols = list(zip(*rows)) if rows else [()] * 5
@@ -199,7 +200,7 @@ def _matches(seeds: DataFrame, held: DataFrame, s: Scratch, p: SuffixParams) ->
     that they chose: what holds for one holder of such a window then holds for all. Of the intervals that begin at one word the longest stays, so a document has three for each of its
     words at most, however many others share them.
     """
-    pairs = seeds.groupBy("doc_id", "part", *_HEAD[:2]).agg(F.collect_list(F.struct("place", "head_place")).alias("seeds"))
+    pairs = seeds.groupBy("doc_id", "part", *_HEAD[:2]).agg(F.collect_list(F.struct("place", "head_place", *_CHOSE)).alias("seeds"))
     mine = held.select("doc_id", "part", "text").hint("merge")
     heads = held.select(F.col("doc_id").alias("head_id"), F.col("part").alias("head_part"), F.col("text").alias("head_text")).hint("merge")
     both = pairs.join(mine, ["doc_id", "part"]).join(heads, _HEAD[:2])
@@ -285,18 +286,18 @@ def repeated_spans(docs: DataFrame, params: SuffixParams = SuffixParams(), id_co
     # 1. Sort and compare.
     suffixes = s.keep(source.select("doc_id", "part", "text").mapInArrow(_anchors(p), _SUFFIX), "suffixes")
     n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = [*_KEY, *_AT]
+    order, kept = [*_KEY, *_AT], [*_KEY, *_AT, *_CHOSE]
     ranked = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)
     near = s.keep(ranked.mapInArrow(_neighbours, _SUFFIX + ", hit boolean, edge boolean"), "neighbours")
     s.drop(suffixes)
     across = near.filter("edge").groupBy(*_KEY).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*_KEY)
-    equal = s.keep(near.filter("hit").select(*order).union(near.filter("edge and not hit").join(across, _KEY).select(*order)), "equal")
+    equal = s.keep(near.filter("hit").select(*kept).union(near.filter("edge and not hit").join(across, _KEY).select(*kept)), "equal")
     s.drop(near)
     heads = equal.groupBy(*_KEY).agg(F.min(F.struct(*_AT)).alias("h"), F.max(F.struct(*_AT[:2])).alias("top"))
     heads = heads.filter((F.col("h.doc_id") != F.col("top.doc_id")) | (F.col("h.part") != F.col("top.part")))
     # Written first: both sides of the join are then plain shuffles, and Spark splits the task of a very common suffix.
     heads = s.keep(heads.select(*_KEY, F.col("h.doc_id").alias("head_id"), F.col("h.part").alias("head_part"), F.col("h.place").alias("head_place")), "heads").hint("merge")
-    seeds = s.keep(equal.join(heads, _KEY).select(*_AT, *_HEAD), "seeds")
+    seeds = s.keep(equal.join(heads, _KEY).select(*_AT, *_CHOSE, *_HEAD), "seeds")
     s.drop(equal)
     alike = (F.col("doc_id") == F.col("head_id")) & (F.col("part") == F.col("head_part"))
     again = alike & (F.col("place") != F.col("head_place"))
@@ -316,7 +317,7 @@ def repeated_spans(docs: DataFrame, params: SuffixParams = SuffixParams(), id_co
     first = grams.groupBy("gram").agg(F.min(F.struct(*_AT)).alias("h"), F.max(F.struct(*_AT[:2])).alias("top"), F.max("held").alias("held"))
     first = first.filter(F.col("held") | (F.col("h.doc_id") != F.col("top.doc_id")) | (F.col("h.part") != F.col("top.part")))
     first = s.keep(first.select("gram", F.col("h.doc_id").alias("head_id"), F.col("h.part").alias("head_part"), F.col("h.place").alias("head_place")), "first").hint("merge")
-    later = grams.join(first, "gram").select(*_AT, *_HEAD).filter(~alike | (F.col("place") != F.col("head_place")))
+    later = grams.join(first, "gram").select(*_AT, F.col("place").alias("since"), (F.col("place") + 1).alias("until"), *_HEAD).filter(~alike | (F.col("place") != F.col("head_place")))
     found = found.unionByName(_matches(later, held, s, p))
 
     spans = held.select("doc_id", "part", "text_key", "text").join(grouped(found).hint("merge"), ["doc_id", "part"])
