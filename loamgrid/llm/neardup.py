@@ -194,7 +194,7 @@ def _confirm(threshold: int):
 
 
 def near_duplicates(docs: DataFrame, params: SketchParams = SketchParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    """One row per row of ``docs``: doc_id, text_key (which of the texts with this id), n_shingles, component_id, kept."""
     p, spark = params, docs.sparkSession
     s = Scratch(spark, "neardup")
     text = F.col(text_col).cast("binary")
@@ -233,9 +233,9 @@ def near_duplicates(docs: DataFrame, params: SketchParams = SketchParams(), id_c
     linked = s.keep(ids.join(smallest, "component").select("vertex", "component_id"), "components")
     named = classes.join(linked, "vertex", "left").select("digest", F.coalesce("component_id", "class_id").alias("component_id"))
     out = (
-        base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+        base.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
         .join(named, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
     return s.finish(out)
@@ -300,5 +300,14 @@ def _verified(s: Scratch, pairs: DataFrame, reps: DataFrame, sets: DataFrame, p:
     return s.keep(full.mapInArrow(_confirm(p.threshold), "u long, v long"), "links")
 
 
+def without_near_duplicates(docs: DataFrame, params: SketchParams = SketchParams()) -> DataFrame:
+    """The rows of ``docs``, with their columns, that are the smallest id of their group; rows without an id stay."""
+    gone = near_duplicates(docs, params).filter("not kept").select("doc_id", "text_key").distinct().hint("merge")
+    # The whole row travels as one column, so no name of the caller's can clash.
+    rows = docs.select(F.struct("*").alias("row"))
+    same = (F.col("row")["doc_id"].cast("long") == F.col("doc_id")) & (F.xxhash64(F.col("row")["text"].cast("binary")) == F.col("text_key"))
+    return rows.join(gone, same, "left_anti").select("row.*")
+
+
 def op3_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")

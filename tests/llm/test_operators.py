@@ -516,3 +516,82 @@ def test_repeats_that_no_head_holds(spark):
         t = texts[x.cuts]
         gone = want[key[" ".join(t)], True]
         assert x.text.split() == [y for k, y in enumerate(t) if k not in gone]
+
+
+def test_ids_that_repeat_stay_apart(spark):
+    """Two texts with one id are two documents, of which one may leave and the other stay."""
+    r = random.Random(10)
+    w = lambda n: [word(r) for _ in range(n)]
+    a, b, c = w(90), w(90), w(90)
+    near = lambda x: " ".join([*x[:45], "changed", *x[46:]])
+    rows = [(1, " ".join(a), 0), (5, near(a), 0), (5, " ".join(b), 0), (7, near(b), 0), (7, " ".join(c), 0), (None, " ".join(c), 0), (8, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest int")
+    got = Counter((g.doc_id, g.component_id, g.kept) for g in neardup.near_duplicates(docs).collect())
+    assert got == Counter([(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (7, 7, True), (None, None, True), (8, 8, True)])
+    out = neardup.without_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert Counter((x.doc_id, x.text) for x in out.collect()) == Counter((i, t) for i, t, _ in (rows[0], rows[2], rows[4], rows[5], rows[6]))
+
+
+def test_near_duplicates_cost_no_square(spark):
+    """Many edited copies of one text, many documents around one passage, and all pairs of a real table."""
+    r = random.Random(11)
+    w = lambda n: [word(r) + word(r) for _ in range(n)]
+    base, passage, rows = w(150), w(60), []
+    for i in range(400):
+        c = list(base)
+        for _ in range(r.randrange(6)):
+            c[r.randrange(150)] = word(r)
+        rows.append((i, " ".join(c)))
+    rows += [(1000 + i, " ".join([*w(30), *passage, *w(30)])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").union(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id + 10000", "text"))
+    counts, plain = [], neardup._across
+
+    def counted(*args):
+        out = plain(*args)
+        counts.append(out.count())
+        return out
+
+    neardup._across = counted
+    try:
+        got = {g.doc_id: (g.n_shingles, g.component_id) for g in neardup.near_duplicates(docs).collect()}
+    finally:
+        neardup._across = plain
+    assert counts[0] < 2000  # of 80,000 pairs of copies and 45,000 around the passage
+    texts = {x.doc_id: words(x.text) for x in docs.collect()}
+    sets = {i: set(zip(*[v[j:] for j in range(4)])) if len(v) > 3 else ({tuple(v)} if v else set()) for i, v in texts.items()}
+    holders = defaultdict(list)
+    for i, x in sets.items():
+        for y in x:
+            holders[y].append(i)
+    common = Counter()
+    for v in holders.values():
+        common.update((a, b) for k, a in enumerate(v) for b in v[k + 1 :])
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for (a, b), n in common.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    assert got == {i: (len(sets[i]), top(i)) for i in sets}
+
+
+def test_stages_on_odd_rows(spark, docs, empty):
+    """Every stage on nulls, empty and long texts, repeats and clashing columns: rows and columns stay whole."""
+    import corpus_pipeline as cp
+
+    odd = docs.withColumns({c: F.lit("mine") for c in ("row", "id", "cuts", "lost", "part", "_id", "text_key")})
+    d = odd
+    for name, stage in cp.STAGES[:-1]:
+        out = Scratch(spark, "t").finish(stage(spark, d, ""))
+        assert out.columns == odd.columns and out.count() <= d.count(), name
+        assert out.filter("row <> 'mine' or cuts <> 'mine'").count() == 0
+        assert stage(spark, empty, "").count() == 0
+        d = out
+    packed = cp.pack(spark, d, "").select("doc_id").distinct()
+    assert packed.count() == d.select("doc_id").distinct().count()
