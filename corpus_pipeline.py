@@ -2,24 +2,31 @@
 
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept. All but the last
 return documents with their columns; the last returns the packed layout, one row per piece.
+
+Defined results, in every stage: a null text counts as empty; an empty table gives an empty table;
+columns other than doc_id, text and source pass through whatever their names; a row without an id is
+kept where only ids could tell which of several rows stays; rows that share an id and differ in text
+are documents of their own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loamgrid.llm import exactdup, neardup, packing, quality, suffixdup
 from loamgrid.plans.session import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, and frequent lines of a host leave the texts that stay."""
+    """Rejected documents go, and frequent lines of a host leave the texts that stay.
+
+    Null and empty texts have no words and go; repeated rows are judged alike and all stay or go.
+    """
     return quality.clean_documents(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
+    """Of equal texts the document with the largest id stays, in one row; all null and empty texts are equal."""
     return exactdup.keep_one(docs, keep="largest")
 
 
@@ -28,17 +35,17 @@ NEAR = neardup.SketchParams(width=5, threshold=80)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id stays."""
-    gone = neardup.near_duplicates(docs, NEAR).filter("not kept").select(F.col("doc_id").alias("_id")).distinct().hint("merge")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")
+    """Of each near-duplicate group the document with the smallest id stays; texts without words are in no group."""
+    return neardup.without_near_duplicates(docs, NEAR)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every repeat of a passage of 50 words or more is cut; its first occurrence stays."""
+    """Every repeat of a passage of 50 words or more is cut; its first occurrence stays, and so do all rows."""
     return suffixdup.without_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document in one or more pieces of 4096 tokens at most; null and empty texts are their end token alone."""
     return packing.pack_documents(docs, packing.default_params())
 
 
