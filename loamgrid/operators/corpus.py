@@ -15,22 +15,59 @@ def heading_sequence(blocks: DataFrame) -> DataFrame:
 
 def has_value(text: Column, value: Column) -> Column:
     """V4: the value stands in the text and is not part of a longer number or word."""
-    quoted = F.concat(F.lit(r"(?<![\w.,])\Q"), value, F.lit(r"\E(?![\w]|[.,]\d)"))
-    return F.regexp_like(text, quoted)
+    return F.replace(text, value, F.lit("\x00")).rlike(r"(?<![\p{L}\p{N}_.,\x00])\x00(?![\p{L}\p{N}_]|[.,]\d)")
 
 
-def fact_presence(facts: DataFrame, docs: DataFrame) -> DataFrame:
-    """V4: whether each fact's value is in its own document."""
-    return facts.join(docs.select("doc_id", "text"), "doc_id").select("fact_id", has_value(F.col("text"), F.col("value")).alias("present"))
+def fact_presence(facts: DataFrame, sections: DataFrame) -> DataFrame:
+    """V4: whether each fact's value is in the section it belongs to: facts (doc_id, sec, value), sections (doc_id, sec, text)."""
+    x = facts.join(sections.select("doc_id", "sec", "text"), ["doc_id", "sec"], "left")
+    return x.select("fact_id", F.coalesce(has_value(F.col("text"), F.col("value")), F.lit(False)).alias("present"))
+
+
+#: Words as has_value sees them: a number with its separators is one, and a mark glued in front belongs to the word.
+VALUE_WORD = r"[.,]?[\p{L}\p{N}_]+(?:[.,]\p{N}+)*"
+
+
+def values_held(values: DataFrame, docs: DataFrame) -> DataFrame:
+    """V5: (doc_id, value) of documents and the distinct values they hold.
+
+    A value of one word is found among the words of a document. Others are looked for by their longest
+    word, and only those that meet it are compared with the text.
+    """
+    words = lambda t: F.regexp_extract_all(t, F.lit(VALUE_WORD), F.lit(0))
+    terms = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    x = values.select("value").distinct().withColumn("w", words(F.col("value")))
+    plain = (F.size("w") == 1) & (F.get("w", F.lit(0)) == F.col("value"))
+    one = terms.join(x.filter(plain).select(F.col("value").alias("term")), "term").select("doc_id", F.col("term").alias("value"))
+    longest = F.get(F.reverse(F.array_sort(F.transform("w", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))), F.lit(0))["t"]
+    rest = x.filter(~plain & (F.size("w") > 0)).withColumn("key", F.ltrim(longest, F.lit(".,")))
+    met = terms.select("doc_id", F.ltrim("term", F.lit(".,")).alias("key")).join(rest, "key").select("doc_id", "value").distinct()
+    more = met.join(docs.select("doc_id", "text"), "doc_id").filter(has_value(F.col("text"), F.col("value"))).select("doc_id", "value")
+    return one.unionByName(more)
 
 
 def foreign_values(facts: DataFrame, docs: DataFrame) -> DataFrame:
-    """V5: documents with the value of another document's fact, found by the value's first word."""
-    word = r"[\p{L}\p{N}]+"
-    first = facts.withColumn("token", F.lower(F.regexp_extract("value", word, 0)))
-    terms = docs.select(F.col("doc_id").alias("at"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)))).alias("token"))
-    near = terms.join(first, "token").filter("at <> doc_id").select("at", "fact_id", "value")
-    return near.join(docs.select(F.col("doc_id").alias("at"), "text"), "at").filter(has_value(F.col("text"), F.col("value"))).select(F.col("at").alias("doc_id"), "fact_id")
+    """V5: facts whose value other documents hold, and how many: all holders of the value but the fact's own document."""
+    held = values_held(facts, docs)
+    holders = held.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    own = held.join(facts.select("doc_id", "value").distinct(), ["doc_id", "value"]).withColumn("own", F.lit(1))
+    x = facts.select("fact_id", "doc_id", "value").join(holders, "value").join(own, ["doc_id", "value"], "left")
+    return x.select("fact_id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("documents")).filter("documents > 0")
+
+
+def marker_placement(sections: DataFrame, expected: DataFrame) -> DataFrame:
+    """V3: sections whose access label is not the registry's, or that only the registry or only the document has.
+
+    ``sections(doc_id, title, access_label)`` of the documents, ``expected(doc_id, title, label)``.
+    doc_id, title, fault (wrong_label, missing_section, unexpected_marker), found, wanted.
+    """
+    x = sections.join(expected, ["doc_id", "title"], "full_outer")
+    fault = (
+        F.when(F.col("access_label").isNull(), "missing_section")
+        .when(F.col("label").isNull() & (F.col("access_label") != "all"), "unexpected_marker")
+        .when(F.col("access_label") != F.col("label"), "wrong_label")
+    )
+    return x.select("doc_id", "title", fault.alias("fault"), F.col("access_label").alias("found"), F.col("label").alias("wanted")).filter("fault is not null")
 
 
 def stray_digits(text: Column, allowed: list[str]) -> Column:

@@ -6,41 +6,62 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Q_BLOCK = 512
+from loamgrid.operators.documents import hard_split, token_count
+
+BLOCK = 1024  # rows of a block, on the average
 
 
 def _top_k(k: int):
-    """For each Arrow batch of (block, q_ids, q_roles, q_vectors, c_ids, c_labels, c_vectors): the best k per question."""
+    """For each Arrow row of (question ids, labels and vectors, chunk ids, labels and vectors): the best k per question.
+
+    Vectors are read from the Arrow buffers as they are. Chunks that a role may not see are left out of its product.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["query_id", "chunk_id", "score", "access_label"]
         for batch in batches:
-            for x in batch.to_pylist():
-                q, c = (np.array(x[n], np.float64).reshape(len(x[i]), -1) for n, i in (("qv", "qi"), ("cv", "ci")))
+            for r in range(batch.num_rows):
+                flat = {n: batch.column(n)[r].values for n in ("qi", "ci", "cl", "qv", "cv")}
+                qi, ids = flat["qi"].to_numpy(zero_copy_only=False), flat["ci"].to_numpy(zero_copy_only=False)
+                q, c = (flat[v].to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(i), -1) for v, i in (("qv", qi), ("cv", ids)))
                 q, c = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in (q, c))
-                labels, ids = np.array(x["cl"], object), np.array(x["ci"], np.int64)
-                s = np.round(q @ c.T, 6)
-                for i, may in enumerate(x["ql"]):
-                    on = np.flatnonzero(np.isin(labels, may))
-                    best = on[np.lexsort((ids[on], -s[i, on]))[:k]]
-                    yield pa.record_batch([pa.array(np.full(len(best), x["qi"][i], np.int64)), pa.array(ids[best]), pa.array(s[i, best]), pa.array(labels[best], pa.string())], names=["query_id", "chunk_id", "score", "access_label"])
+                labels = flat["cl"]
+                may = batch.column("ql")[r].as_py()
+                for group in sorted({tuple(x) for x in may}):
+                    mine = np.array([n for n, x in enumerate(may) if tuple(x) == group])
+                    on = np.flatnonzero(pa.compute.is_in(labels, pa.array(group, pa.string())).to_numpy(zero_copy_only=False))
+                    if not len(on):
+                        continue
+                    s = np.round(q[mine] @ c[on].T, 6)
+                    least = -np.partition(-s, min(k, len(on)) - 1, axis=1)[:, min(k, len(on)) - 1]
+                    for i, low in zip(range(len(mine)), least):
+                        near = np.flatnonzero(s[i] >= low)
+                        best = near[np.lexsort((ids[on[near]], -s[i, near]))[:k]]
+                        yield pa.record_batch([pa.array(np.full(len(best), qi[mine[i]], np.int64)), pa.array(ids[on[best]]), pa.array(s[i, best]), labels.take(pa.array(on[best]))], names=names)
 
     return run
 
 
-def vector_top_k(questions: DataFrame, chunks: DataFrame, role_labels: DataFrame, k: int = 10, c_block: int = 2048) -> DataFrame:
+def _blocks(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Rows packed into blocks of about ``BLOCK``, whatever their ids are."""
+    n = 1 + df.count() // BLOCK
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("block")).agg(F.collect_list(F.struct(key, *columns)).alias("x"))
+
+
+def vector_top_k(questions: DataFrame, chunks: DataFrame, role_labels: DataFrame, k: int = 10) -> DataFrame:
     """The k nearest chunks a role may see, by cosine, ids against ties; exact.
 
     Both sides are packed into blocks, every block of questions meets every block of chunks once, and
-    each meeting gives at most k rows per question. The access filter sits below the ranking.
+    each meeting gives at most k rows per question. The access filter sits below the product.
     """
-    may = role_labels.groupBy("role").agg(F.collect_list("label").alias("ql"))
-    q = questions.join(F.broadcast(may), "role").withColumn("qb", F.floor(F.col("query_id") / (20 * Q_BLOCK)))
-    q = q.groupBy("qb").agg(F.collect_list(F.struct("query_id", "ql", "embedding")).alias("q"))
-    c = chunks.withColumn("cb", F.floor(F.col("chunk_id") / c_block)).groupBy("cb").agg(F.collect_list(F.struct("chunk_id", "access_label", "embedding")).alias("c"))
-    both = q.join(c.repartition("cb"), how="cross").select(
+    may = role_labels.groupBy("role").agg(F.sort_array(F.collect_list("label")).alias("ql"))
+    q = _blocks(questions.join(F.broadcast(may), "role").select("query_id", "ql", "embedding"), "query_id", "ql", "embedding").select(F.col("x").alias("q"))
+    c = _blocks(chunks.select("chunk_id", "access_label", "embedding"), "chunk_id", "access_label", "embedding")
+    both = q.join(c.repartition("block").select(F.col("x").alias("c")), how="cross").select(
         F.col("q.query_id").alias("qi"), F.col("q.ql").alias("ql"), F.flatten("q.embedding").alias("qv"), F.col("c.chunk_id").alias("ci"), F.col("c.access_label").alias("cl"), F.flatten("c.embedding").alias("cv")
     )
     part = both.mapInArrow(_top_k(k), "query_id long, chunk_id long, score double, access_label string")
@@ -82,29 +103,79 @@ def lsh_top_k(questions: DataFrame, chunks: DataFrame, role_labels: DataFrame, k
     return ranked(full.select("query_id", "chunk_id", score.alias("score"), "access_label"), k)
 
 
+WORD = r"[\p{L}\p{N}\p{M}_]+"
+
+
 def parse_query(text: Column) -> Column:
-    """Required words, in order, lower-cased; quoted phrases stay together and ``-word`` is left out."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace(text, r'(^|\s)-\S+', " ")), F.lit(r"[\p{L}\p{N}\p{M}_]+"), F.lit(0)))
+    """Items (grp, neg, words) of a query as people type it.
 
+    Items of one group are all required, an ``or`` between words begins another group, ``-`` before an
+    item excludes it, and the words of a quoted item, or of one with signs inside, are a phrase.
+    """
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r'-?"[^"]*"|[^\s"]+'), F.lit(0))
+    one = lambda t, i: F.struct(
+        F.size(F.filter(F.slice(tokens, F.lit(1), i), lambda x: x == "or")).alias("grp"), t.startswith("-").alias("neg"), F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("words"), (t == "or").alias("mark")
+    )
+    items = F.filter(F.transform(tokens, one), lambda x: ~x["mark"] & (F.size(x["words"]) > 0))
+    return F.array_distinct(F.transform(items, lambda x: F.struct(x["grp"].alias("grp"), x["neg"].alias("neg"), x["words"].alias("words"))))
 
-def fulltext_top_k(queries: DataFrame, posts: DataFrame, k: int = 10) -> DataFrame:
-    """Documents with all words of a query, by cover density, ids against ties.
 
-    A cover is a stretch that holds all words and no shorter one with the same left end; each adds one
-    over one plus its other words.
+def fulltext_top_k(queries: DataFrame, posts: DataFrame, k: int = 10, role_labels: DataFrame | None = None) -> DataFrame:
+    """Chunks that fit a query (query_id, items, and role where ``role_labels`` are given), by cover density.
+
+    ``posts(chunk_id, pos, term, access_label)`` lose the labels a role may not see before anything is
+    ranked, and all terms that no query has before anything is joined. A cover is a stretch that holds
+    every item of a group and no shorter one with the same left end; each adds one over one plus its
+    other words. A group without a required item fits nothing. Ties go to the smaller chunk_id.
     """
-    need = queries.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    hits = posts.join(need, "term")
-    full = hits.groupBy("query_id", "doc_id").agg(F.count_distinct("term").alias("have"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("h")).filter("have = n")
-    rows = full.select("query_id", "doc_id", "n", F.explode("h").alias("x")).select("query_id", "doc_id", "n", "x.pos", "x.term")
-    by = Window.partitionBy("query_id", "doc_id").orderBy("pos")
-    # The left end of the shortest cover that ends here: the least of the last places of all words.
-    before = rows.withColumn("m", F.map_from_arrays(F.array("term"), F.array("pos"))).withColumn("seen", F.collect_list(F.struct("term", "pos")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.aggregate("seen", F.create_map().cast("map<string,int>"), lambda m, x: F.map_concat(F.map_filter(m, lambda a, _: a != x["term"]), F.create_map(x["term"], x["pos"])))
-    ends = before.withColumn("last", last).filter(F.size("last") == F.col("n")).select("query_id", "doc_id", "n", F.array_min(F.map_values("last")).alias("left"), F.col("pos").alias("right"))
-    covers = ends.groupBy("query_id", "doc_id", "n", "left").agg(F.min("right").alias("right"))
-    rank = covers.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (1 + (F.col("right") - F.col("left") + 1 - F.col("n")))), 9).alias("score"))
-    return ranked(rank.withColumnRenamed("doc_id", "chunk_id"), k)
+    x = queries.select("query_id", *(["role"] if role_labels is not None else []), F.posexplode("items").alias("item", "i"))
+    word = x.select("*", F.posexplode("i.words").alias("k", "term")).select("query_id", *(["role"] if role_labels is not None else []), "item", F.col("i.grp").alias("grp"), F.col("i.neg").alias("neg"), F.size("i.words").alias("n"), "k", "term")
+    posts = posts.join(word.select("term").distinct(), "term", "left_semi")
+    if role_labels is not None:
+        word = word.join(F.broadcast(role_labels.withColumnRenamed("label", "access_label")), "role").drop("role")
+        hits = posts.join(word, ["term", "access_label"])
+    else:
+        hits = posts.join(word, "term")
+    # A phrase stands where all of its words follow each other.
+    found = hits.groupBy("query_id", "chunk_id", "grp", "neg", "item", "n", (F.col("pos") - F.col("k")).alias("at")).agg(F.count_distinct("k").alias("have")).filter("have = n")
+    kept = queries.select("query_id", F.explode("items").alias("i")).filter("not i.neg").groupBy("query_id", F.col("i.grp").alias("grp")).agg(F.count(F.lit(1)).alias("need"))
+    one = found.groupBy("query_id", "chunk_id", "grp").agg(
+        F.max("neg").alias("banned"), F.count_distinct(F.when(~F.col("neg"), F.col("item"))).alias("have"), F.sort_array(F.collect_list(F.when(~F.col("neg"), F.struct(F.col("at").alias("l"), (F.col("at") + F.col("n") - 1).alias("r"), "item", "n")))).alias("h")
+    )
+    fit = one.join(kept, ["query_id", "grp"]).filter("not banned and have = need")
+    # Along the places of a chunk: the last place of each item; whenever the leftmost of them moves, a cover begins.
+    start = F.struct(F.create_map().cast("map<int,int>").alias("last"), F.lit(-1).alias("left"), F.lit(0.0).alias("score"))
+    size = F.aggregate(F.array_distinct(F.transform("h", lambda y: F.struct(y["item"].alias("item"), y["n"].alias("n")))), F.lit(0), lambda s, y: s + y["n"])
+
+    def step(s: Column, y: Column) -> Column:
+        last = F.map_concat(F.map_filter(s["last"], lambda i, _: i != y["item"]), F.create_map(y["item"], y["l"]))
+        left = F.array_min(F.map_values(last))
+        new = (F.size(last) == F.col("need")) & (left > s["left"])
+        other = F.greatest(y["r"] - left + 1 - F.col("size"), F.lit(0))
+        return F.struct(last.alias("last"), F.when(new, left).otherwise(s["left"]).alias("left"), (s["score"] + F.when(new, 1 / (1 + other)).otherwise(0.0)).alias("score"))
+
+    scored = fit.withColumn("size", size).select("query_id", "chunk_id", F.aggregate("h", start, step)["score"].alias("score"))
+    total = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 9).alias("score"))
+    return ranked(total, k)
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, role_labels: DataFrame, threshold: float, k_vector: int = 40, k_text: int = 40, fused: int = 40, top: int = 8) -> DataFrame:
+    """For every question (query_id, role, question, embedding) the passages it is answered from.
+
+    Vector and full-text hits, each below the same access filter, are fused by rank; the ``top`` first
+    keep their order (R7) with their share of the best; a question is refused without hits or with a
+    best cosine under ``threshold``. ``chunks(chunk_id, access_label, content, embedding)``.
+    query_id, chunk_id, rrf, fused_rank, relative, gate_score, refused; a question without hits has one row.
+    """
+    near = vector_top_k(questions, chunks, role_labels, k_vector)
+    text = chunks.select("chunk_id", "access_label", F.posexplode(F.regexp_extract_all(F.lower("content"), F.lit(WORD), F.lit(0))).alias("pos", "term"))
+    words = fulltext_top_k(questions.select("query_id", "role", parse_query(F.col("question")).alias("items")), text, k_text, role_labels)
+    cols = ["query_id", "chunk_id", "rank", "score"]
+    lists = near.select(*cols, F.lit(1).alias("list_no")).unionByName(words.select(*cols, F.lit(2).alias("list_no")))
+    best = reciprocal_rank_fusion(lists, fused).filter(F.col("fused_rank") <= top)
+    first = F.first("rrf").over(Window.partitionBy("query_id").orderBy("fused_rank"))
+    best = best.select("query_id", "chunk_id", "rrf", "fused_rank", F.round(F.col("rrf") / first, 9).alias("relative"))
+    return refusal_gate(questions, near, threshold).join(best, "query_id", "left").select("query_id", "chunk_id", "rrf", "fused_rank", "relative", "gate_score", "refused")
 
 
 def reciprocal_rank_fusion(lists: DataFrame, top: int = 40, k: int = 60) -> DataFrame:
@@ -169,16 +240,35 @@ def round_robin(lists: DataFrame, limit: int) -> DataFrame:
     return one.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "list_no"))).filter(F.col("place") <= limit).select("query_id", "chunk_id", "place")
 
 
-def pack_context(hits: DataFrame, budget: int, tokens: str = "tokens") -> DataFrame:
-    """The longest prefix of ranked chunks within the budget; the first always stays."""
-    total = F.sum(tokens).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return hits.withColumn("total", total).filter((F.col("total") <= budget) | (F.col("rank") == 1)).select("query_id", "chunk_id", F.col("rank").alias("n"), "total")
+def block_header(n: Column, chunk: dict[str, Column]) -> Column:
+    """Number, file, path of headings and pages of a block, as far as they are known."""
+    pages = F.when(F.coalesce(chunk["page_end"], chunk["page_start"]) == chunk["page_start"], F.concat(F.lit("p. "), chunk["page_start"].cast("string"))).otherwise(F.concat(F.lit("p. "), chunk["page_start"].cast("string"), F.lit("–"), chunk["page_end"].cast("string")))
+    path = F.when(F.length(chunk["section_path"]) > 0, F.concat(F.lit(" — "), chunk["section_path"]))
+    return F.concat(F.lit("["), n.cast("string"), F.lit("] "), chunk["filename"], F.coalesce(path, F.lit("")), F.coalesce(F.concat(F.lit(" ("), pages, F.lit(")")), F.lit("")))
+
 
+def pack_context(hits: DataFrame, budget: int, chunk_max: int = 512) -> DataFrame:
+    """The longest prefix of ranked chunks whose headers and texts are within the budget; the first always stays.
 
-def render_prompt(blocks: DataFrame) -> DataFrame:
-    """Numbered blocks of a question in one text."""
-    line = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.col("chunk_id").cast("string"))
-    return blocks.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("t")))), lambda x: x["t"]), "\n").alias("prompt"))
+    ``hits(query_id, rank, chunk_id, content, filename, section_path, page_start, page_end)``. A text over
+    ``chunk_max`` tokens is cut to its first piece. query_id, n, chunk_id, header, text, total.
+    """
+    by = Window.partitionBy("query_id").orderBy("rank")
+    x = hits.withColumn("n", F.row_number().over(by))
+    x = x.withColumn("text", F.when(token_count(F.col("content")) > chunk_max, F.get(hard_split(F.col("content"), chunk_max), F.lit(0))).otherwise(F.col("content")))
+    x = x.withColumn("header", block_header(F.col("n"), {c: F.col(c) for c in ("filename", "section_path", "page_start", "page_end")}))
+    total = F.sum(token_count(F.col("header")) + token_count(F.col("text"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("total", total).filter((F.col("total") <= budget) | (F.col("n") == 1)).select("query_id", "n", "chunk_id", "header", "text", "total")
+
+
+def render_prompt(blocks: DataFrame, questions: DataFrame) -> DataFrame:
+    """The blocks of a question, its wording, and how a follow-up is to be understood, in one text."""
+    block = F.concat("header", F.lit("\n"), "text")
+    context = blocks.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", block.alias("t")))), lambda x: x["t"]), "\n\n").alias("context"))
+    x = context.join(questions.select("query_id", "question", "effective_question"), "query_id")
+    plain = F.concat(F.lit("Question: "), "question")
+    follow = F.concat(F.lit("Original user wording: "), "question", F.lit("\nStandalone retrieval interpretation: "), "effective_question")
+    return x.select("query_id", F.concat(F.lit("Context blocks:\n\n"), "context", F.lit("\n\n"), F.when(F.col("effective_question").isNull(), plain).otherwise(follow)).alias("prompt"))
 
 
 def model_guard(questions: DataFrame, collections: DataFrame) -> DataFrame:

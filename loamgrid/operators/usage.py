@@ -69,21 +69,28 @@ def settlement(events: DataFrame) -> DataFrame:
 
 
 def admission_replay(ledger: DataFrame, limit: float) -> DataFrame:
-    """Admits in order of time while spent, pending and new amounts stay within the limit.
+    """U10, T5 in batch: admits in order of time while the amounts admitted so far and the new one stay within the limit.
 
-    One group is a scope's day. Denied rows do not count, so each decision needs the one before.
+    One group is a scope's day. Denied rows do not count, so each decision needs the one before; amounts
+    are counted in whole units of 1e-8, so sums are exact.
     """
+    most = int(round(limit * 10**8))
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "reservation_id"])
-        used, out = 0.0, []
-        for x in pdf["amount"].astype(float):
-            ok = used + x <= limit
-            used += x if ok else 0.0
+        used, out = 0, []
+        for x in pdf["units"]:
+            used, ok = admission_step(used, int(x), most)
             out.append(ok)
         return pdf[["reservation_id"]].assign(admitted=out)
 
-    return ledger.groupBy("day", "ip_digest").applyInPandas(replay, "reservation_id long, admitted boolean")
+    units = (F.col("amount") * F.lit(10**8)).cast("long").alias("units")
+    return ledger.select("day", "ip_digest", "ts", "reservation_id", units).groupBy("day", "ip_digest").applyInPandas(replay, "reservation_id long, admitted boolean")
+
+
+def admission_step(used: int, amount: int, most: int) -> tuple[int, bool]:
+    """What is used after a request, and whether it was admitted."""
+    return (used + amount, True) if used + amount <= most else (used, False)
 
 
 def ingest_status(docs: DataFrame) -> DataFrame:
@@ -201,8 +208,9 @@ def idempotent_replay(requests: DataFrame) -> DataFrame:
     return requests.select("id", F.first("id").over(by).alias("first_id"), (F.first("model").over(by) != F.col("model")).alias("conflict"))
 
 
-def lease_audit(events: DataFrame) -> DataFrame:
-    """Transitions of each key's log, with those that the state machine does not have."""
+def lease_audit(events: DataFrame, legal: list[tuple[str, str]]) -> DataFrame:
+    """Transitions of each key's log, how often they occur, and whether the state machine has them."""
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
     step = events.select("user_id", "event_id", F.lag("event_type").over(by).alias("before"), F.col("event_type").alias("after"))
-    return step.filter("before is not null").groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
+    known = F.concat_ws(">", "before", "after").isin([f"{a}>{b}" for a, b in legal])
+    return step.filter("before is not null").groupBy("before", "after").agg(F.count(F.lit(1)).alias("n")).withColumn("legal", known)

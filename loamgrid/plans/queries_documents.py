@@ -85,14 +85,6 @@ _q("s20_seed_diff", lambda s, d: D.seed_diff(view(s, d, "docs").select("filename
 _q("c1_token_count", lambda s, d: _t(s, d, "documents").select("doc_id", D.token_count(F.col("text")).alias("tokens")), f"SELECT doc_id, {_TOK.format('text')} AS tokens FROM documents")
 _q("c2_hard_split", lambda s, d: _t(s, d, "documents").select("doc_id", F.posexplode(D.hard_split(F.col("text"), 65)).alias("part", "slice")),
    f"SELECT doc_id, CAST(i AS INT) AS part, array_to_string(list_slice(w, i * 50 + 1, i * 50 + 50), ' ') AS slice FROM (SELECT doc_id, w, unnest(range(CAST(ceil(len(w) / 50.0) AS BIGINT))) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents) a) b")
-_q("c3_access_marker", lambda s, d: D.markdown_blocks(_md(s, d)).select("doc_id", D.access_marker(F.col("text")).alias("label")).filter("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")),
-   """SELECT CASE (doc_id + i) % 5 WHEN 0 THEN 'all' WHEN 1 THEN 'managers' WHEN 2 THEN 'hr' WHEN 3 THEN 'finance' ELSE 'leadership' END AS label, count(*) AS n
- FROM (SELECT doc_id, unnest(range(8, CAST(len(string_split(text, chr(10))) AS BIGINT), 8)) AS i FROM documents) x GROUP BY 1""")
-_q("c4_sections", lambda s, d: D.sections(D.markdown_blocks(_md(s, d))).groupBy("access_label").agg(F.count(F.lit(1)).alias("blocks"), F.max(F.size(F.split("section_path", " > "))).alias("depth")))
-_q("c5_merge_groups", lambda s, d: _t(s, d, "documents").select("doc_id", D.merge_groups(F.transform(F.split("text", "\n"), lambda x: D.token_count(x)), 100).alias("g")).select("doc_id", (F.array_max("g") + 1).alias("groups")))
-_q("c6_sentence_units", lambda s, d: _t(s, d, "documents").select("doc_id", F.size(D.sentence_units(F.replace("text", F.lit("|"), F.lit("!")), 100000)).alias("units")),
-   "SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(replace(text, '|', '!'), '([.!?…])\\s+', '\\1\x01', 'g'), chr(1)), lambda x: trim(x) <> '')) AS INT) AS units FROM documents")
-_q("c8_chunks", lambda s, d: D.chunk_documents(_t(s, d, "documents")).select("doc_id", "chunk_index", "token_count", F.md5("content").alias("content_md5")))
 _q("c12_stub_embedding", lambda s, d: D.embed(_t(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))).select("id", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm")),
    "SELECT doc_id AS id, 64 AS dim, 1.0 AS norm FROM documents")
 _q("c14_embed_missing", lambda s, d: (lambda c: D.embed_missing(c, D.embed(c.filter("id % 2 = 0")).join(c, "id").select(F.sha2(F.concat(F.lit("m"), F.lit("\x00"), "content"), 256).alias("key"), "vector").dropDuplicates(["key"]), "m"))(_t(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))).select("id", "reused"),
@@ -109,10 +101,6 @@ _q("r1_vector_top_k", lambda s, d: R.vector_top_k(*_three(s, d)), f"WITH {_TOP}
 _q("r2_lsh_top_k", lambda s, d: R.lsh_top_k(*_three(s, d)))
 _q("r3_postings", lambda s, d: D.postings(_t(s, d, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs")),
    "SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+')) AS term FROM documents) x GROUP BY 1")
-_fq = lambda s, d: _t(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(R.parse_query(F.col("text")), 1, 2).alias("terms"))
-_q("r4_parse_query", lambda s, d: _t(s, d, "benchmark").select("item_id", F.size(R.parse_query(F.col("text"))).alias("terms")),
-   "SELECT item_id, CAST(len(list_distinct(regexp_extract_all(lower(regexp_replace(text, '(^|\\s)-\\S+', ' ', 'g')), '[\\p{L}\\p{N}\\p{M}_]+'))) AS INT) AS terms FROM benchmark")
-_q("r5_fulltext_top_k", lambda s, d: R.fulltext_top_k(_fq(s, d), D.postings(_t(s, d, "documents"))))
 _q("r6_rank_fusion", lambda s, d: R.reciprocal_rank_fusion(view(s, d, "ranked")).select("query_id", "chunk_id", "rrf", "fused_rank"),
    "WITH f AS (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)), 12) AS rrf FROM ranked GROUP BY 1, 2), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS INT) AS fused_rank FROM f) SELECT * FROM n WHERE fused_rank <= 40", "ranked")
 _q("r7_no_rerank", lambda s, d: R.no_rerank(view(s, d, "ranked").filter("list_no = 1")).select("query_id", "chunk_id", "relative"),
@@ -121,8 +109,6 @@ _q("r8_overlap_rerank", lambda s, d: _t(s, d, "conversations").select("conv_id",
    "SELECT conv_id, turn, round(len(list_intersect(['the','der','inst','and','of','stion','7'], list_distinct(regexp_extract_all(lower(text), '[a-zа-яёäöüß0-9]+')))) / 7, 9) AS score FROM conversations")
 _q("r9_model_rerank", lambda s, d: R.model_rerank(view(s, d, "ranked").filter("list_no = 1").withColumns({"question": F.lit("a"), "content": F.col("chunk_id").cast("string")}), lambda a, b: -b.cast("double")).select("query_id", "chunk_id", "model_rank"),
    "SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS INT) AS model_rank FROM ranked WHERE list_no = 1", "ranked")
-_q("r10_pipeline", lambda s, d: R.refusal_gate(view(s, d, "questions"), R.vector_top_k(*_three(s, d), k=40), 0.5),
-   f"WITH {_TOP} SELECT q.query_id, max(score) AS gate_score, coalesce(max(score) < 0.5, true) AS refused FROM questions q LEFT JOIN top t ON t.query_id = q.query_id GROUP BY 1", "questions", "chunks", "role_labels")
 _q("r11_hidden_probe", lambda s, d: R.hidden_probe(*_three(s, d), R.vector_top_k(*_three(s, d)), 0.1),
    f"""WITH {_TOP}, b AS (SELECT query_id, max(score) AS best FROM top WHERE rank <= 10 GROUP BY 1),
  h AS (SELECT query_id, chunk_id, access_label, {_COS} AS score FROM questions q JOIN chunks c ON NOT EXISTS (SELECT 1 FROM role_labels r WHERE r.role = q.role AND r.label = c.access_label)),
@@ -135,35 +121,22 @@ _q("r14_valid_plan", lambda s, d: _t(s, d, "customer").select("c_custkey", F.siz
    "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END AS n FROM customer")
 _q("r15_round_robin", lambda s, d: R.round_robin(view(s, d, "ranked"), 30),
    "WITH o AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank, list_no) AS n FROM ranked), p AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, list_no) AS INT) AS place FROM o WHERE n = 1) SELECT * FROM p WHERE place <= 30", "ranked")
-_tk = lambda s, d: view(s, d, "ranked").filter("list_no = 1").withColumn("tokens", F.col("chunk_id") % 400 + 30)
-_q("r16_pack_context", lambda s, d: R.pack_context(_tk(s, d), 1500),
-   "SELECT query_id, chunk_id, rank AS n, CAST(total AS BIGINT) AS total FROM (SELECT *, sum(chunk_id % 400 + 30) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM ranked WHERE list_no = 1) x WHERE total <= 1500 OR rank = 1", "ranked")
-_q("r17_prompt", lambda s, d: R.render_prompt(R.pack_context(_tk(s, d), 1500)),
-   "SELECT query_id, string_agg(concat('[', rank, '] ', chunk_id), chr(10) ORDER BY rank) AS prompt FROM (SELECT *, sum(chunk_id % 400 + 30) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM ranked WHERE list_no = 1) x WHERE total <= 1500 OR rank = 1 GROUP BY 1", "ranked")
 _q("r19_model_guard", lambda s, d: R.model_guard(view(s, d, "query_log").select(F.col("id").alias("query_id"), F.col("tenant").alias("collection"), "model"), view(s, d, "query_log").groupBy(F.col("tenant").alias("collection")).agg(F.min("model").alias("model"))),
    "SELECT id AS query_id, model, m AS collection_model FROM (SELECT *, min(model) OVER (PARTITION BY tenant) AS m FROM query_log) x WHERE model <> m", "query_log")
 
 # G: answers. The quote is cut from the document itself.
 _ans = lambda s, d: _t(s, d, "documents").select(F.col("doc_id").alias("key"), F.concat(F.when(F.col("doc_id") % 9 == 0, F.lit(" NO_ANSWER ")).otherwise(F.lit("It is [2] , so [7][1].")), F.lit("\n**QUOTES**\n- [1] \"ab\"\n[2] “long quote”")).alias("answer"), F.col("text").alias("content"))
 _q("g1_refusal", lambda s, d: _ans(s, d).select("key", G.is_refusal(F.col("answer")).alias("refused")), "SELECT doc_id AS key, doc_id % 9 = 0 AS refused FROM documents")
-_q("g2_split_quotes", lambda s, d: _ans(s, d).select("key", G.split_quotes(F.col("answer")).alias("x")).select("key", "x.body", F.size(G.quote_lines(F.col("x.quotes"))).alias("quotes")),
-   "SELECT doc_id AS key, CASE WHEN doc_id % 9 = 0 THEN ' NO_ANSWER' ELSE 'It is [2] , so [7][1].' END AS body, 1 AS quotes FROM documents")
 _q("g4_citations", lambda s, d: _ans(s, d).select("key", F.array_join(G.citations(F.col("answer"), F.array(F.lit(1), F.lit(2), F.lit(3))), ",").alias("cited")), "SELECT doc_id AS key, CASE WHEN doc_id % 9 = 0 THEN '1,2' ELSE '2,1' END AS cited FROM documents")
-_q("g5_clean_citations", lambda s, d: _ans(s, d).select("key", G.clean_citations(G.split_quotes(F.col("answer"))["body"], F.lit(3)).alias("answer")), "SELECT doc_id AS key, CASE WHEN doc_id % 9 = 0 THEN ' NO_ANSWER' ELSE 'It is [2], so [1].' END AS answer FROM documents")
 _quote = lambda s, d: _t(s, d, "documents").select(F.col("doc_id").alias("key"), F.substring("text", 5, 40).alias("quote"), F.col("text").alias("content"))
 _q("g6_exact_span", lambda s, d: _quote(s, d).select("key", G.exact_span(F.col("quote"), F.col("content")).alias("x")).select("key", "x.start", "x.end"),
    'SELECT doc_id AS key, CASE WHEN length(text) > 4 THEN strpos(text, substring(text, 5, 40)) - 1 END AS start, CASE WHEN length(text) > 4 THEN strpos(text, substring(text, 5, 40)) - 1 + length(substring(text, 5, 40)) END AS "end" FROM documents')
 _q("g7_locate", lambda s, d: G.locate(_quote(s, d).withColumn("quote", F.when(F.col("key") % 4 == 0, F.upper("quote")).when(F.col("key") % 4 == 1, F.concat(F.lit("zz"), "quote")).otherwise(F.col("quote")))))
-_q("g9_fallback_span", lambda s, d: _t(s, d, "documents").select(F.col("doc_id").alias("key"), G.fallback_span(F.lit("the of der 4207 que and"), F.col("text")).alias("x")).select("key", "x.start", "x.end"))
 _spans = lambda s, d: view(s, d, "query_log").select(F.col("user_id").alias("key"), (F.col("id") % 500).alias("start"), (F.col("id") % 500 + F.col("latency_ms") % 40).alias("end"), F.element_at(F.array(*map(F.lit, G.METHODS)), (F.col("id") % 3 + 1).cast("int")).alias("method"))
 _q("g10_merge_spans", lambda s, d: G.merge_spans(_spans(s, d)),
    """WITH s AS (SELECT user_id AS key, id % 500 AS a, id % 500 + latency_ms % 40 AS b, id % 3 AS m FROM query_log), p AS (SELECT *, max(b) OVER (PARTITION BY key ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM s),
  i AS (SELECT *, sum(CASE WHEN a <= pm + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM p)
  SELECT key, min(a) AS start, max(b) AS "end", CASE max(m) WHEN 0 THEN 'exact' WHEN 1 THEN 'normalized' ELSE 'fuzzy' END AS method FROM i GROUP BY key, g""", "query_log")
-_q("g11_resolve_quotes", lambda s, d: G.resolve_quotes(_quote(s, d)).groupBy("method").agg(F.count(F.lit(1)).alias("n")),
-   "SELECT 'exact' AS method, count(*) AS n FROM documents WHERE length(text) > 4")
-_q("g12_payload", lambda s, d: G.payload(G.resolve_quotes(_quote(s, d)), _quote(s, d).select("key", "content")).select("key", "quote", F.length("snippet").alias("n")),
-   "SELECT doc_id AS key, substring(text, 5, 40) AS quote, least(300, length(text)) AS n FROM documents WHERE length(text) > 4")
 _q("g13_usage_totals", lambda s, d: G.usage_totals(view(s, d, "query_log").withColumn("prompt_tokens", F.when(F.col("id") % 50 != 0, F.col("prompt_tokens"))), "user_id"),
    "SELECT user_id, CASE WHEN bool_or(id % 50 = 0) THEN NULL ELSE CAST(sum(prompt_tokens) AS BIGINT) END AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens FROM query_log GROUP BY 1", "query_log")
 _q("g14_contract_checks", lambda s, d: G.contract_checks(_ans(s, d).withColumns({"must": F.array(F.lit("It is")), "context": F.lit("12 and 13")})),
@@ -173,14 +146,6 @@ _q("g14_contract_checks", lambda s, d: G.contract_checks(_ans(s, d).withColumns(
 _wide = lambda s, d: _t(s, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("doc_id"), F.when(F.col("l_linenumber") < 7, F.col("l_quantity")).alias("q"), F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d"))
 _q("x2_rules", lambda s, d: _wide(s, d).select("doc_id", X.compile_rule("q > 20 and p / q < 1500 or d in [0.05, 0.06]", {c: F.col(c) for c in "qpd"}).alias("ok")),
    "SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS doc_id, CASE WHEN l_linenumber >= 7 THEN NULL ELSE (l_quantity > 20 AND l_extendedprice / l_quantity < 1500) OR l_discount IN (0.05, 0.06) END AS ok FROM lineitem")
-_q("x3_parse_number", lambda s, d: _t(s, d, "orders").select("o_orderkey", X.parse_number(F.concat(F.translate(F.format_number("o_totalprice", 2), ",.", ".,"), F.lit(" EUR"))).alias("eu"), X.parse_number(F.concat(F.lit("US$ "), F.format_number("o_totalprice", 2))).alias("us")),
-   "SELECT o_orderkey, round(o_totalprice, 2) AS eu, round(o_totalprice, 2) AS us FROM orders")
-_q("x4_parse_date", lambda s, d: _t(s, d, "orders").select("o_orderkey", X.parse_date(F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(F.concat(F.lit("on "), F.date_format("o_orderdate", "yyyy-MM-dd")))).alias("day")),
-   "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
-_q("x5_parse_boolean", lambda s, d: _t(s, d, "lineitem").groupBy(X.parse_boolean(F.when(F.col("l_returnflag") == "N", "Nein").when(F.col("l_returnflag") == "A", " JA ").otherwise("?")).alias("value")).agg(F.count(F.lit(1)).alias("n")),
-   "SELECT CASE l_returnflag WHEN 'N' THEN false WHEN 'A' THEN true END AS value, count(*) AS n FROM lineitem GROUP BY 1")
-_q("x6_coerce", lambda s, d: _t(s, d, "part").select("p_partkey", X.coerce(F.col("p_type"), "enum", ["ECONOMY", "STANDARD"]).alias("e"), X.coerce(F.col("p_brand"), "number").alias("n"), X.coerce(F.col("p_name"), "string", None, "[a-z ]+").alias("s")).select("p_partkey", F.col("e.issue").alias("e"), F.col("n.value").alias("n"), F.col("s.issue").alias("s")),
-   "SELECT p_partkey, CASE WHEN p_type NOT IN ('ECONOMY', 'STANDARD') THEN 'enum_mismatch' END AS e, concat(regexp_extract(p_brand, '(\\d+)', 1), '.0') AS n, CASE WHEN NOT regexp_full_match(p_name, '[a-z ]+') THEN 'pattern_mismatch' END AS s FROM part")
 _q("x7_validate", lambda s, d: X.validate(_wide(s, d), ["q"], {"cheap": "p < 90000"}),
    "SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS doc_id, unnest(list_filter([CASE WHEN l_linenumber >= 7 THEN 'missing_required:q' END, CASE WHEN l_extendedprice >= 90000 THEN 'rule_failed:cheap' END], lambda x: x IS NOT NULL)) AS issue FROM lineitem")
 _q("x8_label_values", lambda s, d: X.label_values(_t(s, d, "documents").select("doc_id", F.concat(F.col("text"), F.lit("\nTotal: "), F.col("n_chars").cast("string"), F.lit("\nTOTAL: 0\nDue – x")).alias("text")), ["total", "due", "none"]),
@@ -222,8 +187,6 @@ _facts = lambda s, d: s.sql(_FACT, documents=_t(s, d, "documents"))  # noqa: E73
 _F = _FACT.format(documents="documents")
 _q("v2_heading_sequence", lambda s, d: V.heading_sequence(D.markdown_blocks(_t(s, d, "documents").select("doc_id", F.concat(F.lit("# T\n\n## 1. A\n\nx\n\n## "), F.when(F.col("doc_id") % 2 == 0, "2").otherwise("3"), F.lit(". B\n\ny")).alias("text")))),
    "SELECT doc_id, doc_id % 2 = 0 AS in_order, 2 AS headings FROM documents")
-_q("v4_fact_presence", lambda s, d: V.fact_presence(_facts(s, d), _t(s, d, "documents")).groupBy("present").agg(F.count(F.lit(1)).alias("n")))
-_q("v5_foreign_values", lambda s, d: V.foreign_values(_facts(s, d), _t(s, d, "documents")).groupBy("fact_id").agg(F.count(F.lit(1)).alias("documents")))
 _q("v6_stray_digits", lambda s, d: _t(s, d, "documents").select("doc_id", F.size(V.stray_digits(F.col("text"), [r"\d{4}-\d{2}-\d{2}"])).alias("n")),
    "SELECT doc_id, CAST(len(regexp_extract_all(regexp_replace(text, '\\d{4}-\\d{2}-\\d{2}', ' ', 'g'), '\\d+')) AS INT) AS n FROM documents")
 _q("v7_absent_topics", lambda s, d: V.absent_topics(_t(s, d, "documents"), s.sql("select explode(array('the', 'unheard', 'der', 'neverthere')) as topic")),
@@ -249,8 +212,9 @@ _q("v16_rendered", lambda s, d: _t(s, d, "orders").select("o_orderkey", V.render
 
 # T: streams over the tables' files
 _q("t1_incremental_ingest", lambda s, d: (lambda k: k.finish(T.incremental_ingest(T.stream_table(s, f"{d}/documents.parquet"), k).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))))(Scratch(s, "ingest")))
-_q("t2_delta_assembly", lambda s, d: (lambda k: k.finish(T.run_to_table(T.delta_assembly(T.stream_table(s, f"{d}/conversations.parquet").selectExpr("conv_id as query_id", "turn as seq", "text", "false as last")), k)))(Scratch(s, "deltas")))
+_q("t2_delta_assembly", lambda s, d: (lambda k: k.finish(T.run_to_table(T.delta_assembly(T.stream_table(s, f"{d}/conversations.parquet").selectExpr("conv_id as query_id", "turn as seq", "text", "turn % 3 = 2 as last")), k)))(Scratch(s, "deltas")))
 _q("t3_token_bucket", lambda s, d: (lambda k: k.finish(T.run_to_table(T.token_bucket(T.stream_table(s, f"{d}/events.parquet").selectExpr("user_id as key", "event_id as id", "cast(unix_micros(cast(ts as timestamp)) / 1000000 as double) as at"), 0.02), k)))(Scratch(s, "bucket")))
+_q("t5_budget_admission", lambda s, d: (lambda k: k.finish(T.run_to_table(T.budget_admission(T.stream_table(s, f"{d}/events.parquet").selectExpr("user_id % 9 as scope", "to_date(ts) as day", "event_id as id", "cast(unix_micros(cast(ts as timestamp)) / 1000000 as double) as at", "value as amount"), 200.0), k)))(Scratch(s, "budget")))
 _q("t6_stream_attempts", lambda s, d: (lambda k: k.finish(T.run_to_table(T.attempt_limit(T.stream_table(s, f"{d}/events.parquet")), k, "complete")))(Scratch(s, "attempts")),
    "SELECT user_id, CAST(floor(epoch(ts) / 900) AS BIGINT) AS period, count(*) AS attempts, count(*) > 1 AS blocked FROM events GROUP BY 1, 2")
 _q("t9_running_usage", lambda s, d: (lambda k: k.finish(T.run_to_table(T.running_usage(T.stream_table(s, f"{d}/events.parquet")), k, "complete")))(Scratch(s, "usage")),

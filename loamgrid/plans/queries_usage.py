@@ -93,8 +93,8 @@ _q("t6_attempt_windows", lambda s, d: U.fixed_window_attempts(view(s, d, "query_
 _q("t7_idempotent_replay", lambda s, d: U.idempotent_replay(view(s, d, "query_log").withColumn("model", F.col("refused").cast("string"))),
    """SELECT id, first_value(id) OVER w AS first_id, first_value(refused) OVER w <> refused AS conflict FROM query_log
  WINDOW w AS (PARTITION BY user_id, CAST(created_at AS DATE) ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""", "query_log")
-_q("t8_lease_audit", lambda s, d: U.lease_audit(s.read.parquet(f"{d}/events.parquet")),
-   """SELECT before, after, count(*) AS n FROM (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type AS after FROM events) x WHERE before IS NOT NULL GROUP BY 1, 2""")
+_q("t8_lease_audit", lambda s, d: U.lease_audit(s.read.parquet(f"{d}/events.parquet"), [("view", "click"), ("click", "purchase"), ("signup", "view")]),
+   """SELECT before, after, count(*) AS n, concat(before, '>', after) IN ('view>click', 'click>purchase', 'signup>view') AS legal FROM (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type AS after FROM events) x WHERE before IS NOT NULL GROUP BY 1, 2""")
 
 _q("h1_keyset_page", lambda s, d: H.keyset_page(view(s, d, "turns"), (2, 10**9), 10),
    """WITH p AS (SELECT id, created_at FROM turns WHERE created_at < 2 OR (created_at = 2 AND id < 1000000000) ORDER BY created_at DESC, id DESC LIMIT 11)

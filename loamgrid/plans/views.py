@@ -20,6 +20,15 @@ VIEWS = {
     "chunks": f"""SELECT vec_id AS chunk_id, vec_id % 50 AS document_id, {_LABEL.format('label')} AS access_label,
  CAST(floor(vec_id / 50) AS INT) AS chunk_index, vec_id % 400 + 30 AS token_count, embedding FROM {{embeddings}}""",
     "questions": f"SELECT vec_id AS query_id, {_ROLE.format('(vec_id / 20)').replace('(vec_id / 20)', 'CAST(floor(vec_id / 20) AS INT)')} AS role, embedding FROM {{embeddings}} WHERE vec_id % 20 = 0",
+    "passages": f"""SELECT e.vec_id AS chunk_id, {_LABEL.format('e.label')} AS access_label, d.text AS content, e.embedding, concat('doc-', CAST(d.doc_id AS STRING), '.md') AS filename,
+ CASE WHEN d.doc_id % 3 > 0 THEN d.source END AS section_path, CASE WHEN d.doc_id % 4 > 0 THEN d.doc_id % 9 END AS page_start, CASE WHEN d.doc_id % 4 > 1 THEN d.doc_id % 9 + d.doc_id % 2 END AS page_end
+ FROM {{embeddings}} e JOIN {{documents}} d ON d.doc_id = e.vec_id""",
+    # Every 20th passage asks: a query of its own words with a phrase, an alternative and an exclusion, or a whole benchmark text.
+    "asked": f"""SELECT query_id, role, embedding, w, CASE WHEN k % 2 = 0 THEN concat('"', w3, ' ', w4, '" ', w6, ' OR ', w8, ' -', w1) ELSE b.text END AS question
+ FROM (SELECT vec_id AS query_id, CAST(floor(vec_id / 20) AS INT) AS k, {_ROLE.format('CAST(floor(vec_id / 20) AS INT)')} AS role, embedding, w,
+ {{at}}(w, 1) AS w1, {{at}}(w, 3) AS w3, {{at}}(w, 4) AS w4, {{at}}(w, 6) AS w6, {{at}}(w, 8) AS w8
+ FROM (SELECT e.vec_id, e.embedding, regexp_extract_all(lower(d.text), '([a-z][a-z]+)', 1) AS w FROM {{embeddings}} e JOIN {{documents}} d ON d.doc_id = e.vec_id WHERE e.vec_id % 20 = 0) a WHERE {{size}}(w) > 8) x
+ JOIN {{benchmark}} b ON b.item_id = x.k""",
     "role_labels": """SELECT * FROM (VALUES ('employee', 'all'), ('manager', 'all'), ('manager', 'managers'), ('hr', 'all'), ('hr', 'managers'), ('hr', 'hr'),
  ('finance', 'all'), ('finance', 'managers'), ('finance', 'finance'), ('leadership', 'all'), ('leadership', 'managers'), ('leadership', 'hr'),
  ('leadership', 'finance'), ('leadership', 'leadership')) AS t(role, label)""",
@@ -40,12 +49,12 @@ VIEWS = {
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in VIEWS[name]}
-    return spark.sql(VIEWS[name], **used)
+    return spark.sql(VIEWS[name].replace("{size}", "size").replace("{at}", "element_at"), **used)
 
 
 def with_views(sql: str, *names: str) -> str:
     """``sql`` for the other engine, with the named views in front."""
-    heads = ", ".join(f"{n} AS ({VIEWS[n].format(**{t: t for t in TABLES})})" for n in names)
+    heads = ", ".join(f"{n} AS ({VIEWS[n].format(size="len", at="list_extract", **{t: t for t in TABLES})})" for n in names)
     if sql.lstrip().upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {heads}, " + sql.lstrip()[len("WITH RECURSIVE") :]
     if sql.lstrip().upper().startswith("WITH"):

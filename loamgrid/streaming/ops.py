@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loamgrid.operators.answers import SENTINEL
+from loamgrid.operators.answers import QUOTES_LINE, SENTINEL
 from loamgrid.operators.documents import chunk_documents
+from loamgrid.operators.usage import admission_step
 from loamgrid.plans.session import Scratch
+from loamgrid.sources.sinks import ReplacedTable
 
 HOLD_BACK = 24
-_QUOTES = re.compile(r"(?m)^[\s#*_>-]*QUOTES[\s:*_]*$")
+_QUOTES = re.compile(QUOTES_LINE)
 
 
 def stream_table(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
@@ -37,8 +39,19 @@ def run_to_table(stream: DataFrame, s: Scratch, mode: str = "append", write: Cal
 
 
 def incremental_ingest(docs: DataFrame, s: Scratch) -> DataFrame:
-    """Chunks of arriving documents."""
-    return run_to_table(chunk_documents(docs.select("doc_id", "text")), s)
+    """Chunks of arriving documents; a document that arrives again replaces its chunks.
+
+    Each batch chunks what has come and replaces those documents in the table (of rows that repeat an id
+    within a batch one counts). A batch that runs again after a failure writes the same again.
+    """
+    table, mark = ReplacedTable(s.spark, s.path("chunks"), "doc_id"), s.path("marks")
+
+    def write(batch: DataFrame, n: int) -> None:
+        one = batch.select("doc_id", "text").dropDuplicates(["doc_id"])
+        table.replace(n, one.select("doc_id"), chunk_documents(one))
+
+    docs.writeStream.foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return table.read()
 
 
 class DeltaAssembly:
@@ -110,6 +123,27 @@ def token_bucket_batch(requests: DataFrame, per_minute: float) -> DataFrame:
     return requests.groupBy("key").applyInPandas(run, "id long, admitted boolean, retry_after long")
 
 
+def budget_admission(requests: DataFrame, limit: float) -> DataFrame:
+    """T5 over a stream (scope, day, id, at, amount): admitted while a scope's day stays within the limit.
+
+    In order of time within each batch and scope; the state of a scope's day is one number, and a batch
+    of a hot scope passes through it piece by piece. Amounts are counted in units of 1e-8.
+    """
+    most = int(round(limit * 10**8))
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        used = state.get[0] if state.exists else 0
+        rows = []
+        for x in pd.concat(list(frames)).sort_values(["at", "id"]).itertuples():
+            used, ok = admission_step(used, int(x.units), most)
+            rows.append((x.id, ok))
+        state.update((used,))
+        yield pd.DataFrame(rows, columns=["id", "admitted"])
+
+    units = requests.select("scope", "day", "id", "at", (F.col("amount").cast("decimal(18,8)") * F.lit(10**8)).cast("long").alias("units"))
+    return units.groupBy("scope", "day").applyInPandasWithState(run, "id long, admitted boolean", "used long", "append", GroupStateTimeout.NoTimeout)
+
+
 def first_requests(requests: DataFrame, within: str = "24 hours") -> DataFrame:
     """The first request of each key within a day, in a stream."""
     return requests.withWatermark("ts", within).dropDuplicatesWithinWatermark(["key"])
