@@ -93,17 +93,17 @@ def keep_one(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """
     s = Scratch(docs.sparkSession, "exactdup")
     groups = s.finish(merge_runs(s.keep(digest_rows(docs), "digests"), s, keep=keep), "groups")
-    groups = groups.select(F.col("keep_id").alias("won"), *[F.col(k).alias(f"won_{k}") for k in _KEY]).hint("merge")
+    # An id and whether there is one, both never null: the join and the ranking after it then share one shuffle of the rows.
+    ids = lambda c: (F.coalesce(c, F.lit(0)).alias("doc_id"), c.isNull().alias("no_id"))
+    groups = groups.select(*ids(F.col("keep_id")), *_KEY).hint("merge")
     # The whole row travels as one column, so no name of the caller's can clash.
     rows = docs.select(F.struct("*").alias("row"))
     t = normalised(F.col("row")["text"])
-    rows = rows.select("row", F.col("row")["doc_id"].cast("long").alias("doc_id"), F.unhex(F.sha2(t, 256)).alias("digest"), F.octet_length(t).alias("n_bytes"), F.xxhash64(t).alias("check"))
-    same = F.col("doc_id").eqNullSafe(F.col("won"))
-    for k in _KEY:
-        same = same & (F.col(k) == F.col(f"won_{k}"))
-    # Only rows with one id and one text are left to choose from; Spark ranks them in each task before the shuffle.
-    first = Window.partitionBy("doc_id", *_KEY).orderBy(F.xxhash64("row"))
-    return rows.join(groups, same, "left_semi").withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row.*")
+    rows = rows.select("row", *ids(F.col("row")["doc_id"].cast("long")), F.unhex(F.sha2(t, 256)).alias("digest"), F.octet_length(t).alias("n_bytes"), F.xxhash64(t).alias("check"))
+    # Only rows with one id and one text are left to choose from.
+    own = ["doc_id", "no_id", *_KEY]
+    first = Window.partitionBy(*own).orderBy(F.xxhash64("row"))
+    return rows.join(groups, own, "left_semi").withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row.*")
 
 
 def op7_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
