@@ -42,8 +42,6 @@ _q("s1_markdown_blocks", lambda s, d: D.markdown_blocks(_md(s, d)).groupBy("doc_
 _q("s2_front_matter", lambda s, d: _t(s, d, "documents").select("doc_id", D.front_matter(F.concat(F.lit("---\nTitle: 'A b'\nlang: "), F.col("lang"), F.lit(" # note\n# skip\nAccess: hr\n---\n"), F.col("text"))).alias("m")).select("doc_id", F.col("m")["title"].alias("title"), F.col("m")["lang"].alias("lang"), F.col("m")["access"].alias("access")),
    "SELECT doc_id, 'A b' AS title, lang, 'hr' AS access FROM documents")
 _q("s3_plain_text", lambda s, d: _t(s, d, "documents").select("doc_id", F.length(D.plain_text(F.col("text").cast("binary"))).alias("n")), "SELECT doc_id, length(trim(text)) AS n FROM documents")
-_q("s4_mime", lambda s, d: view(s, d, "docs").select("doc_id", D.detect_mime(F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("255044462D312E37"))).otherwise(F.col("text").cast("binary")), F.col("filename")).alias("mime")),
-   "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'application/pdf' ELSE 'text/markdown' END AS mime FROM docs", "docs")
 _q("s5_admission", lambda s, d: _t(s, d, "documents").select("doc_id", D.admission(F.col("n_chars"), F.size(F.split("text", "\n")), 5000, 20).alias("reason")),
    "SELECT doc_id, CASE WHEN n_chars = 0 THEN 'empty' WHEN n_chars > 5000 THEN 'too_large' WHEN len(string_split(text, chr(10))) > 20 THEN 'too_many_pages' END AS reason FROM documents")
 _q("s6_duplicates", lambda s, d: D.duplicates(view(s, d, "docs")),
@@ -67,8 +65,6 @@ _q("s15_list_numbers", lambda s, d: D.list_numbers(_t(s, d, "lineitem").groupBy(
    """WITH b AS (SELECT l_orderkey AS page_id, l_linenumber AS block_id, CASE WHEN min(l_returnflag) = 'N' THEN 'numbered' ELSE 'p' END AS type FROM lineitem GROUP BY 1, 2),
  g AS (SELECT *, sum(CASE WHEN type = 'numbered' THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY block_id) AS g FROM b)
  SELECT page_id, block_id, CASE WHEN type = 'numbered' THEN CAST(row_number() OVER (PARTITION BY page_id, g, type ORDER BY block_id) AS INT) END AS number FROM g""")
-_q("s16_property_text", lambda s, d: _t(s, d, "part").select("p_partkey", D.property_text(F.when(F.col("p_partkey") % 2 == 0, "number").otherwise("checkbox"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("double").cast("string")).otherwise((F.col("p_size") > 25).cast("string"))).alias("t")),
-   "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS STRING) WHEN p_size > 25 THEN 'yes' ELSE 'no' END AS t FROM part")
 _q("s17_scope_closure", lambda s, d: D.scope_closure(_t(s, d, "region").selectExpr("concat('r', r_regionkey) as id", "cast(null as string) as parent").union(_t(s, d, "nation").selectExpr("concat('n', n_nationkey)", "concat('r', n_regionkey)")).union(_t(s, d, "customer").selectExpr("concat('c', c_custkey)", "concat('n', c_nationkey)")), s.sql("select 'r1' as id")),
    "SELECT 'r1' AS id UNION ALL SELECT concat('n', n_nationkey) FROM nation WHERE n_regionkey = 1 UNION ALL SELECT concat('c', c_custkey) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
 _pages = lambda s, d: _t(s, d, "pages").select(F.col("url").alias("external_id"), "page_id", F.sha2("html", 256).alias("sha256"), F.octet_length("html").alias("bytes"))
@@ -76,8 +72,6 @@ _q("s18_snapshot_diff", lambda s, d: D.snapshot_diff(_pages(s, d).filter("page_i
    """WITH p AS (SELECT url AS external_id, page_id, strlen(html) AS bytes, sha256(html) AS sha FROM pages), e AS (SELECT *, CASE WHEN page_id % 7 = 0 THEN 'x' ELSE sha END AS old FROM p WHERE page_id % 3 <> 0)
  SELECT external_id, CASE WHEN page_id % 5 = 0 THEN 'removed' WHEN page_id % 3 <> 0 AND (page_id % 2 = 0 OR page_id % 7 <> 0) THEN 'unchanged' WHEN bytes > 20000 THEN 'too_large' WHEN page_id % 3 <> 0 THEN 'updated'
  WHEN sha IN (SELECT old FROM e) THEN 'duplicate' ELSE 'added' END AS status FROM p WHERE page_id % 5 <> 0 OR page_id % 3 <> 0""")
-_q("s19_safe_filename", lambda s, d: _t(s, d, "pages").select("page_id", D.safe_filename(F.col("url")).alias("name")),
-   "SELECT page_id, concat(rtrim(left(trim(regexp_replace(regexp_replace(url, '[/\\\\]+', ' ', 'g'), ' +', ' ', 'g')), 120)), '.md') AS name FROM pages")
 _q("s20_seed_diff", lambda s, d: D.seed_diff(view(s, d, "docs").select("filename", F.sha2("text", 256).alias("sha256")), view(s, d, "docs").filter("attempts < 3").select("filename", F.sha2("text", 256).alias("sha256"))),
    "SELECT filename, sha256(text) AS sha256 FROM docs WHERE attempts >= 3", "docs")
 
@@ -150,10 +144,8 @@ _q("x7_validate", lambda s, d: X.validate(_wide(s, d), ["q"], {"cheap": "p < 900
    "SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS doc_id, unnest(list_filter([CASE WHEN l_linenumber >= 7 THEN 'missing_required:q' END, CASE WHEN l_extendedprice >= 90000 THEN 'rule_failed:cheap' END], lambda x: x IS NOT NULL)) AS issue FROM lineitem")
 _q("x8_label_values", lambda s, d: X.label_values(_t(s, d, "documents").select("doc_id", F.concat(F.col("text"), F.lit("\nTotal: "), F.col("n_chars").cast("string"), F.lit("\nTOTAL: 0\nDue – x")).alias("text")), ["total", "due", "none"]),
    "SELECT doc_id, 'total' AS field, CAST(n_chars AS STRING) AS value FROM documents UNION ALL SELECT doc_id, 'due', 'x' FROM documents")
-_q("x9_select_context", lambda s, d: X.select_context(view(s, d, "chunks").dropDuplicates(["document_id", "chunk_index"]).withColumn("score", F.col("chunk_id") % 7), 800))
 _q("x10_evidence", lambda s, d: X.evidence(_t(s, d, "documents").select("doc_id", F.lit("f").alias("field"), F.substring("text", 3, 12).alias("value"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 3, 30)).otherwise(F.lit("¤¤")).alias("quote")), _t(s, d, "documents").select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("content"))).select("doc_id", "confidence"),
    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND length(text) >= 3 THEN 0.9 ELSE 0.75 END AS confidence FROM documents")
-_q("x11_box_lookup", lambda s, d: X.box_lookup(_lines(s, d).filter("pos % 10 = 3").selectExpr("doc_id", "text as quote", "page as page_start", "page as page_end"), _lines(s, d).selectExpr("doc_id as doc", "page", "pos as block", "text")))
 _q("x12_merge_edits", lambda s, d: X.merge_edits(view(s, d, "fields").groupBy("doc_id", "field").agg(F.max("value").alias("value")), view(s, d, "fields").filter("flag = 'A'").groupBy("doc_id", "field").agg(F.min("value").alias("value"), F.lit(True).alias("edited"))),
    "SELECT doc_id, field, coalesce(min(value) FILTER (WHERE flag = 'A'), max(value)) AS value, CASE WHEN bool_or(flag = 'A') THEN 1.0 ELSE 0.75 END AS confidence FROM fields GROUP BY 1, 2", "fields")
 _q("x13_facts_passage", lambda s, d: X.facts_passage(view(s, d, "fields").groupBy("doc_id", "field").agg(F.max("value").cast("long").alias("value")), view(s, d, "docs")),
@@ -173,11 +165,9 @@ _sc = lambda s, d: view(s, d, "chunks").select((F.col("chunk_id") % 40).alias("q
 _q("q4_role_scores", lambda s, d: X.role_scores(_sc(s, d), view(s, d, "role_labels")),
    """WITH s AS (SELECT chunk_id % 40 AS query_id, access_label, token_count % 100 / 100 AS score FROM chunks) SELECT q.query_id, r.role, coalesce(max(s.score), 0.0) AS score
  FROM (SELECT DISTINCT query_id FROM s) q CROSS JOIN role_labels r LEFT JOIN s ON s.query_id = q.query_id AND s.access_label = r.label GROUP BY 1, 2""", "chunks", "role_labels")
-_q("q5_minimum_role", lambda s, d: X.minimum_role(X.role_scores(_sc(s, d), view(s, d, "role_labels")), ["employee", "manager", "hr", "finance", "leadership"], 0.5))
 _q("q6_final_pick", lambda s, d: X.final_pick(view(s, d, "docs").selectExpr("collection", "doc_id as query_id", "size_bytes % 97 as score", "access_label <> 'all' as locked"), 5),
    """WITH x AS (SELECT collection, doc_id AS query_id, size_bytes % 97 AS score, access_label <> 'all' AS locked FROM docs), p AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY score DESC, query_id) AS place, row_number() OVER (PARTITION BY collection, locked ORDER BY score DESC, query_id) AS kp FROM x),
  k AS (SELECT *, CASE WHEN kp = 1 AND place > 5 THEN 4.5 ELSE place END AS key FROM p), r AS (SELECT collection, query_id, CAST(row_number() OVER (PARTITION BY collection ORDER BY key) AS INT) AS pick FROM k) SELECT * FROM r WHERE pick <= 5""", "docs")
-_q("q7_locked_hint", lambda s, d: X.locked_hint(view(s, d, "docs"), view(s, d, "role_labels")))
 _q("q8_settle_trigger", lambda s, d: X.settle_trigger(view(s, d, "docs").withColumn("collection", F.col("doc_id") % 40)),
    "SELECT doc_id % 40 AS collection, arg_max(doc_id, processed_s * 1000000 + doc_id) AS last_doc FROM docs GROUP BY 1 HAVING count(*) FILTER (WHERE status IN ('pending', 'processing')) = 0", "docs")
 

@@ -272,3 +272,81 @@ _q(
     lambda s, d: _t(s, d, "conversations").select("conv_id", "turn", F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "").alias("w")).select("conv_id", "turn", F.round(E.word_error_rate(F.col("w"), F.filter("w", lambda x, i: i % 5 != 3)), 9).alias("rate")),
     f"SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN 0.0 ELSE round(((len(w) + 1) // 5) / len(w), 9) END AS rate FROM (SELECT conv_id, turn, {_W.format('text')} AS w FROM conversations) x",
 )
+
+# S: types, properties and names
+_TYPES = {
+    "255044462D312E37": "application/pdf", "89504E470D0A1A0A": "image/png", "FFD8FFE000104A46": "image/jpeg", "4D4D002A00000008": "image/tiff", "424D36000000": "image/bmp", "524946462A00000057454250": "image/webp",
+    "474946383961": "image/gif", "00000018667479706865696300": "image/heic", "00000018667479706D69663100": "image/heif", "504B030414000600": None, "74657874": "text/markdown", "FFFE": None,
+}
+_q(
+    "s4_mime",
+    lambda s, d: view(s, d, "docs").select("doc_id", D.detect_mime(F.unhex(_pick(F.col("doc_id"), *_TYPES)), F.when(F.col("doc_id") % 24 == 9, "A.DOCX").otherwise(F.col("filename"))).alias("mime")),
+    f"SELECT doc_id, CASE WHEN doc_id % 24 = 9 THEN '{D.DOCX}' ELSE {_sql_pick('doc_id', *_TYPES.values())} END AS mime FROM docs",
+    "docs",
+)
+_PROPS = [
+    ("title", '[{"plain_text": "%", "annotations": {"bold": true}}, {"plain_text": "x", "href": "u"}]', "**%**[x](u)"), ("number", " 3.5 ", "3.5"), ("select", '{"name": "%"}', "%"), ("status", '{"name": ""}', None),
+    ("multi_select", '[{"name": "%"}, {"name": "b"}]', "%, b"), ("date", '{"start": "2026-01-02", "end": "2026-02-03"}', "2026-01-02 → 2026-02-03"), ("date", '{"start": "2026-01-02", "end": null}', "2026-01-02"), ("checkbox", "false", "no"), ("checkbox", "true", "yes"),
+    ("url", '"http://%"', "http://%"), ("people", '[{"name": "%"}, {"name": ""}, {"id": 1}]', "%"), ("files", "[]", None), ("formula", '{"type": "string", "string": "%"}', "%"), ("formula", '{"type": "boolean", "boolean": true}', "True"), ("rollup", '{"type": "array", "array": [1]}', None),
+    ("unique_id", '{"prefix": "AB", "number": 7}', "AB-7"), ("unique_id", '{"prefix": null, "number": 7}', "7"), ("created_time", '"2026-01-02T03:04:05"', "2026-01-02T03:04:05"), ("relation", '[{"id": "a"}]', None), ("number", "null", None),
+]
+_q(
+    "s16_property_text",
+    lambda s, d: _t(s, d, "part").select("p_partkey", D.property_text(_pick(F.col("p_partkey"), *[k for k, _, _ in _PROPS]), F.replace(_pick(F.col("p_partkey"), *[v for _, v, _ in _PROPS]), F.lit("%"), F.col("p_name"))).alias("t")),
+    f"SELECT p_partkey, replace({_sql_pick('p_partkey', *[t for _, _, t in _PROPS])}, '%', p_name) AS t FROM part",
+)
+_q(
+    "s19_safe_filename",
+    lambda s, d: _t(s, d, "pages").select("page_id", D.safe_filename(_pick(F.col("page_id"), F.col("url"), F.concat(F.lit(" a  b\t/\\c"), F.col("url")), F.lit(" / "), F.repeat("url", 9))).alias("name")),
+    r"""SELECT page_id, CASE page_id % 4 WHEN 2 THEN 'untitled.md' ELSE concat(rtrim(left(trim(regexp_replace(CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat(' a  b', chr(9), '/\c', url) ELSE repeat(url, 9) END, '[\x00-\x1f/\\]+', ' ', 'g')), 120)), '.md') END AS name FROM pages""",
+)
+
+# X and Q: context, boxes, roles
+_ctx = lambda s, d: view(s, d, "chunks").dropDuplicates(["document_id", "chunk_index"]).withColumn("score", F.round(F.get("embedding", F.lit(0)).cast("double"), 6))
+_q("x9_select_context", lambda s, d: X.select_context(_ctx(s, d), 800, 2300))
+_LX = "SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) a"
+
+
+def _layout(s, d):
+    x = D.lines_of(_t(s, d, "documents"))
+    return x.select("doc_id", F.floor(F.col("pos") / 8).cast("int").alias("page"), "pos", F.col("line").alias("text"))
+
+
+def x11(s, d):
+    """Every line looked up on its page, every third one with two words more."""
+    x = _layout(s, d)
+    quote = F.when(F.col("pos") % 3 == 1, F.concat(F.lit("Zz "), "text", F.lit(" zz"))).otherwise(F.col("text"))
+    spans = x.select("doc_id", quote.alias("quote"), F.col("page").alias("page_start"), F.col("page").alias("page_end"))
+    return X.box_lookup(spans, x.selectExpr("doc_id as doc", "page", "pos as block", "text"))
+
+
+_LW = "list_distinct(regexp_split_to_array(lower(trim({0})), '[\\t-\\r ]+'))"
+_q(
+    "x11_box_lookup",
+    x11,
+    f"""WITH l AS (SELECT doc_id, pos, pos // 8 AS page, line, {_LW.format('line')} AS w FROM ({_LX}) z),
+ q AS (SELECT DISTINCT doc_id, page, CASE WHEN pos % 3 = 1 THEN concat('Zz ', line, ' zz') ELSE line END AS quote FROM l),
+ x AS (SELECT q.doc_id, q.quote, l.pos AS block, CASE WHEN contains(l.line, q.quote) THEN 1.0 ELSE len(list_intersect({_LW.format('q.quote')}, l.w)) / len({_LW.format('q.quote')}) END AS score FROM q JOIN l ON l.doc_id = q.doc_id AND l.page = q.page)
+ SELECT doc_id, quote, block, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, quote ORDER BY score DESC, block) AS n FROM x WHERE score >= 0.6) y WHERE n = 1""",
+)
+_ROLES = ["employee", "manager", "hr", "finance", "leadership"]
+_sc = lambda s, d: view(s, d, "chunks").select((F.col("chunk_id") % 40).alias("query_id"), "access_label", (F.col("token_count") % 100 / 100).alias("score"))
+_q(
+    "q5_minimum_role",
+    lambda s, d: X.minimum_role(X.role_scores(_sc(s, d), _lab(s, d)), _ROLES, 0.5),
+    """WITH s AS (SELECT chunk_id % 40 AS query_id, access_label, token_count % 100 / 100 AS score FROM chunks),
+ r AS (SELECT q.query_id, r.role, coalesce(max(s.score), 0.0) AS score FROM (SELECT DISTINCT query_id FROM s) q CROSS JOIN role_labels r LEFT JOIN s ON s.query_id = q.query_id AND s.access_label = r.label GROUP BY 1, 2),
+ b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM r)
+ SELECT query_id, coalesce(arg_min(role, list_position(['employee', 'manager', 'hr', 'finance', 'leadership'], role)) FILTER (WHERE score >= 0.5 AND score >= best - 0.03), 'employee') AS min_role FROM b GROUP BY 1""",
+    "chunks",
+    "role_labels",
+)
+_q(
+    "q7_locked_hint",
+    lambda s, d: X.locked_hint(view(s, d, "docs"), _lab(s, d)),
+    """WITH z AS (SELECT role, count(*) AS size FROM role_labels GROUP BY 1),
+ x AS (SELECT d.collection, d.filename, d.doc_id, z.size, r.role FROM docs d JOIN role_labels r ON r.label = d.access_label JOIN z ON z.role = r.role WHERE d.access_label NOT IN (SELECT label FROM role_labels WHERE role = 'employee'))
+ SELECT collection, doc_id, role FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY filename, doc_id, size, role) AS n FROM x) y WHERE n = 1""",
+    "docs",
+    "role_labels",
+)

@@ -300,3 +300,22 @@ def test_budget_stream_equals_batch(spark):
     stream = queries_documents.Q["t5_budget_admission"](spark, SF).toPandas().rename(columns={"id": "reservation_id"})
     assert cells(stream) == cells(admission_replay(e, 200.0).toPandas())
     assert 0 < stream["admitted"].sum() < len(stream)
+
+
+def test_context_keeps_whole_documents_within_the_large_budget(spark):
+    rows = [(1, i, 100, float(i)) for i in range(6)] + [(2, 0, 50, 0.0), (2, 1, 400, 9.0), (2, 2, 120, 5.0), (2, 3, 100, 7.0), (2, 4, 30, 1.0)]
+    x = spark.createDataFrame(rows, "document_id long, chunk_index int, token_count int, score double")
+    got = {}
+    for r in extraction.select_context(x, 300, 600).collect():
+        got.setdefault(r.document_id, []).append(r.chunk_index)
+    assert got[1] == list(range(6)) and got[2] == [0, 2, 3, 4]  # 700 tokens: the best chunk is too large and passed over
+
+
+def test_heading_levels(spark):
+    get = lambda z: {x.size: x.level for x in spark.range(1).select(documents.heading_levels(F.array(*map(F.lit, z))).alias("x")).first().x}
+    assert get([20.0, 19.0, 18.0, 14.0, 10.0, 6.0]) == {20.0: 1, 19.0: 1, 18.0: 2, 14.0: 3, 10.0: 3, 6.0: 3}
+
+
+def test_scope_meets_circles_once(spark):
+    nodes = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("d", "d")], "id string, parent string")
+    assert sorted(r.id for r in documents.scope_closure(nodes, spark.createDataFrame([("a",), ("x",)], "id string")).collect()) == ["a", "b", "c", "x", "y"]
