@@ -2,10 +2,12 @@
 
 Output is factored: P(word | past) = P(class | state) * P(word | class, state). Classes of the most
 frequent words are found by k-means on their neighbours in all training documents; every other word,
-seen or not, belongs to a class by its form, so the classes cover all words and the model is a full
-distribution. The ``classed`` most frequent words have a softmax on the state within their class. In a
-form class the words, which no table of fixed size could hold, are weighted by their counts over all
-training documents whatever the state, with one share kept for words it has not seen.
+seen or not, belongs to a class by its form, so the classes cover all words. The ``classed`` most
+frequent words have a softmax on the state within their class, and an input of their own. In a form
+class the words, which no table of fixed size could hold, are weighted by their counts over all
+training documents whatever the state, with one share kept for all words it has not seen together:
+each unseen word gets this share, so the model is a full distribution over the words seen and one
+unseen word.
 
 A gated recurrent unit gives the state. All training documents are dealt to ``rounds``; in each, every
 task runs truncated backpropagation over its documents of that round from the same weights, and the
@@ -52,7 +54,7 @@ class LmParams:
     classed: int = 1024  # words with a class of their own kind, 65,000 at most
     clusters: int = 32
     fill: float = 1.5  # most words of a class, as a multiple of the mean
-    hidden: int = 24
+    hidden: int = 20
     rounds: int = 4  # averages of the weights; each takes its share of the training documents
     lanes: int = 512
     window: int = 16  # steps of truncated backpropagation
@@ -251,13 +253,14 @@ def cluster_words(table: np.ndarray, p: LmParams, present: int) -> np.ndarray:
 
 
 class Gru:
-    """A gated recurrent unit over classes: input tables, recurrent weights, softmax over classes and within them."""
+    """A gated recurrent unit over words and their classes: input tables, recurrent weights, softmax over classes and within them."""
 
     def __init__(self, p: LmParams):
         rng, h, c = np.random.default_rng(p.seed), p.hidden, p.classes
         r = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
         # Index `c` of the input table begins a document.
-        self.w = {"x": r(c + 1, 3 * h), "u": r(h, 3 * h), "o": r(h, c), "b": np.zeros(c, np.float32), "v": np.zeros((p.classed, h), np.float32), "c": np.zeros(p.classed, np.float32)}
+        # A word's own row is added to that of its class; the one after the last index begins a document.
+        self.w = {"x": r(c + 1, 3 * h), "e": np.zeros((p.classed + FORMS + 2, 3 * h), np.float32), "u": r(h, 3 * h), "o": r(h, c), "b": np.zeros(c, np.float32), "v": np.zeros((p.classed, h), np.float32), "c": np.zeros(p.classed, np.float32)}
         self.h = h
 
     def set_words(self, class_of: np.ndarray, n: np.ndarray, p: LmParams) -> None:
@@ -304,9 +307,11 @@ class Gru:
                     dhs[at] += s @ v
         return out
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
-        """For inputs ``x`` after states ``h``: new states, gates z and r side by side, candidates and their recurrent part."""
+    def step(self, x: np.ndarray, h: np.ndarray, word: np.ndarray | None = None) -> tuple:
+        """For classes ``x``, and words where they are given, after states ``h``: new states, gates z and r side by side, candidates and their recurrent part."""
         n, a, g = self.h, self.w["x"][x], h @ self.w["u"]
+        if word is not None:
+            a += self.w["e"][word]
         zr = a[:, : 2 * n]
         zr += g[:, : 2 * n]
         np.exp(np.negative(zr, out=zr), out=zr)
@@ -340,13 +345,16 @@ class Gru:
             y, new = classes[t0 : t0 + p.window], starts[t0 : t0 + p.window]
             last = classes[t0 - 1] if t0 else np.full(width, p.classes)
             x = np.where(new, p.classes, np.vstack([last[None], y[:-1]]))
+            own = streams[t0 : t0 + p.window].astype(np.int64)
+            before = streams[t0 - 1] if t0 else np.full(width, p.classed + FORMS + 1)
+            word = np.where(new, p.classed + FORMS + 1, np.vstack([before[None], own[:-1]]))
             steps = len(y)
             prev, hs, c, gn = (np.empty((steps, width, n), np.float32) for _ in range(4))
             zr = np.empty((steps, width, 2 * n), np.float32)
             for t in range(steps):
                 prev[t] = h
                 prev[t][new[t]] = 0
-                hs[t], zr[t], c[t], gn[t] = self.step(x[t], prev[t])
+                hs[t], zr[t], c[t], gn[t] = self.step(x[t], prev[t], word[t])
                 h = hs[t]
             flat = hs.reshape(-1, n)
             s = flat @ w["o"]
@@ -378,7 +386,12 @@ class Gru:
             dg[:, :, 2 * n :] = dc
             hot = np.zeros((x.size, len(w["x"])), np.float32)
             hot[np.arange(x.size), x.ravel()] = 1
-            g["x"] = hot.T @ dg.reshape(-1, 3 * n)
+            flat_dg = dg.reshape(-1, 3 * n)
+            g["x"] = hot.T @ flat_dg
+            order = np.argsort(word.ravel(), kind="stable")
+            rows, first = np.unique(word.ravel()[order], return_index=True)
+            g["e"] = np.zeros_like(w["e"])
+            g["e"][rows] = np.add.reduceat(flat_dg[order], first)
             h = h.copy()
             self.turn += 1
             size = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
@@ -412,15 +425,17 @@ class Gru:
                 if index:
                     word[at : at + lens[i], k] = index[i]
                 at += lens[i]
-        h, last = np.zeros((lanes, self.h), np.float32), np.full(lanes, start)
+        h, last, said = np.zeros((lanes, self.h), np.float32), np.full(lanes, start), np.full(lanes, len(self.w["e"]) - 1)
         for t0 in range(0, total, window):
             hs = np.empty((min(window, total - t0), lanes, self.h), np.float32)
             for t in range(len(hs)):
                 on = new[t0 + t]
                 if on.any():
-                    h, last = np.where(on[:, None], 0, h).astype(np.float32), np.where(on, start, last)
-                h = self.step(last, h)[0]
+                    h, last, said = np.where(on[:, None], 0, h).astype(np.float32), np.where(on, start, last), np.where(on, len(self.w["e"]) - 1, said)
+                h = self.step(last, h, said if index else None)[0]
                 hs[t], last = h, y[t0 + t]
+                if index:
+                    said = word[t0 + t]
             who = owner[t0 : t0 + len(hs)].ravel()
             lp = self.log_probs(hs.reshape(-1, self.h), y[t0 : t0 + len(hs)].ravel())
             real = who >= 0

@@ -595,3 +595,33 @@ def test_stages_on_odd_rows(spark, docs, empty):
         d = out
     packed = cp.pack(spark, d, "").select("doc_id").distinct()
     assert packed.count() == d.select("doc_id").distinct().count()
+
+
+def test_lm_beats_its_base_on_held_out_documents(spark):
+    """The score of each document is that of a plain run over its words, one at a time, and better than its base where held out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    p = lmscore.LmParams(rounds=2, lanes=64, rate=0.01)
+    got = lmscore.score_documents(docs, langid.fold(7, 2), p).collect()
+    held = [g for g in got if g.held_out]
+    assert len(held) > 100 and sum(g.score for g in held) > 1.02 * sum(g.base_score for g in held)  # both are below zero
+
+    g, r = lmscore.Gru(p), np.random.default_rng(4)
+    present = 40
+    n = np.sort(r.integers(1, 99, present))[::-1]
+    class_of = lmscore.cluster_words(r.random((p.classed + lmscore.FORMS + 1) * 2 * lmscore._contexts(p)[1]), p, present)
+    g.set_words(class_of, n, p)
+    for k in ("e", "v", "c"):
+        g.w[k] += r.normal(0, 0.3, g.w[k].shape).astype(np.float32)
+    own = [*range(present), *range(p.classed, p.classed + lmscore.FORMS + 1)]
+    seqs = [r.choice(own, m).astype(lmscore.SEQ) for m in (1, 70, 300)]
+    for s, x in zip(seqs, g.score([class_of[s].astype(np.uint8) for s in seqs], window=16, index=seqs)):
+        h, last, word, total = np.zeros((1, p.hidden), np.float32), p.classes, p.classed + lmscore.FORMS + 1, 0.0
+        for i in s.astype(int):
+            h = g.step(np.array([last]), h, np.array([word]))[0]
+            total += g.log_probs(h, class_of[[i]])[0]
+            if i < present:
+                same = [k for k in range(present) if class_of[k] == class_of[i]]
+                z = h[0] @ g.w["v"][same].T + g.w["c"][same]
+                total += h[0] @ g.w["v"][i] + g.w["c"][i] - np.log(np.exp(z).sum())
+            last, word = class_of[i], i
+        assert abs(total - x) < 1e-2
