@@ -24,6 +24,7 @@ ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -49,12 +50,28 @@ class PackParams:
     filler: int = 256  # shorter pieces are left to fill the room that patterns leave
 
 
+# Fixed value: the parts that a tokenizer of words cuts a text into; what is between them is dropped.
+WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_words(spec: dict) -> bool:
+    """Whether a tokenizer file lower-cases, changes white space at most besides, and cuts texts into ``WORD_PARTS``."""
+    steps = lambda part, key: part.get(key, [part]) if (part := spec.get(part)) else []
+    normal, cuts = steps("normalizer", "normalizers"), steps("pre_tokenizer", "pretokenizers")
+    plain = [n["type"] in ("NFC", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " ") for n in normal]
+    lower = any(n["type"] == "Lowercase" for n in normal)
+    first = cuts[0] if cuts else {}
+    parts = first.get("type") == "Split" and first.get("pattern") == {"Regex": WORD_PARTS} and first.get("behavior") == "Removed" and first.get("invert") is True
+    return lower and all(plain) and parts and not any(a.get("single_word") or a.get("lstrip") or a.get("rstrip") for a in spec.get("added_tokens", []))
+
+
 class WordEncoder:
     """Token ids of whole texts, each distinct word encoded once.
 
-    Right for tokenizers that drop white space, never join across it, lower-case, and never join a
-    letter with following punctuation. Words that may hold a special token are left as they are.
-    Where the model marks the last token of a word, words of letters are encoded many at a time.
+    For tokenizers that drop white space, never join across it, lower-case, and never join a letter with
+    following punctuation; the file says whether it is one, and texts are encoded whole if not. Words
+    that may hold a special token are left as they are. Where the model marks the last token of a word,
+    words of letters are encoded many at a time.
     """
 
     def __init__(self, path: str, room: int = 1_000_000, group: int = 256):
@@ -62,6 +79,8 @@ class WordEncoder:
 
         self.tok, self.room, self.group = Tokenizer.from_file(path), room, group
         self.known: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            self.by_word = splits_words(json.load(f))
         suffix = getattr(self.tok.model, "end_of_word_suffix", None)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocab.values()) + 1, bool)
@@ -103,6 +122,8 @@ class WordEncoder:
                 self.known[w] = self.known[p[0]] + self.known[p[1]]
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        if not self.by_word:
+            return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         words = [(t.split() if b"<|" in t else t.lower().split()) if t else [] for t in texts]
         found = [list(map(self.known.get, ws)) for ws in words]
         new = {w for ws, ids in zip(words, found) if None in ids for w, x in zip(ws, ids) if x is None}

@@ -625,3 +625,16 @@ def test_lm_beats_its_base_on_held_out_documents(spark):
                 total += h[0] @ g.w["v"][i] + g.w["c"][i] - np.log(np.exp(z).sum())
             last, word = class_of[i], i
         assert abs(total - x) < 1e-2
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """A tokenizer that keeps case and joins words is not encoded word by word."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tok = Tokenizer(models.BPE({"a": 0, "B": 1, " ": 2, "a B": 3, "a ": 4, "B ": 5, "b": 6}, [("a", " "), ("a ", "B")]))
+    tok.pre_tokenizer = pre_tokenizers.Split("|", "removed")
+    path = str(tmp_path / "t.json")
+    tok.save(path)
+    enc = packing.WordEncoder(path)
+    assert not enc.by_word and packing.WordEncoder(packing.default_params().tokenizer).by_word
+    assert [list(x) for x in enc.encode([b"a B", None, b"B b|a"])] == [[3], [], tok.encode("B b|a").ids]
