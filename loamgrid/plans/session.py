@@ -27,10 +27,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one made for this application where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one made for this application, on a single machine only."""
     said = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if said:
         return said.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-loamgrid-")
