@@ -25,7 +25,7 @@ def con():
 
 def cells(df: pd.DataFrame) -> list:
     def one(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return "None"
         if isinstance(x, (bool,)) or type(x).__name__ == "bool":
             return str(bool(x))
