@@ -76,6 +76,8 @@ class PieceModel:
                 trainer = dict(_fields(v))
             elif n == 3:
                 norm = dict(_fields(v))
+        if any(k == USER for _, _, k in self.pieces):
+            raise ValueError("user-defined pieces, which go before all others, are not supported")
         self.kind = trainer.get(3, UNIGRAM)
         self.byte_fallback = bool(trainer.get(35, 0))
         self.unk = next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
@@ -142,7 +144,7 @@ class PieceCodec:
         for s, x, e, theirs in zip(segs, marked, self.tok.encode_batch_fast(marked, add_special_tokens=False), own):
             self.known[s] = np.array(e.ids, np.int32).tobytes()
             # A bare marker or a segment without one has no text of its own to compare with.
-            if x[0] == MARK and len(x) > 1 and e.ids != theirs and not self.model.squeeze:
+            if x[0] == MARK and len(x) > 1 and e.ids != theirs:
                 self.differ.add(s)
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:

@@ -638,3 +638,48 @@ def test_other_tokenizers_encode_whole_texts(tmp_path):
     enc = packing.WordEncoder(path)
     assert not enc.by_word and packing.WordEncoder(packing.default_params().tokenizer).by_word
     assert [list(x) for x in enc.encode([b"a B", None, b"B b|a"])] == [[3], [], tok.encode("B b|a").ids]
+
+
+def _piece_model(pieces_, kind, byte_fallback, squeeze):
+    """The bytes of a model file, put together by hand."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 0x7F:
+            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+        return out + bytes([n])
+
+    field = lambda n, v: varint(n << 3) + varint(v) if isinstance(v, int) else varint(n << 3 | 2) + varint(len(v)) + v
+    rows = [field(1, field(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + field(3, k)) for p, s, k in pieces_]
+    trainer = field(3, kind) + field(35, int(byte_fallback))
+    norm = field(1, b"identity") + field(3, 1) + field(4, int(squeeze)) + field(5, 1)
+    return b"".join(rows) + field(2, trainer) + field(3, norm)
+
+
+@pytest.mark.parametrize("byte_fallback,squeeze", [(True, False), (False, True), (True, True)])
+def test_unigram_models(tmp_path, byte_fallback, squeeze):
+    """Scores, unknown characters, bytes and blanks of a unigram model, against the sentencepiece library."""
+    import sentencepiece
+
+    r = random.Random(3)
+    rows = [("<unk>", 0.0, pieces.UNKNOWN), ("<s>", 0.0, pieces.CONTROL), ("</s>", 0.0, pieces.CONTROL)]
+    rows += [(f"<0x{i:02X}>", -20.0, pieces.BYTE) for i in range(256)] if byte_fallback else []
+    parts = {"▁", *"abcdefghij", *("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 4))) for _ in range(150))}
+    parts |= {"▁" + x for x in list(parts) if x != "▁" and r.random() < 0.5}
+    rows += [(x, -r.uniform(1, 12), pieces.NORMAL) for x in sorted(parts)]
+    path = str(tmp_path / "u.model")
+    with open(path, "wb") as f:
+        f.write(_piece_model(rows, pieces.UNIGRAM, byte_fallback, squeeze))
+    own, codec = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceCodec(path)
+    texts = [" ".join(word(r) for _ in range(r.randint(1, 30))) for _ in range(60)] + ["ab zü cd", "é", "", "a  b ", " j", "xyz q abc", "😀 hi"]
+    ids, parity = codec.encode(texts)
+    assert [x.tolist() for x in ids] == own.encode(texts) and all(parity)
+    codec.known.clear()
+    codec.tok = pieces.PieceModel(_piece_model([(p, -1.0 if k == pieces.NORMAL else s, k) for p, s, k in rows], pieces.UNIGRAM, byte_fallback, squeeze)).tokenizer()
+    assert not all(codec.encode(texts)[1])  # a backend with other scores is found out
+
+
+def test_user_pieces_are_refused():
+    with pytest.raises(ValueError):
+        pieces.PieceModel(_piece_model([("<unk>", 0.0, pieces.UNKNOWN), ("<x>", 0.0, pieces.USER)], pieces.UNIGRAM, False, True))
