@@ -6,8 +6,10 @@ against the classifiers' outputs, each bit weighted by how well it did in traini
 nearly the same loss mark the text as ambiguous.
 
 The classifiers are fitted on a bounded sample: about ``sample`` labelled texts altogether, dealt
-evenly to the languages by a hash of the id, so what reaches the driver is at most about
-``sample * features * 2`` bytes. Only text and label take part. Defined results: null text and text
+evenly to the languages by a hash of id and text. Both bounds follow from ``sample``: the
+``sample // 4`` commonest languages are learned (so that each has four texts or more), and no more
+than ``4 * sample + 1000`` rows of ``features * 2`` bytes reach the driver, a number that only rows
+repeating one id and text could exceed. Only text and label take part. Defined results: null text and text
 without a letter are ``und`` with score 0; a null label is not learned from; repeated rows and null
 ids are predicted like others (a null id counts as the empty text in the fold); without any labelled
 row every text is ``und``; an empty table gives an empty result; extra columns are ignored.

@@ -683,3 +683,21 @@ def test_unigram_models(tmp_path, byte_fallback, squeeze):
 def test_user_pieces_are_refused():
     with pytest.raises(ValueError):
         pieces.PieceModel(_piece_model([("<unk>", 0.0, pieces.UNKNOWN), ("<x>", 0.0, pieces.USER)], pieces.UNIGRAM, False, True))
+
+
+def test_langid_of_many_languages(spark):
+    """More languages than full codes serve: spread codewords, and texts half of one language and half of another are ambiguous."""
+    r = random.Random(21)
+    alphabets = ["".join(r.sample("abcdefghijklmnopqrstuvwxyz", 7)) for _ in range(11)]
+    text = lambda a, n: " ".join("".join(r.choice(a) for _ in range(r.randint(3, 8))) for _ in range(n))
+    rows = [(i, text(alphabets[i % 11], 40), f"l{i % 11}") for i in range(900)]
+    mixed = [(10_000 + i, text(alphabets[i % 11], 20) + " " + text(alphabets[(i + 3) % 11], 20), None) for i in range(110)]
+    docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    p = langid.LangParams()
+    codes = langid.codewords(11, p)
+    assert min((codes[i] != codes[j]).sum() for i in range(11) for j in range(i)) >= 3  # one wrong bit is corrected
+    got = {x.doc_id: x for x in langid.identify(docs, langid.fold(4, 2)).collect()}
+    held = [i for i, _, _ in rows if got[i].held_out]
+    assert len(held) > 150 and sum(got[i].lang_pred == f"l{i % 11}" for i in held) / len(held) > 0.97
+    unsure = lambda ids: sum(got[i].ambiguous for i in ids) / len(ids)
+    assert unsure([i for i, _, _ in mixed]) > 3 * unsure(held) and unsure(held) < 0.2
