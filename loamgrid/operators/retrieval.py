@@ -154,7 +154,9 @@ def fulltext_top_k(queries: DataFrame, posts: DataFrame, k: int = 10, role_label
         other = F.greatest(y["r"] - left + 1 - F.col("size"), F.lit(0))
         return F.struct(last.alias("last"), F.when(new, left).otherwise(s["left"]).alias("left"), (s["score"] + F.when(new, 1 / (1 + other)).otherwise(0.0)).alias("score"))
 
-    scored = fit.withColumn("size", size).select("query_id", "chunk_id", F.aggregate("h", start, step)["score"].alias("score"))
+    # Of a single item every place is a cover without other words.
+    score = F.when(F.col("need") == 1, F.size("h").cast("double")).otherwise(F.aggregate("h", start, step)["score"])
+    scored = fit.withColumn("size", size).select("query_id", "chunk_id", score.alias("score"))
     total = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 9).alias("score"))
     return ranked(total, k)
 
