@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.operators.documents import hard_split, token_count
+from loamgrid.plans.session import Scratch
 
 BLOCK = 1024  # rows of a block, on the average
 
@@ -123,19 +124,24 @@ def parse_query(text: Column) -> Column:
 def fulltext_top_k(queries: DataFrame, posts: DataFrame, k: int = 10, role_labels: DataFrame | None = None) -> DataFrame:
     """Chunks that fit a query (query_id, items, and role where ``role_labels`` are given), by cover density.
 
-    ``posts(chunk_id, pos, term, access_label)`` lose the labels a role may not see before anything is
-    ranked, and all terms that no query has before anything is joined. A cover is a stretch that holds
+    ``posts(chunk_id, pos, term, access_label)`` lose all terms that no query has before anything is
+    joined, and the labels a role may not see before any place is looked at. A cover is a stretch that holds
     every item of a group and no shorter one with the same left end; each adds one over one plus its
     other words. A group without a required item fits nothing. Ties go to the smaller chunk_id.
     """
-    x = queries.select("query_id", *(["role"] if role_labels is not None else []), F.posexplode("items").alias("item", "i"))
-    word = x.select("*", F.posexplode("i.words").alias("k", "term")).select("query_id", *(["role"] if role_labels is not None else []), "item", F.col("i.grp").alias("grp"), F.col("i.neg").alias("neg"), F.size("i.words").alias("n"), "k", "term")
-    posts = posts.join(word.select("term").distinct(), "term", "left_semi")
+    s = Scratch(posts.sparkSession, "fulltext")
+    queries = s.keep(queries, "queries")
+    word = queries.select("query_id", F.posexplode("items").alias("item", "i")).select("query_id", "item", F.col("i.grp").alias("grp"), F.col("i.neg").alias("neg"), F.size("i.words").alias("n"), F.posexplode("i.words").alias("k", "term"))
+    posts = s.keep(posts.join(word.select("term").distinct(), "term", "left_semi"), "postings")
+    held = posts.select("term", "chunk_id", *(["access_label"] if role_labels is not None else [])).distinct()
+    # A chunk that fits a group holds its rarest word: only such chunks are looked at.
+    often = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rare = word.filter("not neg").join(often, "term", "left").groupBy("query_id", "grp").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"))
+    open_ = rare.select("query_id", "grp", F.col("r.term").alias("term")).join(held, "term")
     if role_labels is not None:
-        word = word.join(F.broadcast(role_labels.withColumnRenamed("label", "access_label")), "role").drop("role")
-        hits = posts.join(word, ["term", "access_label"])
-    else:
-        hits = posts.join(word, "term")
+        may = queries.select("query_id", "role").join(F.broadcast(role_labels.withColumnRenamed("label", "access_label")), "role")
+        open_ = open_.join(may, ["query_id", "access_label"])
+    hits = open_.select("query_id", "grp", "chunk_id").join(word, ["query_id", "grp"]).join(posts.select("chunk_id", "term", "pos"), ["chunk_id", "term"])
     # A phrase stands where all of its words follow each other.
     found = hits.groupBy("query_id", "chunk_id", "grp", "neg", "item", "n", (F.col("pos") - F.col("k")).alias("at")).agg(F.count_distinct("k").alias("have")).filter("have = n")
     kept = queries.select("query_id", F.explode("items").alias("i")).filter("not i.neg").groupBy("query_id", F.col("i.grp").alias("grp")).agg(F.count(F.lit(1)).alias("need"))
@@ -158,7 +164,7 @@ def fulltext_top_k(queries: DataFrame, posts: DataFrame, k: int = 10, role_label
     score = F.when(F.col("need") == 1, F.size("h").cast("double")).otherwise(F.aggregate("h", start, step)["score"])
     scored = fit.withColumn("size", size).select("query_id", "chunk_id", score.alias("score"))
     total = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 9).alias("score"))
-    return ranked(total, k)
+    return s.finish(ranked(total, k))
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, role_labels: DataFrame, threshold: float, k_vector: int = 40, k_text: int = 40, fused: int = 40, top: int = 8) -> DataFrame:
