@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamgrid.llm import exactdup, langid, lmscore, neardup, packing, pieces, quality, sharding, suffixdup, warc
+from loamgrid.llm import exactdup, langid, linedup, lmscore, neardup, packing, pieces, quality, sharding, suffixdup, warc
 
 QUERIES = {
     "op1_tiered_shards": sharding.op1_tiered_shards,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_output_codes_langid": langid.op9_output_codes_langid,
     "op10_sparse_suffix_dedup": suffixdup.op10_sparse_suffix_dedup,
+    "op11_line_dedup": linedup.op11_line_dedup,
 }
 
-ORACLES = {**sharding.ORACLE, **warc.ORACLE, **exactdup.ORACLE}
+ORACLES = {**sharding.ORACLE, **warc.ORACLE, **exactdup.ORACLE, **linedup.ORACLE}
