@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamgrid.llm import exactdup, langid, linedup, lmscore, neardup, packing, pieces, quality, sharding, suffixdup, warc
+from loamgrid.llm import exactdup, hardneg, langid, linedup, lmscore, merkle, neardup, packing, pieces, quality, sharding, suffixdup, warc
 
 QUERIES = {
     "op1_tiered_shards": sharding.op1_tiered_shards,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_output_codes_langid": langid.op9_output_codes_langid,
     "op10_sparse_suffix_dedup": suffixdup.op10_sparse_suffix_dedup,
     "op11_line_dedup": linedup.op11_line_dedup,
+    "op12_strassen_hard_negatives": hardneg.op12_strassen_hard_negatives,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
-ORACLES = {**sharding.ORACLE, **warc.ORACLE, **exactdup.ORACLE, **linedup.ORACLE}
+ORACLES = {**sharding.ORACLE, **warc.ORACLE, **exactdup.ORACLE, **linedup.ORACLE, **hardneg.ORACLE, **merkle.ORACLE}
