@@ -35,7 +35,6 @@ from loamgrid.llm.exactdup import _LOWER, _UPPER
 from loamgrid.plans.session import Scratch
 
 FAN, BLOCK_LEVELS = 8, 3
-BLOCK = FAN**BLOCK_LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -200,66 +199,75 @@ def _with(rows: DataFrame, *more: tuple[str, pa.DataType]) -> str:
 # Trees
 
 
-def grow(nodes: DataFrame, s: Scratch, label: str) -> DataFrame:
+def grow(nodes: DataFrame, s: Scratch, label: str, levels: int = BLOCK_LEVELS) -> DataFrame:
     """(tree, block, above, root) for the blocks of ``nodes(tree, pos, size, node)``: the witness above each block's root."""
-    blocks = s.keep(nodes.withColumn("block", F.floor(F.col("pos") / BLOCK)).groupBy("tree", "block").applyInArrow(_root_of, "tree string, block bigint, blocks bigint, node binary"), f"{label}-roots")
+    blocks = s.keep(nodes.withColumn("block", _block(levels)).groupBy("tree", "block").applyInArrow(_root_of(levels), "tree string, block bigint, blocks bigint, node binary"), f"{label}-roots")
     if not blocks.filter("blocks > 1").limit(1).count():
         return blocks.select("tree", "block", F.lit(b"").alias("above"), F.col("node").alias("root"))
     upper = blocks.select("tree", F.col("block").alias("pos"), F.col("blocks").alias("size"), "node")
-    above = grow(upper, s, f"{label}-up")
-    return s.keep(proven(upper, above).select("tree", F.col("pos").alias("block"), F.col("witness").alias("above"), "root"), f"{label}-above")
+    above = grow(upper, s, f"{label}-up", levels)
+    return s.keep(proven(upper, above, levels).select("tree", F.col("pos").alias("block"), F.col("witness").alias("above"), "root"), f"{label}-above")
 
 
-def _append_block(t: pa.Table) -> tuple[Witnesses, bytes, list[int]]:
+def _block(levels: int) -> Column:
+    return F.floor(F.col("pos") / FAN**levels)
+
+
+def _append_block(t: pa.Table, levels: int) -> tuple[Witnesses, bytes, list[int]]:
     order = t.column("pos").to_numpy().argsort()
     w, node = Witnesses(), t.column("node")
     for i in order:
         w.append(node[int(i)].as_py())
-    alone = t.column("size")[0].as_py() <= BLOCK  # the tree ends in this block; else all blocks have one height
-    return w, w.finish(None if alone else BLOCK_LEVELS), order.tolist()
+    alone = t.column("size")[0].as_py() <= FAN**levels  # the tree ends in this block; else all blocks have one height
+    return w, w.finish(None if alone else levels), order.tolist()
+
 
+def _root_of(levels: int):
+    def run(t: pa.Table) -> pa.Table:
+        root = _append_block(t, levels)[1]
+        first = {n: t.column(n)[0].as_py() for n in ("tree", "block", "size")}
+        blocks = -(-first["size"] // FAN**levels)
+        return pa.table({"tree": pa.array([first["tree"]], pa.string()), "block": pa.array([first["block"]], pa.int64()), "blocks": pa.array([blocks], pa.int64()), "node": pa.array([root], pa.binary())})
 
-def _root_of(t: pa.Table) -> pa.Table:
-    root = _append_block(t)[1]
-    first = {n: t.column(n)[0].as_py() for n in ("tree", "block", "size")}
-    return pa.table({"tree": pa.array([first["tree"]], pa.string()), "block": pa.array([first["block"]], pa.int64()), "blocks": pa.array([-(-first["size"] // BLOCK)], pa.int64()), "node": pa.array([root], pa.binary())})
+    return run
 
 
-def proven(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def proven(nodes: DataFrame, above: DataFrame, levels: int = BLOCK_LEVELS) -> DataFrame:
     """``nodes(tree, pos, size, node)`` with each one's whole ``witness`` and its tree's ``root``; ``above`` comes from ``grow``."""
     schema = _with(nodes, ("witness", pa.binary()), ("root", pa.binary()))
     names = nodes.columns
 
     def both(t: pa.Table, up: pa.Table) -> pa.Table:
-        w, _, order = _append_block(t)
+        w, _, order = _append_block(t, levels)
         t = t.take(pa.array(order)).select(names)
         rest, root = up.column("above")[0].as_py(), up.column("root")[0].as_py()
         t = t.append_column("witness", pa.array([x + rest for x in w.proofs()], pa.binary()))
         return t.append_column("root", pa.array([root] * t.num_rows, pa.binary()))
 
-    nodes = nodes.withColumn("block", F.floor(F.col("pos") / BLOCK))
+    nodes = nodes.withColumn("block", _block(levels))
     return nodes.groupBy("tree", "block").cogroup(above.groupBy("tree", "block")).applyInArrow(both, schema)
 
 
 class Manifest:
     """The trees of a table: ``leaves`` with their places, ``blocks`` with the witness of each block and both roots."""
 
-    def __init__(self, docs: DataFrame, s: Scratch):
+    def __init__(self, docs: DataFrame, s: Scratch, levels: int = BLOCK_LEVELS):
+        self.levels = levels
         own = s.keep(leaves(docs).withColumn("n", F.monotonically_increasing_id()), "leaves")
         order = [F.col("doc_id").asc_nulls_first(), "leaf", "n"]
         self.leaves = s.keep(placed(own, s, "tree", order).drop("n").withColumnRenamed("leaf", "node"), "placed")
-        blocks = s.keep(grow(self.leaves.select("tree", "pos", "size", "node"), s, "langs"), "blocks")
+        blocks = s.keep(grow(self.leaves.select("tree", "pos", "size", "node"), s, "langs", levels), "blocks")
         # The subroots are the leaves of one more tree, named nothing.
         subroots = s.keep(blocks.filter("block = 0").select(F.lit("").alias("tree"), F.col("tree").alias("of"), F.col("root").alias("node")), "subroots")
         subroots = s.keep(placed(subroots, s, "tree", ["of"]), "languages")
-        tops = proven(subroots, grow(subroots.select("tree", "pos", "size", "node"), s, "table"))
+        tops = proven(subroots, grow(subroots.select("tree", "pos", "size", "node"), s, "table", levels), levels)
         self.languages = s.keep(tops.select(F.col("of").alias("tree"), F.col("node").alias("subroot"), F.col("witness").alias("top"), "root"), "tops")
         joined = blocks.drop("root").join(self.languages, "tree")
         self.blocks = joined.select("tree", "block", F.concat("above", "top").alias("above"), "subroot", "root")
 
     def proofs(self) -> DataFrame:
         """doc_id, tree, leaf, forged, subroot, root and the packed witness, from the leaf to the root of the table."""
-        nodes = proven(self.leaves, self.blocks.select("tree", "block", "above", F.concat("subroot", "root").alias("root")))
+        nodes = proven(self.leaves, self.blocks.select("tree", "block", "above", F.concat("subroot", "root").alias("root")), self.levels)
         two = F.col("root")
         return nodes.select("doc_id", "tree", F.col("node").alias("leaf"), "forged", F.substring(two, 1, 32).alias("subroot"), F.substring(two, 33, 32).alias("root"), "witness")
 
