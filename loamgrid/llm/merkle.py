@@ -24,7 +24,7 @@ rows and no root; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -232,9 +232,11 @@ def _root_of(levels: int):
     return run
 
 
-def proven(nodes: DataFrame, above: DataFrame, levels: int = BLOCK_LEVELS) -> DataFrame:
-    """``nodes(tree, pos, size, node)`` with each one's whole ``witness`` and its tree's ``root``; ``above`` comes from ``grow``."""
-    schema = _with(nodes, ("witness", pa.binary()), ("root", pa.binary()))
+def proven(nodes: DataFrame, above: DataFrame, levels: int = BLOCK_LEVELS, then: Callable[[pa.Table], pa.Table] | None = None, schema: str | None = None) -> DataFrame:
+    """``nodes(tree, pos, size, node)`` with each one's whole ``witness`` and its tree's ``root``; ``above`` comes from ``grow``.
+
+    ``then`` makes rows of ``schema`` of them in the same task, so that witnesses need not leave it.
+    """
     names = nodes.columns
 
     def both(t: pa.Table, up: pa.Table) -> pa.Table:
@@ -242,8 +244,10 @@ def proven(nodes: DataFrame, above: DataFrame, levels: int = BLOCK_LEVELS) -> Da
         t = t.take(pa.array(order)).select(names)
         rest, root = up.column("above")[0].as_py(), up.column("root")[0].as_py()
         t = t.append_column("witness", pa.array([x + rest for x in w.proofs()], pa.binary()))
-        return t.append_column("root", pa.array([root] * t.num_rows, pa.binary()))
+        t = t.append_column("root", pa.array([root] * t.num_rows, pa.binary()))
+        return then(t) if then else t
 
+    schema = schema or _with(nodes, ("witness", pa.binary()), ("root", pa.binary()))
     nodes = nodes.withColumn("block", _block(levels))
     return nodes.groupBy("tree", "block").cogroup(above.groupBy("tree", "block")).applyInArrow(both, schema)
 
@@ -267,31 +271,30 @@ class Manifest:
 
     def proofs(self) -> DataFrame:
         """doc_id, tree, leaf, forged, subroot, root and the packed witness, from the leaf to the root of the table."""
-        nodes = proven(self.leaves, self.blocks.select("tree", "block", "above", F.concat("subroot", "root").alias("root")), self.levels)
+        nodes = proven(self.leaves, self._above(), self.levels)
         two = F.col("root")
         return nodes.select("doc_id", "tree", F.col("node").alias("leaf"), "forged", F.substring(two, 1, 32).alias("subroot"), F.substring(two, 33, 32).alias("root"), "witness")
 
+    def checked(self) -> DataFrame:
+        """Each proof folded with the leaf as it came: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
+        return proven(self.leaves, self._above(), self.levels, _check, "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
 
-def checked(proofs: DataFrame) -> DataFrame:
-    """Each proof folded with the leaf as it came: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
-    schema = "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
+    def _above(self) -> DataFrame:
+        return self.blocks.select("tree", "block", "above", F.concat("subroot", "root").alias("root"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = {n: b.column(n).to_pylist() for n in ("leaf", "forged", "subroot", "root", "witness")}
-            folded = [fold(f or x, w) for x, f, w in zip(c["leaf"], c["forged"], c["witness"])]
-            out = {"doc_id": b.column("doc_id")} | {n: pa.array([x.hex() for x in c[n]], pa.string()) for n in ("leaf", "subroot", "root")}
-            out["proof_sha256"] = pa.array([proof_digest(w).hex() for w in c["witness"]], pa.string())
-            out["folded_root"] = pa.array([x.hex() for x in folded], pa.string())
-            out["verified"] = pa.array([x == r for x, r in zip(folded, c["root"])], pa.bool_())
-            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return proofs.mapInArrow(run, schema)
+def _check(t: pa.Table) -> pa.Table:
+    c = {n: t.column(n).to_pylist() for n in ("node", "forged", "root", "witness")}
+    folded = [fold(f or x, w) for x, f, w in zip(c["node"], c["forged"], c["witness"])]
+    text = lambda v: pa.array([x.hex() for x in v], pa.string())
+    columns = {"doc_id": t.column("doc_id"), "leaf": text(c["node"]), "subroot": text(x[:32] for x in c["root"]), "root": text(x[32:] for x in c["root"])}
+    columns |= {"proof_sha256": text(map(proof_digest, c["witness"])), "folded_root": text(folded), "verified": pa.array([x == r[32:] for x, r in zip(folded, c["root"])], pa.bool_())}
+    return pa.table(columns)
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scratch(spark, "merkle")
-    return s.finish(checked(Manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"), s).proofs()))
+    return s.finish(Manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"), s).checked())
 
 
 def _oracle(levels: int = 8, tops: int = 3) -> str:

@@ -199,7 +199,7 @@ def test_manifest(spark, docs, rows, levels):
     names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
     more = [(1000 + i, f"Text {i}", "en" if i % 50 else f"l{i}", None, i, *rows[0][5:]) for i in range(700)]
     df = docs.union(spark.createDataFrame(more, SCHEMA))
-    got = merkle.checked(merkle.Manifest(df, Scratch(spark, "t"), levels).proofs()).select(names).collect()
+    got = merkle.Manifest(df, Scratch(spark, "t"), levels).checked().select(names).collect()
     want = _manifest([*rows, *more])
     assert Counter(tuple(g) for g in got) == Counter(want)
     assert {w[6] for w in want} == {True, False}
@@ -207,10 +207,13 @@ def test_manifest(spark, docs, rows, levels):
 
 def test_manifest_of_odd_tables(spark):
     ddl = "doc_id long, source string, lang string, n_chars long, text string, tree string, node string"
-    assert merkle.checked(merkle.Manifest(spark.createDataFrame([], ddl), Scratch(spark, "t")).proofs()).count() == 0
+    assert merkle.Manifest(spark.createDataFrame([], ddl), Scratch(spark, "t")).checked().count() == 0
     for few in ([(None, None, None, None, None)], [(3, "s", "en", 1, "A")], [(3, "s", "en", 1, "A")] * 20):
         df = spark.createDataFrame([(*x, "mine", "mine") for x in few], ddl)
-        got = merkle.checked(merkle.Manifest(df, Scratch(spark, "t")).proofs()).collect()
+        m = merkle.Manifest(df, Scratch(spark, "t"))
+        got = m.checked().collect()
+        for x in m.proofs().collect():
+            assert merkle.fold(bytes(x.leaf), bytes(x.witness)) == bytes(x.root)
         want = _manifest([(i, t, lang, source, n) for i, source, lang, n, t in few])
         assert Counter(tuple(g) for g in got) == Counter(want)
 
