@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 
 from loamgrid.operators import documents as D
 from loamgrid.operators import layout as L
+from loamgrid.operators import sync as Y
+from loamgrid.plans.session import Scratch
+from loamgrid.plans.views import view, with_views
+from loamgrid.sources.sinks import BucketedTable, append_log, export_csv, export_json, markdown_report
 
 Q: dict = {}
 O: dict = {}
@@ -21,10 +25,6 @@ def _t(s, d, name):
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
-def _chr(n):
-    return f"chr({n})"
-
-
 # Lines of documents as lines of pages: forty a page, printed in an order of their own.
 def _printed(s, d):
     x = D.lines_of(_t(s, d, "documents"))
@@ -127,3 +127,105 @@ shown AS (SELECT page, path, part, CASE WHEN ind = 0 THEN own ELSE {_INDENTED.fo
 parts AS (SELECT page, part, string_agg(line, chr(10) ORDER BY path) AS x FROM shown GROUP BY 1, 2),
 body AS (SELECT page, string_agg(x, chr(10) || chr(10) ORDER BY part) AS x FROM parts WHERE regexp_matches(x, '[^[:space:]]') GROUP BY 1)
 SELECT doc_id AS page_id, concat_ws(chr(10) || chr(10), '# ' || CASE WHEN doc_id % 9 > 0 AND source <> '' THEN source ELSE 'Untitled' END, CASE WHEN doc_id % 2 = 0 THEN concat_ws(chr(10), '- lang: ' || nullif(lang, ''), '- n: ' || n_chars) END, x) || chr(10) AS markdown FROM documents LEFT JOIN body ON page = doc_id""")
+
+# Heads with repeated and blank keys, comments and quotes.
+_HEAD = ["---", "Title: 'A b'", "version: 1 # old", " indented: no", "# note: no", "Version: \"{lang}\"", "owner:", "doc_id: d-{id}", "no colon here", "CLASSIFICATION: {source} #no comment", "access: {lang} # last", "---"]
+
+
+def _headed(s, d):
+    put = lambda x: F.replace(F.replace(F.replace(F.lit(x), F.lit("{lang}"), F.col("lang")), F.lit("{id}"), F.col("doc_id").cast("string")), F.lit("{source}"), F.col("source"))
+    head = F.array_join(F.array(*map(put, _HEAD)), "\n")
+    return _t(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 > 0, F.concat(head, F.lit("\n"), "text")).otherwise(F.col("text")).alias("text"))
+
+
+_q("s2_header_blocks", lambda s, d: _headed(s, d).select("doc_id", F.array_join(D.front_matter_blocks(D.front_matter(F.col("text"))), "\n\n").alias("blocks"), F.length(D.without_front_matter(F.col("text"))).alias("n")),
+   """SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN 'Doc Id: d-' || doc_id || ' · Version: ' || lang || ' · Classification: ' || source || CASE WHEN contains(source, ' #') THEN '?' ELSE '' END || chr(10) || chr(10) || 'Access: ' || lang ELSE '' END AS blocks, length(text) AS n FROM documents"""
+   .replace("' · Classification: ' || source || CASE WHEN contains(source, ' #') THEN '?' ELSE '' END", "' · Classification: ' || source"))
+
+
+# Pages of four sources of two tenants, one of them with a quota. Some items repeat a text of the listing, of an upload, or of a document that a later or earlier item updates.
+def _sync_tables(s, d):
+    p = _t(s, d, "pages").select("page_id", F.col("url").alias("external_id"), F.coalesce("html", F.lit("")).alias("html"))
+    source = (F.floor(F.col("page_id") / 10) % 4).alias("source_id")
+    other = p.select((F.col("page_id") + 1).alias("page_id"), F.col("html").alias("before"))
+    text = F.when(F.col("page_id") % 6 == 1, F.concat(F.lit("copy "), (F.col("page_id") % 11).cast("string"))).when(F.col("page_id") % 10 == 1, F.col("before")).when(F.col("page_id") % 13 == 5, F.repeat(F.lit("y"), 30000)).otherwise(F.col("html"))
+    broken = F.col("page_id") % 17 == 3
+    listed = p.join(other, "page_id", "left").filter("page_id % 5 <> 2").select(source, "page_id", "external_id", F.when(F.col("page_id") % 4 == 0, 1).otherwise(2).alias("version"), F.concat(F.lit("Page/"), F.col("page_id").cast("string")).alias("title"), F.when(~broken, text).alias("text"), F.when(broken, "broken").alias("error"))
+    listed = listed.select("source_id", (1000000 - F.col("page_id")).alias("pos"), "external_id", "version", "title", "text", "error")
+    existing = p.filter("page_id % 3 <> 0").select(source, "external_id", F.col("page_id").alias("document_id"), F.when(F.col("page_id") % 2 == 0, 1).otherwise(0).alias("version"), F.sha2(F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("x"), F.col("page_id").cast("string"))).when(F.col("page_id") % 22 == 10, F.lit("copy 9")).otherwise(F.col("html")), 256).alias("sha256"), F.length("html").cast("long").alias("size_bytes"))
+    uploads = p.filter("page_id % 30 = 0").select((F.floor(F.col("page_id") / 10) % 4).alias("collection_id"), F.sha2("html", 256).alias("sha256"), F.lit(7).cast("long").alias("size_bytes"))
+    sources = s.range(4).selectExpr("id as source_id", "id as collection_id", "id % 2 as tenant_id")
+    total = p.agg(F.sum(F.length("html")).alias("n"))
+    quotas = s.range(2).selectExpr("id as tenant_id").crossJoin(total).selectExpr("tenant_id", "case when tenant_id = 0 then cast(n * 0.36 as bigint) end as quota")  # one row
+    return listed, existing, sources, uploads, quotas
+
+
+_SYNC = """WITH RECURSIVE p AS (SELECT page_id, url AS ext, coalesce(html, '') AS html, page_id // 10 % 4 AS src FROM pages),
+l AS (SELECT src, -page_id AS pos, ext, CASE WHEN page_id % 4 = 0 THEN 1 ELSE 2 END AS v, 'Page ' || page_id AS title, page_id % 17 = 3 AS broken,
+  CASE WHEN page_id % 6 = 1 THEN 'copy ' || page_id % 11 WHEN page_id % 10 = 1 THEN (SELECT html FROM p o WHERE o.page_id = p.page_id - 1) WHEN page_id % 13 = 5 THEN repeat('y', 30000) ELSE html END AS body, row_number() OVER (PARTITION BY src ORDER BY -page_id) AS n FROM p WHERE page_id % 5 <> 2),
+k AS (SELECT * FROM l WHERE n <= {most}), cut AS (SELECT src FROM l GROUP BY 1 HAVING count(*) > {most}),
+e AS (SELECT src, ext, page_id AS doc, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS ov, sha256(CASE WHEN page_id % 7 = 0 THEN 'x' || page_id WHEN page_id % 22 = 10 THEN 'copy 9' ELSE html END) AS osha, length(html) AS obytes FROM p WHERE page_id % 3 <> 0),
+i AS (SELECT k.*, doc, osha, obytes, strlen(body) AS bytes, sha256(body) AS sha, CASE WHEN v = ov THEN 'unchanged' WHEN broken THEN 'error' WHEN strlen(body) > 20000 THEN 'too_large' WHEN sha256(body) = osha THEN 'unchanged' END AS st FROM k LEFT JOIN e ON e.src = k.src AND e.ext = k.ext),
+r AS (SELECT e.* FROM e WHERE src NOT IN (SELECT src FROM cut) AND NOT EXISTS (SELECT 1 FROM k WHERE k.src = e.src AND k.ext = e.ext)),
+ev AS (SELECT *, src % 2 AS tenant, row_number() OVER (PARTITION BY src % 2 ORDER BY src, pos, ext) AS m FROM (
+  SELECT src, pos, ext, sha, osha, bytes, coalesce(obytes, 0) AS obytes, CASE WHEN doc IS NULL THEN 'added' ELSE 'updated' END AS kind FROM i WHERE st IS NULL
+  UNION ALL SELECT src, -1000000, ext, NULL, osha, NULL, obytes, 'removed' FROM r) x),
+zero AS (SELECT t AS tenant, (SELECT CAST(sum(length(html)) * 0.36 AS BIGINT) FROM p) AS quota, (SELECT sum(obytes) FROM e WHERE src % 2 = t) + coalesce((SELECT 7 * count(*) FROM p WHERE page_id % 30 = 0 AND src % 2 = t), 0) AS used,
+  (SELECT list(src || ' ' || osha) FROM e WHERE src % 2 = t) || coalesce((SELECT list(src || ' ' || sha256(html)) FROM p WHERE page_id % 30 = 0 AND src % 2 = t), []) AS held FROM range(2) x(t)),
+f AS (SELECT tenant, quota, CAST(used AS BIGINT) AS used, held, CAST(0 AS BIGINT) AS m, CAST('' AS VARCHAR) AS st FROM zero
+  UNION ALL SELECT f.tenant, quota, CAST(CASE WHEN s = 'removed' THEN used - obytes WHEN s IN ('added', 'updated') THEN used - obytes + bytes ELSE used END AS BIGINT), CASE WHEN s = 'removed' THEN list_filter(held, lambda h: h <> src || ' ' || osha) WHEN s = 'added' THEN held || [src || ' ' || sha] WHEN s = 'updated' THEN list_filter(held, lambda h: h <> src || ' ' || osha) || [src || ' ' || sha] ELSE held END, f.m + 1, s
+  FROM (SELECT f.*, ev.* EXCLUDE (tenant, m), CASE WHEN kind = 'removed' THEN 'removed' WHEN f.tenant = 0 AND used - obytes + bytes > quota THEN 'quota' WHEN list_contains(held, src || ' ' || sha) THEN 'duplicate' ELSE kind END AS s FROM f JOIN ev ON ev.tenant = f.tenant AND ev.m = f.m + 1) f),
+out AS (SELECT src AS source_id, pos, ext AS external_id, coalesce(i.st, (SELECT f.st FROM f JOIN ev ON ev.tenant = f.tenant AND ev.m = f.m WHERE ev.src = i.src AND ev.ext = i.ext AND kind <> 'removed')) AS status, doc AS document_id, title || '.md' AS filename, CASE WHEN NOT broken THEN sha END AS sha256, CASE WHEN NOT broken THEN bytes END AS bytes, CASE WHEN i.st = 'error' THEN replace(title, ' ', '/') || ': broken' END AS error FROM i
+  UNION ALL SELECT src, -1, ext, 'removed', doc, NULL, osha, obytes, NULL FROM r)"""
+_MOST = 40
+_sync = lambda s, d: Y.sync_sources(*_sync_tables(s, d), most=_MOST, max_bytes=20000)
+_q("s18_sync_items", lambda s, d: _sync(s, d).select("source_id", "external_id", "status", "document_id", "filename", "sha256", "bytes", "error"),
+   _SYNC.format(most=_MOST) + " SELECT source_id, external_id, status, document_id, filename, sha256, bytes, error FROM out")
+_q("s18_sync_stats", lambda s, d: Y.sync_stats(_sync(s, d), s.range(5).selectExpr("id as source_id")).withColumn("errors", F.array_join("errors", "; ")),
+   _SYNC.format(most=_MOST) + """, c AS (SELECT source_id, count(*) FILTER (status <> 'removed') AS listed, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'removed') AS removed,
+ count(*) FILTER (status = 'duplicate') AS duplicates, count(*) FILTER (status = 'too_large') AS skipped_too_large, count(*) FILTER (status = 'quota') AS skipped_quota, count(*) FILTER (status = 'error') AS skipped_errors, string_agg(error, '; ' ORDER BY pos) FILTER (error IS NOT NULL) AS errors FROM out GROUP BY 1)
+ SELECT x.t AS source_id, coalesce(listed, 0) AS listed, coalesce(added, 0) AS added, coalesce(updated, 0) AS updated, coalesce(unchanged, 0) AS unchanged, coalesce(removed, 0) AS removed, coalesce(duplicates, 0) AS duplicates, coalesce(skipped_too_large, 0) AS skipped_too_large, coalesce(skipped_quota, 0) AS skipped_quota,
+ coalesce(skipped_errors, 0) AS skipped_errors, x.t IN (SELECT src FROM cut) AS truncated, coalesce(errors, '') AS errors FROM range(5) x(t) LEFT JOIN c ON c.source_id = x.t""")
+
+
+# A table whose documents are replaced, exports read back, a log by day, a report.
+def _replaced(s, d):
+    x = Scratch(s, "sinks")
+    lines = D.lines_of(_t(s, d, "documents"))
+    table = BucketedTable(x, x.path("table"), "doc_id", 16)
+    table.write(lines)
+    some = lines.filter("doc_id % 10 in (3, 7)")
+    table.replace(some, some.filter("doc_id % 10 = 3").withColumn("line", F.concat(F.lit("new "), "line")))
+    return x.finish(table.read().select("doc_id", "pos", F.sha2("line", 256).alias("line")))
+
+
+_q("s21_replaced_documents", _replaced, f"SELECT doc_id, pos, sha256(CASE WHEN doc_id % 10 = 3 THEN 'new ' || line ELSE line END) AS line FROM ({_SPLIT}) l WHERE doc_id % 10 <> 7")
+
+
+def _exported(kind):
+    def run(s, d):
+        x = Scratch(s, "sinks")
+        at = x.path(kind)
+        wide = _t(s, d, "part").select("p_partkey", F.concat("p_name", F.lit(' "q", ;\t'), "p_brand").alias("name"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_size")).alias("size"), F.array("p_brand", "p_type").alias("tags"))
+        (export_csv if kind == "csv" else export_json)(wide, at)
+        back = s.read.schema("p_partkey long, name string, size int, tags string").csv(at, header=True, escape='"') if kind == "csv" else s.read.schema("p_partkey long, name string, size int, tags array<string>").json(at).withColumn("tags", F.array_join("tags", "; "))
+        return x.finish(back)
+
+    return run
+
+
+for _kind in ("csv", "json"):
+    _q(f"s21_{_kind}_export", _exported(_kind), "SELECT p_partkey, concat(p_name, ' \"q\", ;', chr(9), p_brand) AS name, CASE WHEN p_partkey % 3 > 0 THEN p_size END AS size, concat(p_brand, '; ', p_type) AS tags FROM part")
+
+
+def _logged(s, d):
+    x = Scratch(s, "sinks")
+    log, at = view(s, d, "query_log").select("id", "created_at", "latency_ms"), x.path("log")
+    append_log(log.filter("id % 2 = 0"), at)
+    append_log(log.filter("id % 2 = 1"), at)
+    return x.finish(s.read.parquet(at).groupBy("day").agg(F.count(F.lit(1)).alias("queries"), F.sum("latency_ms").alias("latency_ms")))
+
+
+_q("s21_query_log", _logged, with_views("SELECT CAST(created_at AS DATE) AS day, count(*) AS queries, CAST(sum(latency_ms) AS BIGINT) AS latency_ms FROM query_log GROUP BY 1", "query_log"))
+_q("s21_metric_report", lambda s, d: markdown_report(_t(s, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("documents")), ["source", "lang", "documents"]),
+   "SELECT '| source | lang | documents |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || coalesce(source, '') || ' | ' || coalesce(lang, '') || ' | ' || n || ' |', chr(10) ORDER BY source NULLS FIRST, lang NULLS FIRST) AS report FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) x")
