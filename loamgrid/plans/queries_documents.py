@@ -9,6 +9,7 @@ from loamgrid.operators import corpus as V
 from loamgrid.operators import documents as D
 from loamgrid.operators import extraction as X
 from loamgrid.operators import retrieval as R
+from loamgrid.plans import queries_state
 from loamgrid.plans.session import Scratch
 from loamgrid.plans.views import view, with_views
 from loamgrid.streaming import ops as T
@@ -203,9 +204,7 @@ _q("v16_rendered", lambda s, d: _t(s, d, "orders").select("o_orderkey", V.render
 
 # T: streams over the tables' files
 _q("t1_incremental_ingest", lambda s, d: (lambda k: k.finish(T.incremental_ingest(T.stream_table(s, f"{d}/documents.parquet"), k).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))))(Scratch(s, "ingest")))
-_q("t2_delta_assembly", lambda s, d: (lambda k: k.finish(T.run_to_table(T.delta_assembly(T.stream_table(s, f"{d}/conversations.parquet").selectExpr("conv_id as query_id", "turn as seq", "text", "turn % 3 = 2 as last")), k)))(Scratch(s, "deltas")))
-_q("t3_token_bucket", lambda s, d: (lambda k: k.finish(T.run_to_table(T.token_bucket(T.stream_table(s, f"{d}/events.parquet").selectExpr("user_id as key", "event_id as id", "cast(unix_micros(cast(ts as timestamp)) / 1000000 as double) as at"), 0.02), k)))(Scratch(s, "bucket")))
-_q("t5_budget_admission", lambda s, d: (lambda k: k.finish(T.run_to_table(T.budget_admission(T.stream_table(s, f"{d}/events.parquet").selectExpr("user_id % 9 as scope", "to_date(ts) as day", "event_id as id", "cast(unix_micros(cast(ts as timestamp)) / 1000000 as double) as at", "value as amount"), 200.0), k)))(Scratch(s, "budget")))
+Q.update({n: queries_state.Q[n] for n in ("t2_delta_assembly", "t3_token_bucket", "t5_budget_admission")})
 _q("t6_stream_attempts", lambda s, d: (lambda k: k.finish(T.run_to_table(T.attempt_limit(T.stream_table(s, f"{d}/events.parquet")), k, "complete")))(Scratch(s, "attempts")),
    "SELECT user_id, CAST(floor(epoch(ts) / 900) AS BIGINT) AS period, count(*) AS attempts, count(*) > 1 AS blocked FROM events GROUP BY 1, 2")
 _q("t9_running_usage", lambda s, d: (lambda k: k.finish(T.run_to_table(T.running_usage(T.stream_table(s, f"{d}/events.parquet")), k, "complete")))(Scratch(s, "usage")),

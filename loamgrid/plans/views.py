@@ -40,6 +40,12 @@ VIEWS = {
     "ledger": """SELECT event_id AS reservation_id, CAST(ts AS DATE) AS day, concat('ip', CAST(user_id % 9 AS STRING)) AS ip_digest,
  CASE WHEN event_type = 'signup' THEN NULL ELSE user_id END AS payer, CAST(value AS DECIMAL(18,8)) AS amount,
  CASE WHEN event_type = 'purchase' THEN CAST(CAST(value AS DECIMAL(18,8)) / 2 AS DECIMAL(18,8)) END AS actual, ts FROM {events}""",
+    # Requests of accounts that move between addresses, a third of them without an account, and what they cost in the end: known, unknown, more than reserved, told twice.
+    "spend": """SELECT event_id AS id, CAST(ts AS DATE) AS day, ts, concat('a', CAST((user_id * 7 + hour(ts)) % 40 AS STRING)) AS ip, CASE WHEN event_id % 3 > 0 THEN concat('u', CAST(user_id % 97 AS STRING)) END AS payer,
+ CAST(floor(value * 100) AS BIGINT) AS cents FROM {events}""",
+    "spent": """SELECT event_id AS id, ts + INTERVAL 1 HOUR AS ts, CASE WHEN event_id % 16 <> 1 THEN CAST(floor(value * 50) AS BIGINT) END AS cents FROM {events} WHERE event_id % 4 = 1
+ UNION ALL SELECT event_id, ts + INTERVAL 30 MINUTE, CAST(floor(value * 125) AS BIGINT) FROM {events} WHERE event_id % 4 = 2
+ UNION ALL SELECT event_id, ts + INTERVAL 2 HOUR, CAST(floor(value * CASE WHEN event_id % 8 = 2 THEN 125 ELSE 100 END) AS BIGINT) FROM {events} WHERE event_id % 4 = 2""",
     "golden": """SELECT item_id AS id, CASE item_id % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'access' WHEN 2 THEN 'no_answer' ELSE 'multi' END AS category,
  (item_id * 31) % 100 / 100.0 AS gate, (item_id * 17) % 5 = 0 AS sentinel, text FROM {benchmark}""",
     "judged": """SELECT l.doc_id, l.quality, l.toxic, d.source AS category, CAST(d.n_chars % 100 AS DOUBLE) / 100 AS gate, d.n_chars % 3 = 0 AS refused FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",

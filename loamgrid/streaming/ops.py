@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loamgrid.operators.answers import QUOTES_LINE, SENTINEL
 from loamgrid.operators.documents import chunk_documents
-from loamgrid.operators.usage import admission_step
 from loamgrid.plans.session import Scratch
 from loamgrid.sources.sinks import ReplacedTable
 
@@ -55,38 +53,49 @@ def incremental_ingest(docs: DataFrame, s: Scratch) -> DataFrame:
 
 
 class DeltaAssembly:
-    """T2 of one query: what may be shown so far of an answer that arrives in pieces."""
+    """T2 of one query: what may be shown so far of an answer that arrives in pieces, wherever they are cut.
 
-    def __init__(self, buffer: str = "", shown: int = 0, refused: bool = False):
-        self.buffer, self.shown, self.refused = buffer, shown, refused
+    It begins in phase ``head``, while the text may still turn out to be the sentinel. Then shown text runs
+    behind by as much as the line that begins the quotes may take (``text`` where what is held begins a
+    line, ``mid`` where it goes on with one). Such a line counts once its end is there; from it on all
+    goes to ``section`` and nothing is shown.
+    """
+
+    def __init__(self, phase: str = "head", held: str = "", section: str = ""):
+        self.phase, self.held, self.section = phase, held, section
+
+    @property
+    def refused(self) -> bool:
+        return self.phase == "refused"
 
     def feed(self, text: str, last: bool) -> str:
-        self.buffer += text
-        head = self.buffer.lstrip()
-        if head.startswith(SENTINEL) or (not last and SENTINEL.startswith(head)):
-            self.refused = head.startswith(SENTINEL)
+        if self.phase == "quotes":
+            self.section += text
+        if self.phase in ("quotes", "refused"):
             return ""
-        cut = _QUOTES.search(self.buffer)
-        end = cut.start() if cut else len(self.buffer) if last else max(self.shown, len(self.buffer) - HOLD_BACK)
-        out, self.shown = self.buffer[self.shown : end], max(self.shown, end)
+        self.held += text
+        if self.phase == "head":
+            begin = self.held.lstrip()
+            if begin.startswith(SENTINEL):
+                self.phase, self.held = "refused", ""
+                return ""
+            if SENTINEL.startswith(begin) and not last:
+                return ""
+            self.phase = "text"
+        before = "x" if self.phase == "mid" else ""
+        line = _QUOTES.search(before + self.held)
+        start, end = (x - len(before) for x in line.span()) if line else (len(self.held), len(self.held))
+        if line and (last or end < len(self.held)):
+            out, self.section = self.held[:start].rstrip(), self.held[end:]
+            self.phase, self.held = "quotes", ""
+            return out
+        n = len(self.held) if last else max(0, min(start, len(self.held) - HOLD_BACK))
+        out, self.held = self.held[:n], self.held[n:]
+        if out:
+            self.phase = "text" if out.endswith("\n") else "mid"
         return out
 
 
-def delta_assembly(deltas: DataFrame) -> DataFrame:
-    """(query_id, seq, text, last) to (query_id, seq, visible, refused); state per query until its last piece."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        a = DeltaAssembly(*state.get) if state.exists else DeltaAssembly()
-        rows, over = [], False
-        for x in pd.concat(list(frames)).sort_values("seq").itertuples():
-            rows.append((key[0], x.seq, a.feed(x.text or "", bool(x.last)), a.refused))
-            over = over or bool(x.last)
-        state.remove() if over and state.exists else None if over else state.update((a.buffer, a.shown, a.refused))
-        yield pd.DataFrame(rows, columns=["query_id", "seq", "visible", "refused"])
-
-    return deltas.groupBy("query_id").applyInPandasWithState(run, "query_id long, seq long, visible string, refused boolean", "buffer string, shown long, refused boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def bucket_step(tokens: float, at: float, now: float, per_minute: float) -> tuple[float, float, bool, int]:
     """(tokens, time, admitted, seconds to wait) of one request."""
     tokens = min(per_minute, tokens + max(0.0, now - at) * per_minute / 60)
@@ -95,21 +104,6 @@ def bucket_step(tokens: float, at: float, now: float, per_minute: float) -> tupl
     return tokens, now, False, int(-(-(1 - tokens) * 60 // per_minute))
 
 
-def token_bucket(requests: DataFrame, per_minute: float) -> DataFrame:
-    """T3 over a stream (key, id, at in seconds), in order of time within each batch and key."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, at = state.get if state.exists else (per_minute, 0.0)
-        rows = []
-        for x in pd.concat(list(frames)).sort_values(["at", "id"]).itertuples():
-            tokens, at, ok, wait = bucket_step(tokens, at, x.at, per_minute)
-            rows.append((x.id, ok, wait))
-        state.update((float(tokens), float(at)))
-        yield pd.DataFrame(rows, columns=["id", "admitted", "retry_after"])
-
-    return requests.groupBy("key").applyInPandasWithState(run, "id long, admitted boolean, retry_after long", "tokens double, at double", "append", GroupStateTimeout.NoTimeout)
-
-
 def token_bucket_batch(requests: DataFrame, per_minute: float) -> DataFrame:
     """T3 over a table; equal to the stream."""
 
@@ -123,27 +117,6 @@ def token_bucket_batch(requests: DataFrame, per_minute: float) -> DataFrame:
     return requests.groupBy("key").applyInPandas(run, "id long, admitted boolean, retry_after long")
 
 
-def budget_admission(requests: DataFrame, limit: float) -> DataFrame:
-    """T5 over a stream (scope, day, id, at, amount): admitted while a scope's day stays within the limit.
-
-    In order of time within each batch and scope; the state of a scope's day is one number, and a batch
-    of a hot scope passes through it piece by piece. Amounts are counted in units of 1e-8.
-    """
-    most = int(round(limit * 10**8))
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        rows = []
-        for x in pd.concat(list(frames)).sort_values(["at", "id"]).itertuples():
-            used, ok = admission_step(used, int(x.units), most)
-            rows.append((x.id, ok))
-        state.update((used,))
-        yield pd.DataFrame(rows, columns=["id", "admitted"])
-
-    units = requests.select("scope", "day", "id", "at", (F.col("amount").cast("decimal(18,8)") * F.lit(10**8)).cast("long").alias("units"))
-    return units.groupBy("scope", "day").applyInPandasWithState(run, "id long, admitted boolean", "used long", "append", GroupStateTimeout.NoTimeout)
-
-
 def first_requests(requests: DataFrame, within: str = "24 hours") -> DataFrame:
     """The first request of each key within a day, in a stream."""
     return requests.withWatermark("ts", within).dropDuplicatesWithinWatermark(["key"])
