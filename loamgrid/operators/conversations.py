@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgrid.operators.answers import resolve_quotes
+
 
 def keyset_page(rows: DataFrame, before: tuple[int, int], limit: int) -> DataFrame:
     """H1: rows strictly before a (time, id) cursor, newest first, and whether more follow."""
@@ -114,3 +116,75 @@ def constraint_audit(turns: DataFrame) -> DataFrame:
     rules = {"role_domain": ~F.col("role").isin("user", "assistant", "system"), "text_length": (F.length("text") < 1) | (F.length("text") > 400), "root_has_parent": (F.col("created_at") == 0) & F.col("parent_id").isNotNull()}
     flagged = turns.select("id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))).alias("rule"))
     return flagged.groupBy("rule").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first_id"))
+
+
+def _breaks(text: Column) -> Column:
+    """Runs of white space in a text as JSON writes it: line ends and tabs are escaped and separate no words."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)[\s&&[^\x00-\x1f]]+")).cast("int")
+
+
+def _tokens(breaks: Column) -> Column:
+    """C1 of a whole payload, whose words are those of its texts and one."""
+    return F.greatest(F.lit(1), F.bround((breaks + 1) * F.lit(1.3))).cast("int")
+
+
+def authorised_citations(citations: DataFrame, queries: DataFrame, chunks: DataFrame, docs: DataFrame, askers: DataFrame, role_labels: DataFrame) -> DataFrame:
+    """H8: citations whose chunk the asker may still see, in a ready document of the conversation's collection.
+
+    ``citations(query_id, rank, chunk_id, quoted)``, ``queries(query_id, conv_id, recency, answer)``,
+    ``askers(conv_id, collection, role)``. A chunk counts as cited with a quote, or where the answer names it.
+    """
+    may = role_labels.select("role", F.col("label").alias("access_label"))
+    x = citations.join(queries, "query_id").join(askers, "conv_id").join(chunks, "chunk_id").join(F.broadcast(may), ["role", "access_label"])  # five roles
+    x = x.join(docs.filter("status = 'ready'"), ["document_id", "collection"])
+    named = F.contains(F.coalesce("answer", F.lit("")), F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]")))
+    return x.withColumn("cited", F.coalesce("quoted", F.lit(False)) | named)
+
+
+def fit_context(turns: DataFrame, references: DataFrame, budget: int, most: int = 6) -> DataFrame:
+    """H7, H8: (conv_id, turns, references): how many of the newest questions fit, and the chunks that fit beside them.
+
+    ``turns(conv_id, query_id, recency, question)``, newest first from 0; ``references(conv_id, query_id,
+    recency, rank, cited, chunk_id, filename, section)``. Questions count as a prefix; then references
+    of these questions come in turn, cited ones first, then by recency and rank: each chunk once, ``most``
+    at most, and one that is too large is passed over. Tokens are those of all that is sent, as one text.
+    """
+    by = Window.partitionBy("conv_id").orderBy("recency").rowsBetween(Window.unboundedPreceding, 0)
+    t = turns.withColumn("b", F.sum(_breaks(F.col("question"))).over(by)).filter(_tokens(F.col("b")) <= budget)
+    held = t.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("turns"), F.max("b").cast("int").alias("b"))
+    r = references.join(t.select("conv_id", "query_id"), ["conv_id", "query_id"]).select("conv_id", F.struct((~F.col("cited")).alias("late"), "recency", "rank", "chunk_id", (_breaks(F.col("filename")) + _breaks(F.col("section"))).alias("n")).alias("r"))
+    lists = r.groupBy("conv_id").agg(F.array_sort(F.collect_list("r")).alias("refs"))  # a few questions' citations
+
+    def step(s: Column, x: Column) -> Column:
+        fits = (F.size(s["keep"]) < most) & ~F.array_contains(s["keep"], x["chunk_id"]) & (_tokens(s["b"] + x["n"]) <= budget)
+        return F.when(fits, F.struct((s["b"] + x["n"]).alias("b"), F.concat(s["keep"], F.array(x["chunk_id"])).alias("keep"))).otherwise(s)
+
+    none = F.array().cast("array<bigint>")
+    kept = F.aggregate(F.coalesce("refs", F.array().cast(lists.schema["refs"].dataType)), F.struct("b", none.alias("keep")), step)["keep"]
+    out = turns.select("conv_id").distinct().join(held, "conv_id", "left").join(lists, "conv_id", "left")
+    return out.select("conv_id", F.coalesce("turns", F.lit(0)).alias("turns"), F.when(F.col("turns").isNull(), none).otherwise(kept).alias("references"))
+
+
+def history(queries: DataFrame, citations: DataFrame, chunks: DataFrame, snippet: int = 300) -> DataFrame:
+    """Queries with their outcome, why they were refused, and their sources nested by rank.
+
+    ``queries(query_id, answer, refused, model, completion_tokens, outcome, outcome_reason)``,
+    ``citations(query_id, rank, chunk_id, score, quotes)``, ``chunks(chunk_id, document_id, filename,
+    section_path, page_start, page_end, content, access_label, chunk_index)``. A citation from before quotes
+    were kept has null; where the answer names it, the sentences that fit its claims stand for them (G11).
+    """
+    c = citations.join(chunks, "chunk_id").join(queries.select("query_id", "answer"), "query_id")
+    named = F.contains(F.coalesce("answer", F.lit("")), F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]")))
+    old = c.filter(F.col("quotes").isNull() & named)
+    spans = resolve_quotes(old.select(F.col("query_id").alias("key"), F.col("answer").alias("body"), F.lit("").alias("quotes")).distinct(), old.select(F.col("query_id").alias("key"), F.col("rank").alias("n"), "content"))
+    spans = spans.groupBy(F.col("key").alias("query_id"), F.col("n").alias("rank")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("derived"))
+    c = c.join(spans, ["query_id", "rank"], "left")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    marks = F.coalesce("quotes", F.when(named, F.coalesce("derived", none)))
+    quote = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.col("content").substr(x["start"] + 1, x["end"] - x["start"]).alias("text"))
+    pages = F.when(F.col("page_start").isNotNull(), F.array("page_start", F.coalesce("page_end", "page_start")))
+    source = F.struct(F.col("rank").alias("n"), "document_id", "filename", pages.alias("pages"), F.col("section_path").alias("section"), F.left("content", F.lit(snippet)).alias("snippet"), "score", "access_label", "chunk_id", "chunk_index", F.when(marks.isNotNull(), F.col("content")).alias("content"), F.transform(marks, quote).alias("quotes"))
+    lists = c.select("query_id", source.alias("x")).groupBy("query_id").agg(F.sort_array(F.collect_list("x")).alias("sources"))
+    reason = F.coalesce("outcome_reason", F.when(F.col("refused"), F.when(F.col("model").isNotNull() & (F.coalesce("completion_tokens", F.lit(0)) > 0), "empty_completion").otherwise("not_in_documents")))
+    out = queries.join(lists, "query_id", "left")
+    return out.select("query_id", "answer", "refused", reason.alias("reason"), F.coalesce("outcome", F.lit("legacy_unknown")).alias("outcome"), F.coalesce("sources", F.array().cast(lists.schema["sources"].dataType)).alias("sources"))

@@ -146,8 +146,6 @@ _q("x7_validate", lambda s, d: X.validate(_wide(s, d), ["q"], {"cheap": "p < 900
    "SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS doc_id, unnest(list_filter([CASE WHEN l_linenumber >= 7 THEN 'missing_required:q' END, CASE WHEN l_extendedprice >= 90000 THEN 'rule_failed:cheap' END], lambda x: x IS NOT NULL)) AS issue FROM lineitem")
 _q("x8_label_values", lambda s, d: X.label_values(_t(s, d, "documents").select("doc_id", F.concat(F.col("text"), F.lit("\nTotal: "), F.col("n_chars").cast("string"), F.lit("\nTOTAL: 0\nDue – x")).alias("text")), ["total", "due", "none"]),
    "SELECT doc_id, 'total' AS field, CAST(n_chars AS STRING) AS value FROM documents UNION ALL SELECT doc_id, 'due', 'x' FROM documents")
-_q("x10_evidence", lambda s, d: X.evidence(_t(s, d, "documents").select("doc_id", F.lit("f").alias("field"), F.substring("text", 3, 12).alias("value"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 3, 30)).otherwise(F.lit("¤¤")).alias("quote")), _t(s, d, "documents").select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("content"))).select("doc_id", "confidence"),
-   "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND length(text) >= 3 THEN 0.9 ELSE 0.75 END AS confidence FROM documents")
 _q("x12_merge_edits", lambda s, d: X.merge_edits(view(s, d, "fields").groupBy("doc_id", "field").agg(F.max("value").alias("value")), view(s, d, "fields").filter("flag = 'A'").groupBy("doc_id", "field").agg(F.min("value").alias("value"), F.lit(True).alias("edited"))),
    "SELECT doc_id, field, coalesce(min(value) FILTER (WHERE flag = 'A'), max(value)) AS value, CASE WHEN bool_or(flag = 'A') THEN 1.0 ELSE 0.75 END AS confidence FROM fields GROUP BY 1, 2", "fields")
 _q("x13_facts_passage", lambda s, d: X.facts_passage(view(s, d, "fields").groupBy("doc_id", "field").agg(F.max("value").cast("long").alias("value")), view(s, d, "docs")),

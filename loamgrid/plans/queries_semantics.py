@@ -304,31 +304,7 @@ _q(
 # X and Q: context, boxes, roles
 _ctx = lambda s, d: view(s, d, "chunks").dropDuplicates(["document_id", "chunk_index"]).withColumn("score", F.round(F.get("embedding", F.lit(0)).cast("double"), 6))
 _q("x9_select_context", lambda s, d: X.select_context(_ctx(s, d), 800, 2300))
-_LX = "SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) a"
 
-
-def _layout(s, d):
-    x = D.lines_of(_t(s, d, "documents"))
-    return x.select("doc_id", F.floor(F.col("pos") / 8).cast("int").alias("page"), "pos", F.col("line").alias("text"))
-
-
-def x11(s, d):
-    """Every line looked up on its page, every third one with two words more."""
-    x = _layout(s, d)
-    quote = F.when(F.col("pos") % 3 == 1, F.concat(F.lit("Zz "), "text", F.lit(" zz"))).otherwise(F.col("text"))
-    spans = x.select("doc_id", quote.alias("quote"), F.col("page").alias("page_start"), F.col("page").alias("page_end"))
-    return X.box_lookup(spans, x.selectExpr("doc_id as doc", "page", "pos as block", "text"))
-
-
-_LW = "list_distinct(regexp_split_to_array(lower(trim({0})), '[\\t-\\r ]+'))"
-_q(
-    "x11_box_lookup",
-    x11,
-    f"""WITH l AS (SELECT doc_id, pos, pos // 8 AS page, line, {_LW.format('line')} AS w FROM ({_LX}) z),
- q AS (SELECT DISTINCT doc_id, page, CASE WHEN pos % 3 = 1 THEN concat('Zz ', line, ' zz') ELSE line END AS quote FROM l),
- x AS (SELECT q.doc_id, q.quote, l.pos AS block, CASE WHEN contains(l.line, q.quote) THEN 1.0 ELSE len(list_intersect({_LW.format('q.quote')}, l.w)) / len({_LW.format('q.quote')}) END AS score FROM q JOIN l ON l.doc_id = q.doc_id AND l.page = q.page)
- SELECT doc_id, quote, block, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, quote ORDER BY score DESC, block) AS n FROM x WHERE score >= 0.6) y WHERE n = 1""",
-)
 _ROLES = ["employee", "manager", "hr", "finance", "leadership"]
 _sc = lambda s, d: view(s, d, "chunks").select((F.col("chunk_id") % 40).alias("query_id"), "access_label", (F.col("token_count") % 100 / 100).alias("score"))
 _q(

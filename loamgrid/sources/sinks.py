@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loamgrid.plans.session import Scratch, delete_path
 
@@ -47,15 +48,17 @@ class BucketedTable:
     be run again: it takes the keys out once more and gives the same rows. One writer at a time.
     """
 
-    def __init__(self, s: Scratch, root: str, key: str, buckets: int = 64):
-        self.s, self.root, self.key, self.buckets = s, root, key, buckets
+    def __init__(self, s: Scratch, root: str, key: str, buckets: int = 64, schema: StructType | None = None):
+        self.s, self.root, self.key, self.buckets, self.schema = s, root, key, buckets, schema
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
     def write(self, rows: DataFrame) -> None:
         """Begins the table anew."""
-        self._put(rows.withColumn("bucket", self._bucket()), "static")
+        rows = rows.withColumn("bucket", self._bucket())
+        self.schema = rows.schema
+        self._put(rows, "static")
 
     def _put(self, rows: DataFrame, mode: str) -> None:
         rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("bucket").parquet(self.root)
@@ -75,7 +78,8 @@ class BucketedTable:
             delete_path(self.s.spark, f"{self.root}/bucket={b}")
 
     def read(self, buckets: list[int] | None = None) -> DataFrame:
-        out = self.s.spark.read.parquet(self.root)
+        reader = self.s.spark.read if self.schema is None else self.s.spark.read.schema(self.schema)
+        out = reader.parquet(self.root)
         return out if buckets is None else out.filter(F.col("bucket").isin(buckets))
 
 
