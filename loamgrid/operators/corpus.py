@@ -13,6 +13,22 @@ def heading_sequence(blocks: DataFrame) -> DataFrame:
     return x.select("doc_id", (F.col("ns") == F.sequence(F.lit(1), F.size("ns"))).alias("in_order"), F.size("ns").alias("headings"))
 
 
+def heading_check(blocks: DataFrame, expected: DataFrame) -> DataFrame:
+    """V2: (doc_id, numbers_ok, wrong_titles) against ``expected(doc_id, lang, titles)``.
+
+    Headings like ``2. Title`` must be numbered from 1 as many as there are titles. In English documents
+    each must have its number's title; those that differ are listed in order.
+    """
+    form = r"^(\d+)\.\s*(.+?)\s*$"
+    h = blocks.filter("level = 2").withColumns({"n": F.regexp_extract("text", form, 1).try_cast("int"), "title": F.regexp_extract("text", form, 2)}).filter("n is not null")
+    lists = h.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block", "n", "title"))).alias("h"))
+    x = expected.join(lists, "doc_id", "left").withColumn("h", F.coalesce("h", F.array().cast(lists.schema["h"].dataType)))
+    want = F.transform(F.sequence(F.lit(0), F.size("titles")), lambda i: i)
+    numbers = F.transform("h", lambda y: y["n"]) == F.filter(want, lambda i: i > 0)
+    wrong = F.filter("h", lambda y: (y["n"] >= 1) & (y["n"] <= F.size("titles")) & (F.get("titles", y["n"] - 1) != y["title"]))
+    return x.select("doc_id", numbers.alias("numbers_ok"), F.when(F.col("lang") == "en", F.transform(wrong, lambda y: F.concat(y["n"].cast("string"), F.lit(" "), y["title"]))).otherwise(F.array().cast("array<string>")).alias("wrong_titles"))
+
+
 def has_value(text: Column, value: Column) -> Column:
     """V4: the value stands in the text and is not part of a longer number or word."""
     return F.replace(text, value, F.lit("\x00")).rlike(r"(?<![\p{L}\p{N}_.,\x00])\x00(?![\p{L}\p{N}_]|[.,]\d)")
@@ -136,3 +152,52 @@ def rendered(value: Column, kind: str, lang: str) -> Column:
     text = F.format_number(value, 2 if kind == "money" else 0)
     text = F.translate(text, ",.", ".,") if lang == "de" else text
     return {"money": F.concat(text, F.lit(" €")) if lang == "de" else F.concat(F.lit("€"), text), "percent": F.concat(text, F.lit(" %" if lang == "de" else "%"))}.get(kind, text)
+
+
+# Units in both languages, German singulars, and months.
+UNITS = {
+    "days": "Tage", "calendar days": "Kalendertage", "working days": "Arbeitstage", "business days": "Werktage", "weeks": "Wochen", "months": "Monate", "years": "Jahre", "hours": "Stunden", "minutes": "Minuten", "ms": "ms",
+    "requests per minute": "Anfragen pro Minute", "GB": "GB", "people": "Personen", "spaces": "Stellplätze", "slots": "Termine", "lines": "Zeilen", "per km": "pro km", "per month": "pro Monat", "per year": "pro Jahr", "per day": "pro Tag", "per night": "pro Nacht",
+}
+SINGULAR_DE = {
+    "Tage": "Tag", "Kalendertage": "Kalendertag", "Arbeitstage": "Arbeitstag", "Werktage": "Werktag", "Wochen": "Woche", "Monate": "Monat", "Jahre": "Jahr", "Stunden": "Stunde", "Minuten": "Minute", "Personen": "Person",
+    "Stellplätze": "Stellplatz", "Termine": "Termin", "Zeilen": "Zeile",
+}
+MONTHS = {
+    "en": ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"],
+    "de": ["Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"],
+}
+
+
+def _word(text: Column, words: dict[str, str]) -> Column:
+    """The other word where there is one, else the same."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), text), text)
+
+
+def localised(kind: Column, unit: Column, value: Column, lang: str) -> Column:
+    """A registry's value (text) as a text of a language should show it, by its kind; other kinds as they are.
+
+    Whole money has no cents and may have a unit; a count has its unit, in the singular for one; a date is
+    ``month-day``.
+    """
+    german = lang == "de"
+    n, name = value.try_cast("double"), _word(unit, UNITS) if german else unit
+    swap = lambda x: F.translate(x, ",.", ".,") if german else x
+    number = F.when(n == F.floor(n), swap(F.format_number(n.cast("long"), 0))).otherwise(swap(F.format_number(n, 2)))
+    money = F.concat(number, F.lit(" €")) if german else F.concat(F.lit("€"), number)
+    short = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", n), "0+$", ""), r"\.$", "")
+    one = _word(name, SINGULAR_DE) if german else F.when(name.endswith("s") & (name != "ms") & ~name.endswith("per minute"), F.substring(name, 1, F.length(name) - 1)).otherwise(name)
+    month, day = F.get(F.array(*map(F.lit, MONTHS[lang])), F.split_part(value, F.lit("-"), F.lit(1)).try_cast("int") - 1), F.split_part(value, F.lit("-"), F.lit(2)).try_cast("int").cast("string")
+    return (
+        F.when(kind == "money", F.concat_ws(" ", money, F.nullif(name, F.lit(""))))
+        .when(kind == "percent", F.concat(F.replace(short, F.lit("."), F.lit(",")), F.lit(" %")) if german else F.concat(short, F.lit("%")))
+        .when(kind == "count", F.concat(n.cast("long").cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(name)))
+        .when(kind == "date", F.concat(day, F.lit(". "), month) if german else F.concat(month, F.lit(" "), day))
+        .otherwise(value)
+    )
+
+
+def rendering_check(facts: DataFrame) -> DataFrame:
+    """Facts whose text of a language is not their value's: fact_id, lang, text, expected."""
+    rows = [F.struct(F.lit(x).alias("lang"), F.col(f"text_{x}").alias("text"), localised(F.col("kind"), F.col("unit"), F.col("value"), x).alias("expected")) for x in ("en", "de")]
+    return facts.select("fact_id", F.explode(F.array(*rows)).alias("r")).select("fact_id", "r.*").filter(~F.col("text").eqNullSafe(F.col("expected")))

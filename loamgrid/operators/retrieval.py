@@ -175,15 +175,41 @@ def retrieve(questions: DataFrame, chunks: DataFrame, role_labels: DataFrame, th
     best cosine under ``threshold``. ``chunks(chunk_id, access_label, content, embedding)``.
     query_id, chunk_id, rrf, fused_rank, relative, gate_score, refused; a question without hits has one row.
     """
+    near, best = _fused(questions, chunks, role_labels, k_vector, k_text, fused)
+    best = best.filter(F.col("fused_rank") <= top)
+    first = F.first("rrf").over(Window.partitionBy("query_id").orderBy("fused_rank"))
+    best = best.select("query_id", "chunk_id", "rrf", "fused_rank", F.round(F.col("rrf") / first, 9).alias("relative"))
+    return refusal_gate(questions, near, threshold).join(best, "query_id", "left").select("query_id", "chunk_id", "rrf", "fused_rank", "relative", "gate_score", "refused")
+
+
+def _fused(questions: DataFrame, chunks: DataFrame, role_labels: DataFrame, k_vector: int, k_text: int, fused: int) -> tuple[DataFrame, DataFrame]:
+    """The vector hits of each question, and both kinds of hits fused by rank."""
     near = vector_top_k(questions, chunks, role_labels, k_vector)
     text = chunks.select("chunk_id", "access_label", F.posexplode(F.regexp_extract_all(F.lower("content"), F.lit(WORD), F.lit(0))).alias("pos", "term"))
     words = fulltext_top_k(questions.select("query_id", "role", parse_query(F.col("question")).alias("items")), text, k_text, role_labels)
     cols = ["query_id", "chunk_id", "rank", "score"]
     lists = near.select(*cols, F.lit(1).alias("list_no")).unionByName(words.select(*cols, F.lit(2).alias("list_no")))
-    best = reciprocal_rank_fusion(lists, fused).filter(F.col("fused_rank") <= top)
-    first = F.first("rrf").over(Window.partitionBy("query_id").orderBy("fused_rank"))
-    best = best.select("query_id", "chunk_id", "rrf", "fused_rank", F.round(F.col("rrf") / first, 9).alias("relative"))
-    return refusal_gate(questions, near, threshold).join(best, "query_id", "left").select("query_id", "chunk_id", "rrf", "fused_rank", "relative", "gate_score", "refused")
+    return near, reciprocal_rank_fusion(lists, fused)
+
+
+def answer_contexts(
+    questions: DataFrame, chunks: DataFrame, role_labels: DataFrame, threshold: float, scorer: Callable | None = None, top: int = 8, budget: int = 18_000, chunk_max: int = 512, k_vector: int = 100, k_text: int = 100, fused: int = 40
+) -> tuple[DataFrame, DataFrame]:
+    """R10 with a reranker: for every question its gate, and the numbered blocks that its prompt is made of.
+
+    The fused hits are scored against the question (R8, or by an injected ``scorer`` of R9) and ordered
+    anew, equal ones as they were fused; the best score is the gate's. Of questions that pass it the
+    ``top`` first are packed within the budget (R16). (query_id, gate_score, refused) and
+    (query_id, n, chunk_id, header, text, total).
+    """
+    s = Scratch(questions.sparkSession, "contexts")
+    _, hits = _fused(questions, chunks, role_labels, k_vector, k_text, fused)
+    own = ["chunk_id", "content", "filename", "section_path", "page_start", "page_end"]
+    pairs = hits.select("query_id", "chunk_id", F.col("fused_rank").alias("rank")).join(questions.select("query_id", "question"), "query_id").join(chunks.select(*own), "chunk_id")
+    order = s.keep(model_rerank(pairs, scorer or (lambda q, c: F.round(overlap_score(q, c), 9)), 4000).drop("question", "rank"), "reranked")
+    gate = refusal_gate(questions, order.select("query_id", F.col("model_score").alias("score")), threshold)
+    passed = order.filter(F.col("model_rank") <= top).join(gate.filter("not refused").select("query_id"), "query_id")
+    return gate, pack_context(passed.withColumnRenamed("model_rank", "rank"), budget, chunk_max)
 
 
 def reciprocal_rank_fusion(lists: DataFrame, top: int = 40, k: int = 60) -> DataFrame:

@@ -25,6 +25,28 @@ def daily_series(log: DataFrame) -> DataFrame:
     return log.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("queries"), F.sum("prompt_tokens").alias("prompt_tokens"))
 
 
+def since(log: DataFrame, now: Column, days: int) -> DataFrame:
+    """The log of the last ``days`` days up to ``now``."""
+    return log.filter(F.col("created_at") >= now - F.make_dt_interval(F.lit(days)))
+
+
+def in_scope(log: DataFrame, user: str | None = None, ip: str | None = None) -> DataFrame:
+    """What a visitor may sum up: an account's own queries, or a guest's by address; neither: nothing."""
+    if user is not None:
+        return log.filter(F.col("user_id") == user)
+    return log.filter((F.col("ip_digest") == ip) & F.col("user_id").isNull()) if ip is not None else log.limit(0)
+
+
+def cost_summary(log: DataFrame, by: list[str]) -> DataFrame:
+    """U1 with the sum of costs; queries of unknown cost count as none."""
+    return usage_summary(log, by).join(log.groupBy(*by).agg(F.coalesce(F.sum("cost"), F.lit(0)).cast("decimal(24,6)").alias("cost_usd")), by)
+
+
+def daily_cost(log: DataFrame, by: list[str]) -> DataFrame:
+    """Queries and cost of each UTC day and scope."""
+    return log.groupBy(*by, F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.sum("cost"), F.lit(0)).cast("decimal(24,6)").alias("cost_usd"))
+
+
 def query_cost(log: DataFrame, prices: dict[str, tuple[str, str]]) -> DataFrame:
     """Cost by the model's base name (before ``@``), six places half-even; unknown model: null."""
     base = F.split_part("model", F.lit("@"), F.lit(1))
@@ -185,9 +207,10 @@ def visible_collections(collections: DataFrame, tenants: DataFrame, tenant: int)
     return collections.join(service, "tenant", "left").filter((F.col("tenant") == tenant) | (F.col("is_public") & F.col("read_only") & F.coalesce("service", F.lit(False)))).select("collection")
 
 
-def slugify(name: Column) -> Column:
-    """Lower case, runs of other characters become one hyphen, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+def slugify(name: Column, key: Column | None = None) -> Column:
+    """Lower case, runs of other characters become one hyphen, none at the ends; where nothing is left a name made of ``key``."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return slug if key is None else F.coalesce(F.nullif(slug, F.lit("")), F.concat(F.lit("collection-"), F.left(F.sha2(key.cast("string"), 256), F.lit(8))))
 
 
 def tenure(log: DataFrame, limit: int) -> DataFrame:

@@ -6,13 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamgrid.operators import answers, documents, extraction, retrieval
-from loamgrid.plans import queries_documents, queries_evidence, queries_semantics, queries_sources, queries_state, queries_usage
+from loamgrid.plans import queries_documents, queries_evidence, queries_records, queries_semantics, queries_sources, queries_state, queries_usage
 from loamgrid.plans.views import TABLES, view
 from loamgrid.streaming import ops
 
 SF = "/root/testdata/sf0.001"
-ORACLES = {**queries_usage.O, **queries_documents.O, **queries_semantics.O, **queries_sources.O, **queries_state.O, **queries_evidence.O}
-QUERIES = {**queries_usage.Q, **queries_documents.Q, **queries_semantics.Q, **queries_sources.Q, **queries_state.Q, **queries_evidence.Q}
+ORACLES = {**queries_usage.O, **queries_documents.O, **queries_semantics.O, **queries_sources.O, **queries_state.O, **queries_evidence.O, **queries_records.O}
+QUERIES = {**queries_usage.Q, **queries_documents.Q, **queries_semantics.Q, **queries_sources.Q, **queries_state.Q, **queries_evidence.Q, **queries_records.Q}
 
 
 @pytest.fixture(scope="module")
