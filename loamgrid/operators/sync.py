@@ -1,4 +1,4 @@
-"""What a run of a source does to the documents of its collection, item by item and in all."""
+"""Which pages a source takes in, and what a run of it does to the documents of its collection, item by item and in all."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgrid.operators.documents import safe_filename
+from loamgrid.operators.documents import safe_filename, scope_closure
 from loamgrid.plans.session import Scratch
 
 #: What an item can come to, and the name of its count in a source's statistics.
@@ -106,3 +106,32 @@ def sync_stats(outcome: DataFrame, sources: DataFrame, errors: int = 10) -> Data
     counts = few.groupBy("source_id").agg(F.count_if(F.col("pos") >= 0).alias("listed"), *n, F.bool_or("truncated").alias("truncated"), first.alias("errors"))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("listed", *COUNTS.values())} | {"truncated": F.coalesce("truncated", F.lit(False)), "errors": F.coalesce("errors", F.array().cast("array<string>"))}
     return sources.select("source_id").join(counts, "source_id", "left").withColumns(zero)
+
+
+def normalised_id(text: Column) -> Column:
+    """A dashed lower-case id of 32 hexadecimal digits, given as it is, without dashes, or at the end of a page's URL, whatever letters its title ends with; else null."""
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    path = F.regexp_extract(F.regexp_replace(t, r"^[A-Za-z][A-Za-z0-9+.-]*:(?=//)", ""), r"^(?://[^/?#]*)?([^?#]*)", 1)
+    ids = F.regexp_extract_all(F.replace(path, F.lit("-"), F.lit("")), F.lit("[0-9a-fA-F]{32}(?![0-9a-fA-F])"), F.lit(0))
+    plain = F.when(F.contains(t, F.lit("/")) | F.contains(t, F.lit("?")), F.try_element_at(ids, F.lit(-1))).otherwise(F.replace(t, F.lit("-"), F.lit("")))
+    hex_ = F.lower(plain)
+    cut = [F.substring(hex_, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.when(hex_.rlike(r"^[0-9a-f]{32}\z"), F.concat_ws("-", *cut))
+
+
+def pages_in_scope(objects: DataFrame, blocks: DataFrame, roots: DataFrame, hops: int = 64) -> DataFrame:
+    """Ids of the pages that a source takes in.
+
+    ``objects(id, kind, parent_id, archived)`` are pages and databases, ``blocks(id, parent_id)`` what pages
+    may stand in, ``roots(id)`` ids or URLs. A page counts if it is a root or its chain of parents, through
+    databases and blocks, meets one; archived objects end a chain unless they are roots. Without roots all
+    pages count.
+    """
+    ids = lambda df, *more: df.select(normalised_id(F.col("id")).alias("id"), *more).filter("id is not null")
+    live = ids(objects.filter(~F.coalesce("archived", F.lit(False))), "kind", normalised_id(F.col("parent_id")).alias("parent"))
+    pages = live.filter("kind = 'page'").select("id").distinct()
+    start = ids(roots).distinct()
+    if not start.limit(1).count():
+        return pages
+    nodes = live.select("id", "parent").unionByName(ids(blocks, normalised_id(F.col("parent_id")).alias("parent"))).unionByName(start.withColumn("parent", F.lit(None).cast("string")))
+    return pages.join(scope_closure(nodes, start, hops), "id", "left_semi")

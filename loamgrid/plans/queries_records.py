@@ -184,3 +184,11 @@ def golden_tables(s, d):
 
 
 _q("v14_golden_questions", lambda s, d: (lambda g: g.select("category", "role", "question", "expected_answer", "expected_refusal", *[F.array_join(F.transform(c, lambda x: F.concat_ws("#", x["doc"], F.coalesce(x["section"].cast("string"), F.lit("-")))), ",").alias(c) for c in ("expected_sources", "hidden_sources")], F.array_join("hidden_labels", ",").alias("hidden_labels"), F.array_join("hidden_values", ",").alias("hidden_values")))(N.golden_questions(*golden_tables(s, d))))
+_q("q1_ready_excerpts", lambda s, d: X.sample_excerpts(view(s, d, "docs").selectExpr("collection", "filename", "0 as chunk_index", "access_label", "size_bytes div 4 as token_count", "status")),
+   """WITH n AS (SELECT *, size_bytes // 4 AS t, row_number() OVER (PARTITION BY collection ORDER BY filename) AS n FROM docs WHERE access_label = 'all' AND status = 'ready'), r AS (SELECT *, sum(t) OVER (PARTITION BY collection ORDER BY filename) AS total FROM n WHERE n <= 12)
+ SELECT collection, filename, CAST(n AS INT) AS n, CAST(total AS BIGINT) AS total FROM r WHERE total <= 3200 OR n = 1""", "docs")
+_q("x9_greedy_context", lambda s, d: X.select_context(view(s, d, "chunks").dropDuplicates(["document_id", "chunk_index"]).withColumn("score", (F.col("chunk_id") * 37 % 101).cast("double")), 800, 2300),
+   """WITH RECURSIVE c AS (SELECT document_id AS d, chunk_index AS i, token_count AS t, chunk_id * 37 % 101 AS s, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index <> 0, chunk_id * 37 % 101 DESC, chunk_index) AS m, sum(token_count) OVER (PARTITION BY document_id) AS whole FROM chunks),
+ f AS (SELECT DISTINCT d, CAST(0 AS BIGINT) AS m, CAST(0 AS BIGINT) AS used, CAST(NULL AS INT) AS kept FROM c
+  UNION ALL SELECT d, m, CASE WHEN fits THEN used + t ELSE used END, CASE WHEN fits THEN i END FROM (SELECT f.d, c.m, f.used, c.t, c.i, used + t <= 800 OR i = 0 AS fits FROM f JOIN c ON c.d = f.d AND c.m = f.m + 1) x)
+ SELECT d AS document_id, i AS chunk_index FROM c WHERE whole <= 2300 UNION ALL SELECT d, kept FROM f WHERE kept IS NOT NULL AND d NOT IN (SELECT d FROM c WHERE whole <= 2300)""", "chunks")

@@ -229,3 +229,24 @@ def _logged(s, d):
 _q("s21_query_log", _logged, with_views("SELECT CAST(created_at AS DATE) AS day, count(*) AS queries, CAST(sum(latency_ms) AS BIGINT) AS latency_ms FROM query_log GROUP BY 1", "query_log"))
 _q("s21_metric_report", lambda s, d: markdown_report(_t(s, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("documents")), ["source", "lang", "documents"]),
    "SELECT '| source | lang | documents |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || coalesce(source, '') || ' | ' || coalesce(lang, '') || ' | ' || n || ' |', chr(10) ORDER BY source NULLS FIRST, lang NULLS FIRST) AS report FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) x")
+
+
+# Regions, nations and customers as a workspace; every third customer stands in a block, some nations are archived, ids come in all their forms.
+def _workspace(s, d, with_roots=True):
+    key = lambda p, c: F.md5(F.concat(F.lit(p), F.col(c).cast("string")))
+    dashed = lambda h: F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    live = F.lit(False)
+    objects = _t(s, d, "region").select(key("r", "r_regionkey").alias("id"), F.lit("page").alias("kind"), F.lit(None).cast("string").alias("parent_id"), live.alias("archived"))
+    objects = objects.union(_t(s, d, "nation").select(F.upper(key("n", "n_nationkey")), F.when(F.col("n_nationkey") % 4 == 0, "database").otherwise("page"), dashed(key("r", "n_regionkey")), F.col("n_nationkey") % 7 == 3))
+    objects = objects.union(_t(s, d, "customer").select(dashed(key("c", "c_custkey")), F.lit("page"), F.when(F.col("c_custkey") % 3 == 0, key("b", "c_nationkey")).when(F.col("c_custkey") % 3 == 1, key("n", "c_nationkey")).otherwise(F.lit("no id")), live))
+    blocks = _t(s, d, "nation").select(key("b", "n_nationkey").alias("id"), key("n", "n_nationkey").alias("parent_id"))
+    roots = s.range(1).select(F.explode(F.array(F.concat(F.lit("https://wiki.example/team/A-title-"), F.md5(F.lit("r1")), F.lit("?pvs=4#x")), F.upper(dashed(F.md5(F.lit("n3")))), F.lit("https://wiki.example/none"), F.lit("zz"))).alias("id")).filter(F.lit(with_roots))
+    return objects, blocks, roots
+
+
+_DASH = "{0}[1:8] || '-' || {0}[9:12] || '-' || {0}[13:16] || '-' || {0}[17:20] || '-' || {0}[21:32]"
+_WS = f"""WITH n AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation), h AS (
+  SELECT md5('r' || r_regionkey) AS h, r_regionkey = 1 AS hit FROM region UNION ALL SELECT md5('n' || n), r = 1 FROM n WHERE n % 7 <> 3 AND n % 4 > 0
+  UNION ALL SELECT md5('c' || c_custkey), c_custkey % 3 < 2 AND (c_nationkey = 3 OR (r = 1 AND n % 7 <> 3)) FROM customer JOIN n ON n = c_nationkey)"""
+_q("s17_pages_in_scope", lambda s, d: Y.pages_in_scope(*_workspace(s, d)), f"{_WS} SELECT {_DASH.format('h')} AS id FROM h WHERE hit")
+_q("s17_pages_without_roots", lambda s, d: Y.pages_in_scope(*_workspace(s, d, False)), f"{_WS} SELECT {_DASH.format('h')} AS id FROM h")

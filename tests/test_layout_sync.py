@@ -293,3 +293,18 @@ def test_references_that_are_too_large_are_passed_over(spark):
     # Words are one and the blanks inside texts: 1 + 1 + 2 for two questions; chunk 2 has too many.
     assert got == {"c": (2, [4, 3, 1]), "d": (0, [])}
     assert {x.conv_id: x.references for x in conversations.fit_context(turns, df, 12, most=2).collect()}["c"] == [4, 3]
+
+
+def test_ids_and_scopes(spark):
+    hex_ = "0123456789abcdef0123456789abcdef"
+    dashed = "01234567-89ab-cdef-0123-456789abcdef"
+    cases = {hex_: dashed, hex_.upper(): dashed, dashed: dashed, f" {dashed} ": dashed, f"https://wiki.example/Some-title-{hex_}?v={'f' * 32}#y": dashed, f"wiki/{dashed}": dashed, f"https://{hex_}.example/none": None, "zz": None, hex_[1:]: None, f"{hex_}0": None, "": None, None: None}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", sync.normalised_id(F.col("t")).alias("i")).collect()
+    assert {x.t: x.i for x in rows} == cases
+    k = lambda i: f"{i:032x}"
+    objects = [(k(1), "page", None, False), (k(2), "database", k(1), False), (k(3), "page", k(2), False), (k(4), "page", k(20), False), (k(5), "page", k(6), False), (k(6), "page", k(1), True), (k(7), "page", k(8), False), (k(8), "page", k(7), False), (k(9), "page", k(6), None)]
+    o = spark.createDataFrame(objects, "id string, kind string, parent_id string, archived boolean")
+    b = spark.createDataFrame([(k(20), k(21)), (k(21), k(3)), (k(22), None)], "id string, parent_id string")
+    found = lambda *r: sorted(int(x.id.replace("-", ""), 16) for x in sync.pages_in_scope(o, b, spark.createDataFrame([(x,) for x in r], "id string")).collect())
+    assert found(k(1)) == [1, 3, 4] and found(k(2)) == [3, 4] and found(k(6)) == [5, 9] and found(k(7)) == [7, 8]
+    assert found() == [1, 3, 4, 5, 7, 8, 9] and found("no id") == found() and found(k(99)) == []
