@@ -190,6 +190,7 @@ def _answers(s, d):
     return a, b.unionByName(c)
 
 
+_q("g11_spans", lambda s, d: G.resolve_quotes(*_answers(s, d)))
 _q("g11_resolve_quotes", lambda s, d: G.resolve_quotes(*_answers(s, d)).groupBy("n", "method").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("key").alias("answers")))
 _q(
     "g12_payload",

@@ -45,7 +45,11 @@ _q("u8_guest_import", lambda s, d: U.guest_import(view(s, d, "ledger")),
 _q("u9_settlement", lambda s, d: U.settlement(view(s, d, "ledger").withColumn("reservation_id", F.col("reservation_id") % 500)).withColumn("settled", F.col("settled").cast("double")),
    """SELECT reservation_id % 500 AS reservation_id, CAST(arg_min(actual, ts) AS DOUBLE) AS settled, count(DISTINCT actual) > 1 AS conflict,
  coalesce(arg_min(actual, ts) > max(amount), false) AS overrun FROM ledger GROUP BY 1""", "ledger")
-_q("u10_admission_replay", lambda s, d: U.admission_replay(view(s, d, "ledger"), 500.0))
+_q("u10_admission_replay", lambda s, d: U.admission_replay(view(s, d, "ledger"), 500.0),
+   """WITH RECURSIVE ev AS (SELECT day, ip_digest AS ip, reservation_id AS id, CAST(CAST(amount AS DECIMAL(38,8)) * 100000000 AS BIGINT) AS units, row_number() OVER (PARTITION BY day, ip_digest ORDER BY ts, reservation_id) AS m FROM ledger),
+ f AS (SELECT DISTINCT day, ip, CAST(0 AS BIGINT) AS m, CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS used, false AS admitted FROM ev
+ UNION ALL SELECT f.day, f.ip, ev.m, ev.id, CASE WHEN used + units <= 50000000000 THEN used + units ELSE used END, used + units <= 50000000000 FROM f JOIN ev ON ev.day = f.day AND ev.ip = f.ip AND ev.m = f.m + 1)
+ SELECT id AS reservation_id, admitted FROM f WHERE m > 0""", "ledger")
 _q("u11_ingest_status", lambda s, d: U.ingest_status(view(s, d, "docs")),
    """SELECT collection, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'processing') AS processing,
  count(*) FILTER (WHERE status = 'ready') AS ready, count(*) FILTER (WHERE status = 'failed') AS failed,

@@ -308,3 +308,11 @@ def test_ids_and_scopes(spark):
     found = lambda *r: sorted(int(x.id.replace("-", ""), 16) for x in sync.pages_in_scope(o, b, spark.createDataFrame([(x,) for x in r], "id string")).collect())
     assert found(k(1)) == [1, 3, 4] and found(k(2)) == [3, 4] and found(k(6)) == [5, 9] and found(k(7)) == [7, 8]
     assert found() == [1, 3, 4, 5, 7, 8, 9] and found("no id") == found() and found(k(99)) == []
+
+
+def test_prefix_sums_in_blocks(spark):
+    r = random.Random(6)
+    rows = [(n, [r.randrange(50) for _ in range(n)]) for n in (0, 1, 127, 128, 129, 256, 1000)]
+    got = {x.n: x.s for x in spark.createDataFrame(rows, "n int, t array<int>").select("n", documents.prefix_sums(F.col("t")).alias("s")).collect()}
+    for n, t in rows:
+        assert got[n] == [sum(t[:i]) for i in range(n + 1)]
