@@ -45,8 +45,19 @@ _q(
     lambda s, d: _t(s, d, "documents").select("doc_id", D.access_marker(_pick(F.col("doc_id"), *_MARKERS)).alias("label")),
     f"SELECT doc_id, {_sql_pick('doc_id', *_MARKERS.values())} AS label FROM documents",
 )
-_q("c4_sections", lambda s, d: D.section_rows(D.markdown_blocks(_md(s, d))).select("doc_id", "sec", "section_path", "access_label", "tokens", F.size("blocks").alias("blocks")))
-_q("c5_merge_groups", lambda s, d: D.section_rows(D.markdown_blocks(_md(s, d))).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sec", "access_label", "tokens"))).alias("x")).select("doc_id", F.posexplode(D.merge_groups(F.col("x"), 450)).alias("sec", "grp")))
+_TK = "greatest(1, CAST(round_even(len(list_filter(regexp_split_to_array({0}, '[\\t-\\r ]+'), lambda w: w <> '')) * 1.3, 0) AS INT))"
+_SECS = f"""l AS (SELECT doc_id, CAST(unnest(range(len(v))) AS INT) AS pos, unnest(v) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS v FROM documents) a),
+ b AS (SELECT doc_id, pos, 0 AS part, pos % 8 = 0 AS head, trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS t FROM l UNION ALL SELECT doc_id, pos, 1, false, 'Access: ' || ['all', 'managers', 'hr', 'finance', 'leadership'][(doc_id + pos) % 5 + 1] FROM l WHERE pos % 8 = 0 AND pos > 0),
+ k AS (SELECT *, count_if(head) OVER (PARTITION BY doc_id ORDER BY pos, part) AS sec FROM b WHERE t <> ''),
+ g AS (SELECT doc_id, sec, min(pos) AS pos, max(t) FILTER (head) AS title, CAST(sum({_TK.format('t')}) AS INT) AS tokens, CAST(count(*) AS INT) AS blocks FROM k GROUP BY 1, 2),
+ s AS (SELECT g.doc_id, sec, CASE WHEN g.title IS NOT NULL THEN CASE WHEN g.pos > 0 AND h.title IS NOT NULL THEN h.title || ' > ' ELSE '' END || g.title END AS section_path, CASE WHEN g.pos > 0 THEN ['all', 'managers', 'hr', 'finance', 'leadership'][(g.doc_id + g.pos) % 5 + 1] ELSE 'all' END AS access_label, tokens, blocks
+  FROM g LEFT JOIN (SELECT doc_id, title FROM g WHERE pos = 0) h ON h.doc_id = g.doc_id)"""
+_q("c4_sections", lambda s, d: D.section_rows(D.markdown_blocks(_md(s, d))).select("doc_id", "sec", "section_path", "access_label", "tokens", F.size("blocks").alias("blocks")), f"WITH {_SECS} SELECT doc_id, CAST(sec AS BIGINT) AS sec, section_path, access_label, tokens, blocks FROM s")
+_GROUPS = f"""{_SECS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec) AS m FROM s),
+ f AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS m, 0 AS g, CAST(0 AS BIGINT) AS t, '' AS label, false AS opn FROM o
+ UNION ALL SELECT doc_id, m, CASE WHEN joins THEN g ELSE g + 1 END, CASE WHEN joins THEN t + tokens ELSE tokens END, access_label, tokens <= 450 FROM (SELECT f.doc_id, o.m, g, t, o.tokens, o.access_label, opn AND o.tokens <= 450 AND label = o.access_label AND t + o.tokens <= 450 AS joins FROM f JOIN o ON o.doc_id = f.doc_id AND o.m = f.m + 1) x)"""
+_q("c5_merge_groups", lambda s, d: D.section_rows(D.markdown_blocks(_md(s, d))).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sec", "access_label", "tokens"))).alias("x")).select("doc_id", F.posexplode(D.merge_groups(F.col("x"), 450)).alias("sec", "grp")),
+   f"WITH RECURSIVE {_GROUPS} SELECT doc_id, CAST(m - 1 AS INT) AS sec, g AS grp FROM f WHERE m > 0")
 _W = "list_filter(regexp_split_to_array({0}, '[\\t-\\r ]+'), lambda w: w <> '')"
 _q(
     "c6_sentence_units",
@@ -61,7 +72,29 @@ _q(
     # Header: 10 words; a row: 3. 40 tokens hold 31 words, so 7 rows are a part.
     "SELECT doc_id, CAST(ceil(len(string_split(regexp_replace(text, '[\\t-\\r ]+', ' ', 'g'), ' ')) / 7.0) AS INT) AS parts FROM documents",
 )
-_q("c8_chunks", lambda s, d: D.chunk_documents(_md(s, d)).withColumn("content", F.md5("content")))
+# Windows: each ends before the unit that takes it over 450 tokens; the next begins with the last units of its second half that come to 60, or with that unit where both are over 512.
+_WINDOWS = f"""{_GROUPS},
+ gs AS (SELECT o.doc_id, f.g, o.sec, o.section_path, o.access_label, o.tokens FROM f JOIN o ON o.doc_id = f.doc_id AND o.m = f.m),
+ gb AS (SELECT gs.doc_id, gs.g, k.pos, k.part, k.t, gs.tokens > 450 AS long FROM gs JOIN k ON k.doc_id = gs.doc_id AND k.sec = gs.sec),
+ gf AS (SELECT doc_id, g, arg_min(section_path, sec) AS section_path, arg_min(access_label, sec) AS access_label FROM gs GROUP BY 1, 2),
+ u0 AS (SELECT doc_id, g, pos, part, unnest(v) AS x, unnest(range(len(v))) AS j FROM (SELECT *, string_split(regexp_replace(t, '([.!?…])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS v FROM gb WHERE long) y),
+ u1 AS (SELECT doc_id, g, pos, part, j, unnest(v) AS x, unnest(range(len(v))) AS h FROM (SELECT *, CASE WHEN {_TK.format('x')} > 512 THEN list_transform(range(0, len({_W.format('x')}), 393), lambda i: array_to_string(list_slice({_W.format('x')}, i + 1, i + 393), ' ')) ELSE [trim(x)] END AS v FROM u0) y WHERE trim(x) <> ''),
+ us AS (SELECT doc_id, g, list(x ORDER BY pos, part, j, h) AS units, list({_TK.format('x')} ORDER BY pos, part, j, h) AS n FROM u1 GROUP BY 1, 2),
+ cs AS (SELECT doc_id, g, units, len(n) AS n, list_transform(range(len(n) + 1), lambda i: coalesce(list_sum(list_slice(n, 1, i)), 0)) AS c FROM us),
+ w AS (SELECT doc_id, g, 0 AS nth, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS i0, CAST(NULL AS BIGINT) AS p, CAST(NULL AS BIGINT) AS q, false AS ended FROM cs
+  UNION ALL SELECT doc_id, g, nth + 1, CASE WHEN b IS NULL THEN a WHEN c[b + 2] - c[tail + 1] > 512 THEN b ELSE tail END, coalesce(b, n), a, coalesce(b, n), b IS NULL
+  FROM (SELECT *, coalesce(list_max(list_filter(range(a + (b - a) // 2, b + 1), lambda y: c[b + 1] - c[y + 1] >= 60)), a + (b - a) // 2) AS tail
+   FROM (SELECT w.*, cs.c, cs.n, list_filter(range(i0 + 1, cs.n), lambda y: c[y + 2] - c[a + 1] > 450)[1] AS b FROM w JOIN cs ON cs.doc_id = w.doc_id AND cs.g = w.g WHERE NOT ended) y) z),
+ ch AS (SELECT w.doc_id, w.g, nth, trim(array_to_string(list_transform(list_slice(units, p + 1, q), lambda y: CASE WHEN starts_with(y, '|') THEN chr(10) || chr(10) || y || chr(10) || chr(10) ELSE y || ' ' END), ''), ' ' || chr(10)) AS content FROM w JOIN cs ON cs.doc_id = w.doc_id AND cs.g = w.g WHERE nth > 0
+  UNION ALL SELECT doc_id, g, 0, string_agg(t, chr(10) || chr(10) ORDER BY pos, part) FROM gb GROUP BY 1, 2, 3 HAVING NOT bool_or(long)),
+ nm AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g, nth) - 1 AS chunk_index FROM ch)"""
+_q("c8_chunks", lambda s, d: D.chunk_documents(_md(s, d)).withColumn("content", F.md5("content")),
+   f"WITH RECURSIVE {_WINDOWS} SELECT nm.doc_id, CAST(chunk_index AS INT) AS chunk_index, md5(content) AS content, {_TK.format('content')} AS token_count, CAST(NULL AS INT) AS page_start, CAST(NULL AS INT) AS page_end, section_path, access_label FROM nm JOIN gf ON gf.doc_id = nm.doc_id AND gf.g = nm.g WHERE trim(content) <> ''")
+
+# T1 chunks the texts as they are: one section without a heading, each paragraph a block.
+_PLAIN = f"""k AS (SELECT doc_id, pos, 0 AS part, 0 AS sec, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM (SELECT doc_id, unnest(v) AS x, unnest(range(len(v))) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '\\n[ \\t\\r\\f\\v]*\\n\\s*') AS v FROM documents) a) b WHERE trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
+ s AS (SELECT doc_id, 0 AS sec, CAST(NULL AS VARCHAR) AS section_path, 'all' AS access_label, CAST(sum({_TK.format('t')}) AS INT) AS tokens FROM k GROUP BY 1)"""
+O["t1_incremental_ingest"] = f"WITH RECURSIVE {_WINDOWS.replace(_SECS, _PLAIN)} SELECT doc_id, count(*) AS chunks FROM nm WHERE trim(content) <> '' GROUP BY 1"
 
 # R: full text and the whole pipeline
 _RW = "[\\p{L}\\p{N}\\p{M}_]+"
