@@ -57,13 +57,14 @@ def box_lookup(spans: DataFrame, blocks: DataFrame) -> DataFrame:
     least; of equal blocks the first in order of page and block. Spans are joined page by page.
     """
     words = lambda t: F.array_distinct(F.split(t, " "))
-    s = spans.withColumn("needle", plain(F.col("quote"))).filter("needle <> ''").select("key", "doc_id", "needle", "page_start", "page_end")
+    s = spans.withColumn("needle", plain(F.col("quote"))).filter("needle <> ''").select("key", "doc_id", "needle", words(F.col("needle")).alias("wanted"), "page_start", "page_end")
     known = F.col("page_start").isNotNull() & F.col("page_end").isNotNull()
-    pages = s.filter(known & (F.col("page_start") <= F.col("page_end"))).select("key", "doc_id", "needle", F.explode(F.sequence("page_start", "page_end")).alias("page"))
-    b = blocks.withColumn("text", plain(F.col("text"))).filter("text <> ''")
-    names = ["key", "needle", "page", "block", "bbox", "size", "text"]
-    x = pages.join(b, ["doc_id", "page"]).select(names).unionByName(s.filter(~known).select("key", "doc_id", "needle").join(b, "doc_id").select(names))
-    share = F.size(F.array_intersect(words(F.col("needle")), words(F.col("text")))) / F.size(words(F.col("needle")))
+    own = ["key", "doc_id", "needle", "wanted"]
+    pages = s.filter(known & (F.col("page_start") <= F.col("page_end"))).select(*own, F.explode(F.sequence("page_start", "page_end")).alias("page"))
+    b = blocks.withColumn("text", plain(F.col("text"))).filter("text <> ''").withColumn("words", words(F.col("text")))
+    names = ["key", "needle", "wanted", "page", "block", "bbox", "size", "text", "words"]
+    x = pages.join(b, ["doc_id", "page"]).select(names).unionByName(s.filter(~known).select(own).join(b, "doc_id").select(names))
+    share = F.size(F.array_intersect("wanted", "words")) / F.size("wanted")
     x = x.withColumn("score", F.when(F.contains("text", "needle"), F.lit(1.0)).otherwise(share)).filter(F.col("score") >= LEAST_SHARE)
     top = F.min_by(F.struct("page", "bbox", "size", F.round("score", 9).alias("score")), F.struct((-F.col("score")).alias("s"), "page", "block"))
     return x.groupBy("key").agg(top.alias("x")).select("key", "x.*")
