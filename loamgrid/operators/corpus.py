@@ -86,6 +86,33 @@ def marker_placement(sections: DataFrame, expected: DataFrame) -> DataFrame:
     return x.select("doc_id", "title", fault.alias("fault"), F.col("access_label").alias("found"), F.col("label").alias("wanted")).filter("fault is not null")
 
 
+# The line that restricts a document or section, by language and label.
+MARKERS = {
+    "en": {"managers": "Access: Managers only", "hr": "Access: People & Culture only", "finance": "Access: Finance only", "leadership": "Access: Leadership only"},
+    "de": {"managers": "Zugriff: nur Führungskräfte", "hr": "Zugriff: nur People & Culture", "finance": "Zugriff: nur Finanzen", "leadership": "Zugriff: nur Geschäftsführung"},
+}
+
+
+def marker_faults(blocks: DataFrame, docs: DataFrame) -> DataFrame:
+    """V3: (doc_id, section, wanted, found) where a marker is not where it must be.
+
+    ``docs(doc_id, lang, default_label, restricted)``: a restricted document's first paragraph after its
+    title (section 0) must be exactly its label's line, and so must the first one of each restricted
+    section that the document has (``restricted``: label by section number). ``blocks`` are those of S1.
+    """
+    form = r"^(\d+)\.\s*(.+?)\s*$"
+    by = Window.partitionBy("doc_id").orderBy("block")
+    x = blocks.withColumns({"next": F.lead("text").over(by), "of": F.lead("level").over(by), "n": F.regexp_extract("text", form, 1).try_cast("int")})
+    title = x.filter("level = 1").groupBy("doc_id").agg(F.min_by(F.struct("next", "of"), "block").alias("t")).select("doc_id", F.lit(0).alias("section"), F.coalesce("t.next", F.lit("")).alias("found"))
+    # What follows a section's heading is its own up to the next heading of a section.
+    part = x.filter("level = 2 and n is not null").groupBy("doc_id", F.col("n").alias("section")).agg(F.max_by(F.struct("next", F.coalesce(F.col("of") == 2, F.lit(False)).alias("ends")), "block").alias("t"))
+    part = part.select("doc_id", "section", F.when(F.col("t.ends"), "").otherwise(F.coalesce("t.next", F.lit(""))).alias("found"))
+    line = F.coalesce(*[F.when((F.col("lang") == g) & (F.col("label") == k), v) for g, of in MARKERS.items() for k, v in of.items()])
+    label = F.when(F.col("section") == 0, F.nullif("default_label", F.lit("all"))).otherwise(F.try_element_at("restricted", F.col("section")))
+    y = title.unionByName(part).join(docs, "doc_id").withColumn("label", label).filter("label is not null").withColumn("wanted", line)
+    return y.filter(F.col("found") != F.col("wanted")).select("doc_id", "section", "wanted", "found")
+
+
 def stray_digits(text: Column, allowed: list[str]) -> Column:
     """V6: numbers outside of the allowed patterns."""
     for p in allowed:

@@ -192,3 +192,22 @@ _q("x9_greedy_context", lambda s, d: X.select_context(view(s, d, "chunks").dropD
  f AS (SELECT DISTINCT d, CAST(0 AS BIGINT) AS m, CAST(0 AS BIGINT) AS used, CAST(NULL AS INT) AS kept FROM c
   UNION ALL SELECT d, m, CASE WHEN fits THEN used + t ELSE used END, CASE WHEN fits THEN i END FROM (SELECT f.d, c.m, f.used, c.t, c.i, used + t <= 800 OR i = 0 AS fits FROM f JOIN c ON c.d = f.d AND c.m = f.m + 1) x)
  SELECT d AS document_id, i AS chunk_index FROM c WHERE whole <= 2300 UNION ALL SELECT d, kept FROM f WHERE kept IS NOT NULL AND d NOT IN (SELECT d FROM c WHERE whole <= 2300)""", "chunks")
+
+
+# V3: documents with their markers, some of them wrong, some in the other place
+def _marked(s, d):
+    k = F.col("doc_id")
+    lang = F.when(k % 3 == 0, "de").otherwise("en")
+    label = F.element_at(F.array(*map(F.lit, ["all", "hr", "finance", "managers"])), (k % 4 + 1).cast("int"))
+    marker = lambda of: F.coalesce(*[F.when((lang == g) & (of == n), v) for g, x in V.MARKERS.items() for n, v in x.items()], F.lit("Open to all."))
+    head = F.when(k % 5 == 0, F.lit("Access: nobody")).otherwise(marker(label))
+    body = F.when(k % 11 == 0, F.lit("")).when(k % 7 == 0, F.concat(F.lit("x"), F.col("lang"), F.lit("\n\n"))).otherwise(F.concat(marker(F.lit("leadership")), F.lit("\n\n")))
+    text = F.concat(F.lit("# T\n\n"), head, F.lit("\n\n## 1. One\n\n"), body, F.lit("## 2. Two\n\n"), F.regexp_replace("text", r"(?m)^#", ""))
+    docs = _t(s, d, "documents").select("doc_id", lang.alias("lang"), label.alias("default_label"), F.when(k % 2 == 0, F.create_map(F.lit(1), F.lit("leadership"))).otherwise(F.create_map().cast("map<int,string>")).alias("restricted"))
+    return D.markdown_blocks(_t(s, d, "documents").select("doc_id", text.alias("text"))), docs
+
+
+_q("v3_marker_faults", lambda s, d: V.marker_faults(*_marked(s, d)),
+   """WITH x AS (SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN ['', 'Zugriff: nur People & Culture', 'Zugriff: nur Finanzen', 'Zugriff: nur Führungskräfte'] ELSE ['', 'Access: People & Culture only', 'Access: Finance only', 'Access: Managers only'] END[doc_id % 4 + 1] AS top, CASE WHEN doc_id % 3 = 0 THEN 'Zugriff: nur Geschäftsführung' ELSE 'Access: Leadership only' END AS sub FROM documents)
+ SELECT doc_id, 0 AS section, top AS wanted, 'Access: nobody' AS found FROM x WHERE doc_id % 4 > 0 AND doc_id % 5 = 0
+ UNION ALL SELECT doc_id, 1, sub, CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'x' || lang END FROM x WHERE doc_id % 2 = 0 AND (doc_id % 11 = 0 OR doc_id % 7 = 0)""")
