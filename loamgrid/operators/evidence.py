@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.operators.answers import exact_span, find_span
+from loamgrid.plans.session import Scratch
 
 #: Confidence of a quote that holds the value, of a quote, of the value alone, and of nothing.
 SURE, QUOTED, VALUE, NOTHING = 0.9, 0.75, 0.6, 0.4
@@ -27,15 +28,19 @@ def located(needles: DataFrame, chunks: DataFrame) -> DataFrame:
     are found by expressions; a chunk goes to Python once, with all needles that no chunk before it and
     it itself has verbatim, so its text is normalised once.
     """
-    both = needles.distinct().join(chunks.select("doc_id", "chunk_index", "content"), "doc_id").withColumn("span", exact_span(F.col("needle"), F.col("content")))
+    chunks = chunks.select("doc_id", "chunk_index", "content")
+    lists = needles.filter(F.length("needle") > 0).distinct().groupBy("doc_id").agg(F.collect_list("needle").alias("needles"))  # a schema's fields
+    one = lambda n: F.struct(n.alias("needle"), exact_span(n, F.col("content")).alias("span"))
+    both = chunks.join(lists, "doc_id").select("doc_id", "chunk_index", F.explode(F.transform("needles", one)).alias("x")).select("doc_id", "chunk_index", "x.*")
+    # Texts stay behind: what is ranked are places.
     first = F.min(F.when(F.col("span").isNotNull(), F.col("chunk_index"))).over(Window.partitionBy("doc_id", "needle"))
-    both = both.withColumn("first", first)
+    both = Scratch(needles.sparkSession, "located").keep(both.withColumn("first", first), "places")
     sure = both.filter(F.col("chunk_index") == F.col("first")).select("doc_id", "needle", "chunk_index", "span.start", "span.end", F.lit("exact").alias("method"))
-    open_ = both.filter(F.col("first").isNull() | (F.col("chunk_index") < F.col("first"))).filter(F.length("needle") > 0)
+    open_ = both.filter(F.col("first").isNull() | (F.col("chunk_index") < F.col("first"))).groupBy("doc_id", "chunk_index").agg(F.collect_list("needle").alias("needles"))
     # Comparing is work for all cores, however few bytes it is.
     spark = needles.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    packed = open_.repartition(tasks, "doc_id", "chunk_index").groupBy("doc_id", "chunk_index").agg(F.first("content").alias("content"), F.collect_list("needle").alias("needles"))
+    packed = open_.join(chunks, ["doc_id", "chunk_index"]).repartition(tasks, "doc_id", "chunk_index")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -86,7 +91,8 @@ def find_evidence(fields: DataFrame, chunks: DataFrame, blocks: DataFrame) -> Da
     best = best.join(chunks, ["doc_id", "chunk_index"]).withColumn("quote", F.col("content").substr(F.col("start") + 1, F.col("end") - F.col("start")))
     holds = (plain(F.col("value")) != "") & F.contains(plain(F.col("quote")), plain(F.col("value")))
     sure = F.when(F.col("turn") == 1, VALUE).when(F.col("value").isNull() | F.coalesce(holds, F.lit(False)), SURE).otherwise(QUOTED)
-    best = best.withColumn("confidence", sure).withColumn("key", F.struct("doc_id", "field"))
+    best = best.withColumn("confidence", sure).withColumn("key", F.struct("doc_id", "field")).drop("content")
+    best = Scratch(fields.sparkSession, "evidence").keep(best, "best")  # read twice below
     boxes = box_lookup(best.select("key", "doc_id", F.col("needle").alias("quote"), "page_start", "page_end"), blocks).select("key", F.col("page").alias("p"), "bbox", F.col("size").alias("page_size"))
     out = best.join(boxes, "key", "left").select("doc_id", "field", "confidence", "chunk_id", "chunk_index", "start", "end", "quote", "method", F.coalesce("p", "page_start").alias("page"), "bbox", "page_size")
     return fields.select("doc_id", "field").join(out, ["doc_id", "field"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(NOTHING)))
