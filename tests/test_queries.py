@@ -1,6 +1,7 @@
 """Registered queries against their SQL twins, and plan and literal tests of single operators."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,21 @@ def test_lsh_recall(spark):
     assert hit / exact.count() >= 0.9
 
 
+def test_lsh_pairs_are_no_rows(spark):
+    q, c, r = (view(spark, SF, n) for n in ("questions", "chunks", "role_labels"))
+    q = q.filter("query_id % 100 = 0")
+    near = retrieval.lsh_top_k(q, c, r, tables=3)
+    assert "explode" not in near._jdf.queryExecution().optimizedPlan().toString()  # of buckets
+    planes, may, want = np.random.default_rng(3).normal(size=(64, 15)), r.toPandas().groupby("role").label.agg(set), []
+    key = lambda e: (np.array(e, float) @ planes > 0).reshape(3, 5)
+    at = [(x.chunk_id, x.access_label, np.array(x.embedding, float), key(x.embedding)) for x in c.collect()]
+    for x in q.collect():
+        e, mine = np.array(x.embedding, float), key(x.embedding)
+        fit = sorted((-round(float(e @ v / np.sqrt((e @ e) * (v @ v))), 6), n) for n, label, v, own in at if label in may[x.role] and (own == mine).all(1).any())
+        want += [(x.query_id, n, i + 1) for i, (_, n) in enumerate(fit[:10])]
+    assert sorted((x.query_id, x.chunk_id, x["rank"]) for x in near.collect()) == sorted(want)
+
+
 def test_access_filter_is_below_the_ranking(spark):
     q, c, r = (view(spark, SF, n) for n in ("questions", "chunks", "role_labels"))
     plan = retrieval.native_top_k(q, c, r)._jdf.queryExecution().optimizedPlan().toString()
