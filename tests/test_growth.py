@@ -25,3 +25,11 @@ def test_word_errors_of_long_texts(spark):
     df = spark.createDataFrame(rows, "n int, a array<string>, b array<string>")
     got = {x.n: x.e for x in df.select("n", evaluation.word_errors(F.col("a"), F.col("b")).alias("e")).collect()}
     assert got == {n: plain(a, b) for n, (a, b) in enumerate(some)} | {200: 800, 201: None}
+
+
+def test_pages_that_share_a_url(spark):
+    """Items with one external id are told apart by a further column."""
+    listed = spark.createDataFrame([("u", 1, 2, "a", 5), ("u", 2, 2, "b", 5), ("u", 3, 2, "c", 5), ("u", 4, 2, "c", 5)], "external_id string, n int, version int, sha256 string, bytes int")
+    existing = spark.createDataFrame([("u", 1, 2, "a"), ("u", 2, 1, "x"), ("u", 5, 1, "y")], "external_id string, n int, version int, sha256 string")
+    got = sorted((x.n, x.status) for x in documents.snapshot_diff(listed, existing, 9, False, "n").collect())
+    assert got == [(1, "unchanged"), (2, "updated"), (3, "added"), (4, "duplicate"), (5, "removed")]
