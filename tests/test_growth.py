@@ -33,3 +33,12 @@ def test_pages_that_share_a_url(spark):
     existing = spark.createDataFrame([("u", 1, 2, "a"), ("u", 2, 1, "x"), ("u", 5, 1, "y")], "external_id string, n int, version int, sha256 string")
     got = sorted((x.n, x.status) for x in documents.snapshot_diff(listed, existing, 9, False, "n").collect())
     assert got == [(1, "unchanged"), (2, "updated"), (3, "added"), (4, "duplicate"), (5, "removed")]
+
+
+def test_or_in_plain_sentences(spark):
+    """A small "or" splits only what else looks like a typed query."""
+    get = lambda t: [(x.grp, x.neg, " ".join(x.words)) for x in spark.range(1).select(retrieval.parse_query(F.lit(t)).alias("q")).first().q]
+    assert get("Sick or well") == [(0, False, "sick"), (0, False, "or"), (0, False, "well")]
+    assert get("sick OR well") == [(0, False, "sick"), (1, False, "well")]
+    assert get('"sick leave" or OR or -well') == [(0, False, "sick leave"), (0, False, "or"), (1, False, "or"), (1, True, "well")]
+    assert get("sick or well -or") == [(0, False, "sick"), (1, False, "well"), (1, True, "or")]
