@@ -2,9 +2,11 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from loamgrid.operators import documents, evaluation, retrieval
+from loamgrid.operators import documents, evaluation, replay, retrieval
+from loamgrid.streaming import state
 
 
 def test_word_errors_of_long_texts(spark):
@@ -42,3 +44,49 @@ def test_or_in_plain_sentences(spark):
     assert get("sick OR well") == [(0, False, "sick"), (1, False, "well")]
     assert get('"sick leave" or OR or -well') == [(0, False, "sick leave"), (0, False, "or"), (1, False, "or"), (1, True, "well")]
     assert get("sick or well -or") == [(0, False, "sick"), (1, False, "well"), (1, True, "or")]
+
+
+def test_budgets_seldom_ask_the_state_store():
+    """T5: decisions over stored maps equal those in memory; only what changed is written, once a batch."""
+    calls = []
+
+    class Stored(dict):
+        exists = lambda self: calls.append("exists") or len(self) > 0
+        containsKey = lambda self, k: calls.append("contains") or k in self
+        getValue = lambda self, k: calls.append("get") or self[k]
+        updateValue = lambda self, k, v: calls.append("update") or self.update({k: v})
+
+    deal = random.Random(2)
+    events = [("settle" if deal.random() < 0.4 else "reserve", str(n - deal.randrange(9)), f"a{deal.randrange(3)}", deal.choice([None, "u1", "u2"]), deal.randrange(30)) for n in range(3000)]
+    events = [(kind, str(n) if kind == "reserve" else key, *x) for n, (kind, key, *x) in enumerate(events)]
+    act = lambda ledger, x: ledger.settle(x[1], x[4]) if x[0] == "settle" else ledger.reserve(*x[1:])
+    plain = replay.Ledger(400)
+    want, got = [act(plain, x) for x in events], []
+    keep = [state._Stored(Stored(), lambda v: (v,), lambda v: v[0]) for _ in range(3)]
+    for batch in (events[:2000], events[2000:]):
+        for x in keep:
+            x.begin()
+        ledger = replay.Ledger(400, *keep)
+        got += [act(ledger, x) for x in batch]
+        for x in keep:
+            x.end()
+        if len(got) == 2000:
+            assert calls.count("contains") == calls.count("get") == 0 and len(calls) < 300
+    assert got == want and {"admitted", "denied", "settled"} <= set(want)
+
+
+def test_decisions_leave_in_pieces():
+    """A key with many rows gives them out as they are decided, in order of time."""
+
+    class Held:
+        exists = lambda self: False
+        update = lambda self, v: None
+
+    ids = list(range(50_000))
+    random.Random(1).shuffle(ids)
+    rows = pd.DataFrame({"id": ids, "ts": pd.to_datetime([10**9 + i for i in ids], unit="s"), "fingerprint": None, "failed": False})
+    for x in (state._Buckets(6.0), state._Requests(60)):
+        x.bucket = x.kept = Held()
+        x.at = lambda seconds: None
+        out = list(x.handleInputRows((1,), iter([rows[:30_000], rows[30_000:]]), None))
+        assert max(map(len, out)) <= state.CHUNK and pd.concat(out).id.tolist() == sorted(ids)
