@@ -90,3 +90,13 @@ def test_decisions_leave_in_pieces():
         x.at = lambda seconds: None
         out = list(x.handleInputRows((1,), iter([rows[:30_000], rows[30_000:]]), None))
         assert max(map(len, out)) <= state.CHUNK and pd.concat(out).id.tolist() == sorted(ids)
+
+
+def test_long_tables(spark):
+    """The pass over lines equals the form as expressions, also on a table that has thousands of rows."""
+    deal = random.Random(3)
+    some = ["", "a", "a\nb", "| a |\r\n|--|\r|  b c | \x0b d |\n", *("\n".join(" ".join("w" * deal.randrange(1, 4) for _ in range(deal.randrange(30))) for _ in range(deal.randrange(40))) for _ in range(60))]
+    df = spark.createDataFrame([(t,) for t in [*some, None]], "t string")
+    for x in df.select(documents.split_table(F.col("t"), 40).alias("a"), documents.split_tables(F.col("t"), 40).alias("b")).collect():
+        assert x.a == x.b
+    assert len(documents.table_parts("| a | b |\n| --- | --- |\n" + "\n".join(["| w |"] * 70_000), 40)) == 10_000
