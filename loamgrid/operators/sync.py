@@ -110,13 +110,17 @@ def sync_stats(outcome: DataFrame, sources: DataFrame, errors: int = 10) -> Data
 
 def normalised_id(text: Column) -> Column:
     """A dashed lower-case id of 32 hexadecimal digits, given as it is, without dashes, or at the end of a page's URL, whatever letters its title ends with; else null."""
-    t = F.regexp_replace(text, r"^\s+|\s+$", "")
-    path = F.regexp_extract(F.regexp_replace(t, r"^[A-Za-z][A-Za-z0-9+.-]*:(?=//)", ""), r"^(?://[^/?#]*)?([^?#]*)", 1)
-    ids = F.regexp_extract_all(F.replace(path, F.lit("-"), F.lit("")), F.lit("[0-9a-fA-F]{32}(?![0-9a-fA-F])"), F.lit(0))
-    plain = F.when(F.contains(t, F.lit("/")) | F.contains(t, F.lit("?")), F.try_element_at(ids, F.lit(-1))).otherwise(F.replace(t, F.lit("-"), F.lit("")))
-    hex_ = F.lower(plain)
-    cut = [F.substring(hex_, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.when(hex_.rlike(r"^[0-9a-f]{32}\z"), F.concat_ws("-", *cut))
+    # Each step is named by a list of one, so that an expression stands once in the plan, however often it is used.
+    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def plain(t: Column) -> Column:
+        path = F.regexp_extract(F.regexp_replace(t, r"^[A-Za-z][A-Za-z0-9+.-]*:(?=//)", ""), r"^(?://[^/?#]*)?([^?#]*)", 1)
+        ids = F.regexp_extract_all(F.replace(path, F.lit("-"), F.lit("")), F.lit("[0-9a-fA-F]{32}(?![0-9a-fA-F])"), F.lit(0))
+        return F.when(F.contains(t, F.lit("/")) | F.contains(t, F.lit("?")), F.try_element_at(ids, F.lit(-1))).otherwise(F.replace(t, F.lit("-"), F.lit("")))
+
+    # Without dashes so far: only what fits gets them.
+    dashed = F.regexp_replace(F.lower(let(F.btrim(text, F.lit(" \t\n\x0b\f\r")), plain)), r"^([0-9a-f]{8})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{12})\z", "$1-$2-$3-$4-$5")
+    return let(dashed, lambda x: F.when(F.contains(x, F.lit("-")), x))
 
 
 def pages_in_scope(objects: DataFrame, blocks: DataFrame, roots: DataFrame, hops: int = 64) -> DataFrame:
@@ -128,10 +132,13 @@ def pages_in_scope(objects: DataFrame, blocks: DataFrame, roots: DataFrame, hops
     pages count.
     """
     ids = lambda df, *more: df.select(normalised_id(F.col("id")).alias("id"), *more).filter("id is not null")
-    live = ids(objects.filter(~F.coalesce("archived", F.lit(False))), "kind", normalised_id(F.col("parent_id")).alias("parent"))
+    s = Scratch(objects.sparkSession, "pages")
+    # Ids are read from their texts once, however many levels there are.
+    live = s.keep(ids(objects.filter(~F.coalesce("archived", F.lit(False))), "kind", normalised_id(F.col("parent_id")).alias("parent")), "live")
     pages = live.filter("kind = 'page'").select("id").distinct()
     start = ids(roots).distinct()
     if not start.limit(1).count():
-        return pages
-    nodes = live.select("id", "parent").unionByName(ids(blocks, normalised_id(F.col("parent_id")).alias("parent"))).unionByName(start.withColumn("parent", F.lit(None).cast("string")))
-    return pages.join(scope_closure(nodes, start, hops), "id", "left_semi")
+        return s.finish(pages)
+    held = s.keep(ids(blocks, normalised_id(F.col("parent_id")).alias("parent")), "blocks")
+    nodes = live.select("id", "parent").unionByName(held).unionByName(start.withColumn("parent", F.lit(None).cast("string")))
+    return s.finish(pages.join(scope_closure(nodes, start, hops), "id", "left_semi"))

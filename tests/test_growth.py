@@ -5,7 +5,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loamgrid.operators import documents, evaluation, replay, retrieval
+from loamgrid.operators import documents, evaluation, replay, retrieval, sync
 from loamgrid.streaming import state
 
 
@@ -100,3 +100,11 @@ def test_long_tables(spark):
     for x in df.select(documents.split_table(F.col("t"), 40).alias("a"), documents.split_tables(F.col("t"), 40).alias("b")).collect():
         assert x.a == x.b
     assert len(documents.table_parts("| a | b |\n| --- | --- |\n" + "\n".join(["| w |"] * 70_000), 40)) == 10_000
+
+
+def test_ids_stand_once_in_the_plan(spark):
+    """An id's expression reads its text once, whatever its branches."""
+    df = spark.createDataFrame([(" 0123456789ABCDEF0123456789abcdef\n",), ("https://w.example/T-0123456789abcdef0123456789abcdef?x#y",), ("no id",), ("0123456789abcdef0123456789abcdef0",), (None,)], "mine string")
+    out = df.select(sync.normalised_id(F.col("mine")).alias("id"))
+    assert [x.id for x in out.collect()] == ["01234567-89ab-cdef-0123-456789abcdef"] * 2 + [None] * 3
+    assert out._jdf.queryExecution().analyzed().toString().split("\n")[0].count("mine#") == 1
