@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgrid.operators.answers import exact_span, find_span
+from loamgrid.operators.answers import compare_tasks, exact_span, find_spans
 from loamgrid.plans.session import Scratch
 
 #: Confidence of a quote that holds the value, of a quote, of the value alone, and of nothing.
@@ -37,14 +37,12 @@ def located(needles: DataFrame, chunks: DataFrame) -> DataFrame:
     both = Scratch(needles.sparkSession, "located").keep(both.withColumn("first", first), "places")
     sure = both.filter(F.col("chunk_index") == F.col("first")).select("doc_id", "needle", "chunk_index", "span.start", "span.end", F.lit("exact").alias("method"))
     open_ = both.filter(F.col("first").isNull() | (F.col("chunk_index") < F.col("first"))).groupBy("doc_id", "chunk_index").agg(F.collect_list("needle").alias("needles"))
-    # Comparing is work for all cores, however few bytes it is.
-    spark = needles.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    packed = open_.join(chunks, ["doc_id", "chunk_index"]).repartition(tasks, "doc_id", "chunk_index")
+    packed = open_.join(chunks, ["doc_id", "chunk_index"]).repartition(compare_tasks(needles.sparkSession), "doc_id", "chunk_index")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(x.doc_id, n, x.chunk_index, *s) for x in f.itertuples() if x.content for n in x.needles if (s := find_span(n, x.content))]
+            asked = [(x.doc_id, n, x.chunk_index, x.content) for x in f.itertuples() if x.content for n in x.needles]
+            rows = [(*a[:3], *s) for a, s in zip(asked, find_spans((a[1], a[3]) for a in asked)) if s]
             yield pd.DataFrame(rows, columns=["doc_id", "needle", "chunk_index", "start", "end", "method"])
 
     near = packed.mapInPandas(run, "doc_id long, needle string, chunk_index int, start int, end int, method string")
