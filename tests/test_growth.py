@@ -143,3 +143,13 @@ def test_long_texts_are_split_once(spark):
     start = time.time()
     got = [x.s for x in df.select(documents.hard_split(F.col("t"), 13).alias("s")).collect()]
     assert got == [[" ".join(words[k : k + 10]) for k in range(0, 60_000, 10)], [], None] and time.time() - start < 30
+
+
+def test_hits_move_once(spark, monkeypatch):
+    """Hits are dealt once by the columns that all counts of places, items and groups share."""
+    monkeypatch.setattr(retrieval.Scratch, "finish", lambda self, df, label="result": df)
+    posts = documents.postings(spark.createDataFrame([(1, "all", "a b c a b"), (2, "all", "b a c"), (3, "hr", "a b")], "chunk_id long, access_label string, text string"), "chunk_id", "access_label")
+    asked = spark.createDataFrame([(1, '"a b" c'), (2, "b or"), (3, "a OR b -c")], "query_id long, q string").select("query_id", retrieval.parse_query(F.col("q")).alias("items"))
+    out = retrieval.fulltext_top_k(asked, posts)
+    assert sorted((x.query_id, x.chunk_id) for x in out.collect()) == [(1, 1), (3, 1), (3, 2), (3, 3)]
+    assert "REPARTITION_BY_COL" in out._jdf.queryExecution().executedPlan().toString()
