@@ -6,7 +6,7 @@ import time
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loamgrid.operators import documents, evaluation, evidence, replay, retrieval, sync
+from loamgrid.operators import conversations, documents, evaluation, evidence, replay, retrieval, sync
 from loamgrid.streaming import state
 
 
@@ -153,3 +153,36 @@ def test_hits_move_once(spark, monkeypatch):
     out = retrieval.fulltext_top_k(asked, posts)
     assert sorted((x.query_id, x.chunk_id) for x in out.collect()) == [(1, 1), (3, 1), (3, 2), (3, 3)]
     assert "REPARTITION_BY_COL" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def _moved(spark, rows):
+    """Result of ``rows()``, and the bytes and rows that all its stages dealt out, where no join is a broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sc, gateway = spark._jsc.sc(), spark.sparkContext._gateway
+        stages = lambda: (lambda x: [x.apply(i) for i in range(x.size())])(sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList()))
+        last = max((x.stageId() for x in stages()), default=-1)
+        out = rows()
+        sc.listenerBus().waitUntilEmpty()
+        new = [x for x in stages() if x.stageId() > last]
+        return out, sum(x.shuffleWriteBytes() for x in new), sum(x.shuffleWriteRecords() for x in new)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cited_texts_move_once(spark):
+    """A cited text goes to its query once; it moved for each of four joins and groupings."""
+    deal = random.Random(4)
+    chunks = [(k, k, f"d{k}.md", None, None, None, deal.randbytes(4000).hex(), "all", 0) for k in range(12)]
+    cited = [(q, r, (q * 5 + r * 7) % 8, 0.5, [(1, 4)] if r < 3 else None) for q in range(300) for r in (1, 2, 3)]
+    queries = spark.createDataFrame([(q, "Yes [3].", False, None, 0, None, None) for q in range(300)], "query_id int, answer string, refused boolean, model string, completion_tokens int, outcome string, outcome_reason string")
+    citations = spark.createDataFrame(cited, "query_id int, rank int, chunk_id int, score double, quotes array<struct<start:int,end:int>>")
+    table = spark.createDataFrame(chunks, "chunk_id int, document_id int, filename string, section_path string, page_start int, page_end int, content string, access_label string, chunk_index int")
+    got, size, _ = _moved(spark, lambda: conversations.history(queries.filter("query_id % 3 > 0 or query_id < 0").unionByName(queries.filter("query_id % 3 = 0").withColumn("answer", F.lit("No."))), citations, table).collect())
+    assert len(got) == 300
+    for x in got:
+        for s in x.sources:
+            text = chunks[(x.query_id * 5 + s.n * 7) % 8][6]
+            assert s.snippet == text[:300] and s.content == (text if s.n < 3 or x.query_id % 3 else None)
+            assert [q.text for q in s.quotes or []] == ([text[1:4]] if s.n < 3 else [])
+    assert size < 1.4 * 900 * 8000
