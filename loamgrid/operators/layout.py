@@ -100,13 +100,13 @@ def _lines(text: Column) -> Column:
     return F.when(F.element_at(split, -1) == "", F.slice(split, F.lit(1), F.size(split) - 1)).otherwise(split)
 
 
-def own_text(number: Column) -> Column:
-    """What a block says itself, by its type; null for nothing. ``number`` is its place in a numbered list."""
+def own_text() -> Column:
+    """What a block says itself, by its type; null for nothing. A numbered item lacks its number, a table its rows."""
     kind, text = F.col("type"), F.col("text")
     some = F.nullif(text, F.lit(""))
     label = F.coalesce(F.nullif("caption", F.lit("")), F.nullif("name", F.lit("")))
     url = F.nullif("url", F.lit(""))
-    marker = F.when(kind == "numbered_list_item", F.concat(number.cast("string"), F.lit("."))).when(kind == "to_do", F.when(F.coalesce("checked", F.lit(False)), "- [x]").otherwise("- [ ]")).otherwise("-")
+    marker = F.when(kind == "numbered_list_item", "").when(kind == "to_do", F.when(F.coalesce("checked", F.lit(False)), "- [x]").otherwise("- [ ]")).otherwise("-")
     heading = F.concat(F.repeat(F.lit("#"), F.regexp_extract(kind, r"(\d)$", 1).try_cast("int") + 1), F.lit(" "), some)
     return (
         F.when(kind.isin(LISTS), F.regexp_replace(F.concat_ws(" ", marker, text), r"\s+$", ""))
@@ -116,12 +116,11 @@ def own_text(number: Column) -> Column:
         .when(kind == "code", F.concat(F.lit("```"), F.coalesce("language", F.lit("")), F.lit("\n"), text, F.lit("\n```")))
         .when(kind == "equation", F.concat(F.lit("$$ "), F.nullif("expression", F.lit("")), F.lit(" $$")))
         .when(kind == "divider", F.lit("---"))
-        .when(kind == "table", F.col("table"))
         .when(kind == "child_page", F.concat(F.lit("Sub-page: "), F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled"))))
         .when(kind == "child_database", F.concat(F.lit("Database: "), F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled"))))
         .when(kind.isin("bookmark", "embed", "link_preview"), F.concat(F.lit("["), F.coalesce(F.nullif("caption", F.lit("")), url), F.lit("]("), url, F.lit(")")))
         .when(kind.isin("image", "file", "pdf", "video", "audio"), F.concat(F.lit("["), kind, F.lit(": "), label, F.lit("]")))
-        .when(kind.isin("link_to_page", "table_of_contents", "breadcrumb", "unsupported", "template", "column_list", "column", "synced_block"), None)
+        .when(kind.isin("table", "link_to_page", "table_of_contents", "breadcrumb", "unsupported", "template", "column_list", "column", "synced_block"), None)
         .otherwise(some)
     )
 
@@ -143,10 +142,13 @@ def placed_blocks(blocks: DataFrame, s: Scratch, depth: int = DEPTH) -> DataFram
     page from top to bottom. Paths are made level by level: each level is written and joined to its
     children, down to ``depth`` levels below the first, so a circle or a very deep branch ends. A list is
     one part of the page: neighbouring list items, and all that stands below them, indented by two
-    blanks for each list item above. Any other block is a part of its own.
+    blanks for each list item above. Any other block is a part of its own. Levels hold places only; what
+    blocks say is written once and met at the end, by a number of the row, as ids may come twice.
     """
-    x = blocks.join(_tables(blocks), ["page_id", "block_id"], "left")
-    by = Window.partitionBy("page_id", "parent_id").orderBy("ord", "block_id")
+    x = blocks.select("page_id", "block_id", "parent_id", "ord", "type", own_text().alias("own"), (F.col("text") != "").alias("said"), F.monotonically_increasing_id().alias("row"))
+    texts = s.keep(x, "texts")
+    x = texts.drop("own")
+    by = Window.partitionBy("page_id", "parent_id").orderBy("ord", "block_id", "row")
     is_list = F.col("type").isin(LISTS)
     x = x.withColumn("i", F.row_number().over(by)).withColumn("is_list", is_list)
     # A list ends at any other block; numbers begin anew there and after a bulleted item.
@@ -154,8 +156,8 @@ def placed_blocks(blocks: DataFrame, s: Scratch, depth: int = DEPTH) -> DataFram
     of = lambda c: Window.partitionBy("page_id", "parent_id", c)
     x = x.withColumn("first", F.min(F.when(is_list, F.col("i"))).over(of("list")))
     x = x.withColumn("number", F.sum(F.when(F.col("type") == "numbered_list_item", 1).otherwise(0)).over(of("count").orderBy("i")))
-    x = x.withColumn("own", own_text(F.col("number"))).withColumn("open", ~F.col("type").isin(CLOSED) & ((F.col("type") != "quote") | (F.col("text") != "")))
-    x = s.keep(x.select("page_id", "block_id", "parent_id", "i", "first", "is_list", "own", "open"), "siblings")
+    x = x.withColumn("open", ~F.col("type").isin(CLOSED) & ((F.col("type") != "quote") | F.col("said")))
+    x = s.keep(x.select("page_id", "block_id", "parent_id", "row", "i", "first", "is_list", "number", "open"), "siblings")
     top = x.filter("parent_id is null")
     level = s.keep(_below(top, F.array().cast("array<int>"), F.lit(None).cast("array<int>"), F.lit(0)), "level")
     out = level
@@ -167,14 +169,17 @@ def placed_blocks(blocks: DataFrame, s: Scratch, depth: int = DEPTH) -> DataFram
         if not level.limit(1).count():
             break
         out = out.unionByName(level)
-    return out.select("page_id", "path", "part", "indent", "own")
+    out = out.join(_tables(blocks), ["page_id", "block_id"], "left").select("page_id", "row", "path", "part", "indent", "number", "table")
+    own = F.when(F.col("type") == "table", F.col("table")).when(F.col("type") == "numbered_list_item", F.concat(F.col("number").cast("string"), F.lit("."), "own")).otherwise(F.col("own"))
+    out = out.join(texts.filter("own is not null or type = 'table'").select("page_id", "row", "type", "own"), ["page_id", "row"])
+    return out.select("page_id", "path", "part", "indent", own.alias("own"))
 
 
 def _below(rows: DataFrame, path: Column, part: Column, indent: Column) -> DataFrame:
     """A level's blocks below parents of this path, part (null outside lists) and number of list items."""
     own = lambda i: F.concat(path, F.array(i))
     new = F.when(F.col("is_list"), own(F.col("first"))).otherwise(own(F.col("i")))
-    return rows.select("page_id", "block_id", "is_list", "own", "open", own(F.col("i")).alias("path"), F.coalesce(part, new).alias("part"), indent.cast("int").alias("indent"))
+    return rows.select("page_id", "block_id", "row", "is_list", "number", "open", own(F.col("i")).alias("path"), F.coalesce(part, new).alias("part"), indent.cast("int").alias("indent"))
 
 
 def block_tree_markdown(pages: DataFrame, blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -191,7 +196,7 @@ def block_tree_markdown(pages: DataFrame, blocks: DataFrame, depth: int = DEPTH)
         if blocks.schema[c].dataType.simpleString().startswith("array"):
             blocks = blocks.withColumn(c, rich_text(F.col(c), typed=True))
     blocks = blocks.withColumn("text", F.coalesce("text", F.lit("")))
-    x = placed_blocks(blocks, s, depth).filter("own is not null")
+    x = placed_blocks(blocks, s, depth).filter("own is not null").repartition("page_id")  # for both groupings below
     pad = F.repeat(F.lit("  "), F.col("indent"))
     line = F.when(F.col("indent") > 0, F.array_join(F.transform(_lines(F.col("own")), lambda y: F.concat(pad, y)), "\n")).otherwise(F.col("own"))
     x = x.withColumn("line", line).filter((F.col("indent") == 0) | (F.size(_lines(F.col("own"))) > 0))

@@ -6,7 +6,7 @@ import time
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loamgrid.operators import conversations, documents, evaluation, evidence, replay, retrieval, sync
+from loamgrid.operators import conversations, documents, evaluation, evidence, layout, replay, retrieval, sync
 from loamgrid.streaming import state
 
 
@@ -186,3 +186,19 @@ def test_cited_texts_move_once(spark):
             assert s.snippet == text[:300] and s.content == (text if s.n < 3 or x.query_id % 3 else None)
             assert [q.text for q in s.quotes or []] == ([text[1:4]] if s.n < 3 else [])
     assert size < 1.4 * 900 * 8000
+
+
+def test_texts_of_blocks_do_not_move_with_each_level(spark):
+    """What blocks say is dealt out twice, however deep they stand; rows of one id are told apart."""
+    deal = random.Random(8)
+    kinds = "page_id int, block_id int, parent_id int, ord int, type string, text string, checked boolean, language string, expression string, title string, url string, caption string, name string, has_header boolean, cells array<string>"
+    more = [None] * 9
+    rows = [(p, k, k - 1 if k % 8 else None, k, "numbered_list_item" if k % 8 > 4 else "paragraph", deal.randbytes(1000).hex(), *more) for p in range(60) for k in range(24)]
+    rows += [(99, 1, None, 0, "paragraph", "twice", *more), (99, 1, None, 1, "numbered_list_item", "told", *more), (99, 2, None, 2, "numbered_list_item", " ", *more)]
+    pages = spark.createDataFrame([(p, "T", None) for p in [*range(60), 99]], "page_id int, title string, properties array<struct<name:string,value:string>>")
+    got, size, _ = _moved(spark, lambda: {x.page_id: x.markdown for x in layout.block_tree_markdown(pages, spark.createDataFrame(rows, kinds)).collect()})
+    assert got[99] == "# T\n\ntwice\n\n1. told\n2.\n"
+    own = [r[5] for r in rows if r[0] == 7]
+    parts = ["\n\n".join([*own[8 * i : 8 * i + 5], "\n".join(f"{'  ' * j}1. {x}" for j, x in enumerate(own[8 * i + 5 : 8 * i + 8]))]) for i in range(3)]
+    assert got[7] == "# T\n\n" + "\n\n".join(parts) + "\n"
+    assert size < 2.5 * 60 * 24 * 2000
