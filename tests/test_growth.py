@@ -6,7 +6,7 @@ import time
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loamgrid.operators import conversations, documents, evaluation, evidence, layout, replay, retrieval, sync
+from loamgrid.operators import conversations, corpus, documents, evaluation, evidence, layout, replay, retrieval, sync
 from loamgrid.streaming import state
 
 
@@ -188,6 +188,15 @@ def test_cited_texts_move_once(spark):
     assert size < 1.4 * 900 * 8000
 
 
+def test_words_of_documents_move_once(spark):
+    """V5: each distinct word of a document is dealt out once; it was three times."""
+    docs = spark.createDataFrame([(d, " ".join([f"w{d * 7 + k} .m{k}" for k in range(200)]) + f" 1,5 of it{d % 2} .5") for d in range(60)], "doc_id int, text string")
+    facts = spark.createDataFrame([(1, 0, "w9"), (2, 3, "m3"), (3, 3, ".m3"), (4, 2, "1,5"), (5, 0, "of it1"), (6, 1, "of it1"), (7, 1, "--"), (8, 1, "nowhere"), (9, 0, ".5"), (10, 0, None)], "fact_id int, doc_id int, value string")
+    got, _, rows = _moved(spark, lambda: sorted(map(tuple, corpus.foreign_values(facts, docs).collect())))
+    assert got == [(1, 1), (3, 59), (4, 59), (5, 30), (6, 29), (9, 59)]
+    assert rows < 1.3 * 60 * 404
+
+
 def test_texts_of_blocks_do_not_move_with_each_level(spark):
     """What blocks say is dealt out twice, however deep they stand; rows of one id are told apart."""
     deal = random.Random(8)
