@@ -26,7 +26,6 @@ an empty table gives an empty result; extra columns are ignored or passed throug
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +37,6 @@ from pyspark.sql import functions as F
 from loamgrid.llm import tokens
 from loamgrid.plans.session import Scratch
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _KEY = ["first4", "next4", "core"]
 _AT = ["doc_id", "part", "place"]
 _CHOSE = ["since", "until"]
@@ -254,7 +252,7 @@ def _spans(p: SuffixParams):
         for part, texts in tokens.chunks(batches):
             rows = []
             for doc_id, key, text, found in zip(*(part.column(n).to_pylist() for n in ("doc_id", "text_key")), texts, part.column("found").to_pylist()):
-                bounds = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
+                bounds = tokens.word_bounds(text)
                 # bytes -> characters: count the bytes that begin one
                 chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
                 on = {r: _starts(len(bounds), [(m["lo"], m["hi"]) for m in found if m["kind"] == r], p.min_words) for r in (FIRST, REPEAT)}

@@ -31,6 +31,14 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def word_bounds(text: bytes) -> np.ndarray:
+    """Where each word of a text starts and ends, in bytes, one row a word."""
+    b = np.frombuffer(text, np.uint8)
+    word = np.zeros(len(b) + 2, bool)
+    word[1:-1] = (b != 0x20) & ((b < 0x09) | (b > 0x0D))
+    return np.flatnonzero(word[1:] != word[:-1]).reshape(-1, 2)
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamgrid.llm import hardneg, linedup, merkle
+from loamgrid.llm import hardneg, linedup, merkle, tokens
 from loamgrid.plans.session import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, pos long, line string, row string, drop string"
@@ -233,3 +234,11 @@ def test_witnesses_grow_with_appends():
             assert merkle.fold(leaves[i], proof) == root
             if n > 1:
                 assert merkle.fold(leaves[i - 1], proof) != root or n == 1
+
+
+def test_word_bounds_are_those_of_the_pattern():
+    """OP10: starts and ends of words in one pass over the bytes, not one match object for each word."""
+    deal = random.Random(3)
+    texts = [b"", b" ", b"a", b"\x00a\x1c \x85b", "ä\u00a0ö\u2003x\ty\r\n".encode(), *(bytes(deal.choices(b"ab\xc3\xa4 \t\n\x0b\x0c\r\x0e\x08", k=deal.randrange(60))) for _ in range(300))]
+    for t in texts:
+        assert tokens.word_bounds(t).tolist() == [list(m.span()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
