@@ -102,3 +102,12 @@ def test_golden_questions_of_every_kind(spark):
     assert {e[0] for e in got} == {"access", "as_of_date", "version_history", "version", "distractor_country", "table", "direct", "stale_faq", "multi_doc", "partial", "german", "no_answer"} | ({"buried"} if any(e[0] == "buried" for e in every) else set())
     alone = Counter(map(key, every))
     assert {e for e in every if alone[key(e)] == 1} <= set(got)
+
+
+def test_questions_are_joined_once(spark, tmp_path):
+    """Questions meet the items of all kinds in one join; each kind joined, sorted and numbered them anew."""
+    facts, docs, held, mentions, questions, topics = queries_records.golden_tables(spark, SF)
+    questions.write.parquet(f"{tmp_path}/q")
+    out = queries_records.N.golden_questions(facts, docs, held, mentions, spark.read.parquet(f"{tmp_path}/q"), topics)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in x and "question#" in x for x in plan.splitlines()) == 1
