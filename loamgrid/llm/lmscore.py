@@ -307,20 +307,32 @@ class Gru:
                     dhs[at] += s @ v
         return out
 
+    def inputs(self, words: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """What each index, or class, gives to both gates and to the candidate; the last begins a document."""
+        a = self.w["x"][np.append(self.class_of, len(self.w["x"]) - 1)] + self.w["e"] if words else self.w["x"]
+        return tuple(map(np.ascontiguousarray, np.split(a, [2 * self.h], axis=1)))
+
+    def recurrent(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(map(np.ascontiguousarray, np.split(self.w["u"], [2 * self.h], axis=1)))
+
     def step(self, x: np.ndarray, h: np.ndarray, word: np.ndarray | None = None) -> tuple:
-        """For classes ``x``, and words where they are given, after states ``h``: new states, gates z and r side by side, candidates and their recurrent part."""
-        n, a, g = self.h, self.w["x"][x], h @ self.w["u"]
-        if word is not None:
-            a += self.w["e"][word]
-        zr = a[:, : 2 * n]
-        zr += g[:, : 2 * n]
+        """For classes ``x``, and words where they are given, after states ``h``: as ``advance``."""
+        a = self.w["x"][x] + (0 if word is None else self.w["e"][word])
+        return self.advance(*np.split(a, [2 * self.h], axis=1), h, self.recurrent())
+
+    def advance(self, zr: np.ndarray, c: np.ndarray, h: np.ndarray, u: tuple[np.ndarray, np.ndarray]) -> tuple:
+        """From inputs ``zr`` and ``c``, which are overwritten, and states ``h``: new states, gates z and r side by side, candidates and their recurrent part."""
+        n, g = self.h, h @ u[1]
+        zr += h @ u[0]
         np.exp(np.negative(zr, out=zr), out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        c = a[:, 2 * n :]
-        c += zr[:, n:] * g[:, 2 * n :]
+        c += zr[:, n:] * g
         np.tanh(c, out=c)
-        return c + zr[:, :n] * (h - c), zr, c, g[:, 2 * n :]
+        new = h - c
+        new *= zr[:, :n]
+        new += c
+        return new, zr, c, g
 
     def log_probs(self, hs: np.ndarray, y: np.ndarray) -> np.ndarray:
         out = np.empty(len(y), np.float32)
@@ -339,22 +351,21 @@ class Gru:
             self.moments, self.turn = [{k: np.zeros_like(v) for k, v in w.items()} for _ in range(2)], 0
         m, v2 = self.moments
         classes = self.class_of[streams]
+        in_class = (np.arange(len(w["x"]))[:, None] == np.append(self.class_of, p.classes)).astype(np.float32)
         width = streams.shape[1]
         h = np.zeros((width, n), np.float32)
         for t0 in range(0, len(streams), p.window):
             y, new = classes[t0 : t0 + p.window], starts[t0 : t0 + p.window]
-            last = classes[t0 - 1] if t0 else np.full(width, p.classes)
-            x = np.where(new, p.classes, np.vstack([last[None], y[:-1]]))
             own = streams[t0 : t0 + p.window].astype(np.int64)
             before = streams[t0 - 1] if t0 else np.full(width, p.classed + FORMS + 1)
             word = np.where(new, p.classed + FORMS + 1, np.vstack([before[None], own[:-1]]))
             steps = len(y)
-            prev, hs, c, gn = (np.empty((steps, width, n), np.float32) for _ in range(4))
-            zr = np.empty((steps, width, 2 * n), np.float32)
+            prev, hs, gn = (np.empty((steps, width, n), np.float32) for _ in range(3))
+            (zr, c), u = (table[word] for table in self.inputs()), self.recurrent()
             for t in range(steps):
                 prev[t] = h
                 prev[t][new[t]] = 0
-                hs[t], zr[t], c[t], gn[t] = self.step(x[t], prev[t], word[t])
+                hs[t], _, _, gn[t] = self.advance(zr[t], c[t], prev[t], u)
                 h = hs[t]
             flat = hs.reshape(-1, n)
             s = flat @ w["o"]
@@ -384,14 +395,12 @@ class Gru:
                 dh[new[t]] = 0
             g["u"] = prev.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
             dg[:, :, 2 * n :] = dc
-            hot = np.zeros((x.size, len(w["x"])), np.float32)
-            hot[np.arange(x.size), x.ravel()] = 1
             flat_dg = dg.reshape(-1, 3 * n)
-            g["x"] = hot.T @ flat_dg
             order = np.argsort(word.ravel(), kind="stable")
             rows, first = np.unique(word.ravel()[order], return_index=True)
             g["e"] = np.zeros_like(w["e"])
             g["e"][rows] = np.add.reduceat(flat_dg[order], first)
+            g["x"] = in_class @ g["e"]  # a class has what its words have
             h = h.copy()
             self.turn += 1
             size = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
@@ -414,7 +423,7 @@ class Gru:
             k = int(load.argmin())
             line[k].append(i)
             load[k] += lens[i]
-        total, start = int(load.max()), len(self.w["x"]) - 1
+        total = int(load.max())
         y, word = np.zeros((total, lanes), np.uint8), np.zeros((total, lanes) if index else (0, 0), SEQ)
         owner = np.full((total, lanes), -1, np.int32)
         new = np.zeros((total, lanes), bool)
@@ -425,17 +434,19 @@ class Gru:
                 if index:
                     word[at : at + lens[i], k] = index[i]
                 at += lens[i]
-        h, last, said = np.zeros((lanes, self.h), np.float32), np.full(lanes, start), np.full(lanes, len(self.w["e"]) - 1)
+        h, u, (to_zr, to_c) = np.zeros((lanes, self.h), np.float32), self.recurrent(), self.inputs(bool(index))
+        before = np.empty((total, lanes), np.int64)  # what each step has seen last
+        before[1:] = (word if index else y)[:-1]
+        before[0] = before[new] = len(to_c) - 1
+        zr, c = np.empty((lanes, 2 * self.h), np.float32), np.empty((lanes, self.h), np.float32)
         for t0 in range(0, total, window):
             hs = np.empty((min(window, total - t0), lanes, self.h), np.float32)
             for t in range(len(hs)):
-                on = new[t0 + t]
-                if on.any():
-                    h, last, said = np.where(on[:, None], 0, h).astype(np.float32), np.where(on, start, last), np.where(on, len(self.w["e"]) - 1, said)
-                h = self.step(last, h, said if index else None)[0]
-                hs[t], last = h, y[t0 + t]
-                if index:
-                    said = word[t0 + t]
+                h[new[t0 + t]] = 0
+                to_zr.take(before[t0 + t], axis=0, out=zr, mode="clip")
+                to_c.take(before[t0 + t], axis=0, out=c, mode="clip")
+                h = self.advance(zr, c, h, u)[0]
+                hs[t] = h
             who = owner[t0 : t0 + len(hs)].ravel()
             lp = self.log_probs(hs.reshape(-1, self.h), y[t0 : t0 + len(hs)].ravel())
             real = who >= 0

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamgrid.llm import hardneg, linedup, merkle, tokens
+from loamgrid.llm import hardneg, linedup, lmscore, merkle, tokens
 from loamgrid.plans.session import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, pos long, line string, row string, drop string"
@@ -242,3 +242,21 @@ def test_word_bounds_are_those_of_the_pattern():
     texts = [b"", b" ", b"a", b"\x00a\x1c \x85b", "ä\u00a0ö\u2003x\ty\r\n".encode(), *(bytes(deal.choices(b"ab\xc3\xa4 \t\n\x0b\x0c\r\x0e\x08", k=deal.randrange(60))) for _ in range(300))]
     for t in texts:
         assert tokens.word_bounds(t).tolist() == [list(m.span()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+
+
+def test_states_advance_from_tables_of_words():
+    """OP4: one table gives what a word and its class give to a step, so scores equal those of single steps over both."""
+    p, r = lmscore.LmParams(hidden=6, clusters=4, classed=20), np.random.default_rng(2)
+    g = lmscore.Gru(p)
+    g.set_words(np.concatenate([np.arange(20) % 4, 4 + np.arange(lmscore.FORMS + 1)]), np.arange(30, 10, -1), p)
+    g.w["e"][:] = r.normal(0, 0.3, g.w["e"].shape)
+    table = np.hstack(g.inputs())
+    assert np.allclose(table[:-1], g.w["x"][g.class_of] + g.w["e"][:-1]) and np.allclose(table[-1], g.w["x"][-1] + g.w["e"][-1])
+    seqs = [r.integers(0, 29, n).astype(lmscore.SEQ) for n in (1, 90, 7)]
+    for s, got in zip(seqs, g.score([g.class_of[s].astype(np.uint8) for s in seqs], index=seqs)):
+        h, x, word, total = np.zeros((1, 6), np.float32), p.classes, len(table) - 1, 0.0
+        for k in s:
+            h = g.step(np.array([x]), h, np.array([word]))[0]
+            total += g.log_probs(h, g.class_of[[k]])[0] + (g.inside(h, np.array([k]))[0] if k < 20 else 0)
+            x, word = g.class_of[k], k
+        assert abs(total - got) < 1e-3
