@@ -16,6 +16,7 @@ learned from once at every corpus size, and the driver holds tables of fixed siz
 documents run side by side and the state of each is carried from window to window to its end, so its
 whole length counts.
 
+Texts are read twice: for counts, and for sequences of indices, from which the model then learns and scores.
 Counts of the ``head`` most frequent words travel to the tasks (a table of fixed size); all other
 words of a document meet their counts in a join.
 
@@ -27,15 +28,12 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,18 +65,14 @@ class LmParams:
         return self.clusters + FORMS + 1  # the end is the last
 
 
-def forms_of(words: list[bytes]) -> np.ndarray:
+def forms_of(words: pa.Array) -> np.ndarray:
     """What each word looks like, from 0 to 7: final punctuation, other alphabets, digits or signs."""
-    w = pa.array(words, pa.binary()).cast(pa.string())
+    w = words.cast(pa.string())
     core = pc.utf8_rtrim(w, ".,!?;:")
     marks = [pc.less(pc.binary_length(core), pc.binary_length(w)), pc.invert(pc.string_is_ascii(w)), pc.invert(pc.utf8_is_alpha(core))]
     return sum(m.to_numpy(zero_copy_only=False).astype(np.int64) << i for i, m in enumerate(marks))
 
 
-def _hash(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, form, n) summed over much of a task before it is dealt out."""
     held: list[tuple] = []
@@ -89,13 +83,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         return pa.record_batch([tokens.signed(word), pa.array(f[first]), pa.array(np.bincount(inverse, weights=n).astype(np.int64))], names=["word", "form", "n"])
 
-    for part, texts in tokens.chunks(batches):
-        c: Counter = Counter()
-        for t in texts:
-            c.update(tokens.words_of(t))
-        docs += len(texts)
-        words = list(c)
-        held.append((_hash(words), forms_of(words).astype(np.int32), np.array(list(c.values()), np.int64)))
+    for part, _ in tokens.chunks(batches):
+        words, seq, lens = tokens.indexed(part.column("text"))
+        docs += len(lens)
+        held.append((tokens.hashes(words.to_numpy(zero_copy_only=False)), forms_of(words).astype(np.int32), np.bincount(seq, minlength=len(words))))
         size += len(words)
         if size > 1_000_000:
             yield flush()
@@ -125,33 +116,44 @@ class Head:
         return np.where(hit, self.n[i], -1), np.where(hit, self.own[i], -1).astype(np.int32)
 
 
-def _indexed(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words, each token's place among them, and how many tokens each text has."""
-    known: defaultdict[bytes, int] = defaultdict(count().__next__)
-    seq, lens = [], []
-    for t in texts:
-        ws = tokens.words_of(t)
-        lens.append(len(ws))
-        seq.append(np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)))
-    return list(known), np.concatenate(seq), np.array(lens, np.int64)
+SEQ = np.dtype("<u2")
 
 
-SEQ = np.dtype("<u2")
+_SEQUENCES = "row long, doc_id long, held_out boolean, turn int, n_tokens long, n_known long, logc double, part double, rare array<long>, times array<int>, seq binary"
+
 
+def _sequences(head: Head, log_z: np.ndarray, p: LmParams):
+    """Texts as indices: own ones first, then forms, then the end; those of training are dealt to the rounds, others have turn -1.
 
-def _sequences(head: Head, p: LmParams):
-    """Training texts as indices: own ones first, then forms, then the end; dealt to the rounds."""
+    With them what counts alone say of a text, so that no text is read again: ``logc`` for the base, ``part`` for the words
+    within form classes, and the words whose counts are not here.
+    """
+    end_count = max(0, int(head.look(np.array([END]))[0][0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
-        for part, texts in tokens.chunks(batches):
-            words, seq, lens = _indexed(texts)
-            _, own = head.look(_hash(words))
-            index = np.where(own >= 0, own, p.classed + forms_of(words)).astype(SEQ)
-            parts = [np.append(x, p.classed + FORMS).astype(SEQ).tobytes() for x in np.split(index[seq], np.cumsum(lens)[:-1])]
-            turn = (at + np.arange(len(parts))) % p.rounds
-            at += len(parts)
-            yield pa.record_batch([pa.array(turn.astype(np.int32)), pa.array(parts, pa.binary())], names=["turn", "seq"])
+        at, row = 0, TaskContext.get().partitionId() << 33
+        for part, _ in tokens.chunks(batches):
+            words, seq, lens = tokens.indexed(part.column("text"))
+            h, form = tokens.hashes(words.to_numpy(zero_copy_only=False)), forms_of(words)
+            n, own = head.look(h)
+            index = np.where(own >= 0, own, p.classed + form).astype(SEQ)
+            known = n >= 0
+            logc = np.where(known, np.log10(np.where(known, n, 0) + (1.0)), 0.0)
+            # Own words have their softmax; words of a form class weigh their count plus one.
+            inner = np.where(own >= 0, 0.0, logc - log_z[form])
+            docs, doc = len(lens), np.repeat(np.arange(len(lens)), lens)
+            each = lambda x: np.bincount(doc, weights=x[seq], minlength=docs)  # noqa: E731, B023
+            far, width = ~known[seq], len(words) + 1
+            rare, times = np.unique(doc[far] * width + seq[far], return_counts=True)
+            cut = pa.array(np.searchsorted(rare, np.arange(docs + 1) * width).astype(np.int32))
+            learns = ~part.column("held_out").to_numpy(zero_copy_only=False)
+            turn = np.where(learns, (at + np.cumsum(learns) - 1) % p.rounds, -1)
+            sums = [lens + 1, lens - np.bincount(doc[far], minlength=docs) + (end_count > 0), each(logc) + np.log10(end_count + 1), each(inner)]
+            lists = [pa.ListArray.from_arrays(cut, x) for x in (tokens.signed(h[rare % width]), pa.array(times.astype(np.int32)))]
+            seqs = [np.append(x, SEQ.type(p.classed + FORMS)).tobytes() for x in np.split(index[seq], np.cumsum(lens)[:-1])]
+            cols = [pa.array(np.arange(row, row + docs)), part.column("doc_id"), part.column("held_out"), pa.array(turn.astype(np.int32)), *map(pa.array, sums), *lists, pa.array(seqs, pa.binary())]
+            yield pa.record_batch(cols, names=[c.split()[0] for c in _SEQUENCES.split(", ")])
+            at, row = at + int(learns.sum()), row + docs
 
     return run
 
@@ -252,6 +254,36 @@ def cluster_words(table: np.ndarray, p: LmParams, present: int) -> np.ndarray:
     return out
 
 
+def _exponents(s: np.ndarray, k: np.ndarray, v: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of scores ``s`` (place by token) the one at ``k``, and the sum of exponents, which ``s`` holds afterwards.
+
+    States are between -1 and 1, so weights ``v`` and ``b`` bound the scores: only where exponents could run over are they taken from the largest.
+    """
+    said = s[k, np.arange(len(k))]
+    if (np.abs(v).sum(0) + np.abs(b)).max(initial=0) > 80:
+        top = s.max(0)
+        s -= top
+        said -= top
+    np.exp(s, out=s)
+    return said, s.sum(0)
+
+
+def _sums(rows: np.ndarray, key: np.ndarray, out: np.ndarray) -> None:
+    """Sums of the rows of each key into ``out``, tables side by side; the last row of all, which has no key, is zero.
+
+    Rows of a key are added up eight at a time, so that few are left for a sum over runs of rows.
+    """
+    order, n = np.append(np.argsort(key.astype(SEQ), kind="stable"), len(key)), np.bincount(key, minlength=len(out))
+    runs, end = -(-n // 8), np.cumsum(n)
+    mine, last = np.repeat(np.arange(len(out)), runs), np.cumsum(runs)
+    at = (end - n)[mine] + 8 * (np.arange(last[-1]) - (last - runs)[mine])
+    at = order[np.where(at + np.arange(8)[:, None] < end[mine], at + np.arange(8)[:, None], len(key))]
+    total = rows.take(at[0], axis=1)
+    for some in at[1:]:
+        total += rows.take(some, axis=1)
+    out[n > 0] = np.add.reduceat(np.concatenate(total, axis=1), (last - runs)[n > 0])
+
+
 class Gru:
     """A gated recurrent unit over words and their classes: input tables, recurrent weights, softmax over classes and within them."""
 
@@ -270,8 +302,11 @@ class Gru:
         self.group[:present] = class_of[:present]
         self.members = [np.flatnonzero(self.group == c) for c in range(p.clusters)]
         self.place = np.zeros(len(class_of), np.int64)
-        for m in self.members:
+        # Members side by side, as many for each class; where a class has fewer, the row after the last word.
+        self.side = np.full((p.clusters, max([1, *map(len, self.members)])), p.classed)
+        for c, m in enumerate(self.members):
             self.place[m] = np.arange(len(m))
+            self.side[c, : len(m)] = m
         self.w["c"][:present] = np.log(np.maximum(n, 1))
 
     def flat(self) -> np.ndarray:
@@ -283,73 +318,82 @@ class Gru:
 
     def inside(self, hs: np.ndarray, index: np.ndarray, grad: dict | None = None, dhs: np.ndarray | None = None) -> np.ndarray:
         """Log probability of each own word within its class, 0 for others; adds gradients of the mean loss."""
-        group, w = self.group[index], self.w
+        group, w, n = self.group[index], self.w, self.h
         order = np.argsort(group, kind="stable")
         cut = np.searchsorted(group[order], np.arange(len(self.members) + 1))
+        at, cut = order[cut[0] :], cut - cut[0]
         out = np.zeros(len(index), np.float32)
-        for c, m in enumerate(self.members):
-            v, b = w["v"][m], w["c"][m]
-            for i in range(cut[c], cut[c + 1], 4096):
-                at = order[i : min(i + 4096, cut[c + 1])]
-                h, k, rows = hs[at], self.place[index[at]], np.arange(len(at))
-                s = h @ v.T + b
-                s -= s.max(1, keepdims=True)
-                said = s[rows, k]
-                np.exp(s, out=s)
-                z = s.sum(1)
-                out[at] = said - np.log(z)
-                if grad is not None:
-                    s /= z[:, None]
-                    s[rows, k] -= 1
-                    s /= len(index)
-                    grad["v"][m] += s.T @ h
-                    grad["c"][m] += s.sum(0)
-                    dhs[at] += s @ v
+        # One product for each class; all else is done for the words of all classes at once, as one row for each place in a class.
+        table = np.vstack([np.column_stack([w["v"], w["c"]]), np.append(np.zeros(n), -1e30)]).astype(np.float32)[self.side]
+        h = np.ones((len(at), n + 1), np.float32)
+        h[:, :n] = hs[at]
+        s = np.empty((self.side.shape[1], len(at)), np.float32)
+        runs = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+        for c, run in runs:
+            np.matmul(table[c], h[run].T, out=s[:, run])
+        k, cols = self.place[index[at]], np.arange(len(at))
+        said, z = _exponents(s, k, w["v"].T, w["c"])
+        out[at] = said - np.log(z)
+        if grad is not None:
+            s /= z * np.float32(len(index))
+            s[k, cols] -= np.float32(1 / len(index))
+            back, dh = np.zeros_like(table), np.empty((len(at), n), np.float32)
+            for c, run in runs:
+                back[c] = s[:, run] @ h[run]
+                np.matmul(s[:, run].T, table[c][:, :n], out=dh[run])
+            dhs[at] += dh
+            real = self.side < len(w["v"])
+            grad["v"][self.side[real]] += back[real][:, :n]
+            grad["c"][self.side[real]] += back[real][:, n]
         return out
 
-    def inputs(self, words: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """What each index, or class, gives to both gates and to the candidate; the last begins a document."""
+    def inputs(self, words: bool = True) -> np.ndarray:
+        """What each index, or class, gives to both gates and to the candidate, one table for each; the last row begins a document."""
         a = self.w["x"][np.append(self.class_of, len(self.w["x"]) - 1)] + self.w["e"] if words else self.w["x"]
-        return tuple(map(np.ascontiguousarray, np.split(a, [2 * self.h], axis=1)))
+        return self.gates(a)
 
-    def recurrent(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(map(np.ascontiguousarray, np.split(self.w["u"], [2 * self.h], axis=1)))
+    def gates(self, a: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(a.reshape(len(a), 3, self.h).transpose(1, 0, 2))
 
     def step(self, x: np.ndarray, h: np.ndarray, word: np.ndarray | None = None) -> tuple:
         """For classes ``x``, and words where they are given, after states ``h``: as ``advance``."""
         a = self.w["x"][x] + (0 if word is None else self.w["e"][word])
-        return self.advance(*np.split(a, [2 * self.h], axis=1), h, self.recurrent())
+        return self.advance(self.gates(a), h, self.gates(self.w["u"]))
 
-    def advance(self, zr: np.ndarray, c: np.ndarray, h: np.ndarray, u: tuple[np.ndarray, np.ndarray]) -> tuple:
-        """From inputs ``zr`` and ``c``, which are overwritten, and states ``h``: new states, gates z and r side by side, candidates and their recurrent part."""
-        n, g = self.h, h @ u[1]
-        zr += h @ u[0]
+    def advance(self, x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From inputs ``x`` and states ``h``: new states and the recurrent part of the candidates; ``x`` then holds both gates and the candidates."""
+        a, zr, c = h @ u, x[:2], x[2]
+        zr += a[:2]
         np.exp(np.negative(zr, out=zr), out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        c += zr[:, n:] * g
+        c += zr[1] * a[2]
         np.tanh(c, out=c)
         new = h - c
-        new *= zr[:, :n]
+        new *= zr[0]
         new += c
-        return new, zr, c, g
+        return new, a[2]
 
     def log_probs(self, hs: np.ndarray, y: np.ndarray) -> np.ndarray:
         out = np.empty(len(y), np.float32)
         for i in range(0, len(y), 4096):  # as much as stays in the processor's cache
-            s = hs[i : i + 4096] @ self.w["o"]
-            s += self.w["b"]
-            s -= s.max(1, keepdims=True)
-            said = s[np.arange(len(s)), y[i : i + 4096]]
-            out[i : i + 4096] = said - np.log(np.exp(s, out=s).sum(1))
+            s = self.w["o"].T @ hs[i : i + 4096].T
+            s += self.w["b"][:, None]
+            said, z = _exponents(s, y[i : i + 4096], self.w["o"], self.w["b"])
+            out[i : i + 4096] = said - np.log(z)
         return out
 
     def learn(self, streams: np.ndarray, starts: np.ndarray, p: LmParams, rate: float) -> None:
         """Truncated backpropagation along ``streams`` (time by lane) of indices; ``starts`` marks new documents."""
         w, n = self.w, self.h
+        weights = self.flat()
         if not hasattr(self, "moments"):
-            self.moments, self.turn = [{k: np.zeros_like(v) for k, v in w.items()} for _ in range(2)], 0
-        m, v2 = self.moments
+            self.moments, self.turn = np.zeros((2, len(weights)), np.float32), 0
+        # Weights and gradients as views of one row each, so that they are changed all at once.
+        grads, spare, (m, v2) = np.zeros_like(weights), np.empty_like(weights), self.moments
+        views = lambda row: {k: x.reshape(w[k].shape) for k, x in zip(w, np.split(row, np.cumsum([x.size for x in w.values()])[:-1]))}
+        g, self.w = views(grads), views(weights)
+        w = self.w
         classes = self.class_of[streams]
         in_class = (np.arange(len(w["x"]))[:, None] == np.append(self.class_of, p.classes)).astype(np.float32)
         width = streams.shape[1]
@@ -361,56 +405,62 @@ class Gru:
             word = np.where(new, p.classed + FORMS + 1, np.vstack([before[None], own[:-1]]))
             steps = len(y)
             prev, hs, gn = (np.empty((steps, width, n), np.float32) for _ in range(3))
-            (zr, c), u = (table[word] for table in self.inputs()), self.recurrent()
+            x, u = self.inputs().take(word, axis=1), self.gates(w["u"])
             for t in range(steps):
                 prev[t] = h
                 prev[t][new[t]] = 0
-                hs[t], _, _, gn[t] = self.advance(zr[t], c[t], prev[t], u)
+                hs[t], gn[t] = self.advance(x[:, t], prev[t], u)
                 h = hs[t]
             flat = hs.reshape(-1, n)
-            s = flat @ w["o"]
-            s += w["b"]
-            s -= s.max(1, keepdims=True)
-            np.exp(s, out=s)
-            s /= s.sum(1, keepdims=True) * np.float32(len(s))
-            s[np.arange(len(s)), y.ravel()] -= np.float32(1 / len(s))
-            g = {"o": flat.T @ s, "b": s.sum(0), "v": np.zeros_like(w["v"]), "c": np.zeros_like(w["c"])}
-            dhs = s @ w["o"].T
+            s = w["o"].T @ flat.T
+            s += w["b"][:, None]
+            s /= _exponents(s, y.ravel(), w["o"], w["b"])[1] * np.float32(len(flat))
+            s[y.ravel(), np.arange(len(flat))] -= np.float32(1 / len(flat))
+            grads[:] = 0
+            g["o"][:], g["b"][:] = flat.T @ s.T, s.sum(1)
+            dhs = s.T @ w["o"].T
             self.inside(flat, streams[t0 : t0 + p.window].ravel(), g, dhs)
             dhs = dhs.reshape(steps, width, n)
             # Derivatives of the state by what goes into each gate, for all steps; then backwards in time.
-            z, r = zr[:, :, :n], zr[:, :, n:]
+            z, r, c = x
             to_c = (1 - z) * (1 - c * c)
             to_z = (prev - c) * z * (1 - z)
             to_r = gn * r * (1 - r)
-            dg, dc = np.empty((steps, width, 3 * n), np.float32), np.empty((steps, width, n), np.float32)
-            dh, back = np.zeros((width, n), np.float32), np.ascontiguousarray(w["u"].T)
+            rows = np.zeros((3, steps * width + 1, n), np.float32)  # the last row is for ``_sums``
+            dg, dc = rows[:, :-1].reshape(3, steps, width, n), np.empty((steps, width, n), np.float32)
+            dh, back = np.zeros((width, n), np.float32), np.ascontiguousarray(u.transpose(0, 2, 1))
             for t in range(steps - 1, -1, -1):
                 dh += dhs[t]
                 np.multiply(dh, to_c[t], out=dc[t])
-                np.multiply(dh, to_z[t], out=dg[t][:, :n])
-                np.multiply(dc[t], to_r[t], out=dg[t][:, n : 2 * n])
-                np.multiply(dc[t], r[t], out=dg[t][:, 2 * n :])
-                dh = dh * z[t] + dg[t] @ back
+                np.multiply(dh, to_z[t], out=dg[0, t])
+                np.multiply(dc[t], to_r[t], out=dg[1, t])
+                np.multiply(dc[t], r[t], out=dg[2, t])
+                dh *= z[t]
+                for part in dg[:, t] @ back:
+                    dh += part
                 dh[new[t]] = 0
-            g["u"] = prev.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
-            dg[:, :, 2 * n :] = dc
-            flat_dg = dg.reshape(-1, 3 * n)
-            order = np.argsort(word.ravel(), kind="stable")
-            rows, first = np.unique(word.ravel()[order], return_index=True)
-            g["e"] = np.zeros_like(w["e"])
-            g["e"][rows] = np.add.reduceat(flat_dg[order], first)
-            g["x"] = in_class @ g["e"]  # a class has what its words have
+            for k in range(3):
+                g["u"][:, k * n : (k + 1) * n] = prev.reshape(-1, n).T @ dg[k].reshape(-1, n)
+            dg[2] = dc
+            _sums(rows, word.ravel(), g["e"])
+            g["x"][:] = in_class @ g["e"]  # a class has what its words have
             h = h.copy()
             self.turn += 1
-            size = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
-            for k in w:
-                q = g[k] * np.float32(min(1.0, 1.0 / max(size, 1e-9)))
-                m[k] = 0.9 * m[k] + 0.1 * q
-                v2[k] = 0.999 * v2[k] + 0.001 * q * q
-                w[k] -= rate * (m[k] / (1 - 0.9**self.turn)) / (np.sqrt(v2[k] / (1 - 0.999**self.turn)) + 1e-8)
-
-    def score(self, seqs: list[np.ndarray], window: int = 64, index: list[np.ndarray] | None = None) -> np.ndarray:
+            grads *= np.float32(min(1.0, 1.0 / max(float(np.sqrt(grads @ grads)), 1e-9)))
+            m *= np.float32(0.9)
+            m += np.multiply(grads, np.float32(0.1), out=spare)
+            v2 *= np.float32(0.999)
+            np.multiply(grads, grads, out=spare)
+            spare *= np.float32(0.001)
+            v2 += spare
+            np.sqrt(v2, out=spare)
+            spare *= np.float32(1 / np.sqrt(1 - 0.999**self.turn))
+            spare += np.float32(1e-8)
+            np.divide(m, spare, out=spare)
+            spare *= np.float32(rate / (1 - 0.9**self.turn))
+            weights -= spare
+
+    def score(self, seqs: list[np.ndarray], window: int = 16, index: list[np.ndarray] | None = None) -> np.ndarray:
         """Natural log probability of each whole class sequence, and of the own words of ``index`` in it; many run side by side."""
         lens = np.array([len(s) for s in seqs])
         out = np.zeros(len(seqs))
@@ -434,18 +484,17 @@ class Gru:
                 if index:
                     word[at : at + lens[i], k] = index[i]
                 at += lens[i]
-        h, u, (to_zr, to_c) = np.zeros((lanes, self.h), np.float32), self.recurrent(), self.inputs(bool(index))
+        h, u, table = np.zeros((lanes, self.h), np.float32), self.gates(self.w["u"]), self.inputs(bool(index))
         before = np.empty((total, lanes), np.int64)  # what each step has seen last
         before[1:] = (word if index else y)[:-1]
-        before[0] = before[new] = len(to_c) - 1
-        zr, c = np.empty((lanes, 2 * self.h), np.float32), np.empty((lanes, self.h), np.float32)
+        before[0] = before[new] = table.shape[1] - 1
+        x = np.empty((3, lanes, self.h), np.float32)
         for t0 in range(0, total, window):
             hs = np.empty((min(window, total - t0), lanes, self.h), np.float32)
             for t in range(len(hs)):
                 h[new[t0 + t]] = 0
-                to_zr.take(before[t0 + t], axis=0, out=zr, mode="clip")
-                to_c.take(before[t0 + t], axis=0, out=c, mode="clip")
-                h = self.advance(zr, c, h, u)[0]
+                table.take(before[t0 + t], axis=1, out=x, mode="clip")
+                h = self.advance(x, h, u)[0]
                 hs[t] = h
             who = owner[t0 : t0 + len(hs)].ravel()
             lp = self.log_probs(hs.reshape(-1, self.h), y[t0 : t0 + len(hs)].ravel())
@@ -491,53 +540,31 @@ def _learned(gru: Gru, p: LmParams, rate: float):
 @dataclass
 class LanguageModel:
     gru: Gru
-    head: Head
     class_of: np.ndarray  # of own indices, forms and the end
-    log_z: np.ndarray  # log10 of each form class's weight
     learned_tokens: int  # that the recurrent weights were fitted on
     train_tokens: int
     vocabulary: int
-    params: LmParams
 
 
 def _scored(model: LanguageModel):
-    p, head = model.params, model.head
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logc", pa.float64()), ("part", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
-    end_hash = np.array([END])
-    end_count = max(0, int(head.look(end_hash)[0][0]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
         held, seqs, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
             lp = model.gru.score([model.class_of[x].astype(np.uint8) for x in seqs], index=seqs) / np.log(10)
-            cols = list(zip(*held))
-            cols[6] = tuple(np.array(cols[6]) + lp)
-            return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+            return pa.record_batch([pa.chunked_array(held).combine_chunks(), pa.array(lp)], names=["row", "lp"])
 
-        for part, texts in tokens.chunks(batches):
-            words, seq, lens = _indexed(texts)
-            h = _hash(words)
-            n, own = head.look(h)
-            index = np.where(own >= 0, own, p.classed + forms_of(words))
-            cls = model.class_of[index]
-            known = n >= 0
-            logc = np.where(known, np.log10(np.where(known, n, 0) + (1.0)), 0.0)
-            # Own words have their softmax; words of a form class weigh their count plus one.
-            inner = np.where(own >= 0, 0.0, logc - model.log_z[cls])
-            at = np.concatenate([[0], np.cumsum(lens)])
-            for i, (doc_id, out) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
-                s = seq[at[i] : at[i + 1]]
-                far = s[~known[s]]
-                rare, times = np.unique(h[far], return_counts=True)
-                held.append((row, doc_id, out, len(s) + 1, int(known[s].sum()) + (end_count > 0), float(logc[s].sum() + np.log10(end_count + 1)), float(inner[s].sum()), rare.view(np.int64), times.astype(np.int32)))
-                seqs.append(np.append(index[s], p.classed + FORMS).astype(SEQ))
-                row += 1
-            size += len(seq)
-            if size > 6_000_000:
-                yield flush()
-                held, seqs, size = [], [], 0
+        for batch in batches:
+            at = 0
+            for i, x in enumerate(batch.column(1)):
+                seqs.append(np.frombuffer(x.as_buffer(), SEQ))
+                size += len(seqs[-1])
+                if size > 6_000_000 or i + 1 == batch.num_rows:
+                    held.append(batch.column(0).slice(at, i + 1 - at))
+                    at = i + 1
+                if size > 6_000_000:
+                    yield flush()
+                    held, seqs, size = [], [], 0
         if held:
             yield flush()
 
@@ -546,7 +573,14 @@ def _scored(model: LanguageModel):
 
 def train(docs: DataFrame, s: Scratch, p: LmParams) -> tuple[LanguageModel, DataFrame]:
     """The model, and the table (word, n) of all counts. ``docs(doc_id, text)`` are the training rows."""
-    counted = docs.select("text").mapInArrow(_counts, "word long, form int, n long")
+    model, counts, seqs = _fitted(docs.select("doc_id", F.lit(False).alias("held_out"), "text"), s, p)
+    s.drop(seqs)
+    return model, counts
+
+
+def _fitted(rows: DataFrame, s: Scratch, p: LmParams) -> tuple[LanguageModel, DataFrame, DataFrame]:
+    """As ``train``, from the rows that are not ``held_out``; and the sequences of all rows."""
+    counted = rows.filter("not held_out").select("text").mapInArrow(_counts, "word long, form int, n long")
     counts = s.keep(counted.groupBy("word").agg(F.max("form").alias("form"), F.sum("n").alias("n")), "counts")
     # The count that `head` words at most reach, from a histogram of a few hundred steps of counts.
     step = F.floor(F.log2("n") * 8).cast("int")
@@ -560,10 +594,17 @@ def train(docs: DataFrame, s: Scratch, p: LmParams) -> tuple[LanguageModel, Data
     head = Head(word[plain], n[plain], p.classed)
     sums = {r["form"]: r for r in counts.groupBy("form").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     total, vocabulary = (sum(r[k] for r in sums.values()) for k in ("n", "v"))
-    n_docs = sums[-1]["n"] if -1 in sums else 0
-    seqs = s.keep(docs.select("text").mapInArrow(_sequences(head, p), "turn int, seq binary"), "sequences")
+    # Weight of each form class: counts plus one each, one more for the unseen.
+    z = np.ones(FORMS)
+    own_words = s.spark.createDataFrame([(int(x),) for x in head.word[head.own >= 0].view(np.int64)], "word long")  # `classed` rows at most
+    rest = counts.join(F.broadcast(own_words), "word", "left_anti").filter("form >= 0").groupBy("form").agg((F.sum("n") + F.count(F.lit(1))).alias("z"))
+    for r in rest.collect():
+        z[r["form"]] += r["z"]
+    head_all = Head(word, n, 0)
+    head_all.own[np.searchsorted(head_all.word, head.word)] = head.own
+    seqs = s.keep(rows.mapInArrow(_sequences(head_all, np.log10(z), p), _SEQUENCES), "sequences")
     present = min(p.classed, len(head.word))
-    class_of = cluster_words(_neighbour_table(seqs, p), p, present)
+    class_of = cluster_words(_neighbour_table(seqs.filter("turn >= 0"), p), p, present)
     gru, learned = Gru(p), 0
     own_n = np.zeros(present, np.int64)
     own_n[head.own[head.own >= 0]] = head.n[head.own >= 0]
@@ -576,43 +617,27 @@ def train(docs: DataFrame, s: Scratch, p: LmParams) -> tuple[LanguageModel, Data
         if n_tokens:
             gru.load(cells / n_tokens)
             learned += n_tokens
-    s.drop(seqs)
-    # Weight of each form class: counts plus one each, one more for the unseen.
-    z = np.zeros(p.classes)
-    own = head.own >= 0
-    own_words = s.spark.createDataFrame([(int(x),) for x in head.word[own].view(np.int64)], "word long")  # `classed` rows at most
-    rest = counts.join(F.broadcast(own_words), "word", "left_anti").filter("form >= 0").groupBy("form").agg((F.sum("n") + F.count(F.lit(1))).alias("z"))
-    z[p.clusters : p.clusters + FORMS] = 1
-    for r in rest.collect():
-        z[p.clusters + r["form"]] += r["z"]
-    z[-1] = 1
-    head_all = Head(word, n, 0)
-    head_all.own[np.searchsorted(head_all.word, head.word)] = head.own
-    model = LanguageModel(gru, head_all, class_of, np.log10(np.maximum(z, 1)), learned, int(total or 0), int(vocabulary or 0), p)
-    return model, counts.select("word", "n")
+    return LanguageModel(gru, class_of, learned, int(total or 0), int(vocabulary or 0)), counts.select("word", "n"), seqs
 
 
 def score_documents(docs: DataFrame, held_out: Column, p: LmParams = LmParams()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of ``docs``."""
     s = Scratch(docs.sparkSession, "lmscore")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("binary").alias("text"))
-    model, counts = train(rows.filter("not held_out"), s, p)
-    scored = rows.select("doc_id", "held_out", "text").mapInArrow(
-        _scored(model), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logc double, part double, rare array<long>, times array<int>"
-    )
-    scored = s.keep(scored, "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    model, counts, seqs = _fitted(rows, s, p)
+    scored = s.keep(seqs.select("row", "seq").mapInArrow(_scored(model), "row long, lp double"), "scored")
+    rare = seqs.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     known = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logc_more"))
     base = float(np.log10(model.train_tokens + model.vocabulary + 1))
     more = F.coalesce("logc_more", F.lit(0.0))
-    out = scored.drop("rare", "times").join(known, "row", "left").select(
+    out = seqs.drop("rare", "times", "seq").join(scored, "row").join(known, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         (F.col("logc") + more - F.col("n_tokens") * F.lit(base)).alias("base_score"),
-        (F.col("part") + more).alias("score"),
+        (F.col("part") + F.col("lp") + more).alias("score"),
     )
     return s.finish(out)
 

@@ -6,7 +6,7 @@ takes UTF-8 bytes (None counts as empty) and handles any length; a window never
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ def word_bounds(text: bytes) -> np.ndarray:
     return np.flatnonzero(word[1:] != word[:-1]).reshape(-1, 2)
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
+def hashes(words: Sequence[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
@@ -53,6 +53,19 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out, dtype=np.uint64), np.array(ends, dtype=np.int64)
 
 
+def indexed(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of all texts, each word's place among them, and how many words each text has."""
+    texts = pa.compute.fill_null(texts, b"")
+    # Split as strings without a look at what they hold: both functions know single bytes only.
+    lists = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)))
+    words, cut = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    full = pa.compute.binary_length(words).to_numpy(zero_copy_only=False) > 0  # space at an end leaves an empty word
+    if not full.all():
+        words, cut = words.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[cut]
+    found = words.dictionary_encode()
+    return found.dictionary.view(pa.binary()), found.indices.to_numpy().astype(np.int64), np.diff(cut).astype(np.int64)
+
+
 class Windows:
     """Hashes of word windows of any width, each in constant time from one prefix sum."""
 
