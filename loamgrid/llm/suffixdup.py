@@ -137,11 +137,26 @@ FIRST, REPEAT, DECIDED = 0, 1, 2
 _HEAD = ["head_id", "head_part", "head_place"]
 
 
+def _words(batch: pa.RecordBatch, ids: list[list[tuple]]) -> tuple[np.ndarray, dict[tuple, tuple[int, int]]]:
+    """Words of the texts of a batch, each document's once, as places among the distinct ones; and where each document's begin and end."""
+    first: dict[tuple, int] = {}
+    for k, keys in enumerate(ids):
+        for row, key in enumerate(keys):
+            first.setdefault(key, 2 * row + k)
+    row, side = np.divmod(np.fromiter(first.values(), np.int64, len(first)), 2)
+    texts = [batch.column(n).take(pa.array(row[side == k])) for k, n in enumerate(("text", "head_text"))]
+    _, word, lens = tokens.indexed(pa.concat_arrays(texts))
+    cut = np.cumsum([0, *lens.tolist()]).tolist()
+    keys = [key for k in (0, 1) for key, x in zip(first, side) if x == k]
+    return word, dict(zip(keys, zip(cut[:-1], cut[1:])))
+
+
 def _extended(p: SuffixParams):
     """From pairs of documents with the places at which they agree: the matches, of both sides.
 
-    Words are compared as hashes to find the ends and as bytes to confirm what lies between. Within one
-    document nothing is extended, as more of it may be in no other.
+    Words are compared by their place among the distinct words of all texts at hand, so equal places are equal words.
+    Within one document nothing is extended, as more of it may be in no other. Of suffixes that follow each other in a
+    match the decided windows are one interval where they leave no gap.
     """
 
     def reach(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int]:
@@ -153,30 +168,24 @@ def _extended(p: SuffixParams):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
-        for batch in batches:
+        for batch, _ in tokens.chunks(batches):
             rows = []
-            known: dict[tuple, tuple] = {}
-
-            def words(key: tuple, column: str, at: int) -> tuple[list[bytes], np.ndarray]:
-                if key not in known:
-                    if len(known) > 64:
-                        known.clear()
-                    w = tokens.words_of(batch.column(column)[at].as_py())  # noqa: B023
-                    known[key] = (w, tokens.hashes(w))  # noqa: B023
-                return known[key]  # noqa: B023
-
-            ids = [tuple(zip(*(batch.column(n).to_pylist() for n in names))) for names in (("doc_id", "part"), _HEAD[:2])]
+            ids = [list(zip(*(batch.column(n).to_pylist() for n in names))) for names in (("doc_id", "part"), _HEAD[:2])]
+            word, at = _words(batch, ids)
             seeds = batch.column("seeds")
             cut, flat = seeds.offsets.to_numpy(), seeds.values
             fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
             for a, (me, head) in enumerate(zip(*ids)):
-                (wx, x), (wy, y) = words(me, "text", a), words(head, "head_text", a)
+                x, y = word[slice(*at[me])], word[slice(*at[head])]
                 place, other, since, until = (f[cut[a] : cut[a + 1]] for f in fields)
-                order, end, last = np.lexsort((place, place - other)), -1, None
+                order, end, last, decided = np.lexsort((place, place - other)), -1, None, []
                 for i, j, k0, k1 in zip(*(f[order].tolist() for f in (place, other, since, until))):
                     if i >= end or i - j != last:
-                        left, right = (0, p.min_words) if me == head else reach(x, y, i, j)
-                        if wx[i - left : i + right] != wy[j - left : j + right]:
+                        if me != head:
+                            left, right = reach(x, y, i, j)
+                        elif (x[i : i + p.min_words] == y[j : j + p.min_words]).all():
+                            left, right = 0, p.min_words
+                        else:
                             continue  # equal hashes of different words
                         lo, hi, last, end = i - left, i + right, i - j, i + (right if me != head else 0)
                         if hi - lo >= p.min_words:
@@ -184,7 +193,12 @@ def _extended(p: SuffixParams):
                     # The windows that chose this suffix and lie in the match.
                     k0, k1 = max(lo, k0), min(k1 - 1 + p.min_words, hi)
                     if k1 - k0 >= p.min_words and me != head:
-                        rows += [(*me, DECIDED, k0, k1), (*head, DECIDED, k0 - i + j, k1 - i + j)]
+                        if decided and decided[-1][0] == i - j and decided[-1][1] <= k0 <= decided[-1][2] - p.min_words + 1:
+                            decided[-1][2] = max(decided[-1][2], k1)
+                        else:
+                            decided.append([i - j, k0, k1])
+                for shift, k0, k1 in decided:
+                    rows += [(*me, DECIDED, k0, k1), (*head, DECIDED, k0 - shift, k1 - shift)]
             cols = list(zip(*rows)) if rows else [()] * 5
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, out_schema)], schema=out_schema)
 
@@ -206,12 +220,15 @@ def _matches(seeds: DataFrame, held: DataFrame, s: Scratch, p: SuffixParams) ->
     return s.keep(found.groupBy("doc_id", "part", "kind", "lo").agg(F.max("hi").alias("hi")), "matches")
 
 
-def _starts(n: int, intervals: list[tuple[int, int]], width: int) -> np.ndarray:
+def _flat(column: pa.ListArray, ends: np.ndarray | None = None) -> tuple[np.ndarray, pa.Array]:
+    """What the lists of a column hold, in a row, and the number of the list (or where its text starts in ``ends``) for each."""
+    n = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy()
+    return np.repeat(np.arange(len(n)) if ends is None else ends[:-1], n), column.flatten()
+
+
+def _starts(n: int, lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
     """Which of ``n`` places begin a window of ``width`` words inside an interval."""
-    edge = np.zeros(n + 1, np.int64)
-    for lo, hi in intervals:
-        edge[lo] += 1
-        edge[hi - width + 1] -= 1
+    edge = np.bincount(lo, minlength=n + 1) - np.bincount(hi - width + 1, minlength=n + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -225,12 +242,14 @@ def _rest(p: SuffixParams):
         for part, texts in tokens.chunks(batches):
             x, ends = tokens.word_hashes(texts)
             win = tokens.Windows(x, ends)
-            mark, repeated, own, decided = (np.zeros(win.n, bool) for _ in range(4))
-            for d, (at, again, found) in enumerate(zip(*(part.column(n).to_pylist() for n in ("places", "own", "found")))):
-                a, n = ends[d], int(ends[d + 1] - ends[d])
-                within = lambda kinds: _starts(n, [(m["lo"], m["hi"]) for m in found or [] if m["kind"] in kinds], p.min_words)  # noqa: E731, B023
-                mark[a : a + n], decided[a : a + n] = within((FIRST, REPEAT)), within((DECIDED,))
-                repeated[a + np.array(at, np.int64)], own[a + np.array(again, np.int64)] = True, True
+            begin, found = _flat(part.column("found"), ends)
+            kind, lo, hi = (found.field(k).to_numpy() for k in range(3))
+            within = lambda some: _starts(win.n, (begin + lo)[some], (begin + hi)[some], p.min_words)  # noqa: E731, B023
+            mark, decided = within(kind != DECIDED), within(kind == DECIDED)
+            repeated, own = np.zeros(win.n, bool), np.zeros(win.n, bool)
+            for marks, column in ((repeated, "places"), (own, "own")):
+                begin, places = _flat(part.column(column), ends)
+                marks[begin + places.to_numpy()] = True
             at, choice = chosen(win, p)
             at = at[(repeated[choice] & ~decided[at]) | own[choice]] if len(at) else at
             at = at[at + p.min_words <= win.stop[at]] if len(at) else at
@@ -251,13 +270,17 @@ def _spans(p: SuffixParams):
         schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in _SPAN.split(", "))])
         for part, texts in tokens.chunks(batches):
             rows = []
-            for doc_id, key, text, found in zip(*(part.column(n).to_pylist() for n in ("doc_id", "text_key")), texts, part.column("found").to_pylist()):
+            begin, found = _flat(part.column("found"))
+            kind, low, high = (found.field(k).to_numpy() for k in range(3))
+            cut = np.searchsorted(begin, np.arange(part.num_rows + 1))
+            for a, (doc_id, key, text) in enumerate(zip(*(part.column(n).to_pylist() for n in ("doc_id", "text_key")), texts)):
                 bounds = tokens.word_bounds(text)
                 # bytes -> characters: count the bytes that begin one
                 chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-                on = {r: _starts(len(bounds), [(m["lo"], m["hi"]) for m in found if m["kind"] == r], p.min_words) for r in (FIRST, REPEAT)}
+                of, lows, highs = (v[cut[a] : cut[a + 1]] for v in (kind, low, high))
+                on = {r: _starts(len(bounds), lows[of == r], highs[of == r], p.min_words) for r in (FIRST, REPEAT)}
                 on[FIRST] &= ~on[REPEAT]  # a first occurrence is in no earlier document
-                for repeat, starts in ((kind == REPEAT, x) for kind, x in on.items()):
+                for repeat, starts in ((r == REPEAT, x) for r, x in on.items()):
                     at = np.flatnonzero(starts)
                     if not len(at):
                         continue
@@ -289,14 +312,14 @@ def repeated_spans(docs: DataFrame, params: SuffixParams = SuffixParams(), id_co
     near = s.keep(ranked.mapInArrow(_neighbours, _SUFFIX + ", hit boolean, edge boolean"), "neighbours")
     s.drop(suffixes)
     across = near.filter("edge").groupBy(*_KEY).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*_KEY)
-    equal = s.keep(near.filter("hit").select(*kept).union(near.filter("edge and not hit").join(across, _KEY).select(*kept)), "equal")
-    s.drop(near)
+    across = s.keep(near.filter("edge and not hit").join(across, _KEY).select(*kept), "across")  # two rows a task at most
+    equal = near.filter("hit").select(*kept).union(across)
     heads = equal.groupBy(*_KEY).agg(F.min(F.struct(*_AT)).alias("h"), F.max(F.struct(*_AT[:2])).alias("top"))
     heads = heads.filter((F.col("h.doc_id") != F.col("top.doc_id")) | (F.col("h.part") != F.col("top.part")))
     # Written first: both sides of the join are then plain shuffles, and Spark splits the task of a very common suffix.
     heads = s.keep(heads.select(*_KEY, F.col("h.doc_id").alias("head_id"), F.col("h.part").alias("head_part"), F.col("h.place").alias("head_place")), "heads").hint("merge")
     seeds = s.keep(equal.join(heads, _KEY).select(*_AT, *_CHOSE, *_HEAD), "seeds")
-    s.drop(equal)
+    s.drop(near)
     alike = (F.col("doc_id") == F.col("head_id")) & (F.col("part") == F.col("head_part"))
     again = alike & (F.col("place") != F.col("head_place"))
     places = seeds.groupBy("doc_id", "part").agg(
@@ -316,7 +339,7 @@ def repeated_spans(docs: DataFrame, params: SuffixParams = SuffixParams(), id_co
     first = first.filter(F.col("held") | (F.col("h.doc_id") != F.col("top.doc_id")) | (F.col("h.part") != F.col("top.part")))
     first = s.keep(first.select("gram", F.col("h.doc_id").alias("head_id"), F.col("h.part").alias("head_part"), F.col("h.place").alias("head_place")), "first").hint("merge")
     later = grams.join(first, "gram").select(*_AT, F.col("place").alias("since"), (F.col("place") + 1).alias("until"), *_HEAD).filter(~alike | (F.col("place") != F.col("head_place")))
-    found = found.unionByName(_matches(later, held, s, p))
+    found = found.unionByName(_matches(later, held, s, p)).filter(F.col("kind") != DECIDED)
 
     spans = held.select("doc_id", "part", "text_key", "text").join(grouped(found).hint("merge"), ["doc_id", "part"])
     return s.finish(spans.select("doc_id", "text_key", "text", "found").mapInArrow(_spans(p), _SPAN))

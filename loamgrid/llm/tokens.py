@@ -45,12 +45,8 @@ def hashes(words: Sequence[bytes]) -> np.ndarray:
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row, and where each text starts (one more than texts)."""
-    digest = xxhash.xxh3_64_intdigest
-    ends, out = [0], []
-    for t in texts:
-        out += map(digest, words_of(t))
-        ends.append(len(out))
-    return np.array(out, dtype=np.uint64), np.array(ends, dtype=np.int64)
+    words, seq, lens = indexed(pa.array(texts, pa.binary()))
+    return hashes(words.to_numpy(zero_copy_only=False))[seq], np.concatenate([[0], np.cumsum(lens)])
 
 
 def indexed(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

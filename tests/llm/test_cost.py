@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from loamgrid.llm import lmscore, tokens
+from loamgrid.llm import lmscore, suffixdup, tokens
 
 ODD = [None, b"", b" ", b"a", b"\x00A\x1c \x85b".replace(b"\x85", "\x85".encode()), "Ä ö x\tY\r\n".encode(), b" x  x\x0b\x0cx ", b"\n"]
 
@@ -60,3 +60,26 @@ def test_sums_of_rows_and_large_scores():
     g.w["b"][:2] = 200, 199
     lp = g.log_probs(np.zeros((2, 4), np.float32), np.array([0, 1]))
     assert np.allclose(lp, [-np.log1p(np.exp(-1)), -1 - np.log1p(np.exp(-1))], atol=1e-5)
+
+
+def test_decided_windows_of_a_match_are_one_interval():
+    """OP10: suffixes that follow each other in a match give one decided interval; where one is missing, two; found ends stay."""
+    p, words = suffixdup.SuffixParams(), [b"w%d" % i for i in range(300)]
+    whole, places = b" ".join(words), range(0, 240, 8)
+    for seeds, want in ((list(places), [(0, 289)]), ([k for k in places if k != 80], [(0, 129), (88, 289)])):
+        rows = [{"place": k + 2, "head_place": k, "since": k + 2, "until": k + 10} for k in seeds]
+        cols = {"doc_id": [7], "part": [1], "head_id": [3], "head_part": [2], "text": [b"x Y " + whole.upper()], "head_text": [whole + b" z"]}
+        kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("place", "head_place", "since", "until")]))
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        batch = pa.record_batch([*(pa.array(v, t) for v, t in zip(cols.values(), types)), pa.array([rows], kind)], names=[*cols, "seeds"])
+        got = [tuple(r.values()) for r in pa.Table.from_batches(suffixdup._extended(p)(iter([batch]))).to_pylist()]
+        assert sorted(r[3:] for r in got if r[:3] == (3, 2, suffixdup.DECIDED)) == want
+        assert sorted(r[3:] for r in got if r[:3] == (7, 1, suffixdup.DECIDED)) == [(a + 2, b + 2) for a, b in want]
+        assert {r for r in got if r[2] != suffixdup.DECIDED} == {(7, 1, suffixdup.REPEAT, 2, 302), (3, 2, suffixdup.FIRST, 0, 300)}
+
+
+def test_hashes_of_indexed_words():
+    """OP3, OP10: hashes of all words in a row are those of the words split one text at a time."""
+    x, ends = tokens.word_hashes(ODD)
+    assert x.tolist() == [int(h) for t in ODD for h in tokens.hashes(tokens.words_of(t))]
+    assert ends.tolist() == np.cumsum([0, *(len(tokens.words_of(t)) for t in ODD)]).tolist()
