@@ -53,3 +53,18 @@ def test_pages_without_a_character(spark, odd):
     assert got == want and len(got) == 5
     blocks = spark.createDataFrame([(1, 0, "", 90.0), (1, 1, "ab", 50.0)], "doc_id int, page int, text string, conf double")
     assert {(x.page, x.conf, x.needs_ocr) for x in documents.page_confidence(blocks, 2).collect()} == {(0, None, True), (1, 50.0, False)}
+
+
+@pytest.mark.parametrize("name", ["s1_markdown_blocks", "c4_sections", "c5_merge_groups", "c8_chunks"])
+def test_headings_without_text(spark, odd, name):
+    """Hashes before an empty line, or one of white space, are a heading, which opens no section."""
+    blank = [_lines(8 * k) + f"\n{b}\n" + _lines(m) for k, b, m in ((1, "", 5), (2, " \t", 30), (7, "\x0b", 1))]
+    texts = ["", " ", "\t\x0c", *blank, _lines(40), "\u2028", "\x85", "a\n\u2028\nb", "one", _lines(8) + "\n"]
+    got, want = _both(spark, odd(*texts), name)
+    assert got == want and len(got) >= len(texts) - 3
+
+
+def test_blank_lines_are_no_paragraphs(spark):
+    rows = documents.markdown_blocks(spark.createDataFrame([(1, "# \n\na\n \nb\n##\t \n#\n```\n# \n```\n# #\n####### x")], "doc_id long, text string")).orderBy("block").collect()
+    assert [(x.level, x.text) for x in rows] == [(1, ""), (None, "a"), (None, "b"), (2, ""), (None, "#\n```\n# \n```"), (1, "#"), (None, "####### x")]
+    assert documents.chunk_documents(spark.createDataFrame([(1, "# "), (2, "## \n\n### \n")], "doc_id long, text string")).count() == 0
