@@ -57,22 +57,22 @@ def box_lookup(spans: DataFrame, blocks: DataFrame) -> DataFrame:
     ``spans(key, doc_id, quote, page_start, page_end)``: without both pages all pages of the document
     count. ``blocks(doc_id, page, block, bbox, size, text)``. A block that holds the text, without regard
     to case and space, scores 1, another one the share of the text's words it has, ``LEAST_SHARE`` at
-    least; of equal blocks the first in order of page and block. Spans are joined page by page. Words are compared
-    only with a text that has enough of them.
+    least; of equal blocks the first in order of page and block. Texts of both sides are dealt out once,
+    by document, and alone: their words are made where they arrive, and pages are a condition of the join.
+    Words are compared only with a text that has enough of them.
     """
     full = lambda c: F.col(c).rlike(r"(?U)\S")  # noqa: E731  as the plain text is not empty, without making it twice
     words = lambda t: F.array_distinct(F.split(t, " "))
-    s = spans.filter(full("quote")).withColumn("needle", plain(F.col("quote"))).select("key", "doc_id", "needle", words(F.col("needle")).alias("wanted"), "page_start", "page_end")
     known = F.col("page_start").isNotNull() & F.col("page_end").isNotNull()
-    own = ["key", "doc_id", "needle", "wanted"]
-    pages = s.filter(known & (F.col("page_start") <= F.col("page_end"))).select(*own, F.explode(F.sequence("page_start", "page_end")).alias("page"))
-    b = blocks.filter(full("text")).withColumn("text", plain(F.col("text"))).withColumn("words", words(F.col("text")))
-    names = ["key", "needle", "wanted", "page", "block", "bbox", "size", "text", "words"]
-    x = pages.join(b, ["doc_id", "page"]).select(names).unionByName(s.filter(~known).select(own).join(b, "doc_id").select(names))
+    s = spans.filter(full("quote")).select("key", "doc_id", plain(F.col("quote")).alias("needle"), F.when(known, F.col("page_start")).alias("low"), F.when(known, F.col("page_end")).alias("high"))
+    s = s.repartition("doc_id").withColumn("wanted", words(F.col("needle")))
+    place = F.row_number().over(Window.partitionBy("of").orderBy("page", "block"))
+    b = blocks.filter(full("text")).select(F.col("doc_id").alias("of"), "page", "block", "bbox", "size", plain(F.col("text")).alias("text")).withColumn("place", place).withColumn("words", words(F.col("text")))
+    x = s.join(b, (F.col("doc_id") == F.col("of")) & (F.col("low").isNull() | F.col("page").between(F.col("low"), F.col("high"))))
     share = F.size(F.array_intersect("wanted", "words")) / F.size("wanted")
     enough = F.size("words") >= F.size("wanted") * LEAST_SHARE
     x = x.withColumn("score", F.when(F.contains("text", "needle"), F.lit(1.0)).when(enough, share)).filter(F.col("score") >= LEAST_SHARE)
-    top = F.min_by(F.struct("page", "bbox", "size", F.round("score", 9).alias("score")), F.struct((-F.col("score")).alias("s"), "page", "block"))
+    top = F.min_by(F.struct("page", "bbox", "size", F.round("score", 9).alias("score")), F.struct((-F.col("score")).alias("s"), "place"))
     return x.groupBy("key").agg(top.alias("x")).select("key", "x.*")
 
 

@@ -211,3 +211,17 @@ def test_texts_of_blocks_do_not_move_with_each_level(spark):
     parts = ["\n\n".join([*own[8 * i : 8 * i + 5], "\n".join(f"{'  ' * j}1. {x}" for j, x in enumerate(own[8 * i + 5 : 8 * i + 8]))]) for i in range(3)]
     assert got[7] == "# T\n\n" + "\n\n".join(parts) + "\n"
     assert size < 2.5 * 60 * 24 * 2000
+
+
+def test_texts_of_boxes_move_once(spark):
+    """X11: a text is dealt out once, without its words; blocks were twice, and words with each text of both sides."""
+    deal = random.Random(9)
+    text = lambda: " ".join(deal.randbytes(4).hex() for _ in range(60))
+    lines = [(d, k // 4, k, text()) for d in range(80) for k in range(16)]
+    asked = [((d, k), d, t if k % 2 else t[9:400] + " no", *[(None, None), (page, page + 1), (page, None), (page + 1, page + 2)][k % 4]) for d, page, k, t in lines]
+    blocks = spark.createDataFrame(lines, "doc_id int, page int, block int, text string").withColumns({"bbox": F.array("block"), "size": F.array("page")})
+    spans = spark.createDataFrame(asked, "key struct<d:int,k:int>, doc_id int, quote string, page_start int, page_end int")
+    got, size, _ = _moved(spark, lambda: evidence.box_lookup(spans, blocks).collect())
+    want = {((d, k), page, k, 1.0 if k % 2 else round(43 / 45, 9)) for d, page, k, _ in lines if k % 4 != 3}
+    assert {(tuple(x.key), x.page, x.bbox[0], x.score) for x in got} == want and len(got) == len(want)
+    assert size < 1.2 * 2 * 80 * 16 * 540, size
