@@ -21,6 +21,11 @@ def plain(text: Column) -> Column:
     return F.trim(F.replace(F.lower(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit("ß"), F.lit("ss")))
 
 
+def marks_of(word: Column) -> Column:
+    """A number that equal words share, and now and then others."""
+    return F.hash(word)
+
+
 def located(needles: DataFrame, chunks: DataFrame) -> DataFrame:
     """(doc_id, needle, chunk_index, start, end, method): the first chunk of the document that has the needle.
 
@@ -59,19 +64,23 @@ def box_lookup(spans: DataFrame, blocks: DataFrame) -> DataFrame:
     to case and space, scores 1, another one the share of the text's words it has, ``LEAST_SHARE`` at
     least; of equal blocks the first in order of page and block. Texts of both sides are dealt out once,
     by document, and alone: their words are made where they arrive, and pages are a condition of the join.
-    Words are compared only with a text that has enough of them.
+    Words are compared only with a text that has enough of their hashes; hashes that fall together count
+    as found, so no text is left out.
     """
     full = lambda c: F.col(c).rlike(r"(?U)\S")  # noqa: E731  as the plain text is not empty, without making it twice
     words = lambda t: F.array_distinct(F.split(t, " "))
+    marks = lambda w: F.array_distinct(F.transform(w, lambda x: marks_of(x)))
     known = F.col("page_start").isNotNull() & F.col("page_end").isNotNull()
     s = spans.filter(full("quote")).select("key", "doc_id", plain(F.col("quote")).alias("needle"), F.when(known, F.col("page_start")).alias("low"), F.when(known, F.col("page_end")).alias("high"))
-    s = s.repartition("doc_id").withColumn("wanted", words(F.col("needle")))
+    s = s.repartition("doc_id").withColumn("wanted", words(F.col("needle"))).withColumn("sought", marks(F.col("wanted")))
     place = F.row_number().over(Window.partitionBy("of").orderBy("page", "block"))
-    b = blocks.filter(full("text")).select(F.col("doc_id").alias("of"), "page", "block", "bbox", "size", plain(F.col("text")).alias("text")).withColumn("place", place).withColumn("words", words(F.col("text")))
-    x = s.join(b, (F.col("doc_id") == F.col("of")) & (F.col("low").isNull() | F.col("page").between(F.col("low"), F.col("high"))))
+    b = blocks.filter(full("text")).select(F.col("doc_id").alias("of"), "page", "block", "bbox", "size", plain(F.col("text")).alias("text")).withColumn("place", place).withColumn("words", words(F.col("text"))).withColumn("held", marks(F.col("words")))
+    fits = F.col("low").isNull() | F.col("page").between(F.col("low"), F.col("high"))
     share = F.size(F.array_intersect("wanted", "words")) / F.size("wanted")
-    enough = F.size("words") >= F.size("wanted") * LEAST_SHARE
-    x = x.withColumn("score", F.when(F.contains("text", "needle"), F.lit(1.0)).when(enough, share)).filter(F.col("score") >= LEAST_SHARE)
+    most = F.size(F.array_intersect("sought", "held")) + F.size("wanted") - F.size("sought")
+    enough = (F.size("words") >= F.size("wanted") * LEAST_SHARE) & (most >= F.size("wanted") * LEAST_SHARE)
+    # Pages come first, as conditions of a join are tried in an order of their own.
+    x = s.join(b, F.col("doc_id") == F.col("of")).withColumn("score", F.when(fits, F.when(F.contains("text", "needle"), F.lit(1.0)).when(enough, share))).filter(F.col("score") >= LEAST_SHARE)
     top = F.min_by(F.struct("page", "bbox", "size", F.round("score", 9).alias("score")), F.struct((-F.col("score")).alias("s"), "place"))
     return x.groupBy("key").agg(top.alias("x")).select("key", "x.*")
 

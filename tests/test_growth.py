@@ -225,3 +225,21 @@ def test_texts_of_boxes_move_once(spark):
     want = {((d, k), page, k, 1.0 if k % 2 else round(43 / 45, 9)) for d, page, k, _ in lines if k % 4 != 3}
     assert {(tuple(x.key), x.page, x.bbox[0], x.score) for x in got} == want and len(got) == len(want)
     assert size < 1.2 * 2 * 80 * 16 * 540, size
+
+
+def test_hashes_that_fall_together_hide_no_box(spark, monkeypatch):
+    """X11: words are compared only behind a bound by their hashes, which holds for bad hashes too."""
+    deal = random.Random(10)
+    text = lambda: " ".join(deal.choice("abcdefghijkl") + deal.choice("xyz") for _ in range(deal.randint(1, 12)))
+    blocks = spark.createDataFrame([(d, k // 3, k, text()) for d in range(40) for k in range(9)], "doc_id int, page int, block int, text string").withColumns({"bbox": F.array("block"), "size": F.array("page")})
+    spans = spark.createDataFrame([((d, k), d, text(), *deal.choice([(None, None), (0, 1), (None, 2)])) for d in range(40) for k in range(9)], "key struct<d:int,k:int>, doc_id int, quote string, page_start int, page_end int")
+    found = lambda: sorted(map(str, evidence.box_lookup(spans, blocks).collect()))
+    want = found()
+    for n in (1, 2, 7):
+        monkeypatch.setattr(evidence, "marks_of", lambda x, n=n: F.pmod(F.hash(x), F.lit(n)))
+        assert found() == want
+    assert 40 < len(want) < 360
+    # Pages are looked at before texts.
+    plan = evidence.box_lookup(spans, blocks)._jdf.queryExecution().optimizedPlan().toString()
+    condition = next(x for x in plan.split("\n") if "Join Inner" in x)
+    assert condition.index("low") < condition.index("Contains") < condition.index("array_intersect")
